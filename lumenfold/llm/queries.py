@@ -6,10 +6,16 @@ from .common import table
 from .decontamination import decontamination
 from .language_id import language_id
 from .mixing import mix
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .token_files import token_files
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -26,10 +32,14 @@ def op6_decontamination(spark, sf_dir):
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op5_language_id, op6_decontamination, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op5_language_id, op6_decontamination, op7_suffix_dedup, op9_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
