@@ -6,6 +6,7 @@ from .common import table
 from .decontamination import decontamination
 from .language_id import language_id
 from .mixing import mix
+from .near_duplicates import near_duplicates
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -40,6 +41,10 @@ def op9_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op5_language_id, op6_decontamination, op7_suffix_dedup, op9_mixing)}
+def op10_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op5_language_id, op6_decontamination, op7_suffix_dedup, op9_mixing, op10_near_duplicates)}
 
 ORACLE_SQL: dict[str, str] = {}
