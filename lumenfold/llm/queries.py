@@ -7,8 +7,10 @@ from .decontamination import decontamination
 from .language_id import language_id
 from .mixing import mix
 from .near_duplicates import near_duplicates
+from .neighbours import nearest
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .surrogates import surrogates
 from .token_counts import token_counts
 from .token_files import token_files
 
@@ -25,6 +27,10 @@ def op3_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_surrogates(spark, sf_dir):
+    return surrogates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,6 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op5_language_id, op6_decontamination, op7_suffix_dedup, op9_mixing, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op4_nearest_neighbours, op5_language_id, op6_decontamination, op7_suffix_dedup, op8_surrogates, op9_mixing, op10_near_duplicates)}
 
 ORACLE_SQL: dict[str, str] = {}
