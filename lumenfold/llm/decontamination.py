@@ -169,6 +169,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int
     return together.agg(F.first("n_words").alias("n_words"), *(c.alias(n) for n, c in joined.items()))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """The rows of docs (text, ...), all columns, in which no window of the benchmark occurs."""
+    sc = docs.sparkSession.sparkContext
+    for block in _blocks(benchmark):
+        shared = sc.broadcast(Index([(r.item_id, r.text) for r in block.collect()], window, gram))
+
+        def without(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = np.zeros(len(b), bool)
+                for first, _, data, bounds in slices(b.column(b.schema.get_field_index("text"))):
+                    w = split_words(data, bounds, alnum=True)
+                    for _, starts, _ in shared.value.hits(w):
+                        hit[first + w.doc_of()[starts]] = True
+                yield b.filter(pa.array(~hit))
+
+        docs = docs.mapInArrow(without, docs.schema)
+    return docs
+
+
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
