@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, identified, map_arrow
+from .common import batch, identified, map_arrow, settle
 from .grams import _A, _B, slices
 from .repeats import covered, per_document, repeated_keys, repeated_runs, representatives, run_rows, signed, whole_copies
 from .suffixes import common_prefixes, suffix_order
@@ -64,25 +64,32 @@ def window_classes(texts: list[bytes], window: int):
     return owner[at], at - first[owner[at]], new, sizes
 
 
-def _windows(marked: DataFrame, runs: DataFrame, window: int, gram: int, block_runs: int) -> DataFrame:
-    """doc_id, windows (at, n): the repeated windows inside runs that occur once."""
+def _windows(docs: DataFrame, runs: DataFrame, window: int, block_runs: int) -> DataFrame:
+    """doc_id, single_runs, at, n: the runs that occur once, and the repeated windows inside them."""
     texts = runs.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "lo", "n")).alias("f"), F.max(F.struct("doc_id", "lo", "n")).alias("l"), F.min("key").alias("key"))
-    texts = texts.select("key", "f.doc_id", "f.lo", "f.n", (F.col("f") == F.col("l")).alias("single"))
+    texts = settle(texts.select("key", "f.doc_id", "f.lo", "f.n", (F.col("f") == F.col("l")).alias("single")), "texts")
     keys = texts.groupBy("key").agg(F.count("*").alias("texts"), F.count_if("single").alias("singles")).where("texts > 1 and singles > 0").select("key", "texts")
     mixed = texts.join(keys, "key")
     wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "key", "texts", "single")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "part", "split", "doc_id", "lo", "single", "text")
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         for b in batches:
-            for doc_id, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                raw = text.as_py().encode()
-                yield batch(
-                    key=pa.array([w["key"] for w in wanted], pa.int64()), part=pa.array([hash((doc_id, w["lo"])) % -(-w["texts"] // block_runs) for w in wanted], pa.int64()),
-                    split=pa.array([w["texts"] > block_runs for w in wanted], pa.bool_()), doc_id=pa.array([doc_id] * len(wanted), pa.int64()), lo=pa.array([w["lo"] for w in wanted], pa.int32()),
-                    single=pa.array([w["single"] for w in wanted], pa.bool_()), text=pa.array([raw[w["lo"] : w["lo"] + w["n"] + window - 1] for w in wanted], pa.binary()),
-                )
-
-    pieces = map_arrow(marked.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id"), cut, "key long, part long, split boolean, doc_id long, lo int, single boolean, text binary")
+            rows, size = [], 0
+            for doc_id, text, wanted in zip(*b.columns):
+                doc_id, raw = doc_id.as_py(), text.as_py().encode()
+                for w in wanted.as_py():
+                    part = hash((doc_id, w["lo"])) % -(-w["texts"] // block_runs)
+                    rows.append((w["key"], part, w["texts"] > block_runs, doc_id, w["lo"], w["single"], raw[w["lo"] : w["lo"] + w["n"] + window - 1]))
+                    size += len(rows[-1][-1])
+                if size >= BLOCK_BYTES:
+                    yield batch(**{n: pa.array(x, k) for n, k, x in zip(names, kinds, zip(*rows))})
+                    rows, size = [], 0
+            if rows:
+                yield batch(**{n: pa.array(x, k) for n, k, x in zip(names, kinds, zip(*rows))})
+
+    pieces = map_arrow(docs.join(wanted.hint("shuffle_hash"), "doc_id"), cut, "key long, part long, split boolean, doc_id long, lo int, single boolean, text binary")
     pieces = pieces.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def settled(rows: list[tuple]) -> pa.RecordBatch:
@@ -128,7 +135,7 @@ def _windows(marked: DataFrame, runs: DataFrame, window: int, gram: int, block_r
         if rows:
             yield settled(rows)
 
-    found = map_arrow(pieces, sort, "doc_id long, at int, n int, w1 long, w2 long")
+    found = settle(map_arrow(pieces, sort, "doc_id long, at int, n int, w1 long, w2 long"), "windows")
     again = found.where("w1 is not null").groupBy("w1", "w2").agg(F.count("*").alias("blocks")).where("blocks > 1")
     waiting = found.where("w1 is not null and doc_id is not null").join(again, ["w1", "w2"], "left_semi")
     known = found.where("w1 is null").select("doc_id", "at", "n").unionByName(waiting.select("doc_id", "at", "n"))
@@ -150,11 +157,13 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int | None = None, wi
     gram = gram or min(GRAM, max(1, window // 2))
     read = _reader(gram)
     docs = identified(docs)
-    known = repeated_keys(representatives(docs, read, window, gram))
-    copies = whole_copies(docs).groupBy("doc_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("last > first")
+    known = settle(repeated_keys(settle(representatives(docs, read, window, gram), "representatives")), "known")
+    copies = whole_copies(docs).groupBy("doc_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    copies = settle(copies, "copies")
     fresh = known.join(copies.where("doc_id > first").select("doc_id"), "doc_id", "left_anti")
     marked = docs.join(fresh.hint("shuffle_hash"), "doc_id")
-    inner = _windows(marked, run_rows(marked, read, window, gram), window, gram, block_runs)
+    runs = settle(run_rows(marked, read, window, gram), "runs")
+    inner = _windows(docs, runs, window, block_runs)
     info = known.join(inner, "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("whole")), "doc_id", "full")
     every = docs.join(info.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "known", "single_runs", "at", "n", "whole")
 
