@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lumenfold.functions import spectra
 from lumenfold.functions.scalars import TINY, decibels, half_up
@@ -26,21 +28,18 @@ def signals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
 def each_signal(rows: DataFrame, function: Callable[[np.ndarray, float], dict], fields: str, keys: Sequence[str], samples: str = "samples", rate: str = "rate") -> DataFrame:
     """keys and function(samples, rate) for each row, in Arrow batches."""
     keys = list(keys)
-    names = [f.strip().split(" ")[0] for f in fields.split(",") if f.strip()] if "<" not in fields else None
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", " + fields
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(fields)) if names is None else None
+    kinds = _parse_datatype_string(fields)
+    arrow = to_arrow_schema(kinds)
+    schema = StructType([*rows.select(*keys).schema, *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = len(keys)
             out = [function(np.array(s.as_py() or [], float), r.as_py()) for s, r in zip(b.column(n), b.column(n + 1))]
-            made = [pa.array([o[k] for o in out], arrow.field(k).type if arrow else None) for k in (arrow.names if arrow else names)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *made], [*keys, *(arrow.names if arrow else names)])
+            made = [pa.array([o[f.name] for o in out], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *made], [*keys, *arrow.names])
 
-    return rows.select(*keys, samples, F.col(rate).cast("double")).mapInArrow(run, schema)
+    return rows.select(*keys, samples, F.col(rate).cast("double").alias("_rate")).mapInArrow(run, schema)
 
 
 SPECTRUM = "freq array<double>, power array<double>, segments int"
@@ -53,8 +52,6 @@ def power_density(rows: DataFrame, keys: Sequence[str], requested: int = 4096, o
         freq, power, n = spectra.welch(samples, rate or 0.0, requested, overlap, budget)
         return {"freq": freq.tolist(), "power": power.tolist(), "segments": n}
 
-    from pyspark.sql.types import _parse_datatype_string  # noqa: F401
-
     return each_signal(rows, one, SPECTRUM, keys)
 
 

@@ -17,29 +17,54 @@ def phase_rows(spark, phases: Sequence[tuple[str, float, float | None]]) -> Data
     return spark.createDataFrame([(i, n, float(a), float("inf") if b is None else float(b)) for i, (n, a, b) in enumerate(phases)], "phase_no int, phase string, begins double, ends double")
 
 
-def quantiles(value: Column, shares: dict[str, float] = QUARTILES) -> list[Column]:
-    """Exact quantiles of the finite values, interpolated between neighbours; null without any."""
-    return [F.percentile(finite(value), share).alias(name) for name, share in shares.items()]
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float] = QUARTILES, bins: int = 1024) -> DataFrame:
+    """keys, n and exact quantiles of the finite values, interpolated between neighbours; keys without any don't come out.
+
+    No key is sorted whole: equal values are counted first, counts fall into
+    bins of each key's range, sums of bins tell which bins hold the wanted
+    places, and only these bins' values are put in order.
+    """
+    keys = list(keys)
+    same = lambda x, y: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in keys]
+    counted = rows.select(*keys, finite(F.col(value)).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    ranges = counted.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_c").alias("n"))
+    at = (F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins
+    binned = counted.alias("a").join(ranges.alias("b"), same("a", "b")).select("a.*", "n", F.least(F.floor(F.coalesce(at, F.lit(0.0))), F.lit(bins - 1)).alias("_bin"))
+    sums = binned.groupBy(*keys, "n", "_bin").agg(F.sum("_c").alias("_words"))
+    before = F.coalesce(F.sum("_words").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = F.array(*[F.struct((F.lit(float(p)) * (F.col("n") - 1)).alias("at"), F.lit(name).alias("name")) for name, p in shares.items()])
+    wanted = sums.withColumn("_before", before).withColumn("_p", F.explode(places))
+    hit = lambda low, count: (F.ceil("_p.at") >= low) & (F.floor("_p.at") < low + count)
+    wanted = wanted.where(hit(F.col("_before"), F.col("_words"))).select(*keys, "_bin", "_before").distinct()
+    near = binned.alias("a").join(wanted.alias("b"), [*same("a", "b"), F.col("a._bin") == F.col("b._bin")]).select("a.*", "_before")
+    inner = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = near.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(inner), F.lit(0))).withColumn("_p", F.explode(places)).where(hit(F.col("_from"), F.col("_c")))
+    # at most two values for each place: where it falls between them, its share of the way
+    share = F.col("_p.at") - F.floor("_p.at")
+    lower, upper = F.max(F.when(F.col("_from") <= F.floor("_p.at"), F.col("_v"))), F.max("_v")
+    each = ranked.groupBy(*keys, "n", F.col("_p.name").alias("_name")).agg((lower + (upper - lower) * F.max(share)).alias("_q"))
+    return each.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in shares])
 
 
 def phase_summary(rows: DataFrame, phases: DataFrame, time: str, metrics: Sequence[str]) -> DataFrame:
     """For each phase and metric the rows in range, the finite values and their quartiles.
 
-    Every phase comes out, empty ones with nulls. A row lies in one phase at
-    most, so the phase is looked up in place of a join that would multiply rows;
-    partial sums meet by phase.
+    Every phase comes out, empty ones with nulls. Rows look their phase up in
+    the broadcast phases (literal, one for each row at most) and meet by partial sums.
     """
-    long = rows.select(F.col(time).alias("at"), F.stack(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))]).alias("metric", "value"))
-    dim = F.broadcast(phases.crossJoin(phases.sparkSession.createDataFrame([(m,) for m in metrics], "metric_name string")))  # phases x metrics, both literal
-    joined = dim.join(long, (F.col("metric_name") == F.col("metric")) & (F.col("at") >= F.col("begins")) & (F.col("at") < F.col("ends")), "left")
-    return joined.groupBy("phase", F.col("metric_name").alias("metric")).agg(F.count("at").alias("row_count"), F.count(finite(F.col("value"))).alias("n"), *quantiles(F.col("value")))
+    long = rows.select(F.col(time).alias("at"), F.stack(F.lit(len(metrics)), *[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))]).alias("metric", "value"))
+    placed = long.join(F.broadcast(phases.select("phase", "begins", "ends")), (F.col("at") >= F.col("begins")) & (F.col("at") < F.col("ends"))).select("phase", "metric", "value")
+    counts = placed.groupBy("phase", "metric").agg(F.count("*").alias("row_count"))
+    every = phases.select("phase", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    out = every.join(counts, ["phase", "metric"], "left").join(exact_quantiles(placed, ["phase", "metric"], "value"), ["phase", "metric"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "n")})
 
 
 def against_baseline(summary: DataFrame, key: str, baseline: str, metrics: Sequence[str]) -> DataFrame:
     """Each row's metrics, the baseline row's and the differences; null where either is missing."""
     base = summary.where(F.col(key) == baseline).limit(1).select(F.struct(*metrics).alias("base"))
     joined = summary.crossJoin(F.broadcast(base))  # one row
-    long = F.stack(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"), F.col(f"base.{m}").cast("double"))]).alias("metric", "value", "baseline")
+    long = F.stack(F.lit(len(metrics)), *[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"), F.col(f"base.{m}").cast("double"))]).alias("metric", "value", "baseline")
     return joined.select(key, (F.col(key) == baseline).alias("is_baseline"), long).withColumn("delta", F.col("value") - F.col("baseline"))
 
 
@@ -50,11 +75,23 @@ def band(rows: DataFrame, time: str, metric: str, low: float, high: float, base:
     return kept.select(F.col(time).alias("time"), (base + share * height).alias("plotted"), F.col(metric).alias("value"))
 
 
-def event_points(rows: DataFrame, time: str, strength: str, order: Sequence[Column]) -> DataFrame:
-    """Markers of events in order: time (0 if missing), a height that sways with the place, a size up to 60 (6 if missing)."""
-    i = F.row_number().over(Window.orderBy(*order)) - 1
+def numbered(rows: DataFrame, bucket: Column, order: Sequence[Column]) -> DataFrame:
+    """rows with _i, their place in order from 0; bucket must rise with order.
+
+    Rows are put in order within buckets; only the buckets' counts pass one task.
+    """
+    marked = rows.withColumn("_bucket", bucket)
+    counts = marked.groupBy("_bucket").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = marked.alias("m").join(counts.select("_bucket", before.alias("_before")).alias("c"), F.col("m._bucket").eqNullSafe(F.col("c._bucket"))).select("m.*", "_before")
+    return joined.withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1).drop("_bucket", "_before")
+
+
+def event_points(rows: DataFrame, time: str, strength: str, tie: str, bucket_seconds: float = 3600.0) -> DataFrame:
+    """Markers of events in order of time (0 if missing): a height that sways with the place, a size up to 60 (6 if missing)."""
+    at = F.coalesce(F.col(time), F.lit(0.0))
     size = F.least(F.lit(60.0), F.abs(F.coalesce(F.col(strength), F.lit(6.0))))
-    return rows.select(F.coalesce(F.col(time), F.lit(0.0)).alias("time"), (0.88 + F.sin(i * 2.17) * 0.045).alias("height"), size.alias("size"))
+    return numbered(rows, F.floor(at / bucket_seconds), [at, F.col(tie)]).select(tie, at.alias("time"), (0.88 + F.sin(F.col("_i") * 2.17) * 0.045).alias("height"), size.alias("size"))
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: int) -> DataFrame:

@@ -10,7 +10,8 @@ from lumenfold.functions import spectra
 from lumenfold.operators import spectral
 
 SCHEMA = "schema string, pair_id string, role string, rate double, fit_low double, fit_high double, frequencies array<double>, power array<double>, beta double"
-VERSION, TOLERANCE = "noisecolor-diagnostic/1", 1e-12
+#: Documents of any maker are read whose schema ends so.
+SCHEMA_END, TOLERANCE = "-diagnostic/1", 1e-12
 
 
 def exportable(df: DataFrame) -> Column:
@@ -18,10 +19,10 @@ def exportable(df: DataFrame) -> Column:
     return F.col("frequencies").isNotNull() & F.col("power").isNotNull() & (F.size("power") > 0) & ~F.coalesce(F.col("compacted"), F.lit(False))
 
 
-def documents(df: DataFrame) -> DataFrame:
+def documents(df: DataFrame, maker: str = "lumenfold") -> DataFrame:
     """Rows as closed-schema JSON documents."""
     names = [f.split(" ")[0] for f in SCHEMA.split(", ")][1:]
-    return df.select(F.to_json(F.struct(F.lit(VERSION).alias("schema"), *names), {"ignoreNullFields": "false"}).alias("document"))
+    return df.select(F.to_json(F.struct(F.lit(maker + SCHEMA_END).alias("schema"), *names), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def replayed(texts: DataFrame, column: str = "document") -> DataFrame:
@@ -29,7 +30,7 @@ def replayed(texts: DataFrame, column: str = "document") -> DataFrame:
     rows = texts.select(F.from_json(column, SCHEMA).alias("d")).select("d.*")
     ascending = F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("frequencies") - 1)), lambda i: F.get("frequencies", i) > F.get("frequencies", i - 1))
     finite = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = F.coalesce((F.col("schema") == VERSION) & (F.size("frequencies") == F.size("power")) & (F.size("power") > 1) & finite("frequencies") & finite("power") & ascending, F.lit(False))
+    valid = F.coalesce(F.col("schema").endswith(SCHEMA_END) & (F.size("frequencies") == F.size("power")) & (F.size("power") > 1) & finite("frequencies") & finite("power") & ascending, F.lit(False))
     packed = rows.withColumn("valid", valid).withColumn("samples", F.when(valid, F.concat(F.array("fit_low", "fit_high"), "frequencies", "power")))
 
     def again(x: np.ndarray, rate: float) -> dict:
