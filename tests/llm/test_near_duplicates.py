@@ -51,12 +51,12 @@ def family(rng, n, words=120):
         yield " ".join(text)
 
 
-@pytest.mark.parametrize("seed,rounds", [(1, 3), (2, 0), (3, 1)])
-def test_near_duplicates(spark, seed, rounds):
+@pytest.mark.parametrize("seed,part", [(1, 4096), (2, 7), (3, 2)])
+def test_near_duplicates(spark, seed, part):
     rng = random.Random(seed)
     rows = documents(seed, 40, 400)
     rows += [(1000 + i, t, None, None, None, None) for i, t in enumerate([*family(rng, 12), *family(rng, 5), "A b", "a B", "a b c"])]
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), rounds=rounds)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), part=part)
     assert sorted(map(tuple, got.collect())) == plain(rows)
 
 
