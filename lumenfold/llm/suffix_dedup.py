@@ -53,13 +53,10 @@ def window_classes(texts: list[bytes], window: int):
     inside[first + lengths - 1] = False
     symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
     order = suffix_order(symbols, window)
-    shared = common_prefixes(symbols, order, window)
-    whole = (first + lengths - 1)[owner[order]] - order >= window
-    # between two whole windows stand only suffixes with their common prefix, so minima carry over what is left out
-    breaks = np.cumsum(shared < window)[whole]
-    at = order[whole]
+    at = order[(first + lengths - 1)[owner[order]] - order >= window]
+    shared = common_prefixes(symbols, at, window, exact=False)
     new = np.ones(len(at), bool)
-    new[1:] = breaks[1:] != breaks[:-1]
+    new[1:] = shared[1:] < window
     sizes = np.diff(np.append(np.flatnonzero(new), len(at)))
     return owner[at], at - first[owner[at]], new, sizes
 
@@ -108,9 +105,9 @@ def _windows(docs: DataFrame, runs: DataFrame, window: int, block_runs: int) ->
         # one row for each class of split keys; a doc_id only where one lone window waits for the other blocks
         rest = np.flatnonzero(new & split)
         lone = (size[rest] == 1) & single[rest]
-        text = [rows[owner[r]][5][at[r] : at[r] + window] for r in rest]
-        data = np.frombuffer(b"".join(text), np.uint8)
-        starts = np.arange(len(rest)) * window
+        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        lengths = np.array([len(r[5]) for r in rows])
+        starts = (np.cumsum(lengths) - lengths)[owner[rest]] + at[rest]
         w1, w2 = (r.spans(r.prefix(r.table[data]), starts, starts + window) for r in (_A, _B))
         nulls = np.zeros(len(k), np.uint64)
         return batch(
