@@ -25,7 +25,7 @@ from .suffixes import common_prefixes, suffix_order
 GRAM = 64
 BLOCK_BYTES = 1 << 20
 #: Differing runs of one representative that are sorted together; more are dealt to several blocks.
-BLOCK_RUNS = 1024
+BLOCK_RUNS = 4096
 
 
 def _reader(gram: int):
