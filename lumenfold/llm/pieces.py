@@ -7,9 +7,13 @@ most calls of the tokenizer.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 from collections.abc import Callable
 
+import regex
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LONGEST = 64
@@ -56,17 +60,94 @@ def pieces(text: str) -> list[str]:
 
 
 class Cache(dict):
-    """make(piece), kept for short pieces; emptied when it holds most."""
+    """make(piece), kept for short pieces.
+
+    Once it holds most, what it holds becomes the former half, from which pieces
+    still in use come back; so at most twice as many are held.
+    """
 
     def __init__(self, make: Callable, most: int = 1 << 19, start: dict | None = None):
         super().__init__(start or {})
-        self.make, self.most, self.start = make, most, start
+        self.make, self.most, self.start, self.former = make, most, start or {}, {}
 
     def __missing__(self, piece: str):
-        value = self.make(piece)
+        value = self.former.get(piece)
+        if value is None:
+            value = self.make(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= self.most:
+            if len(self) >= self.most + len(self.start):
+                self.former = dict(self)
                 self.clear()
-                self.update(self.start or {})
+                self.update(self.start)
             self[piece] = value
         return value
+
+
+# Characters that Unicode normalization keeps, whatever stands beside them, and
+# whose lower case is one character that depends on no other.
+_PLAIN = regex.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]*")
+
+# The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
+# others for the code points from 256 on.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+
+
+def _word_pattern(name: str) -> tuple[str, list[str]] | None:
+    """The pattern of a tokenizer's words and its added tokens, if it only composes,
+    lower-cases, matches words and maps bytes before its BPE model; else None."""
+    with open(tokenizer_path(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda part, inner: (part or {}).get(inner, [part] if part else [])
+    normal, before = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if not all(n == blanks or n["type"] in ("NFC", "Lowercase") for n in normal) or "Lowercase" not in [n["type"] for n in normal]:
+        return None
+    if [b["type"] for b in before] != ["Split", "ByteLevel"] or before[1]["use_regex"] or before[1]["add_prefix_space"]:
+        return None
+    split = before[0]
+    if split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"]:
+        return None
+    if spec["model"]["type"] != "BPE" or spec["model"]["dropout"] or any(a["normalized"] or a["content"].isalpha() for a in spec["added_tokens"]):
+        return None
+    return split["pattern"]["Regex"], [a["content"] for a in spec["added_tokens"]]
+
+
+def encoder(name: str) -> Callable[[str], bytes]:
+    """A function from a piece to its ids, as little-endian unsigned 32-bit integers.
+
+    A piece of plain Latin letters, digits and signs goes by words straight to
+    the tokenizer's BPE model, for tokenizers that allow it; any other piece,
+    and one with an added token, goes through the whole tokenizer.
+    """
+    tok = tokenizer(name)
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    whole = lambda piece: packed(tok.encode(piece, add_special_tokens=False).ids)
+    found = _word_pattern(name)
+    if found is None:
+        return whole
+    words, added, tokens = regex.compile(found[0]).findall, found[1], tok.model.tokenize
+
+    def of_word(word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return packed([t.id for t in tokens(word)])
+
+    known = Cache(of_word)
+
+    def encode(piece: str) -> bytes:
+        low = piece.lower()
+        if low.isascii():
+            if low.isalpha():
+                return known[low]
+            plain = low.isprintable()
+        else:
+            plain = _PLAIN.fullmatch(piece)
+        if plain:
+            for token in added:
+                if token in piece:
+                    return whole(piece)
+            return b"".join([known[w] for w in words(low)])
+        return whole(piece)
+
+    return encode

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, scratch
-from .pieces import Cache, drops_space, pieces, tokenizer
+from .pieces import Cache, drops_space, encoder, pieces, tokenizer
 
 MAGIC, BLOCK = b"PFR1", 128
 SEGMENT_IDS = 1 << 18
@@ -135,8 +135,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         if vocabulary not in _CACHES:
-            made = lambda p: np.array(tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-            _CACHES[vocabulary] = Cache(made, start={"": b""})
+            _CACHES[vocabulary] = Cache(encoder(vocabulary), 1 << 18, {"": b""})
         ids_of = _CACHES[vocabulary].__getitem__
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()

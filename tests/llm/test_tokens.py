@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lumenfold.llm.pieces import tokenizer
+from lumenfold.llm.pieces import Cache, encoder, tokenizer
 from lumenfold.llm.token_counts import token_counts
 from lumenfold.llm.token_files import BLOCK, read_segment, read_tokens, token_files, write_segment, write_tokens
 
@@ -23,6 +23,23 @@ def ids(text, vocabulary):
     return tokenizer(vocabulary).encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("vocabulary", [WORDS, BYTES])
+def test_encoder(vocabulary):
+    letters = [chr(c) for c in [*range(0x21, 0x250), 0x301, 0x3A3, 0x212A, 0x212B]]
+    pieces = [*letters, *(f"A{c}b's{c}LL1" for c in letters), *(a + b for a in letters[:400:7] for b in letters[::5]), "ΟΔΟΣ", "<|endoftext|>x", "Word.", "it'Ll", ""]
+    encode = encoder(vocabulary)
+    assert [np.frombuffer(encode(p), "<u4").tolist() for p in pieces] == [ids(p, vocabulary) for p in pieces]
+
+
+def test_cache_keeps_what_is_in_use():
+    made = []
+    cache = Cache(lambda p: made.append(p) or len(p), 3, {"": 0})
+    for p in ["a", "bb", "ccc", "a", "dddd", "a", "", "x" * 100, "ee", "a", "f", "g"]:
+        assert cache[p] == len(p)
+        assert len(cache) <= 4
+    assert made.count("a") == 1 and len(made) == 8
+
+
 @pytest.mark.parametrize("vocabulary,table_size", [(WORDS, 1 << 15), (WORDS, 3), (BYTES, 10)])
 def test_token_counts(spark, vocabulary, table_size):
     data = rows()
