@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .common import table
 from .decontamination import decontamination
 from .language_id import language_id
@@ -57,4 +58,8 @@ def op10_near_duplicates(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op4_nearest_neighbours, op5_language_id, op6_decontamination, op7_suffix_dedup, op8_surrogates, op9_mixing, op10_near_duplicates)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op6_decontamination": oracle.DECONTAMINATION,
+    "op10_near_duplicates": oracle.NEAR_DUPLICATES,
+}
