@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow
+from .common import batch, map_arrow, settle
 from .grams import Words, gram_hashes, slices, split_words, window_minima
 
 #: Bytes of benchmark text in a broadcast block; larger benchmarks take several.
@@ -126,11 +126,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int
     docs: doc_id, text, ...; benchmark: item_id, text, ... Words are runs of
     letters, digits and non-ASCII characters, A-Z lower-cased. Null texts have
     no words; items without words or item_id match nothing; a null doc_id stays
-    null. The benchmark is broadcast in blocks of about BLOCK_BYTES, one pass
-    over docs for each; an empty benchmark takes one pass and hits nothing.
+    null. There is a row for each row of docs. The benchmark is broadcast in
+    blocks of about BLOCK_BYTES, one pass over docs for each; an empty benchmark
+    takes one pass and hits nothing. For several blocks docs is written once
+    with a number for each row, by which their results are put together.
     """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("row"))
+    blocks = list(_blocks(benchmark))
+    if len(blocks) > 1:
+        docs = settle(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
     def against(items: list[tuple[int, str]]) -> DataFrame:
         shared = sc.broadcast(Index(items, window, gram))
@@ -154,19 +159,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int
                     cuts = np.searchsorted(owner, np.arange(n + 1))
                     inner = (places - w.first[owner]).astype(np.int32)
                     yield batch(
-                        doc_id=b.column(0).slice(first, n), n_words=pa.array(np.diff(w.first), pa.int64()),
+                        row=b.column(2).slice(first, n), doc_id=b.column(0).slice(first, n), n_words=pa.array(np.diff(w.first), pa.int64()),
                         hits=pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(inner)),
                         items=pa.array([np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in items], pa.list_(pa.int64())),
                     )
 
-        return map_arrow(docs, match, "doc_id long, n_words long, hits array<int>, items array<long>")
+        return map_arrow(docs, match, "row long, doc_id long, n_words long, hits array<int>, items array<long>")
 
-    found = [against([(r.item_id, r.text) for r in block.collect()]) for block in _blocks(benchmark)] or [against([])]
+    found = [against([(r.item_id, r.text) for r in block.collect()]) for block in blocks] or [against([])]
     if len(found) == 1:
-        return found[0]
-    together = reduce(DataFrame.unionByName, found).groupBy("doc_id")
+        return found[0].drop("row")
+    together = reduce(DataFrame.unionByName, found).groupBy("row")
     joined = {c: F.array_distinct(F.flatten(F.collect_list(c))) for c in ("hits", "items")}
-    return together.agg(F.first("n_words").alias("n_words"), *(c.alias(n) for n, c in joined.items()))
+    return together.agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words")), *(c.alias(n) for n, c in joined.items())).drop("row")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:

@@ -85,6 +85,17 @@ def test_decontamination(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
 
 
+def test_decontamination_keeps_repeated_and_null_ids_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    texts = [r[1] for r in documents(3, 60, 9)]
+    rows = [(None if i % 3 == 0 else i % 7, t, None, None, None, None) for i, t in enumerate(texts)]
+    rows += [rows[1], rows[3]]
+    items = [(i, " ".join(t.split()[i : i + 14])) for i, t in enumerate([t for t in texts if t and len(t.split()) > 30][:8])]
+    got = decontaminate.decontamination(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    want = Counter(plain_hits(rows, items))
+    assert any(k[0] is None and k[5] for k in want) and Counter(map(tuple, got.collect())) == want
+
+
 def test_decontamination_empty(spark):
     docs, bench = spark.createDataFrame(documents(1, 5), SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.decontamination(docs, bench).collect()} == {0}
