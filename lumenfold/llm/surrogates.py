@@ -6,6 +6,13 @@ form gets a surrogate from a keyed hash: digits for digits, letters for letters
 of the same case, card numbers with a right check digit, names of the same
 gender and script. Surrogates that meet each other or a real entity are drawn
 again until all are distinct. The texts then get them in place.
+
+A secret's value runs from its name to the next white space, quote, angle
+bracket, comma or semicolon, however long; it has 8 characters at least and a
+digit. A phone number has a + and 8 to 15 digits, in any groups or none; or the
+North American groups of three and four; or a leading 0 and 9 to 12 digits in groups.
+Digits without +, separators or brackets can't be told from other numbers and
+stay, as do values of fewer than 8 characters or without a digit.
 """
 
 from __future__ import annotations
@@ -31,12 +38,25 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: Phone numbers: grouped three and four behind brackets or three digits; + and digits in any groups or none, the whole of up to 15 first; with a leading 0.
+_PHONES = [
+    r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?|\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-])",
+    r"(?<![\d+])\+[1-9]\d{10,14}(?!\d|-\d)",
+    r"(?<![\d+])\+[1-9](?:\)?[ ./-]?\(?\d){7,14}(?![ .-]?\d)",
+    r"(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){3,5}(?!\d)",
+    r"(?<![\d+])\+[1-9](?:\)?[ ./-]?\(?\d){7,14}(?!\d)",
+    r"(?<![\d+])\+\d{1,3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
+    # a leading 0; dates and the national id's groups are too short or spelled otherwise
+    r"(?<![\d.,+/-]|\d )(?:\((?=0\d{1,4}\)(?:[ /-]?\d){5,10}(?!\d))0\d{1,4}\)[ /-]?|(?=0[1-9](?:[ /-]?\d){7,10}(?!\d))0[1-9]\d{0,4}[ /])\d{2,8}(?:[ -]\d{2,8}){0,3}(?![ /.-]?\d)",
+    r"(?<![\d.,+/-])(?=0[1-9](?:-?\d){7,10}(?!\d))(?!\d{3}-\d{2}-\d{4}(?!\d))0[1-9]\d{0,4}(?:-\d{3,8}){1,3}(?![ /.-]?\d)",
+    r"(?<![\d.,+/-])0[1-9](?:\.\d{2}){4}(?![.]?\d)",
+]
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": _ASSIGNED + r"(?=[^\s\"'<>]{0,200}\d)[^\s\"'<>,;]{8,200}",
+    "secret": _ASSIGNED + r"(?=[^\s\"'<>\d]*+\d)[^\s\"'<>,;]{8,}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}+[A-Za-z]{2,24}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?|\+\d{1,3}[ .-]|\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-])|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){3,5}(?!\d)",
+    "phone": rf"(?=[+(\d])(?:{'|'.join(_PHONES)})",
     "card": r"(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])",
     "national_id": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "address": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",

@@ -167,6 +167,39 @@ def test_surrogates(spark):
     assert three[2] == three[3] and got[3].n_entities == 4
 
 
+def test_long_secrets_go_whole(spark):
+    rng = random.Random(6)
+    long_ = lambda n: "".join(rng.choice("abcdefXYZ0123456789._-") for _ in range(n))
+    start, late = long_(250), "x" * 300 + "7q" * 10
+    values = [long_(431), long_(1000), start + long_(200), start + long_(200), late, long_(20_000), "Zz9" * 3]
+    rows = [(i, f"api_key={v}, then") for i, v in enumerate(values)]
+    got = {r.doc_id: r for r in surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = [re.fullmatch(r"api_key=(\S+), then", got[i].text)[1] for i in range(len(values))]
+    for old, value in zip(values, new):
+        assert len(old) == len(value)
+        assert not any(old[i : i + 12] in value for i in range(len(old) - 11)) and old != value
+    assert new[2][:250] != new[3][:250] and all(r.n_entities == 1 and r.kinds == "secret" for r in got.values())
+
+
+PHONES = [
+    "+4915112345678", "+49 30 1234567", "+33 6 12 34 56 78", "+49 (0)30 1234567", "+44 20 7946 0958", "+1 (017) 555-7713", "+12025550123", "+49-30-1234567", "+49 30/1234567",
+    "+81 3-1234-5678", "030 1234567", "(030) 1234567", "06 12 34 56 78", "06.12.34.56.78", "0151/12345678", "020 7946 0958", "03-1234-5678", "(319) 555-5132", "+123 4567 8901 2345 6789", "+49 301 2345 678",
+]
+NOT_PHONES = ["+5", "+1234", "2020-01-02", "01.02.2020", "01-02-2020 12:30", "01/02/2020", "0123456789", "0.123 4567", "1 234 567 890", "3,012 345 678", "00 12 34", "+1 234", "12 03 44 55 66 77"]
+
+
+def test_phone_groupings(spark):
+    rows = [(i, f"call {p}, please") for i, p in enumerate(PHONES)] + [(100 + i, f"at {p}, yes") for i, p in enumerate(NOT_PHONES)] + [(200, "id 012-34-5678."), (201, "+4930123456 or +49 30 123456")]
+    got = {r.doc_id: r for r in surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate(PHONES):
+        new = re.fullmatch("call (.*), please", got[i].text)[1]
+        assert new != p and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", p) and (got[i].kinds, got[i].n_entities) == ("phone", 1), p
+    assert [got[100 + i].text for i in range(len(NOT_PHONES))] == [t for i, t in rows if 100 <= i < 200]
+    assert got[200].kinds == "national_id"
+    one, two = got[201].text.split(" or ")
+    assert one != "+4930123456" and one == two.replace(" ", "")
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"host 1.2.{i // 250}.{i % 250} and u{i}@x.org") for i in range(800)]
     got = surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
