@@ -43,6 +43,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of its own for each row, in column row; written, so that the numbers stay."""
+    return settle(df.withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(each, schema)
 

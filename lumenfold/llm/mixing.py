@@ -49,8 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     return leveled.select("source", "n", "source_size", F.least(cap, water * F.col("weight")).alias("target"))
 
 
-def _first(ranked: DataFrame, goal: str) -> DataFrame:
-    """ranked (source, bin, rank, doc_id, size, goal) with taken_once.
+def _first(ranked: DataFrame, goal: str, carried: tuple[str, ...]) -> DataFrame:
+    """ranked (source, bin, rank, doc_id, size, goal, carried columns) with taken_once.
 
     In the order of rank, a document is taken if half of it still fits before
     goal, which brings the sum as near goal as a document allows.
@@ -60,7 +60,7 @@ def _first(ranked: DataFrame, goal: str) -> DataFrame:
     bins = sums.select("source", "bin", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier"), "words")
     ranked = ranked.alias("r").join(bins.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin")))
     ranked = ranked.select("r.*", "b.earlier", (F.col("b.earlier") + F.col("b.words")).alias("later"))
-    inner = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     cut = (F.col("earlier") < F.col(goal)) & (F.col("later") > F.col(goal))
     within = ranked.where(cut).withColumn("at", F.col("earlier") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     within = within.withColumn("taken_once", (F.col("at") + F.col("size") / 2 <= F.col(goal)).cast("int")).drop("at")
@@ -68,7 +68,7 @@ def _first(ranked: DataFrame, goal: str) -> DataFrame:
     return whole.unionByName(within).drop("earlier", "later")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for each row of docs (doc_id, text, source, ...).
 
     size counts runs of anything but ASCII white space; null or empty text has
@@ -76,9 +76,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20) -
     random odds come from doc_id and seed alone, so reruns agree; rows that
     repeat a doc_id share its odds, and null doc_ids count as one. A source's
     taken words miss its target by half of a short document at most, or by half
-    of a long one where its short ones don't suffice. Empty in, empty out.
+    of a long one where its short ones don't suffice. Columns named in carried
+    come last, as they are in their row. Empty in, empty out.
     """
-    sizes = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
+    sizes = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), *carried), "sizes")
     targets = settle(source_targets(sizes, weights), "targets")
     small = targets.count() <= BROADCAST_SOURCES
     t = (F.broadcast(targets) if small else targets).alias("t")
@@ -97,13 +98,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20) -
     of_source = longs.groupBy("source").agg(F.sum("size").alias("words"))
     of_source = (F.broadcast(of_source) if small else of_source).alias("s")
     with_goal = longs.alias("r").join(of_source, F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", (F.col("share") * F.col("s.words")).alias("goal"))
-    longs = settle(_first(with_goal, "goal").drop("goal"), "longs")
+    longs = settle(_first(with_goal, "goal", carried).drop("goal"), "longs")
     so_far = longs.groupBy("source").agg(F.sum(F.col("size") * F.col("taken_once")).alias("words"))
     so_far = (F.broadcast(so_far) if small else so_far).alias("s")
     shorts = ranked.where("not long").alias("r").join(so_far, F.col("r.source").eqNullSafe(F.col("s.source")), "left")
     goal = F.col("r.share") * F.col("source_size") - F.coalesce("s.words", F.lit(0))
-    shorts = _first(shorts.select("r.*", goal.alias("goal")), "goal").drop("goal")
+    shorts = _first(shorts.select("r.*", goal.alias("goal")), "goal", carried).drop("goal")
     copies = F.col("copies") + F.col("taken_once")
     return longs.unionByName(shorts).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"),
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"), *carried,
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import numbered, scratch, settle, table
 from .decontamination import clean
 from .language_id import UNKNOWN, fit, held_out, predict
 from .mixing import mix
@@ -30,9 +30,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; rows without doc_id stay."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays, the one with the smallest doc_id; one without doc_id only if all are.
+
+    Every row is compared, also those that share a doc_id or have none. Among
+    equal doc_ids a hash of the row decides, so that reruns agree.
+    """
+    rows = numbered(docs, "rows")
+    found = settle(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "found")
+    members = found.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1").select("component_id")
+    members = found.join(members, "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("mark"), "row")
+    ranked = settle(rows.join(members, "row").select("component_id", "row", first.alias("rank")), "ranked")
+    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+    dropped = ranked.select("row").join(kept, "row", "left_anti")
+    return rows.join(dropped, "row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +52,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    taken = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    return taken.select(F.explode(F.array_repeat(F.struct("d.*"), F.col("c.copies"))).alias("row")).select("row.*")
+    """Each row as often as the mix takes it; its odds come from a hash of the row, also without doc_id."""
+    rows = numbered(docs, "rows")
+    mark = F.xxhash64(*docs.columns).alias("doc_id")
+    copies = mix(rows.select(mark, "source", "text", "row"), carried=("row",)).where("copies > 0").select("row", "copies")
+    taken = rows.join(copies, "row").select(F.struct(*docs.columns).alias("d"), "copies")
+    return taken.select(F.explode(F.array_repeat("d", F.col("copies"))).alias("row")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each stage of the pipeline against plain Python over what the stage before kept."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from lumenfold.llm import pipeline
 from lumenfold.llm.common import settle, table
 
 from .test_documents import plain_hits, plain_targets
@@ -63,6 +65,39 @@ def test_sources_come_near_their_targets(kept):
         assert abs(after[source] - target) <= longest
 
 
+def mixed_ids(n=240):
+    """Rows of several sources without doc_id, or with a few that repeat across sources."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(rng.choice([20, 40, 80])))
+    return [(None if i % 3 == 0 else i % 11, text(), "en", "aabbbbbc"[i % 8], i) for i in range(n)]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_without_own_id_are_deduplicated(spark):
+    rows = mixed_ids()
+    near = rows[3][1] + " more"
+    copies = [rows[0], rows[1], (None, rows[1][1], "en", "z", 9), (5, near, "en", "z", 9), (None, None, "en", "z", 9), (None, None, "en", "z", 9)]
+    got = Counter(map(tuple, pipeline.near_dedup(spark, spark.createDataFrame(rows + copies, COLUMNS), SF).collect()))
+    assert got == Counter([r for r in rows if r != rows[3]] + [copies[3], copies[4], copies[5]])
+
+
+def test_each_row_has_its_own_copies(spark):
+    rows = mixed_ids()
+    got, again = (Counter(map(tuple, pipeline.mixture(spark, spark.createDataFrame(rows, COLUMNS).repartition(n), SF).collect())) for n in (1, 5))
+    size = lambda r: len(r[1].split())
+    before, after = Counter(), Counter()
+    for r in rows:
+        before[r[3]] += size(r)
+    for r, n in got.items():
+        after[r[3]] += n * size(r)
+    assert got == again and set(got) <= set(rows)
+    for source, target in plain_targets(before).items():
+        own = {got[r] for r in rows if r[3] == source}
+        assert abs(after[source] - target) <= 80 and max(own) - min(own) <= 1
+
+
 def test_tokens_are_the_librarys(kept):
     start, want = 0, []
     for r in sorted(kept["mixing"], key=lambda r: (r[0], r[1])):
