@@ -1,25 +1,28 @@
 """Substring dedup by level-wise doubling, in words.
 
-Level one: word grams of half the window's length, one for each run of windows
-(its least). Only grams that occur again are extended to twice the length: the
-runs of whole windows around them. Runs with equal texts are settled together;
-only windows of runs that share a gram but differ are compared one by one.
-No candidate is left after that.
+Windows are taken in runs around their least short gram (repeats.py). The first
+level's length is that gram's: runs whose gram occurs once can't repeat and are
+dropped. At each level runs with equal texts are one, the first of them going
+on; a run that then is alone with its core is settled: it is the first
+occurrence of all its windows. The others are extended: cut into runs whose
+cores are twice as long, and compared again, until no candidates survive, at the
+latest when the core is the whole window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, identified, map_arrow
+from .common import batch, identified, map_arrow, settle
 from .grams import _A, _B, gram_hashes, slices, split_words
-from .repeats import covered, per_document, repeated_keys, repeated_runs, representatives, run_rows, signed, whole_copies
+from .repeats import cut_runs, per_document, removed, repeated_keys, repeated_runs, representatives, run_rows, wanted_runs, whole_copies
 
 
 def _reader(gram: int):
@@ -35,51 +38,35 @@ def _reader(gram: int):
     return read
 
 
-def _expanded(runs, lo: np.ndarray) -> np.ndarray:
-    """The windows of the runs that start at lo."""
-    chosen = runs.take(np.isin(runs.lo, lo))
-    inner = np.arange(chosen.n.sum()) - np.repeat(np.cumsum(chosen.n) - chosen.n, chosen.n)
-    return np.repeat(chosen.lo, chosen.n) + inner
+def first_windows(docs: DataFrame, runs: DataFrame, read, window: int, length: int) -> DataFrame:
+    """doc_id, at, n: the n windows from at on that are the first of their text, from runs with cores of length words."""
+    settled = []
+    while True:
+        first = F.min(F.struct("doc_id", "lo", "n", "anchor", "twice", "key"))
+        texts = settle(runs.groupBy("c1", "c2").agg(first.alias("f")).select("f.*"), f"texts-{length}")
+        cores = texts.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key", F.lit(True).alias("again"))
+        texts = settle(texts.join(cores, "key", "left"), f"cores-{length}")
+        settled.append(texts.where("again is null").select("doc_id", F.col("lo").alias("at"), "n"))
+        texts = texts.where("again")
+        if length == window or texts.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        length = min(2 * length, window)
+        runs = cut_runs(docs, wanted_runs(texts), read, window, length)
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, text and what removal needs: known, first_runs, mixed_runs, first_windows, whole.
-
-    One row for each row of docs that has a doc_id.
-    """
+    """doc_id, text and what removal needs: known, at, n, whole. One row for each row of docs that has a doc_id."""
     docs = identified(docs)
-    gram = window // 2
+    gram = max(1, window // 4)
     read = _reader(gram)
-    known = repeated_keys(representatives(docs, read, window, gram))
-    later = whole_copies(docs).where("doc_id > first").select("doc_id").distinct()
+    known = settle(repeated_keys(representatives(docs, read, window, gram)), "known")
+    later = settle(whole_copies(docs).where("doc_id > first").select("doc_id").distinct(), "later")
     fresh = known.join(later, "doc_id", "left_anti")
-    marked = docs.join(fresh.hint("shuffle_hash"), "doc_id")
-
-    runs = run_rows(marked, read, window, gram)
-    texts = runs.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.min("key").alias("key"))
-    texts = texts.select("key", "f.doc_id", "f.lo")
-    differing = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("mixed"))
-    texts = texts.join(differing, "key", "left")
-    of_runs = texts.groupBy("doc_id").agg(F.collect_list("lo").alias("first_runs"), F.collect_list(F.when(F.col("mixed"), F.col("lo"))).alias("mixed_runs"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for a, z, data, bounds in slices(b.column(1)):
-                found, first, hasher = repeated_runs(data, bounds, b.column(2).slice(a, z - a), read, window, gram)
-                at = _expanded(found, per_document(b.column(3), a, z, first))
-                one, two = hasher(at, at + window)
-                doc = np.searchsorted(first, at, "right") - 1
-                yield batch(w1=signed(one), w2=signed(two), doc_id=pa.array(ids[a:z][doc], pa.int64()), at=pa.array(at - first[doc], pa.int32()))
-
-    mixed = marked.join(of_runs.where("size(mixed_runs) > 0").select("doc_id", "mixed_runs").hint("shuffle_hash"), "doc_id")
-    single = map_arrow(mixed.select("doc_id", "text", "known", "mixed_runs"), windows, "w1 long, w2 long, doc_id long, at int")
-    firsts = single.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("f")).select("f.doc_id", "f.at")
-    of_windows = firsts.groupBy("doc_id").agg(F.collect_list("at").alias("first_windows"))
-
-    info = fresh.join(of_runs, "doc_id", "left").join(of_windows, "doc_id", "left")
-    info = info.withColumn("whole", F.lit(False)).unionByName(later.withColumn("whole", F.lit(True)), allowMissingColumns=True)
-    return docs.join(info.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "known", "first_runs", "mixed_runs", "first_windows", "whole")
+    runs = run_rows(docs.join(fresh.hint("shuffle_hash"), "doc_id"), read, window, gram)
+    firsts = first_windows(docs, runs, read, window, gram).groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    info = fresh.join(firsts, "doc_id", "left").withColumn("whole", F.lit(False))
+    info = info.unionByName(later.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    return docs.join(info.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "known", "at", "n", "whole")
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
@@ -93,7 +80,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False)
     a doc_id with its text are one document and each return its result. Other
     columns are not read; an empty table gives an empty result.
     """
-    gram = window // 2
+    gram = max(1, window // 4)
     read = _reader(gram)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,17 +89,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False)
                 runs, first, _ = repeated_runs(data, bounds, b.column(2).slice(a, z - a), read, window, gram)
                 words = split_words(data, bounds)
                 n = np.diff(first)
-                first_runs, mixed_runs, first_windows = (per_document(b.column(c), a, z, first) for c in (3, 4, 5))
-                later = runs.take(~np.isin(runs.lo, first_runs))
-                at = _expanded(runs, mixed_runs)
-                at = at[~np.isin(at, first_windows)]
-                gone = covered(len(words.start), np.append(later.lo, at), np.append(later.lo + later.n, at + 1) + window - 1)
-                whole = b.column(6).slice(a, z - a).fill_null(False).to_numpy(zero_copy_only=False) & (n >= window)
+                at, count = (per_document(b.column(c), a, z, x) for c, x in ((3, first), (4, np.zeros(z - a + 1, np.int64))))
+                gone = removed(len(words.start), runs, at, count, window)
+                whole = b.column(5).slice(a, z - a).fill_null(False).to_numpy(zero_copy_only=False) & (n >= window)
                 gone |= np.repeat(whole, n)
-                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), first[:-1]) * (n > 0)
+                n_removed = np.add.reduceat(np.append(gone, False).astype(np.int64), first[:-1]) * (n > 0)
                 hashes, texts, raw = [], [], data.tobytes()
                 for d in range(z - a):
-                    if removed[d]:
+                    if n_removed[d]:
                         kept = np.flatnonzero(~gone[first[d] : first[d + 1]]) + first[d]
                         text = b" ".join([raw[x:y] for x, y in zip(words.start[kept].tolist(), words.end[kept].tolist())])
                     else:
@@ -120,7 +104,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False)
                     hashes.append(hashlib.sha256(text).hexdigest())
                     if with_text:
                         texts.append(text.decode())
-                out = dict(doc_id=b.column(0).slice(a, z - a), n_words=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), kept_sha256=pa.array(hashes, pa.string()))
+                out = dict(doc_id=b.column(0).slice(a, z - a), n_words=pa.array(n, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), kept_sha256=pa.array(hashes, pa.string()))
                 yield batch(**out, **({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

@@ -1,6 +1,7 @@
 """Substring and suffix-array dedup against plain dictionaries of windows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from lumenfold.llm.substring_dedup import substring_dedup
-from lumenfold.llm.suffix_dedup import suffix_dedup
+from lumenfold.llm.suffix_dedup import BLOCK_RUNS, suffix_dedup
 from lumenfold.llm.suffixes import common_prefixes, suffix_order
 
 from .data import SCHEMA, documents
@@ -66,6 +67,17 @@ def test_suffix_dedup(spark, seed, window, block_runs):
     assert sorted(map(tuple, got.collect())) == plain_bytes(rows, window)
 
 
+def test_many_differing_runs_of_one_key(spark):
+    """More differing runs around one passage than a block takes, at its real size, so keys are cut."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    other = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(i, other(40 + i % 50) + passage + other(20 + i % 70), None, None, None, None) for i in range(BLOCK_RUNS + 900)]
+    rows += [(10_000 + i, rows[i * 7][1][20:530] + "tail", None, None, None, None) for i in range(200)]
+    got = suffix_dedup(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, got.collect())) == plain_bytes(rows, 400)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
