@@ -2,122 +2,141 @@
 
 Of every window of consecutive words, in documents and benchmark items alike,
 the least hash of its short word grams is the fingerprint. Equal windows have
-equal fingerprints, so a document window is looked at further only if its
-fingerprint is among the benchmark's; it is then extended to the whole window
-by 128 bits of hash. Every shared span of at least a window is found.
+equal fingerprints, so the fingerprints of both sides are joined, and only
+document windows whose fingerprint is among the benchmark's are extended: joined
+with the benchmark's windows by 128 bits of hash. Every shared span of at least
+a window is found.
+
+A bit field of fixed size, set from the benchmark's fingerprints, spares
+documents the rows of most fingerprints that can't meet any. A large benchmark
+fills it, which costs rows but no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, settle
-from .grams import Words, gram_hashes, slices, split_words, window_minima
-
-#: Bytes of benchmark text in a broadcast block; larger benchmarks take several.
-BLOCK_BYTES = 8 << 20
-_FILTER_BITS = 22
-
-
-class Known:
-    """Sorted 128-bit hashes of windows of one length, and the items of each."""
-
-    def __init__(self, one: np.ndarray, two: np.ndarray, item: np.ndarray):
-        order = np.lexsort((item, two, one))
-        one, two, item = one[order], two[order], item[order]
-        new = np.ones(len(one), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        self.one, self.two, self.item = one[new], two[new], item
-        self.first = np.append(np.flatnonzero(new), len(one))
-        self.maybe = bitmap(self.one)
-
-    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Number of the equal window, or -1. Equal first halves stand together."""
-        at = np.searchsorted(self.one, one)
-        found = np.full(len(one), -1)
-        while True:
-            open_ = (found < 0) & (at < len(self.one))
-            open_[open_] = self.one[at[open_]] == one[open_]
-            if not open_.any():
-                return found
-            hit = open_.copy()
-            hit[open_] = self.two[at[open_]] == two[open_]
-            found[hit] = at[hit]
-            at[open_] += 1
-
-    def items(self, windows: np.ndarray) -> np.ndarray:
-        parts = [self.item[self.first[w] : self.first[w + 1]] for w in np.unique(windows)]
-        return np.unique(np.concatenate(parts)) if parts else self.item[:0]
-
-
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << _FILTER_BITS, bool)
-    out[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-    return out
-
-
-def _among(hashes: np.ndarray, known: np.ndarray, maybe: np.ndarray) -> np.ndarray:
-    """Places of hashes that are in known (sorted)."""
-    at = np.flatnonzero(maybe[hashes >> np.uint64(64 - _FILTER_BITS)])
-    near = np.minimum(np.searchsorted(known, hashes[at]), max(0, len(known) - 1))
-    return at[known[near] == hashes[at]] if len(known) else at[:0]
-
-
-class Index:
-    """What one block of benchmark items is matched by."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int, gram: int):
-        self.window, self.gram, self.known = window, gram, {}
-        texts = pa.array([t for _, t in items], pa.string())
-        ids = np.array([i for i, _ in items], np.int64)
-        found: dict[int, list] = {}
-        prints = []
-        for a, b, data, bounds in slices(texts):
-            w = split_words(data, bounds, alnum=True)
-            one, two = w.hashes(), w.hashes(second=True)
-            n, owner = np.diff(w.first), ids[a:b][w.doc_of()]
-            for k in sorted({min(int(x), window) for x in n if x}):
-                starts = np.flatnonzero(w.has(window)) if k == window else w.first[:-1][n == k]
-                found.setdefault(k, []).append((gram_hashes(one, k)[starts], gram_hashes(two, k, True)[starts], owner[starts]))
-                if k == window:
-                    prints.append(window_minima(gram_hashes(one, gram), starts, window - gram + 1)[0])
-        for k, parts in found.items():
-            self.known[k] = Known(*(np.concatenate(x) for x in zip(*parts)))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.maybe = bitmap(self.prints)
-
-    def hits(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Length, starting words and numbers of the known windows in w."""
-        one = w.hashes()
-        two = None
-        for k, known in self.known.items():
-            starts = np.flatnonzero(w.has(k))
-            if k == self.window:
-                least, _ = window_minima(gram_hashes(one, self.gram), starts, k - self.gram + 1)
-                starts = starts[_among(least, self.prints, self.maybe)]
-                first = gram_hashes(one, k)[starts] if len(starts) else one[:0]
-            else:
-                first = gram_hashes(one, k)[starts]
-                kept = _among(first, known.one, known.maybe)
-                starts, first = starts[kept], first[kept]
-            if len(starts):
-                two = w.hashes(second=True) if two is None else two
-                which = known.find(first, gram_hashes(two, k, True)[starts])
-                yield k, starts[which >= 0], which[which >= 0]
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[DataFrame]:
+from .common import batch, map_arrow, numbered, settle
+from .grams import Words, gram_hashes, mix64, slices, sliding, split_words
+from .repeats import signed
+
+#: Bits of the bit field, as a power of two: 2 MB, whatever the benchmark's size.
+FIELD_BITS = 24
+_PRINTS = "array<struct<k: int, print: long>>"
+
+
+def _prints(w: Words, one: np.ndarray, starts: np.ndarray, k: int, gram: int) -> np.ndarray:
+    """The fingerprints of the windows of k words from starts on."""
+    gram = min(gram, k)
+    return mix64(sliding(gram_hashes(one, gram), k - gram + 1)[starts] + np.uint64(k))
+
+
+def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """k, print, w1, w2, item_id of every window of the items (item_id, text, ...), once each; written.
+
+    An item of fewer words than window, but not none, is one window of k words.
+    Rows without item_id are left out.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for k in range(n):
-        yield items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for first, last, data, bounds in slices(b.column(1)):
+                w = split_words(data, bounds, alnum=True)
+                one, two, owner, n = w.hashes(), w.hashes(second=True), ids[first:last][w.doc_of()], np.diff(w.first)
+                for k in sorted({min(int(x), window) for x in n if x}):
+                    starts = np.flatnonzero(w.has(window)) if k == window else w.first[:-1][n == k]
+                    yield batch(
+                        k=pa.array(np.full(len(starts), k), pa.int32()), print=signed(_prints(w, one, starts, k, gram)), w1=signed(gram_hashes(one, k)[starts]),
+                        w2=signed(gram_hashes(two, k, True)[starts]), item_id=pa.array(owner[starts], pa.int64()),
+                    )
+
+    return settle(map_arrow(items, each, "k int, print long, w1 long, w2 long, item_id long").distinct(), "benchmark")
+
+
+def _bit_field(known: DataFrame) -> np.ndarray:
+    """The bit field as 64-bit words: as many rows come to the driver at most, 4 MB."""
+    word, bit = f"shiftrightunsigned(print, {70 - FIELD_BITS})", f"cast(shiftrightunsigned(print, {64 - FIELD_BITS}) & 63 as int)"
+    rows = known.groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("bits")).collect()
+    out = np.zeros(1 << (FIELD_BITS - 6), np.int64)
+    for r in rows:
+        out[r.word] = r.bits
+    return out.view(np.uint64)
+
+
+def _may_be(field: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    bits = len(field).bit_length() + 5
+    return (field[prints >> np.uint64(70 - bits)] >> (prints >> np.uint64(64 - bits) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _scanned(docs: DataFrame, known: DataFrame, window: int, gram: int) -> DataFrame:
+    """row, doc_id, n_words and, if a fingerprint may be the benchmark's, prints and text, of docs (row, doc_id, text); written."""
+    lengths = sorted(r.k for r in known.select("k").distinct().collect())  # 1 to window, at most
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_field(known))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = shared.value
+        for b in batches:
+            for first, last, data, bounds in slices(b.column(2)):
+                w = split_words(data, bounds, alnum=True)
+                one, owner = w.hashes(), w.doc_of()
+                doc, length, prints = [], [], []
+                for k in lengths:
+                    starts = np.flatnonzero(w.has(k))
+                    found = _prints(w, one, starts, k, gram)
+                    kept = _may_be(field, found)
+                    doc.append(owner[starts[kept]])
+                    prints.append(found[kept])
+                    length.append(np.full(int(kept.sum()), k))
+                doc, length, prints = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((doc, np.int64), (length, np.int32), (prints, np.uint64)))
+                order = np.lexsort((prints, length, doc))
+                doc, length, prints = doc[order], length[order], prints[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (np.diff(doc) != 0) | (np.diff(length) != 0) | (prints[1:] != prints[:-1])
+                doc, length, prints = doc[new], length[new], prints[new]
+                some = np.bincount(doc, minlength=last - first) > 0
+                each_print = pa.StructArray.from_arrays([pa.array(length, pa.int32()), signed(prints)], ["k", "print"])
+                text = b.column(2).slice(first, last - first)
+                yield batch(
+                    row=b.column(0).slice(first, last - first), doc_id=b.column(1).slice(first, last - first), n_words=pa.array(np.diff(w.first), pa.int64()),
+                    prints=pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(last - first + 1)), pa.int32()), each_print),
+                    text=pa.array([text[i].as_py() if s else None for i, s in enumerate(some.tolist())], pa.string()),
+                )
+
+    return settle(map_arrow(docs.select("row", "doc_id", "text"), each, f"row long, doc_id long, n_words long, prints {_PRINTS}, text string"), "scanned")
+
+
+def _met(scanned: DataFrame, known: DataFrame, window: int, gram: int) -> DataFrame:
+    """row, start, k, w1, w2: the windows of documents that are the benchmark's; written."""
+    prints = scanned.select("row", F.explode("prints").alias("p")).select("row", "p.k", "p.print")
+    shared = prints.join(known.select("k", "print").distinct(), ["k", "print"], "left_semi")
+    to_extend = settle(shared.groupBy("row").agg(F.collect_list(F.struct("k", "print")).alias("prints")), "shared")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(0).to_numpy()
+            for first, last, data, bounds in slices(b.column(1)):
+                w = split_words(data, bounds, alnum=True)
+                one, two, owner = w.hashes(), w.hashes(second=True), w.doc_of()
+                part = b.column(2).slice(first, last - first).flatten()
+                length, prints = part.field(0).to_numpy(), part.field(1).to_numpy().view(np.uint64)
+                for k in np.unique(length).tolist():
+                    starts = np.flatnonzero(w.has(k))
+                    starts = starts[np.isin(_prints(w, one, starts, k, gram), prints[length == k])]
+                    yield batch(
+                        row=pa.array(rows[first:last][owner[starts]], pa.int64()), start=pa.array(starts - w.first[owner[starts]], pa.int32()), k=pa.array(np.full(len(starts), k), pa.int32()),
+                        w1=signed(gram_hashes(one, k)[starts]), w2=signed(gram_hashes(two, k, True)[starts]),
+                    )
+
+    texts = scanned.where("text is not null").select("row", "text").join(to_extend, "row")
+    windows = map_arrow(texts.select("row", "text", "prints"), each, "row long, start int, k int, w1 long, w2 long")
+    return settle(windows.join(known.select("k", "w1", "w2").distinct(), ["k", "w1", "w2"], "left_semi"), "met")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
@@ -126,71 +145,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int
     docs: doc_id, text, ...; benchmark: item_id, text, ... Words are runs of
     letters, digits and non-ASCII characters, A-Z lower-cased. Null texts have
     no words; items without words or item_id match nothing; a null doc_id stays
-    null. There is a row for each row of docs. The benchmark is broadcast in
-    blocks of about BLOCK_BYTES, one pass over docs for each; an empty benchmark
-    takes one pass and hits nothing. For several blocks docs is written once
-    with a number for each row, by which their results are put together.
+    null. There is a row for each row of docs, whatever doc_ids repeat: rows are
+    numbered. An empty benchmark hits nothing; an empty table gives an empty result.
     """
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("row"))
-    blocks = list(_blocks(benchmark))
-    if len(blocks) > 1:
-        docs = settle(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-
-    def against(items: list[tuple[int, str]]) -> DataFrame:
-        shared = sc.broadcast(Index(items, window, gram))
-
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for b in batches:
-                for first, last, data, bounds in slices(b.column(1)):
-                    w = split_words(data, bounds, alnum=True)
-                    doc_of, n = w.doc_of(), last - first
-                    hit = np.zeros(len(w.start) + 1, np.int32)
-                    items = [[] for _ in range(n)]
-                    for k, starts, which in index.hits(w):
-                        np.add.at(hit, starts, 1)
-                        np.add.at(hit, starts + k, -1)
-                        owner = doc_of[starts]
-                        for d in np.unique(owner):
-                            items[d].append(index.known[k].items(which[owner == d]))
-                    places = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-                    owner = doc_of[places]
-                    cuts = np.searchsorted(owner, np.arange(n + 1))
-                    inner = (places - w.first[owner]).astype(np.int32)
-                    yield batch(
-                        row=b.column(2).slice(first, n), doc_id=b.column(0).slice(first, n), n_words=pa.array(np.diff(w.first), pa.int64()),
-                        hits=pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(inner)),
-                        items=pa.array([np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in items], pa.list_(pa.int64())),
-                    )
-
-        return map_arrow(docs, match, "row long, doc_id long, n_words long, hits array<int>, items array<long>")
-
-    found = [against([(r.item_id, r.text) for r in block.collect()]) for block in blocks] or [against([])]
-    if len(found) == 1:
-        return found[0].drop("row")
-    together = reduce(DataFrame.unionByName, found).groupBy("row")
-    joined = {c: F.array_distinct(F.flatten(F.collect_list(c))) for c in ("hits", "items")}
-    return together.agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words")), *(c.alias(n) for n, c in joined.items())).drop("row")
+    known = benchmark_windows(benchmark, window, gram)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scanned = _scanned(rows, known, window, gram)
+    met = _met(scanned, known, window, gram)
+    places = F.flatten(F.transform(F.collect_set(F.struct("start", "k")), lambda x: F.sequence(x.start, x.start + x.k - 1)))
+    hits = met.groupBy("row").agg(F.array_sort(F.array_distinct(places)).alias("hits"))
+    items = met.select("row", "k", "w1", "w2").distinct().join(known.select("k", "w1", "w2", "item_id"), ["k", "w1", "w2"])
+    items = items.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    found = scanned.select("row", "doc_id", "n_words").join(settle(hits.join(items, "row"), "overlaps"), "row", "left")
+    return found.select("doc_id", "n_words", F.coalesce("hits", none("int")).alias("hits"), F.coalesce("items", none("long")).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
     """The rows of docs (text, ...), all columns, in which no window of the benchmark occurs."""
-    sc = docs.sparkSession.sparkContext
-    for block in _blocks(benchmark):
-        shared = sc.broadcast(Index([(r.item_id, r.text) for r in block.collect()], window, gram))
-
-        def without(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hit = np.zeros(len(b), bool)
-                for first, _, data, bounds in slices(b.column(b.schema.get_field_index("text"))):
-                    w = split_words(data, bounds, alnum=True)
-                    for _, starts, _ in shared.value.hits(w):
-                        hit[first + w.doc_of()[starts]] = True
-                yield b.filter(pa.array(~hit))
-
-        docs = docs.mapInArrow(without, docs.schema)
-    return docs
+    known = benchmark_windows(benchmark, window, gram)
+    rows = numbered(docs, "rows")
+    texts = rows.select("row", F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hit = _met(_scanned(texts, known, window, gram), known, window, gram).select("row").distinct()
+    return rows.join(hit, "row", "left_anti").select(*docs.columns)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
