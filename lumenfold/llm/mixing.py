@@ -39,10 +39,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     weighted = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")).cast("double"))
     cap = (MOST_COPIES * F.col("source_size")).cast("double")
     order = Window.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))
-    level = left / F.sum("weight").over(after)
+    level = left / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     leveled = weighted.withColumn("level", level).withColumn("place", F.row_number().over(order))
     fits = F.when(F.col("level") <= cap / F.col("weight"), F.struct("place", "level"))
     water = F.coalesce(F.min(fits).over(everything).getField("level"), F.lit(float("inf")))

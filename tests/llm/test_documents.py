@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from lumenfold.llm import decontamination as decontaminate
 from lumenfold.llm.language_id import language_id
-from lumenfold.llm.mixing import mix
+from lumenfold.llm.mixing import mix, source_targets
 from lumenfold.llm.surrogates import surrogates
 
 from .data import SCHEMA, documents
@@ -137,6 +140,55 @@ def test_mixing(spark):
         assert abs(taken[s] - want[s]) <= max(30, 0.02 * want[s])
 
 
+def plain_mix(rows, targets, seed=20):
+    """taken by (doc_id, text): each source's copies, then its long and its short documents in the order of their Pareto ranks."""
+    out = {}
+    for source in targets:
+        own = [(r[0], r[1], len((r[1] or "").split())) for r in rows if r[3] == source]
+        words = sum(x[2] for x in own)
+        times = targets[source] / words if words else 0.0
+        copies = min(int(times), 3)
+        share = times - copies if copies < 3 else 0.0
+
+        def rank(doc_id):
+            h = xxhash.xxh64(struct.pack("<i", seed), seed=xxhash.xxh64(struct.pack("<q", doc_id), seed=42).intdigest()).intdigest()
+            u = ((h >> 11) + 0.5) / 2**53
+            odds = u / (1 - u) / (share / (1 - share)) if share else 0
+            return odds / (1 + odds) if share else 1.0
+
+        rest, done = {}, 0
+        for long_ in (True, False):
+            part = sorted((x for x in own if (x[2] * len(own) > words) == long_), key=lambda x: (rank(x[0]), x[0], x[2]))
+            goal = share * sum(x[2] for x in part) if long_ else share * words - done
+            at = 0
+            for x in part:
+                taken = at + x[2] / 2 <= goal
+                rest[x[:2]] = x[2] * taken
+                at += x[2]
+                done += x[2] * taken
+        out |= {x[:2]: x[2] * copies + rest[x[:2]] for x in own}
+    return out
+
+
+def test_mixing_takes_the_first_by_pareto_rank(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join([f"x{i}"] * rng.choice([0, 1, 7, 30, 45, 80, 600])), None, rng.choice(["a", "b", "b", "b", "c", None, "d"]), None, None) for i in range(900)]
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    want = plain_mix(rows, plain_targets(sizes))
+    got = {(r.doc_id, dict((x[0], x[1]) for x in rows)[r.doc_id]): r.taken for r in mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_many_sources(spark):
+    """30,000 sources are settled in seconds: no source looks at all others."""
+    began = time.time()
+    sizes = spark.range(30_000).selectExpr("cast(id as string) as source", "id % 97 + 1 as size")
+    got = source_targets(sizes).agg({"target": "sum"}).first()[0]
+    assert got == pytest.approx(sum(i % 97 + 1 for i in range(30_000))) and time.time() - began < 30
+
+
 def test_mixing_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [(r.taken, r.target) for r in mix(spark.createDataFrame([(1, None, None, None, None, None)], SCHEMA)).collect()] == [(0, 0.0)]
