@@ -3,8 +3,11 @@
 A document's signature is SIZE minima of its shingles, BITS bits each. Split
 into chunks of CHUNK values, two signatures that differ in at most RADIUS places
 agree, but for one place, in some chunk; so each chunk is looked up once for
-each place that may be wrong, without it. That finds all pairs within RADIUS,
-and at a similarity of 0.75, 16 of 64 places differ on average.
+each place that may be wrong, without it. That finds all pairs within RADIUS.
+Pairs further apart that meet in a lookup are kept too: of two sets of
+similarity 0.75, a place differs with a chance of a quarter, a chunk in two
+places or more with one of 0.262, and all 16 chunks with one of 5e-10, which is
+the share of links at the threshold that is missed; above it is smaller.
 
 Groups are not expanded into pairs. Within a lookup key, documents first meet
 the one that shares most keys with others; links are confirmed on the whole
@@ -128,14 +131,13 @@ def _both(rows: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
 
 
 def possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with near signatures that their bitmaps don't rule out."""
+    """The pairs (a, b) that their bitmaps don't rule out."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (sign_a, bits_a), (sign_b, bits_b) = (_sketches(b.column(c)) for c in (2, 3))
+            (_, bits_a), (_, bits_b) = (_sketches(b.column(c)) for c in (2, 3))
             n_a, n_b = (b.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
-            kept = ((sign_a != sign_b).sum(1) <= RADIUS) & _possible(bits_a, bits_b, n_a, n_b, percent)
-            yield b.select([0, 1]).filter(pa.array(kept))
+            yield b.select([0, 1]).filter(pa.array(_possible(bits_a, bits_b, n_a, n_b, percent)))
 
     return map_arrow(_both(pairs, signed, "sketch", "n"), near, "a long, b long")
 
@@ -150,7 +152,7 @@ def compared(members: DataFrame, signed: DataFrame, percent: int, part: int = PA
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(own, p).alias("low"), F.greatest(own, p).alias("high")))
     dealt = sized.select("key", "place", "doc_id", "root", own.alias("part"), F.explode(tasks).alias("t"))
     dealt = dealt.join(signed, "doc_id").select("key", "t.low", "t.high", "place", "doc_id", "root", "part", "n", "sketch")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "part")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "part", "n")
 
     def first_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         same = (x == y).reshape(len(x), SIZE // CHUNK, CHUNK)
@@ -164,13 +166,17 @@ def compared(members: DataFrame, signed: DataFrame, percent: int, part: int = PA
         for i in range(0, border, SQUARE):
             a = slice(i, min(i + SQUARE, border))
             for j in range(i if single else border, len(doc), SQUARE):
-                b = slice(j, j + SQUARE)
+                b = slice(j, min(j + SQUARE, len(doc)))
+                if percent * n[j] > 100 * n[a.stop - 1]:
+                    break  # sizes rise: from here on all sets are too large
+                if 100 * n[b.stop - 1] < percent * n[a.start]:
+                    continue
                 fit = 100 * np.minimum(n[a, None], n[None, b]) >= percent * np.maximum(n[a, None], n[None, b])
                 x, y = np.nonzero(fit & (root[a, None] != root[None, b]) & ((doc[a, None] < doc[None, b]) | (i != j)))
                 x, y = x + i, y + j
                 kept = _possible(bits[x], bits[y], n[x], n[y], percent)
                 x, y = x[kept], y[kept]
-                kept = ((sign[x] != sign[y]).sum(1) <= RADIUS) & (first_place(sign[x], sign[y]) == place[0])
+                kept = first_place(sign[x], sign[y]) == place[0]
                 x, y = x[kept], y[kept]
                 if len(x):
                     yield batch(a=pa.array(np.minimum(doc[x], doc[y])), b=pa.array(np.maximum(doc[x], doc[y])))

@@ -60,6 +60,21 @@ def test_near_duplicates(spark, seed, part):
     assert sorted(map(tuple, got.collect())) == plain(rows)
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.8 and just below: all of the first are linked, none of the second."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(1500):
+        words = [f"c{rng.randrange(10**7)}" for _ in range(104)]
+        other, gone = list(words), rng.randrange(11, 16)  # the last words differ: 100 shingles, 100 - gone shared
+        other[-gone:] = [f"d{rng.randrange(10**7)}" for _ in range(gone)]
+        rows += [(2 * i, " ".join(words), None, None, None, None), (2 * i + 1, " ".join(other), None, None, None, None)]
+        want[2 * i + 1] = 2 * i if 100 * (100 - gone) >= 75 * (100 + gone) else 2 * i + 1
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(set(want.values()) - {w for w in want if want[w] == w}) > 500
+    assert all(got[k] == v for k, v in want.items())
+
+
 def test_near_duplicates_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
