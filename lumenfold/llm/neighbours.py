@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import batch, map_arrow, settle
 
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
+#: Beam of the queries. On 20,000 vectors of 64 dimensions without clusters it finds 0.93 of the 10 nearest (BEAM finds 0.85), with clusters 0.99.
+QUERY_BEAM = 192
 #: Shards at least, and distinct vectors in one at most, on average.
-SHARDS, SHARD_VECTORS = 12, 50_000
+SHARDS, SHARD_VECTORS = 12, 20_000
 
 
 def _distances(vectors: np.ndarray, squares: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -139,7 +141,7 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce(F.forall(vector, component) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shards: int = SHARDS, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, query_beam: int = QUERY_BEAM, shards: int = SHARDS, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query.
 
     vectors: vec_id, embedding, ... Queries are the rows whose vec_id is
@@ -151,7 +153,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = DEG
     are equal and keeps the k + 1 smallest vec_ids, which hold its answers
     exactly. Fewer candidates give fewer rows; an empty table none.
 
-    The number of shards is fixed while they stay below shard_vectors, so that
+    Each shard is a partition of its own. Every query is searched in each shard,
+    as the method has it: its vector goes to every shard once, in the same
+    exchange that deals the vectors. The number of shards is fixed while they stay below shard_vectors, so that
     work grows as the rows; from there on each query meets a growing number of
     shards.
     """
@@ -167,13 +171,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = DEG
     stored = nodes.select(F.pmod(F.xxhash64("code"), F.lit(n)).cast("int").alias("shard"), size.alias("size"), F.lit(False).alias("asks"), F.lit(0).cast("long").alias("id"), "ids", "embedding")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     asking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), size.alias("size"), F.lit(True).alias("asks"), F.col("vec_id").alias("id"), none.alias("ids"), "embedding")
-    dealt = stored.unionByName(asking).repartition(n, "shard", "size").sortWithinPartitions("shard", "size", "asks", "ids")
+    dealt = stored.unionByName(asking).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "size", "asks", "ids")
 
     def answers(graph: Graph, exact: np.ndarray, ids: list, query_ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
         out: tuple[list, list, list] = ([], [], [])
         for low in range(0, len(queries), 128):
             q = queries[low : low + 128]
-            best, _, _ = graph.search(q.astype(np.float32), max(beam, 2 * k))
+            best, _, _ = graph.search(q.astype(np.float32), max(query_beam, 2 * k))
             d = np.sqrt(np.square(exact[np.maximum(best, 0)] - q[:, None, :]).sum(2))
             for i, query in enumerate(query_ids[low : low + 128].tolist()):
                 found = [(x, v) for x, b in zip(d[i].tolist(), best[i].tolist()) if b >= 0 for v in ids[b] if v != query]

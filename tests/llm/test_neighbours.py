@@ -30,6 +30,14 @@ def test_recall(spark):
     compare(spark, rows, 50, 10, 0.95, shards=2)
 
 
+def test_recall_in_a_large_shard(spark):
+    """12,000 vectors in one graph, far more than the beam sees."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(100, 64))
+    rows = [(i, (centres[i % 97 % 100] + 0.5 * rng.normal(size=64)).tolist()) for i in range(12_000)]
+    compare(spark, rows, 100, 10, 0.9, shards=1)
+
+
 def test_awkward_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
