@@ -76,3 +76,22 @@ def fnv1a32(text: Column) -> Column:
     turn = lambda h, u: F.pmod(h.bitwiseXOR(u) * F.lit(16777619), F.lit(1 << 32))
     return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), turn)), 8, "0"))
 
+
+
+def number_text(value: Column, digits: int = 2, suffix: str = "") -> Column:
+    """A number with so many decimals and a suffix; a dash if it is missing."""
+    return F.coalesce(F.when(finite(value).isNotNull(), F.concat(F.format_string(f"%.{digits}f", finite(value)), F.lit(suffix))), F.lit("—"))
+
+
+def duration_text(seconds: Column) -> Column:
+    """mm:ss of rounded seconds, missing as 0."""
+    whole = F.greatest(F.lit(0), half_up(F.coalesce(finite(seconds), F.lit(0.0))))
+    minutes = F.floor(whole / 60).cast("string")
+    return F.concat(F.lpad(minutes, F.greatest(F.lit(2), F.length(minutes)), F.lit("0")), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def html_text(text: Column) -> Column:
+    out = F.coalesce(text, F.lit(""))
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return out

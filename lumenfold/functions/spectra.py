@@ -25,7 +25,7 @@ def frame_starts(n: int, size: int, overlap: float = 0.5, budget: int | None = N
         return np.zeros(0, np.int64)
     wanted = min(available, budget or available)
     if wanted == 1:
-        return np.array([int(half_up((available - 1) / 2)) * hop]) if available > 1 else np.zeros(1, np.int64)
+        return np.array([(available - 1) // 2 * hop], np.int64)
     return half_up(np.arange(wanted) * (available - 1) / (wanted - 1)) * hop
 
 
@@ -100,146 +100,218 @@ def log_binned(freq: np.ndarray, power: np.ndarray, low: float, high: float, bin
 def _solve(basis: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray | None, float]:
     """Weighted least squares by orthogonalisation, and how new the least new column was; None if one was not."""
     root = np.sqrt(weight)
-    q, r = np.zeros_like(basis), np.zeros((basis.shape[1],) * 2)
-    least = 1.0
-    for j in range(basis.shape[1]):
+    n, m = basis.shape
+    q, r, least = np.zeros((n, m)), np.zeros((m, m)), 1.0
+    for j in range(m):
         v = basis[:, j] * root
         norm = np.linalg.norm(v)
-        for _ in range(3):
-            for i in range(j):
-                part = q[:, i] @ v
-                r[i, j] += part
-                v = v - part * q[:, i]
+        for _ in range(2):
+            part = q[:, :j].T @ v
+            r[:j, j] += part
+            v = v - q[:, :j] @ part
         r[j, j] = np.linalg.norm(v)
-        novelty = r[j, j] / norm if norm > 0 else 0.0
+        novelty = r[j, j] / max(norm, TINY)
+        if not novelty >= 1e-5:
+            return None, 0.0
         least = min(least, novelty)
-        if novelty < 1e-5:
-            return None, least
         q[:, j] = v / r[j, j]
     return np.linalg.solve(r, q.T @ (y * root)), least
 
 
-def robust(basis: np.ndarray, y: np.ndarray, turns: int = 5):
-    """Huber regression by reweighting: coefficients, residuals, the last solve's weights and its novelty."""
-    weight = np.ones(len(y))
-    for turn in range(turns):
+@dataclass
+class Robust:
+    """A Huber regression: coefficients, residuals, the weights of the last solve, the least novelty of a column."""
+
+    coefficients: np.ndarray
+    rest: np.ndarray
+    weights: np.ndarray
+    novelty: float
+
+    @property
+    def squares(self) -> float:
+        return float(self.rest @ self.rest)
+
+    @property
+    def rmse_db(self) -> float:
+        return 10 * float(np.sqrt(self.squares / len(self.rest)))
+
+    @property
+    def mad_db(self) -> float:
+        return 10 * deviation(self.rest)
+
+
+def deviation(values: np.ndarray) -> float:
+    """The median distance from the median, scaled to a standard deviation."""
+    return 1.4826 * float(np.median(np.abs(values - np.median(values))))
+
+
+def robust(basis: np.ndarray, y: np.ndarray, turns: int = 5) -> Robust | None:
+    """Reweighted least squares; None for too few points or columns that aren't independent."""
+    if len(y) < basis.shape[1] + 2:
+        return None
+    weight, least, out = np.ones(len(y)), 1.0, None
+    for _ in range(turns):
         coefficients, novelty = _solve(basis, y, weight)
         if coefficients is None:
             return None
-        rest, used = y - basis @ coefficients, weight
-        scale = 1.4826 * np.median(np.abs(rest - np.median(rest)))
-        if scale <= 1e-9 or turn == turns - 1:
+        least = min(least, novelty)
+        out = Robust(coefficients, y - basis @ coefficients, weight, least)
+        scale = deviation(out.rest)
+        if not scale > 1e-9:
             break
-        far = np.abs(rest) / (1.5 * scale)
-        weight = np.where(far <= 1, 1.0, 1 / np.maximum(far, 1e-300))
-    return coefficients, rest, used, novelty
+        far = np.abs(out.rest - np.median(out.rest))
+        weight = np.minimum(1.0, 1.5 * scale / np.maximum(far, np.finfo(float).eps))
+    return out
+
+
+def line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope, intercept and sum of squares of a straight line; NaN and infinite for under 4 points or one x."""
+    dx = x - x.mean() if len(x) else x
+    if len(x) < 4 or not dx @ dx > 0:
+        return np.nan, np.nan, np.inf
+    slope = float(dx @ (y - y.mean()) / (dx @ dx))
+    rest = y - y.mean() - slope * dx
+    return slope, float(y.mean() - slope * x.mean()), float(rest @ rest)
+
+
+def _effective(weights: np.ndarray) -> float:
+    return float(weights.sum() ** 2 / max(np.square(weights).sum(), TINY))
 
 
 def adequacy(freq: np.ndarray, power: np.ndarray, low: float = FIT_RANGE[0], high: float = FIT_RANGE[1]) -> dict:
-    """Whether one power law describes a spectrum: smooth departures and slope changes of its binned shape."""
-    none = dict(smooth_db=0.0, smooth_rmse_db=0.0, smooth_mad_db=0.0, slope_low=np.nan, slope_high=np.nan, delta=0.0, support=0.0, improvement=0.0, relative=0.0, evidence=0.0, break_hz=np.nan, abrupt_delta=0.0, abrupt_evidence=0.0, abrupt_hz=np.nan, abrupt_status="none")
+    """Whether one power law describes a spectrum: smooth departures and slope changes of its log-binned shape.
+
+    A slope change is a hinge between two bins. Plain ones are judged against
+    the straight line (delta, improvement, relative, evidence), adjusted ones
+    against a smooth curve of degree five (abrupt_...), if they can be told from
+    it. Of each kind the one with the most evidence is kept.
+    """
     x, y = log_binned(freq, power, low, high)
-    n = len(x)
-    if n < 12:
-        return none
-    line = np.stack([np.ones(n), x], 1)
-    slope = lambda a, b: np.polyfit(a, b, 1)[0] if len(a) >= 4 else np.nan
-    overall = y - line @ np.linalg.lstsq(line, y, rcond=None)[0]
-    base_error = np.sqrt(np.mean(overall**2))
-    u = 2 * (x - x[0]) / (x[-1] - x[0]) - 1
-    smooth = robust(np.stack([u**k for k in range(6)], 1), y)
-    out = none | {"slope_low": slope(x[: n // 2], y[: n // 2]), "slope_high": slope(x[n // 2 :], y[n // 2 :])}
-    if smooth is None:
+    n, inf = len(x), float("inf")
+    slope, _, squares = line(x, y)
+    half = n // 2
+    out = dict(smooth_db=inf, smooth_rmse_db=inf, smooth_mad_db=inf, slope_low=line(x[:half], y[:half])[0], slope_high=line(x[half:], y[half:])[0])
+    kinds = ("delta", "improvement", "relative", "evidence", "support")
+    out |= {k: 0.0 for k in kinds} | {f"abrupt_{k}": 0.0 for k in kinds} | dict(break_hz=np.nan, abrupt_hz=np.nan, rejected=0)
+    cuts = np.arange(7, n - 1)
+    if not np.isfinite(slope):
         return out
-    curve = y - smooth[1]
-    bend = curve - line @ np.linalg.lstsq(line, curve, rcond=None)[0]
-    out |= {"smooth_db": 10 * float(np.ptp(bend)), "smooth_rmse_db": 10 * float(np.sqrt(np.mean(smooth[1] ** 2))), "smooth_mad_db": 10 * float(np.median(np.abs(smooth[1] - np.median(smooth[1]))))}
-    smooth_error = np.sqrt(np.mean(smooth[1] ** 2))
-    octave = np.log10(2.0)
-    for i in range(7, n - 1):
-        hinge = np.maximum(0.0, x - x[i])
-        found = np.linalg.lstsq(np.column_stack([line, hinge]), y, rcond=None)[0]
-        error = np.sqrt(np.mean((y - np.column_stack([line, hinge]) @ found) ** 2))
-        support = min(i + 1, n - i - 1) / n
-        relative = (base_error - error) / base_error if base_error > 1e-12 else 0.0
-        evidence = abs(found[2]) * max(0.0, relative) * np.sqrt(support)
-        if evidence > out["evidence"]:
-            out |= {"evidence": float(evidence), "delta": float(abs(found[2])), "support": float(support), "relative": float(relative), "improvement": float(base_error - error), "break_hz": float(10 ** x[i])}
-        both = robust(np.column_stack([*(u**k for k in range(6)), hinge]), y)
-        if both is None:
-            status = "rank-deficient"
-        else:
-            side = x > x[i]
-            weights = both[2][side]
-            effective = weights.sum() ** 2 / max(np.square(weights).sum(), 1e-300)
-            narrow = side.sum() < 3 or effective < 2.5 or (x[-1] - x[i]) < 0.25 * octave
-            growth = np.linalg.norm(both[0][2:6]) / max(0.5, np.linalg.norm(smooth[0][2:6]))
-            status = "insufficient-bandwidth" if narrow else "ill-conditioned" if both[3] < 0.01 else "polynomial-hinge-cancellation" if growth > 3 else "accepted"
-        if status == "accepted":
-            gain = (smooth_error - np.sqrt(np.mean(both[1] ** 2))) / smooth_error if smooth_error > 1e-12 else 0.0
-            evidence = abs(both[0][6]) * max(0.0, gain) * np.sqrt(support)
-            if evidence > out["abrupt_evidence"]:
-                out |= {"abrupt_evidence": float(evidence), "abrupt_delta": float(abs(both[0][6])), "abrupt_hz": float(10 ** x[i]), "abrupt_status": status}
-        elif out["abrupt_status"] == "none":
-            out["abrupt_status"] = status
+    powers = np.stack([(x - x.mean()) ** k for k in range(6)], 1)
+    smooth = robust(powers, y)
+    if smooth:
+        curve = y - smooth.rest
+        tilt, offset, _ = line(x, curve)
+        out |= dict(smooth_db=10 * float(np.ptp(curve - offset - tilt * x)), smooth_rmse_db=smooth.rmse_db, smooth_mad_db=smooth.mad_db)
+    at = (x[cuts - 1] + x[cuts]) / 2
+    hinges = np.maximum(0.0, x[:, None] - at)
+    dx = x - x.mean()
+    own = hinges - hinges.mean(0) - dx[:, None] * (dx @ hinges) / (dx @ dx)  # what of each hinge is no straight line
+    energy = np.square(own).sum(0)
+    usable = energy > np.finfo(float).eps
+    plain = np.where(usable, y @ own / np.where(usable, energy, 1), 0.0)
+    rmse = lambda sse: 10 * np.sqrt(np.maximum(sse, 0) / n)
+    for i, cut in enumerate(cuts.tolist()):
+        support = min(cut, n - cut)
+
+        def judged(prefix: str, delta: float, before: float, after: float) -> None:
+            relative = max(0.0, 1 - after / before) if before > 0 else 0.0
+            evidence = delta * relative * np.sqrt(support)
+            if evidence > out[f"{prefix}evidence"]:
+                found = (delta, float(rmse(before) - rmse(after)), relative, float(evidence), float(support))
+                out.update({f"{prefix}{k}": v for k, v in zip(kinds, found)})
+                out[f"{prefix or 'break_'}hz"] = float(10 ** at[i])
+
+        if usable[i]:
+            judged("", abs(float(plain[i])), squares, squares - float(plain[i]) ** 2 * float(energy[i]))
+        if not smooth:
+            continue
+        both = robust(np.column_stack([powers, hinges[:, i]]), y)
+        octaves = min(at[i] - x[0], x[-1] - at[i]) / np.log10(2)
+        if both is None or support < 3 or min(_effective(both.weights[:cut]), _effective(both.weights[cut:])) < 2.5 or octaves < 0.25 or both.novelty < 0.01:
+            out["rejected"] += 1
+            continue
+        delta = abs(float(both.coefficients[-1]))
+        if delta / max(0.5, abs(float(plain[i]))) > 3:  # the curve takes back what the hinge adds
+            out["rejected"] += 1
+            continue
+        judged("abrupt_", delta, smooth.squares, both.squares)
     return out
 
 
 def neighbourhood_floor(values: np.ndarray, reach: int = 18, gap: int = 3) -> np.ndarray:
-    """Median of the neighbours up to reach away, without those within gap."""
+    """Median of the neighbours up to reach away, without those within gap; NaN where there are none."""
     padded = np.pad(values, reach, constant_values=np.nan)
     offsets = np.array([d for d in range(-reach, reach + 1) if abs(d) > gap])
-    return np.nanmedian(padded[np.arange(len(values))[:, None] + reach + offsets], axis=1)
+    near = padded[np.arange(len(values))[:, None] + reach + offsets]
+    out = np.full(len(values), np.nan)
+    some = ~np.isnan(near).all(1)
+    out[some] = np.nanmedian(near[some], axis=1)
+    return out
+
+
+def strongest_apart(place: np.ndarray, strength: np.ndarray, reach: int = 10) -> np.ndarray:
+    """Of peaks at places those that no stronger kept one is within reach of, by index; of equals the lower place goes first."""
+    kept: list[int] = []
+    for i in np.lexsort((place, -strength)).tolist():
+        if all(abs(place[i] - place[k]) > reach for k in kept):
+            kept.append(i)
+    return np.array(sorted(kept, key=lambda i: place[i]), int)
+
+
+def harmonics(tones: np.ndarray, step: float, most: int = 12) -> int:
+    """The most tones that are multiples of one base of at least 40 Hz, a tone over 1 to most."""
+    best = 0
+    for base in (tones[:, None] / np.arange(1, most + 1)).ravel():
+        if base >= 40:
+            number = half_up(tones / base)
+            good = (number >= 1) & (number <= most)
+            number = np.maximum(number, 1)
+            best = max(best, int((good & (np.abs(tones / base - number) / number <= np.maximum(0.018, 2 * step / tones))).sum()))
+    return best
 
 
 def tonality(freq: np.ndarray, power: np.ndarray, fit: Fit, low: float = FIT_RANGE[0], high: float = FIT_RANGE[1], earlier: list[float] | None = None) -> dict:
-    """Peaks over the fitted law: how prominent, how much of the power, persistent, in harmonic relation."""
-    none = dict(prominence_db=0.0, tonal_ratio=0.0, peaks=[], persistent=0, harmonic_peaks=0, normalized_flatness=1.0, occupancy=0.0, harmonic_evidence=0.0)
+    """Peaks over the fitted law: how prominent, how much of the power, persistent, in harmonic relation.
+
+    Without a fit the power itself is looked at. Fewer than 16 bins have no tones.
+    """
+    none = dict(prominence_db=0.0, tonal_ratio=0.0, peaks=[], persistent=0, harmonic_peaks=0, normalized_flatness=0.0, occupancy=0.0, harmonic_evidence=0.0)
     use = in_range(freq, power, low, high)
-    if use.sum() < 16 or not np.isfinite(fit.beta):
+    if use.sum() < 16:
         return none
-    f, p = freq[use], power[use]
-    law = 10 ** (fit.intercept - fit.beta * np.log10(f))
-    ratio = p / law
-    db = 10 * np.log10(np.maximum(ratio, TINY))
-    ground = neighbourhood_floor(db)
-    around = np.pad(db, 2, constant_values=-np.inf)
-    highest = np.max([around[k : k + len(db)] for k in (0, 1, 3, 4)], axis=0)
-    prominence = db - ground
-    tops = np.flatnonzero((db > highest) & (prominence > 0))
-    tops = tops[np.lexsort((f[tops], -prominence[tops]))]
-    kept: list[int] = []
-    for t in tops.tolist():
-        if all(abs(t - k) > 10 for k in kept):
-            kept.append(t)
-    excess = np.maximum(0.0, ratio - 10 ** (ground / 10) * 10**0.8)
-    share = lambda t: excess[max(0, t - 2) : t + 3].sum() / ratio.sum()
-    strong = sorted((t for t in kept if prominence[t] >= 15 and share(t) >= 0.001), key=lambda t: f[t])
-    tones = f[strong]
-    step = f[1] - f[0]
-    best = 0
-    for seed in tones:
-        for divisor in range(1, 13):
-            base = seed / divisor
-            if base >= 40:
-                number = half_up(tones / base)
-                good = (number >= 1) & (number <= 12) & (np.abs(tones - number * base) / tones <= np.maximum(0.018, 2 * step / tones))
-                best = max(best, int(good.sum()))
-    edges = np.linspace(np.log10(low), np.log10(high), 25)
-    band = np.clip(np.digitize(np.log10(f), edges) - 1, 0, 23)
-    level = np.array([np.median(ratio[band == k]) for k in np.unique(band)])
+    at = np.flatnonzero(use)
+    begin, f = at[0], freq[use]
+    law = np.maximum(10 ** (fit.intercept - fit.beta * np.log10(f)), TINY) if np.isfinite(fit.beta) else np.ones(len(f))
+    ratio = np.zeros(at[-1] - begin + 1)
+    ratio[at - begin] = np.maximum(power[use] / law, TINY)
+    whole, values = ratio.sum(), ratio[at - begin]
+    around = np.pad(ratio, 2, constant_values=-np.inf)
+    highest = np.max([around[k : k + len(ratio)] for k in (0, 1, 3, 4)], axis=0)
+    ground = neighbourhood_floor(np.where(ratio > 0, ratio, np.nan))
+    tops = np.flatnonzero((ratio > highest) & (ratio > 0) & (ground > 0))
+    prominence = 10 * np.log10(ratio[tops] / ground[tops])
+    strong = prominence >= 10
+    peak, height = tops[strong], prominence[strong]
+    kept = strongest_apart(peak, height)
+    peak, height = peak[kept], height[kept]
+    excess = np.array([np.maximum(0.0, ratio[max(0, p - 2) : p + 3] - ground[p] * 10**0.8).sum() for p in peak])
+    tones = freq[begin + peak[(height >= 15) & (excess / whole >= 0.001)]] if len(peak) else np.zeros(0)
+    a, b = np.log10(low), np.log10(high)
+    band = np.minimum(23, np.floor((np.log10(f) - a) / (b - a) * 24).astype(int))
+    level = np.array([np.median(values[band == k]) for k in np.unique(band)])
+    best = harmonics(tones, freq[1] - freq[0])
     persistent = sum(any(abs(x - g) <= max(12.0, 0.02 * g) for g in earlier or []) for x in tones.tolist())
     return dict(
-        prominence_db=float(prominence[kept[0]]) if kept else 0.0, tonal_ratio=float(sum(share(t) for t in strong)), peaks=tones.tolist(), persistent=persistent, harmonic_peaks=best,
-        normalized_flatness=flatness(ratio), occupancy=float((level >= level.max() / 100).mean()), harmonic_evidence=float(min(1.0, best / len(tones))) if len(tones) else 0.0,
+        prominence_db=max(0.0, float(prominence.max())) if len(tops) else 0.0, tonal_ratio=float(min(1.0, excess.sum() / whole)), peaks=tones.tolist(), persistent=persistent, harmonic_peaks=best,
+        normalized_flatness=flatness(values), occupancy=float((level >= level.max() / 100).mean()) if level.max() > 0 else 0.0, harmonic_evidence=float(min(1.0, best / len(tones))) if len(tones) else 0.0,
     )
 
 
 def spectrogram(samples: np.ndarray, rate: float, most: int = 120, rows: int = 56) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Times, frequencies and levels in dB: strided Hann frames of up to 2048 samples, at log-spaced frequencies."""
     x = np.asarray(samples, np.float64)
-    size = min(2048, frame_size(len(x), 2048))
-    starts = frame_starts(len(x), size)
+    size = 1 << max(0, min(len(x), 2048).bit_length() - 1)
+    starts = frame_starts(len(x), size) if len(x) >= 256 else np.zeros(0, int)
     if not len(starts):
         return np.zeros(0), np.zeros(0), np.zeros((0, rows))
     starts = starts[:: -(-len(starts) // most)]

@@ -16,10 +16,11 @@ def inadequacies(c: dict[str, Column]) -> Column:
     """Why one power law does not describe a spectrum; an empty array if it does.
 
     c: beta, rmse_db, smooth_db, smooth_mad_db, normalized_flatness, occupancy,
-    and of the hinge fits evidence, delta, improvement, relative, abrupt_delta.
+    of the plain hinge delta, improvement, relative, evidence, and the same of
+    the one adjusted for a smooth curve with abrupt_ before them.
     """
     colored = (c["rmse_db"] > 2.2) | (c["smooth_db"] > 6)
-    abrupt = (c["delta"] >= 0.6) & (c["improvement"] >= 0.04) & (c["relative"] >= 0.35) & (c["evidence"] >= 0.8)
+    abrupt = (c["abrupt_delta"] >= 0.6) & (c["abrupt_improvement"] >= 0.04) & (c["abrupt_relative"] >= 0.35) & (c["abrupt_evidence"] >= 0.8)
     subtle = (c["smooth_db"] <= 5.5) & (c["delta"] >= 0.55) & (c["improvement"] >= 0.012) & (c["relative"] >= 0.18) & (c["evidence"] >= 0.2) & (c["abrupt_delta"] >= 0.35)
     irregular = (c["smooth_rmse_db"] > 1.5) & (c["smooth_mad_db"] > 1.1) & (c["rmse_db"] > 3.8)
     rules = {

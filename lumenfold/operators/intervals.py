@@ -60,6 +60,33 @@ def duration_summary(durations: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("reliable_percent", share).withColumn("rejected_percent", 100 - F.col("reliable_percent")).drop("_reliable")
 
 
+def session_summary(observations: DataFrame, durations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """duration_summary with statistics of the reliable observations (reliable, beta, rmse_db, r2, flatness); keys with durations only.
+
+    Mean, deviation and sums merge over parts of a session, so a running
+    session's figures are these over what has come; the median needs it whole.
+    """
+    good = F.when(F.coalesce(F.col("reliable"), F.lit(False)) & finite(F.col("beta")).isNotNull(), F.struct("beta", "rmse_db", "r2", "flatness"))
+    value = lambda name: finite(good.getField(name))
+    spread = observations.groupBy(*keys).agg(
+        F.count(value("beta")).alias("observations"), F.avg(value("beta")).alias("beta_mean"), F.stddev_pop(value("beta")).alias("beta_sd"), F.median(value("beta")).alias("beta_median"),
+        *[F.avg(value(n)).alias(f"{n}_mean") for n in ("rmse_db", "r2", "flatness")],
+    )
+    shares = duration_summary(durations, keys)
+    return shares.join(spread, list(keys), "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
+
+
+def signal_percentages(durations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key the shares of silence (low_signal) and of time without analysis (awaiting_analysis), in percent."""
+    share = lambda state: F.coalesce(100 * F.sum(F.when(F.col("state") == state, F.col("seconds"))) / F.nullif(F.sum("seconds"), F.lit(0.0)), F.lit(0.0))
+    return durations.groupBy(*keys).agg(share("silence").alias("low_signal"), share("insufficient").alias("awaiting_analysis"))
+
+
+def state_counts(observations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key and state how many observations, and the least and greatest exponent."""
+    return observations.groupBy(*keys, "state").agg(F.count("*").alias("n"), F.min(finite(F.col("beta"))).alias("beta_min"), F.max(finite(F.col("beta"))).alias("beta_max"))
+
+
 def composition(durations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key the states and their percentages as text, longest first."""
     whole = F.sum("seconds").over(Window.partitionBy(*keys))
@@ -89,9 +116,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, p
     r = right.where(finite(F.col(time)).isNotNull()).select(*keys, F.col(time).alias("_t"), F.struct(F.col(time).alias("_at"), *payload).alias("_r"), F.lit(0).alias("_left"))
     marks = left.select(*keys, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(1).alias("_left"))
     both = r.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_left")
+    # both look back, the second in falling order: frames that grow are carried along, frames that shrink are read anew for each row
+    w, back = Window.partitionBy(*keys).orderBy("_t", "_left"), Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_left"))
     past = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("_r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     near = both.withColumn("_p", past).withColumn("_f", after).where("_left = 1")
     ahead, behind = F.col("_f._at") - F.col("_t"), F.col("_t") - F.col("_p._at")
     take = F.col("_p").isNull() | (F.col("_f").isNotNull() & ((ahead <= behind) if ties == "later" else (ahead < behind)))

@@ -55,11 +55,44 @@ def power_density(rows: DataFrame, keys: Sequence[str], requested: int = 4096, o
     return each_signal(rows, one, SPECTRUM, keys)
 
 
+def framed_density(samples: DataFrame, keys: Sequence[str], requested: int = 4096, overlap: float = 0.5, budget: int = 48) -> DataFrame:
+    """keys, bin, freq, power, segments of samples as rows (keys, n from 0, x, rate): Welch's averaged periodogram.
+
+    Only the frames that are used are gathered, each on its own, so a signal may
+    be of any length; the average is over rows. Signals under 256 samples have none.
+    """
+    keys = list(keys)
+    size = F.least(F.lit(1 << (requested.bit_length() - 1)), F.pow(F.lit(2.0), F.floor(F.log2("_length"))).cast("int"))
+    lengths = samples.groupBy(*keys).agg((F.max("n") + 1).alias("_length"), F.max("rate").alias("_rate")).where("_length >= 256 and _rate > 0")
+    framed = lengths.withColumn("_size", size).withColumn("_hop", F.greatest(F.lit(1), half_up(F.col("_size") * (1 - overlap)).cast("int")))
+    framed = framed.withColumn("_all", F.floor((F.col("_length") - F.col("_size")) / F.col("_hop")).cast("int") + 1).withColumn("segments", F.least(F.lit(budget), "_all"))
+    even = F.transform(F.sequence(F.lit(0), F.col("segments") - 1), lambda i: half_up(i * (F.col("_all") - 1) / (F.col("segments") - 1)).cast("int"))
+    chosen = F.when(F.col("segments") == 1, F.array(F.floor((F.col("_all") - 1) / 2).cast("int"))).otherwise(even)
+    framed = framed.withColumn("_starts", F.transform(chosen, lambda i: i * F.col("_hop")))
+    placed = samples.join(framed, keys)
+    inside = F.filter("_starts", lambda s: (F.col("n") >= s) & (F.col("n") < s + F.col("_size")))
+    placed = placed.select(*keys, "_rate", "segments", F.explode(inside).alias("_start"), "n", F.col("x").cast("double").alias("x"))
+    pairs = F.array_sort(F.collect_list(F.struct("n", "x")))
+    frames = placed.groupBy(*keys, "_start").agg(F.first("segments").alias("segments"), F.first("_rate").alias("_rate"), F.transform(pairs, lambda p: p["x"]).alias("samples"))
+
+    def one(x: np.ndarray, rate: float) -> dict:
+        freq, power, _ = spectra.welch(x, rate, len(x), overlap, 1)
+        return {"freq": freq.tolist(), "power": power.tolist()}
+
+    rows = each_signal(frames, one, "freq array<double>, power array<double>", [*keys, "_start", "segments"], rate="_rate")
+    exploded = rows.select(*keys, "segments", F.posexplode(F.arrays_zip("freq", "power")).alias("bin", "b"))
+    return exploded.groupBy(*keys, "bin").agg(F.first("b.freq").alias("freq"), F.greatest(F.avg("b.power"), F.lit(TINY)).alias("power"), F.first("segments").alias("segments"))
+
+
 def windows(rows: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0) -> DataFrame:
-    """Whole sliding windows of each signal as rows of their own, so that they spread over tasks."""
-    size, hop = half_up(F.col("rate") * seconds).cast("int"), F.greatest(F.lit(1), half_up(F.col("rate") * step).cast("int"))
-    n = F.size("samples")
-    start = F.explode(F.when(n >= size, F.sequence(F.lit(0), n - size, hop)).otherwise(F.array().cast("array<int>")))
+    """Whole sliding windows of each signal as rows of their own, so that they spread over tasks.
+
+    A shorter signal of at least 1.5 seconds is one window.
+    """
+    n, hop = F.size("samples"), F.greatest(F.lit(1), half_up(F.col("rate") * step).cast("int"))
+    size = F.greatest(F.lit(1), F.least(half_up(F.col("rate") * seconds).cast("int"), n))
+    enough = (n > 0) & (n >= F.least(size, half_up(F.col("rate") * 1.5).cast("int")))
+    start = F.explode(F.when(enough, F.sequence(F.lit(0), n - size, hop)).otherwise(F.array().cast("array<int>")))
     cut = rows.select("*", start.alias("start"))
     begins = F.col("start") / F.col("rate")
     return cut.select(*keys, "start", "rate", begins.alias("begins"), (begins + size / F.col("rate")).alias("ends"), F.slice("samples", F.col("start") + 1, size).alias("samples"))
@@ -137,14 +170,15 @@ def harmonic_match(peaks: DataFrame, keys: Sequence[str], step: Column, freq: st
 
     def fits(f: Column) -> Column:
         number = half_up(f / F.col("_base"))
-        return number.between(1, most) & (F.abs(f - number * F.col("_base")) / f <= F.greatest(F.lit(0.018), 2 * F.col("_step") / f))
+        return number.between(1, most) & (F.abs(f / F.col("_base") - number) / number <= F.greatest(F.lit(0.018), 2 * F.col("_step") / f))
 
     return bases.groupBy(*keys).agg(F.max(F.size(F.filter("_f", fits))).alias("harmonic_peaks"))
 
 
 def suppressed(peaks: Column, reach: int = 10) -> Column:
-    """Of an array of (prominence, bin, ...) those that no stronger kept one is within reach of, strongest first."""
-    ranked = F.reverse(F.array_sort(peaks))
+    """Of an array of (prominence, bin, ...) those that no stronger kept one is within reach of, strongest first, of equals the lower bin."""
+    order = lambda a, b: F.when(a["prominence"] != b["prominence"], F.when(a["prominence"] > b["prominence"], -1).otherwise(1)).when(a["bin"] < b["bin"], -1).when(a["bin"] > b["bin"], 1).otherwise(0)
+    ranked = F.array_sort(peaks, order)
     return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda kept, p: F.when(F.exists(kept, lambda k: F.abs(k["bin"] - p["bin"]) <= reach), kept).otherwise(F.concat(kept, F.array(p))))
 
 

@@ -82,3 +82,23 @@ def rolling_deviation(rows: DataFrame, keys: Sequence[str], order: Sequence[str]
     """Population deviation of value over the accepted ones of the `width` rows before each."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-width, -1)
     return rows.withColumn("rolling_sd", F.stddev_pop(F.when(accepted, F.col(value))).over(w))
+
+
+def recent_range(rows: DataFrame, keys: Sequence[str], time: str, value: str, seconds: int = 30) -> DataFrame:
+    """rows with the least and greatest finite value of the last seconds up to each row's time."""
+    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-seconds, 0)
+    x = finite(F.col(value))
+    return rows.withColumns({"recent_min": F.min(x).over(w), "recent_max": F.max(x).over(w), "recent_n": F.count(x).over(w)})
+
+
+def recent_since(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], since: Column, most: int = 10) -> DataFrame:
+    """The last rows of each key, at most `most`, and of these only those for which since holds: the limit comes first."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n").where(since)
+
+
+def running_moments(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """rows with count, mean and population deviation of the finite values so far, each from the ones before it alone."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = finite(F.col(value))
+    return rows.withColumns({"run_n": F.count(x).over(w), "run_mean": F.avg(x).over(w), "run_sd": F.stddev_pop(x).over(w)})

@@ -12,7 +12,7 @@ from lumenfold.operators import classify, intervals, spectral, stats
 MEASURES = (
     "duration double, rms double, dbfs double, peak double, clipping double, near_clipping double, plateau double, crest double, kurtosis double, edge_density double, non_finite double, "
     "beta double, r2 double, rmse_db double, mae_db double, points int, flatness double, prominence_db double, tonal_ratio double, peaks int, persistent int, harmonic_peaks int, normalized_flatness double, "
-    "occupancy double, harmonic_evidence double, smooth_db double, smooth_rmse_db double, smooth_mad_db double, delta double, support double, improvement double, relative double, evidence double, abrupt_delta double, segments int"
+    "occupancy double, harmonic_evidence double, smooth_db double, smooth_rmse_db double, smooth_mad_db double, delta double, support double, improvement double, relative double, evidence double, abrupt_delta double, abrupt_improvement double, abrupt_relative double, abrupt_evidence double, segments int"
 )
 
 
@@ -37,14 +37,14 @@ def measure(samples: np.ndarray, rate: float, low: float = spectra.FIT_RANGE[0],
     out |= dict(clipping=share(a >= stats.CLIP), near_clipping=share(a >= stats.NEAR_CLIP), plateau=share((a[1:] >= stats.PLATEAU_LEVEL) & (np.abs(np.diff(good)) <= stats.PLATEAU_STEP)))
     out |= dict(crest=out["peak"] / rms if rms else None, kurtosis=float((good**4).mean() / rms**4) if rms else None, edge_density=share(a >= 0.9 * a.max()) if n else None, non_finite=1 - n / len(x) if len(x) else 0.0)
     freq, power, segments = spectra.welch(np.where(np.isfinite(x), x, 0.0), rate or 0.0, budget=budget)
-    high = min(high, 0.45 * (rate or 0.0))
+    high = min(high, 0.48 * (rate or 0.0))
     fit = spectra.power_law(freq, power, low, high)
     tone = spectra.tonality(freq, power, fit, low, high)
-    model = spectra.adequacy(freq, power, low, high) if len(freq) else spectra.adequacy(np.array([1.0]), np.array([1.0]), low, max(high, low + 1))
+    model = spectra.adequacy(freq, power, low, max(high, low + 1))
     value = lambda v: float(v) if v is not None and np.isfinite(v) else None
     out |= dict(beta=value(fit.beta), r2=fit.r2, rmse_db=value(fit.rmse_db), mae_db=value(fit.mae_db), points=fit.points, flatness=spectra.flatness(power[spectra.in_range(freq, power, low, high)]) if len(freq) else 0.0)
     out |= {k: tone[k] for k in ("prominence_db", "tonal_ratio", "persistent", "harmonic_peaks", "normalized_flatness", "occupancy", "harmonic_evidence")} | {"peaks": len(tone["peaks"])}
-    out |= {k: value(model[k]) for k in ("smooth_db", "smooth_rmse_db", "smooth_mad_db", "delta", "support", "improvement", "relative", "evidence", "abrupt_delta")}
+    out |= {k: float(model[k]) for k in ("smooth_db", "smooth_rmse_db", "smooth_mad_db", "delta", "support", "improvement", "relative", "evidence", "abrupt_delta", "abrupt_improvement", "abrupt_relative", "abrupt_evidence")}
     return out | {"segments": segments}
 
 
@@ -64,17 +64,19 @@ def observations(signals: DataFrame, key: str = "signal_id", seconds: float = 6.
 
 
 def recordings(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0, step: float = 2.0) -> DataFrame:
-    """One row for each signal: its measurements, gate, stability over windows and share of rejected windows."""
+    """One row for each signal: its measurements, gate, stability over windows, and the session's summary.
+
+    rejected_percent and top_rejected come from the seconds of the activity
+    timeline; of states that last as long the one named first in STATES counts.
+    """
     whole = spectral.each_signal(signals, measure, MEASURES, [key])
     seen = observations(signals, key, seconds, step)
-    rejected = Window.partitionBy(key)
-    counts = seen.groupBy(key, "state", "reliable").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(rejected))
-    worst = counts.groupBy(key).agg(
-        F.max_by(F.when(~F.col("reliable"), F.col("state")), F.when(~F.col("reliable"), F.struct("n", "state"))).alias("top_rejected"),
-        (100 * F.sum(F.when(F.col("reliable"), 0).otherwise(F.col("n"))) / F.max("all")).alias("rejected_percent"),
-    )
-    spread = seen.groupBy(key).agg(F.stddev_pop(F.when(F.col("reliable"), F.col("beta"))).alias("temporal_sd"), F.count("*").alias("windows"))
-    joined = gated(whole.join(spread, key, "left"), F.col("temporal_sd")).join(worst, key, "left")
+    durations = intervals.state_durations(timeline(signals, key, seconds, step), [key])
+    rank = F.array_position(F.array(*map(F.lit, intervals.STATES)), F.col("state"))
+    rejected = ~F.col("state").isin(intervals.COLORS)
+    worst = durations.groupBy(key).agg(F.max_by(F.when(rejected, F.col("state")), F.when(rejected, F.struct("seconds", -rank))).alias("top_rejected"))
+    summary = intervals.session_summary(seen, durations, [key]).select(key, "dominant", "reliable_percent", "rejected_percent", "beta_mean", F.col("beta_sd").alias("temporal_sd"), "beta_median", "observations")
+    joined = gated(whole.join(summary, key, "left"), F.col("temporal_sd")).join(worst, key, "left")
     return joined.withColumn("final_state", classify.recording_state(F.col("state"), F.col("reliable"), F.col("temporal_sd"), F.col("rejected_percent"), F.col("top_rejected")))
 
 

@@ -6,17 +6,15 @@ spectra. Results of floating-point sums are rounded, as their order is not fixed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars
 from lumenfold.operators import intervals, spectral, stats, tables
-from lumenfold.plans import recording, replay
+from lumenfold.plans import replay
+from lumenfold.registry import query
 from lumenfold.streaming import color_state, live
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
 DAY = 86400.0
 PHASES = [("early", 0, 10 * DAY), ("middle", 10 * DAY, 20 * DAY), ("late", 20 * DAY, None)]
 STATES = {"click": "pink", "view": "white", "signup": "brown", "error": "silence", "purchase": "mixed"}
@@ -32,16 +30,6 @@ seg as (select user_id, state, min(b) as begins, max(z) as ends, count(*) as row
 dur as (select user_id, state, sum(greatest(0.0, ends - begins)) as seconds from seg group by user_id, state)"""
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _events(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.withColumn("t", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts)") / 1e6)
@@ -52,12 +40,6 @@ def _bins(spark, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "bin", (F.col("bin") * 125.0).alias("freq"), (F.col("x").cast("double") * F.col("x").cast("double")).alias("power"))
 
 
-def _signals(spark, sf_dir: str) -> DataFrame:
-    """A signal for each user: values as samples at 40 Hz."""
-    rows = _events(spark, sf_dir).withColumn("value", F.col("value") / 500)
-    return spectral.signals(rows, ["user_id"], ["t", "event_id"], "value").withColumn("rate", F.lit(40.0))
-
-
 def _observed(spark, sf_dir: str) -> DataFrame:
     state = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])[F.col("event_type")]
     return _events(spark, sf_dir).select("user_id", "event_id", "t", "value", state.alias("state"))
@@ -319,14 +301,18 @@ def persistent_peaks(spark, sf_dir):
 
 @query(
     f"with {_MAXIMA}, a as (select * from top where power > 0.04 and freq > 0), h as (select s.vec_id, s.freq as seed, d, s.freq / d as base from a s cross join (select unnest(range(1, 13)) as d) where s.freq / d >= 40), "
-    "c as (select h.vec_id, seed, d, count(distinct a.freq) as n from h join a on a.vec_id = h.vec_id and floor(a.freq / base + 0.5) between 1 and 12 and abs(a.freq - floor(a.freq / base + 0.5) * base) / a.freq <= greatest(0.018, 250.0 / a.freq) group by all) "
+    "c as (select h.vec_id, seed, d, count(distinct a.freq) as n from h join a on a.vec_id = h.vec_id and floor(a.freq / base + 0.5) between 1 and 12 and abs(a.freq / base - floor(a.freq / base + 0.5)) / floor(a.freq / base + 0.5) <= greatest(0.018, 250.0 / a.freq) group by all) "
     "select vec_id, max(n)::int as harmonic_peaks from c group by 1"
 )
 def harmonic_match(spark, sf_dir):
     return spectral.harmonic_match(_peaks(spark, sf_dir).where("freq > 0"), ["vec_id"], F.lit(125.0))
 
 
-@query()
+@query(
+    f"with recursive {_MAXIMA}, r as (select vec_id, bin, row_number() over (partition by vec_id order by power desc, bin) as i, count(*) over (partition by vec_id) as n from top where power > 0.04), "
+    "s as (select distinct vec_id, 0::bigint as i, []::bigint[] as kept, n from r union all select s.vec_id, r.i, case when len(list_filter(kept, lambda x: abs(x - r.bin) <= 10)) > 0 then kept else list_append(kept, r.bin::bigint) end, s.n from s join r on r.vec_id = s.vec_id and r.i = s.i + 1) "
+    "select vec_id, (generate_subscripts(kept, 1) - 1)::int as place, unnest(kept)::int as bin from s where i = n"
+)
 def suppressed_peaks(spark, sf_dir):
     peaks = _peaks(spark, sf_dir).groupBy("vec_id").agg(F.collect_list(F.struct(F.col("power").alias("prominence"), "bin")).alias("p"))
     return peaks.select("vec_id", F.posexplode(spectral.suppressed(F.col("p"))).alias("place", "kept")).select("vec_id", "place", "kept.bin")
@@ -360,39 +346,57 @@ def gap_sessions(spark, sf_dir):
     return _round(live.event_sessions(_events(spark, sf_dir), "6 hours"), 4)
 
 
-@query()
-def recordings(spark, sf_dir):
-    return _round(recording.recordings(_signals(spark, sf_dir), "user_id", 6.4, 3.2).drop("reasons"))
+_NEAREST = "case when m <= -1.5 then 'violet' when m <= -0.5 then 'blue' when m <= 0.5 then 'white' when m <= 1.5 then 'pink' else 'brown' end"
+_BETA = "case {} when 'violet' then -2.0 when 'blue' then -1.0 when 'white' then 0.0 when 'pink' then 1.0 when 'brown' then 2.0 end"
 
 
-@query()
-def observations(spark, sf_dir):
-    return _round(recording.observations(_signals(spark, sf_dir), "user_id", 6.4, 3.2).drop("reasons"))
+@query(
+    f"with recursive {_E}, o as (select user_id, event_id, t, value / 100 - 1.5 as beta, {_STATE} as now, row_number() over (partition by user_id order by t, event_id) as i from e), "
+    "s as (select distinct user_id, 0::bigint as i, 'listening' as state, null::double as smoothed, null::double as shown_beta, null::varchar as pending, 0 as pending_count, 'None' as confidence, null::double as t, null::bigint as event_id, null::double as beta from o "
+    "union all select user_id, i, case when not good then now when moved then proposed else state end, case when good then m end, case when good and not waits then m when good then shown_beta end, case when good and waits then proposed end, case when good and waits then times else 0 end, "
+    "case when not good then 'None' when (case when moved then proposed else state end) not in ('violet', 'blue', 'white', 'pink', 'brown') or (case when waits then shown_beta else m end) is null then 'None' when waits or now <> (case when moved then proposed else state end) then 'Provisional' else 'High' end, t, event_id, beta from ("
+    "select *, proposed is distinct from state and times >= 2 as moved, proposed is distinct from state and times < 2 as waits from (select *, case when pending is not distinct from proposed then pending_count + 1 else 1 end as times from ("
+    f"select *, case when coalesce(abs(m - {_BETA.format('near')}) + 0.12 >= abs(m - {_BETA.format('state')}), false) then state else near end as proposed from (select *, {_NEAREST} as near from ("
+    "select o.user_id, o.i, o.t, o.event_id, o.beta, o.now, o.now in ('pink', 'white', 'brown') as good, s.state, s.shown_beta, s.pending, s.pending_count, case when s.smoothed is null then o.beta else 0.28 * o.beta + (1 - 0.28) * s.smoothed end as m from s join o on o.user_id = s.user_id and o.i = s.i + 1))))))"
+    " select user_id, round(t, 6) as t, event_id, round(beta, 6) as beta, state as shown_state, round(smoothed, 6) as smoothed, round(shown_beta, 6) as shown_beta, pending, pending_count, confidence from s where i > 0"
+)
+def hysteresis_fold(spark, sf_dir):
+    colors = list(STATES.values())[:3]
+    rows = _observed(spark, sf_dir).withColumns({"beta": F.col("value") / 100 - 1.5, "reliable": F.col("state").isin(colors), "confidence": F.lit("High")})
+    return _round(color_state.color_states(rows, ["user_id"], ["t", "event_id"]))
 
 
-@query()
-def activity_timeline(spark, sf_dir):
-    return _round(recording.timeline(_signals(spark, sf_dir), "user_id", 6.4, 3.2))
+def _numbered(spark, sf_dir) -> DataFrame:
+    """Samples of a signal for each event type, in order of time."""
+    w = Window.partitionBy("event_type").orderBy("t", "event_id")
+    return _events(spark, sf_dir).select("event_type", (F.row_number().over(w) - 1).alias("n"), (F.col("value") / 500).alias("x"), F.lit(1000.0).alias("rate"))
 
 
-@query()
-def power_density(spark, sf_dir):
-    return spectral.bins(spectral.power_density(_signals(spark, sf_dir), ["user_id"]), ["user_id"])
+_N = "e as (select event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as n, value / 500 as x from events)"
 
 
-@query()
-def hysteresis_fold(spark, sf_dir):
-    colors = list(STATES.values())[:3]
-    rows = _observed(spark, sf_dir).withColumns({"beta": F.col("value") / 100 - 1.5, "reliable": F.col("state").isin(colors), "confidence": F.lit("High")})
-    return color_state.color_states(rows, ["user_id"], ["t", "event_id"])
+@query(
+    f"with {_N}, l as (select event_type, count(*) as len, least(4096, pow(2, floor(log2(count(*))))::bigint) as size from e group by 1 having count(*) >= 256), a as (select *, (len - size) // (size // 2) + 1 as everything from l), "
+    "g as (select *, least(48, everything) as segments from a), f as (select *, unnest(range(segments)) as i from g), "
+    "s as (select event_type, size, segments, i, (case when segments = 1 then (everything - 1) // 2 else floor(i * (everything - 1) / (segments - 1) + 0.5)::bigint end) * (size // 2) as start from f), "
+    "x as (select s.event_type, size, segments, i, n - start as j, (x - avg(x) over (partition by s.event_type, i)) * (0.5 - 0.5 * cos(2 * pi() * (n - start) / (size - 1))) as v, 0.5 - 0.5 * cos(2 * pi() * (n - start) / (size - 1)) as w from s join e on e.event_type = s.event_type and n between start and start + size - 1), "
+    "b as (select event_type, unnest(range(size // 2 + 1)) as bin from l), "
+    "d as (select x.event_type, i, bin, any_value(size) as size, any_value(segments) as segments, pow(sum(v * cos(2 * pi() * ((j * bin) % size) / size)), 2) + pow(sum(v * sin(2 * pi() * ((j * bin) % size) / size)), 2) as p, sum(w * w) as energy from x join b on b.event_type = x.event_type group by x.event_type, i, bin) "
+    "select event_type, bin::int as bin, round(any_value(bin * 1000.0 / size), 6) as freq, round(10 * log10(avg(p / (1000 * energy) * case when bin > 0 and bin < size // 2 then 2 else 1 end)), 4) as db, any_value(segments)::int as segments from d group by event_type, bin"
+)
+def power_density(spark, sf_dir):
+    found = spectral.framed_density(_numbered(spark, sf_dir), ["event_type"])
+    return found.select("event_type", "bin", F.round("freq", 6).alias("freq"), F.round(scalars.decibels(F.col("power")), 4).alias("db"), "segments")
 
 
 def _packets(spark, sf_dir) -> DataFrame:
-    """Packets of 64 samples at 64 Hz for each user; every seventh is lost."""
-    samples = _signals(spark, sf_dir).select("user_id", F.posexplode("samples").alias("n", "x"))
-    grouped = samples.groupBy("user_id", F.floor(F.col("n") / 64).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda p: p["x"].cast("float")).alias("samples"))
+    """Packets of 64 samples at 64 Hz for each event type; every seventh is lost."""
+    grouped = _numbered(spark, sf_dir).groupBy("event_type", F.floor(F.col("n") / 64).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda p: p["x"].cast("float")).alias("samples"))
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("seq"))
-    return grouped.where("seq % 7 != 3").select(F.col("user_id").cast("string").alias("session_id"), "seq", (F.col("seq") * 64).alias("start_sample"), F.lit(64.0).alias("rate"), "samples", start.alias("ts"))
+    return grouped.where("seq % 7 != 3").select(F.col("event_type").alias("session_id"), "seq", (F.col("seq") * 64).alias("start_sample"), F.lit(64.0).alias("rate"), "samples", start.alias("ts"))
+
+
+_P = f"{_N}, p as (select event_type as session_id, n // 64 as seq, (n // 64) * 64 as start, count(*) as len from e where (n // 64) % 7 <> 3 group by 1, 2, 3), g as (select *, lag(start + len) over (partition by session_id order by seq) as stop from p)"
 
 
 @query()
@@ -400,12 +404,24 @@ def live_session(spark, sf_dir):
     return live.replayed(_packets(spark, sf_dir), "instant")
 
 
-@query()
+@query(
+    f"with {_P}, r as (select event_type as session_id, 'frame' as kind, (n // 32) * 32 / 64.0 as begins, (max(n) + 1) / 64.0 as ends, round(20 * log10(greatest(1e-12, sqrt(avg(pow(x::float::double, 2))))), 4) as dbfs, round(max(abs(x::float::double)), 6) as peak, count(*) as samples "
+    "from e where (n // 64) % 7 <> 3 group by event_type, n // 32 union all select session_id, 'gap', stop / 64.0, start / 64.0, null, null, 0 from g where stop < start) select * from r"
+)
+def live_frames(spark, sf_dir):
+    rows = live.replayed(_packets(spark, sf_dir), "instant").where("kind in ('frame', 'gap')")
+    return rows.select("session_id", "kind", "begins", "ends", F.round("dbfs", 4).alias("dbfs"), F.round("peak", 6).alias("peak"), "samples")
+
+
+@query(f"with {_P} select session_id, stop as sample_offset, start as resume_sample_offset, (start - stop) / 64.0 as gap_seconds from g where stop < start")
 def capture_gaps(spark, sf_dir):
     return live.gaps(_packets(spark, sf_dir))
 
 
-@query()
+@query(
+    f"with {_B}, l as (select vec_id, log10(freq) as x, log10(power) as y from b where bin > 0 and freq between 100 and 8000 and power > 0), f as (select vec_id, -regr_slope(y, x) as beta from l group by 1 having count(*) >= 8) "
+    "select 'p' || (a.vec_id // 2) as pair_id, round(a.beta, 6) as beta_a, round(b.beta, 6) as beta_b, 16000.0::double as rate_a, 16000.0::double as rate_b, round(abs(a.beta - b.beta), 6) as difference, true as same_rate, true as same_config, abs(a.beta - b.beta) <= 1e-12 as passed from f a join f b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0"
+)
 def replay_pairs(spark, sf_dir):
     spectra_ = _bins(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("freq", "power"))).alias("s"))
     beta = spectral.fit_power_law(_bins(spark, sf_dir), ["vec_id"], 100.0, 8000.0).select("vec_id", "beta")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 MIB = 1 << 20
 MOST_BYTES, MOST_COMPRESSED, MOST_SECONDS, MOST_PEAK = 40 * MIB, 12 * MIB, 120.0, 128 * MIB
@@ -54,40 +55,60 @@ def decode_wav(data: bytes, most_seconds: float = MOST_SECONDS) -> tuple[float,
     return float(rate), channels, mono.astype(np.float32)
 
 
+Frame = tuple[int, int, int, float]
+
+
+def _walked(data: bytes, begin: int, header: int, frame: Callable[[bytes, int], Frame | None]) -> tuple[float, int, float] | None:
+    """Highest rate, most channels and seconds of whole frames (size, rate, channels, seconds), if they are 80% of data from begin on.
+
+    Bytes that begin no frame are stepped over to the next sync byte.
+    """
+    at, used, rate, channels, seconds = begin, 0, 0, 0, 0.0
+    while 0 <= at and at + header <= len(data):
+        found = frame(data, at)
+        if found is None or at + found[0] > len(data):
+            at = data.find(b"\xff", at + 1)
+            continue
+        at, used = at + found[0], used + found[0]
+        rate, channels, seconds = max(rate, found[1]), max(channels, found[2]), seconds + found[3]
+    return (float(rate), channels, seconds) if used and used >= 0.8 * max(1, len(data) - begin) else None
+
+
+# fixed values: bit rates in kbit/s (MPEG 1 and 2, layer III) and sample rates in Hz by version
+MP3_KBITS = {True: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], False: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
+MP3_RATES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
+# fixed values: sample rates by index
+ADTS_RATES = [96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350]
+
+
+def _mp3_frame(data: bytes, at: int) -> Frame | None:
+    sync, code, mode = data[at : at + 2], data[at + 2], data[at + 3]
+    version, layer, bit, sample = sync[1] >> 3 & 3, sync[1] >> 1 & 3, code >> 4, code >> 2 & 3
+    if sync[0] != 0xFF or sync[1] & 0xE0 != 0xE0 or version == 1 or layer != 1 or bit in (0, 15) or sample == 3:
+        return None
+    rate, one = MP3_RATES[version][sample], version == 3
+    size = (144 if one else 72) * MP3_KBITS[one][bit] * 1000 // rate + (code >> 1 & 1)
+    return (size, rate, 1 if mode >> 6 == 3 else 2, (1152 if one else 576) / rate) if size >= 24 else None
+
+
+def _adts_frame(data: bytes, at: int) -> Frame | None:
+    b = data[at : at + 7]
+    index, size, channels = b[2] >> 2 & 15, (b[3] & 3) << 11 | b[4] << 3 | b[5] >> 5, (b[2] & 1) << 2 | b[3] >> 6
+    if b[0] != 0xFF or b[1] & 0xF6 != 0xF0 or index >= len(ADTS_RATES) or size < 7 or not channels:
+        return None
+    return size, ADTS_RATES[index], channels, 1024 * ((b[6] & 3) + 1) / ADTS_RATES[index]
+
+
 def _mp3(data: bytes) -> tuple[str, float, int, float | None] | None:
-    # fixed values: bit rates in kbit/s (MPEG 1 and 2, layer III), sample rates in Hz, samples a frame
-    rates = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
-    kbits = {True: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], False: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
-    at = 0
-    if data[:3] == b"ID3" and len(data) >= 10:
-        at = 10 + sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0)))
-    begin, seconds, rate, channels, frames = at, 0.0, 0, 0, 0
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] & 0xE0 == 0xE0:
-        version, layer = data[at + 1] >> 3 & 3, data[at + 1] >> 1 & 3
-        bit, sample = data[at + 2] >> 4, data[at + 2] >> 2 & 3
-        if version == 1 or layer != 1 or bit in (0, 15) or sample == 3:
-            break
-        r = rates[version][sample]
-        size = (144 if version == 3 else 72) * kbits[version == 3][bit] * 1000 // r + (data[at + 2] >> 1 & 1)
-        rate, channels, frames = max(rate, r), max(channels, 1 if data[at + 3] >> 6 == 3 else 2), frames + 1
-        seconds += (1152 if version == 3 else 576) / r
-        at += size
-    whole = len(data) - begin
-    return ("mp3", float(rate), channels, seconds) if frames and min(at, len(data)) - begin >= 0.8 * whole else None
+    tagged = data[:3] == b"ID3" and len(data) >= 10
+    begin = 10 + sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0))) if tagged else 0
+    found = _walked(data, begin, 4, _mp3_frame)
+    return found and ("mp3", *found)
 
 
 def _adts(data: bytes) -> tuple[str, float, int, float | None] | None:
-    # fixed values: sample rates by index
-    rates = [96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350]
-    at, seconds, rate, channels, frames = 0, 0.0, 0, 0, 0
-    while at + 7 <= len(data) and data[at] == 0xFF and data[at + 1] & 0xF6 == 0xF0:
-        index, size = data[at + 2] >> 2 & 15, (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
-        if index >= len(rates) or size < 7:
-            break
-        rate, channels, frames = max(rate, rates[index]), max(channels, (data[at + 2] & 1) << 2 | data[at + 3] >> 6), frames + 1
-        seconds += 1024 * ((data[at + 6] & 3) + 1) / rates[index]
-        at += size
-    return ("aac", float(rate), channels, seconds) if frames and min(at, len(data)) >= 0.8 * len(data) else None
+    found = _walked(data, 0, 7, _adts_frame)
+    return found and ("aac", *found)
 
 
 def _ogg(data: bytes) -> tuple[str, float, int, float | None] | None:
@@ -100,7 +121,7 @@ def _ogg(data: bytes) -> tuple[str, float, int, float | None] | None:
 
 
 def _flac(data: bytes) -> tuple[str, float, int, float | None] | None:
-    if len(data) < 26:
+    if len(data) < 42:
         return None
     bits = int.from_bytes(data[18:26], "big")
     rate, samples = bits >> 44, bits & (1 << 36) - 1
@@ -109,9 +130,10 @@ def _flac(data: bytes) -> tuple[str, float, int, float | None] | None:
 
 def _mp4(data: bytes) -> tuple[str, float, int, float | None] | None:
     at = data.find(b"mp4a")
-    if at < 0 or at + 32 > len(data):
+    if at < 4 or at + 32 > len(data):
         return None
-    return "mp4", float(struct.unpack_from(">I", data, at + 28)[0] >> 16), struct.unpack_from(">H", data, at + 20)[0], None
+    rate, channels = struct.unpack_from(">I", data, at + 28)[0] >> 16, struct.unpack_from(">H", data, at + 20)[0]
+    return ("mp4", float(rate), channels, None) if rate and channels else None
 
 
 def layout(data: bytes) -> tuple[str, float, int, float | None] | None:
@@ -180,11 +202,32 @@ def upload_problem(length: Column, rate: Column, channels: Column, seconds: Colu
     )
 
 
+def checked(files: DataFrame) -> DataFrame:
+    """decoded() files with problem: why a file must not be decoded, or null."""
+    problem = F.when(F.col("length") > MOST_BYTES, "file too large").when(F.col("kind") != "wav", upload_problem(*(F.col(c) for c in ("length", "rate", "channels", "seconds"))))
+    return files.withColumn("problem", F.coalesce(problem, F.col("error")))
+
+
+def float_samples(rows: DataFrame, samples: str = "samples") -> DataFrame:
+    """rows with samples as floats; TypeError for arrays of integers, which may be encoded audio. Values stay as they are."""
+    kind = rows.schema[samples].dataType
+    if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, (FloatType, DoubleType)):
+        raise TypeError("samples must be arrays of float or double")
+    return rows.withColumn(samples, F.col(samples).cast("array<float>"))
+
+
+def bounded(samples: Column, rate: Column, seconds: float = MOST_SECONDS) -> Column:
+    """struct(samples, source_seconds, begins, truncated): the tail that is analysed, and what of the source it is."""
+    n = F.size(samples)
+    keep = F.greatest(F.lit(1), F.floor(rate * seconds)).cast("int")
+    return F.struct(tail(samples, rate, seconds).alias("samples"), (n / rate).alias("source_seconds"), (F.greatest(F.lit(0), n - keep) / rate).alias("begins"), (n > keep).alias("truncated"))
+
+
 def mono(channels: Column) -> Column:
     """The mean of 1 to 8 channel arrays, added in double precision and rounded to float once."""
     n = F.size(channels)
     at = F.sequence(F.lit(0), F.array_min(F.transform(channels, lambda c: F.size(c))) - 1)
-    mixed = F.transform(at, lambda i: (F.aggregate(channels, F.lit(0.0), lambda s, c: s + F.get(c, i).cast("double")) / n).cast("float"))
+    mixed = F.transform(at, lambda i: (F.aggregate(channels, F.lit(0.0), lambda s, c: s + F.get(c, i).cast("double") / n)).cast("float"))
     return F.when(n.between(1, 8), F.when(F.array_min(F.transform(channels, lambda c: F.size(c))) > 0, mixed).otherwise(F.array().cast("array<float>")))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, FloatType, NumericType, StringType, StructField, StructType
 
-from lumenfold.functions.scalars import finite, fnv1a32
+from lumenfold.functions.scalars import finite, fnv1a32, numeric
 
 # Fields that never leave, in lower case; settings that may.
 FORBIDDEN = {"deviceid", "groupid", "routeid", "inputrouteid", "calibrationroutekey", "samples", "rawsamples", "pcmsamples", "audio", "audiobuffer", "recordingblob"}
@@ -43,6 +44,28 @@ def records(text: str) -> Iterator[list[str]]:
         yield row
 
 
+def csv_rows(texts: DataFrame, column: str, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """keep and all-text columns of the records of each text with a header; missing cells are empty, surplus ones dropped."""
+    keep, columns = list(keep), list(columns)
+    kinds = to_arrow_schema(texts.select(*keep).schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, cells = [], []
+            for i, text in enumerate(b.column(len(keep)).to_pylist()):
+                rows = records(text or "")
+                header = next(rows, [])
+                place = [header.index(c) if c in header else None for c in columns]
+                for r in rows:
+                    of.append(i)
+                    cells.append([r[p] if p is not None and p < len(r) else "" for p in place])
+            kept = [b.column(i).take(pa.array(of, pa.int64())) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r[i] for r in cells], pa.string()) for i in range(len(columns)))], [*kinds.names, *columns])
+
+    fields = StructType([*texts.select(*keep).schema, *(StructField(c, StringType()) for c in columns)])
+    return texts.select(*keep, column).mapInArrow(parse, fields)
+
+
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """All-text columns of files with a header; missing cells are empty, surplus ones dropped.
 
@@ -50,18 +73,19 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
     literally, so each file is one record here and parsed whole: for small
     tables. Large ones without such fields belong in spark.read.csv.
     """
-    columns = list(columns)
+    return csv_rows(spark.read.text(path, wholetext=True), "value", columns)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                rows = records(text or "")
-                header = next(rows, [])
-                place = [header.index(c) if c in header else None for c in columns]
-                cells = [[r[p] if p is not None and p < len(r) else "" for p in place] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in cells], pa.string()) for i in range(len(columns))], columns)
 
-    return spark.read.text(path, wholetext=True).mapInArrow(parse, ", ".join(f"`{c}` string" for c in columns))
+def load_tables(spark: SparkSession, tables: dict[str, tuple[str, Sequence[str]]]) -> dict[str, DataFrame]:
+    """All of the named tables (path, columns), or an error: each header is read and must name its columns before any is given."""
+    found = {}
+    for name, (path, columns) in tables.items():
+        first = spark.read.text(path).limit(1).collect()  # one line
+        header = next(records(first[0].value), []) if first else []
+        if missing := [c for c in columns if c not in header]:
+            raise ValueError(f"table {name} lacks {', '.join(missing)}")
+        found[name] = read_csv(spark, path, columns)
+    return found
 
 
 CALIBRATION = "name string, route_id string, points array<struct<frequency: double, db: double>>"
@@ -75,9 +99,20 @@ def calibrations(rows: DataFrame) -> DataFrame:
     return checked.withColumn("points", F.array_sort("points"))
 
 
+def json_number(x: Column) -> Column:
+    """A finite number as JSON writers of browsers print it: shortest digits, no ".0", no exponent from 1e-6 up to 1e20."""
+    plain = F.regexp_replace(F.when(F.abs(x) < 1, x.cast("decimal(38,24)").cast("string")).otherwise(x.cast("decimal(38,17)").cast("string")), r"\.?0+$", "")
+    whole = F.when(F.abs(x) < 1e15, x.cast("long").cast("string"))
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    return F.when(x == 0, "0").when((x == F.floor(x)) & (F.abs(x) < 1e15), whole).when((F.abs(x) >= 1e-6) & (F.abs(x) < 1e20), plain).otherwise(power)
+
+
 def snapshot(points: Column) -> Column:
-    """Short identity of a profile's points."""
-    return F.concat(F.lit("fnv1a32-"), fnv1a32(F.to_json(points)))
+    """Short identity of a profile's usable points (frequency, db), in order of frequency."""
+    good = F.filter(points, lambda p: (p["frequency"] > 0) & (p["frequency"] < float("inf")) & (F.abs(p["db"]) < float("inf")))
+    one = lambda p: F.concat(F.lit('{"frequency":'), json_number(p["frequency"]), F.lit(',"correctionDb":'), json_number(p["db"]), F.lit("}"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(good), one), ","), F.lit("]"))
+    return F.when(F.size(points) > 0, F.concat(F.lit("fnv1a32-"), fnv1a32(text)))
 
 
 def sanitized(df: DataFrame) -> DataFrame:
@@ -110,8 +145,55 @@ def json_documents(df: DataFrame) -> DataFrame:
     return sanitized(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
 
 
+# Settings of a track that may be kept, of which these are numbers.
+SETTINGS = ["sampleRate", "sampleSize", "channelCount", "latency", "echoCancellation", "noiseSuppression", "autoGainControl", "suppressLocalAudioPlayback", "restrictOwnAudio"]
+
+
+def audio_settings(settings: Column, kind: StructType) -> Column:
+    """The allowed fields of a struct of settings that are numbers or booleans, non-finite numbers null; null for null."""
+    named = {f.name: f.dataType for f in kind}
+    kept = [n for n in SETTINGS if isinstance(named.get(n), (NumericType, BooleanType))]
+    value = lambda n: finite(settings.getField(n)) if isinstance(named[n], (DoubleType, FloatType)) else settings.getField(n)
+    return F.when(settings.isNotNull(), F.struct(*[value(n).alias(n) for n in kept])) if kept else F.lit(None)
+
+
+def numbers(values: Column) -> Column:
+    """The numbers of a text array as doubles, null for what is none; a missing array is empty."""
+    return F.coalesce(F.transform(values, lambda v: numeric(v)), F.array().cast("array<double>"))
+
+
+# Error names that may be kept, and what stands for each kind of failure.
+ERROR_NAMES = ["NotAllowedError", "PermissionDeniedError", "SecurityError", "NotFoundError", "DevicesNotFoundError", "NotReadableError", "TrackStartError", "AbortError", "OverconstrainedError", "NotSupportedError", "TypeError", "Error"]
+DENIED = r"(?i)not allowed|permission denied|permission dismissed|denied permission|access was denied|user agent or the platform|not permitted.*context"
+
+
+def startup_failure(name: Column, message: Column, stage: Column, ios: Column, standalone: Column) -> Column:
+    """struct(error_name, category, stage, permission_denied, ios_standalone_denial) of a failed start; the free text is not kept."""
+    kept = F.when(name.isin(ERROR_NAMES), name).otherwise("Error")
+    denied = F.coalesce(kept.isin(ERROR_NAMES[:3]) | message.rlike(DENIED), kept.isin(ERROR_NAMES[:3]))
+    category = F.when(denied, "denied").when(kept.isin("NotFoundError", "DevicesNotFoundError"), "not found").when(kept.isin("NotReadableError", "TrackStartError"), "not readable").otherwise("failed")
+    step = F.when(stage.isin("get-user-media", "audio-setup", "startup"), stage).otherwise("startup")
+    special = F.coalesce(ios & standalone & (step == "get-user-media") & denied, F.lit(False))
+    return F.struct(kept.alias("error_name"), category.alias("category"), step.alias("stage"), denied.alias("permission_denied"), special.alias("ios_standalone_denial"))
+
+
+def app_url(url: Column) -> Column:
+    """The folder of an HTTP(S) page without query and fragment; null for other schemes."""
+    bare = F.regexp_replace(url, r"[?#].*$", "")
+    return F.when(bare.rlike(r"^https?://[^/]+$"), F.concat(bare, F.lit("/"))).when(bare.rlike("^https?://"), F.regexp_extract(bare, "^(.*/)", 1))
+
+
+def input_route(device_id: Column, label: Column) -> Column:
+    return F.coalesce(F.when(device_id != "", device_id), F.when(label != "", label), F.lit("default-microphone"))
+
+
+def iso_time(ts: Column) -> Column:
+    """A timestamp in UTC as ISO 8601 with milliseconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def browser_family(agent: Column) -> Column:
-    """The browser that a user agent names; the more special ones first."""
-    rules = [("Edge", r"Edg(?:e|A|iOS)?/(\d+)"), ("Firefox", r"(?:Firefox|FxiOS)/(\d+)"), ("Chrome", r"(?:Chrome|CriOS)/(\d+)"), ("Safari", r"Version/(\d+).*Safari")]
-    found = [F.when(agent.rlike(p), F.concat(F.lit(f"{n} "), F.regexp_extract(agent, p, 1))) for n, p in rules]
-    return F.coalesce(*found, F.lit("unknown"))
+    """struct(family, version) that a user agent names, the more special families first; the agent itself is not kept."""
+    rules = [("Edge", r"Edg(?:A|iOS)?/(\d+(?:\.\d+)*)"), ("Firefox", r"(?:Firefox|FxiOS)/(\d+(?:\.\d+)*)"), ("Chrome", r"(?:Chrome|CriOS)/(\d+(?:\.\d+)*)"), ("Safari", r"Version/(\d+(?:\.\d+)*)")]
+    found = [F.when(agent.rlike(p), F.struct(F.lit(n).alias("family"), F.regexp_extract(agent, p, 1).alias("version"))) for n, p in rules]
+    return F.coalesce(*found, F.struct(F.lit("unknown").alias("family"), F.lit(None).cast("string").alias("version")))

@@ -78,7 +78,7 @@ class Session:
         if not budget:
             return kind, begins, ends, level, peak, None, None, None, None, len(samples)
         freq, power, _ = spectra.welch(samples, self.rate, budget=budget)
-        top = min(spectra.FIT_RANGE[1], 0.45 * self.rate)
+        top = min(spectra.FIT_RANGE[1], 0.48 * self.rate)
         fit = spectra.power_law(freq, power, spectra.FIT_RANGE[0], top)
         flat = spectra.flatness(power[spectra.in_range(freq, power, spectra.FIT_RANGE[0], top)])
         value = lambda v: float(v) if np.isfinite(v) else None
