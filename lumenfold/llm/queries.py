@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from . import oracle
 from .common import table
 from .decontamination import decontamination
@@ -45,7 +47,9 @@ def op7_suffix_dedup(spark, sf_dir):
 
 
 def op8_surrogates(spark, sf_dir):
-    return surrogates(table(spark, sf_dir, "documents"))
+    # without a key in the session one is made for this run, which nobody can rebuild the mapping with
+    key = spark.conf.get("spark.lumenfold.surrogates.key", None) or secrets.token_hex(32)
+    return surrogates(table(spark, sf_dir, "documents"), key)
 
 
 def op9_mixing(spark, sf_dir):

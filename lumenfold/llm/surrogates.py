@@ -7,6 +7,13 @@ of the same case, card numbers with a right check digit, names of the same
 gender and script. Surrogates that meet each other or a real entity are drawn
 again until all are distinct. The texts then get them in place.
 
+Names stand behind a title or begin with one of the given names below; others
+stay. Surnames
+have surrogates of their own, so that a family keeps its name in all forms; a
+full name is one person for each gender that titles give it. Without a title
+the gender is the one that the name has elsewhere, else that of its given name,
+else either. Each draw makes longer names, so their number has no bound.
+
 A secret's value runs from its name to the next white space, quote, angle
 bracket, comma or semicolon, however long; it has 8 characters at least and a
 digit. A phone number has a + and 8 to 15 digits, in any groups or none; or the
@@ -22,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import identified, settle
 
-# Titles by gender, given names by gender and script, syllables of surnames by script.
+# Titles by gender, given names by gender and script, syllables of surnames by script, further given names by which names without a title are known.
 MALE_TITLES = ["Mr", "Herr", "Señor", "Monsieur", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"]
+NEUTRAL_TITLES = ["Dr", "Prof", "Доктор"]
 GIVEN = {
     ("male", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Luis"],
     ("female", "latin"): ["Anna", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Helena", "Irma", "Julia", "Karla", "Lena"],
@@ -36,6 +44,12 @@ SYLLABLES = {
     "cyrillic": ["ба", "бе", "бо", "да", "де", "до", "фа", "га", "го", "ха", "ка", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "ра", "ро", "са", "се", "со", "та", "те", "то", "ва"],
 }
 
+KNOWN = {
+    "male": ["John", "James", "Robert", "Michael", "William", "Thomas", "Peter", "Paul", "George", "Henry", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Pierre", "Jean", "Jacques", "Michel", "François", "Juan", "Carlos", "Pedro", "Miguel", "Александр", "Сергей", "Дмитрий", "Алексей", "Николай"],
+    "female": ["Jane", "Mary", "Elizabeth", "Susan", "Sarah", "Margaret", "Emily", "Laura", "Alice", "Emma", "Ursula", "Sabine", "Monika", "Petra", "Heike", "Marie", "Sophie", "Camille", "Isabelle", "Claire", "Maria", "Carmen", "Lucía", "Pilar", "Екатерина", "Наталья", "Татьяна", "Светлана", "Анастасия"],
+}
+BY_GENDER = {g: KNOWN[g] + [n for (gender, _), names in GIVEN.items() if gender == g for n in names] for g in KNOWN}
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Phone numbers: grouped three and four behind brackets or three digits; + and digits in any groups or none, the whole of up to 15 first; with a leading 0.
@@ -51,6 +65,7 @@ _PHONES = [
     r"(?<![\d.,+/-])(?=0[1-9](?:-?\d){7,10}(?!\d))(?!\d{3}-\d{2}-\d{4}(?!\d))0[1-9]\d{0,4}(?:-\d{3,8}){1,3}(?![ /.-]?\d)",
     r"(?<![\d.,+/-])0[1-9](?:\.\d{2}){4}(?![.]?\d)",
 ]
+_TITLED = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)})\.? (?:(?:{'|'.join(NEUTRAL_TITLES)})\.? )?"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "secret": _ASSIGNED + r"(?=[^\s\"'<>\d]*+\d)[^\s\"'<>,;]{8,}+",
@@ -60,7 +75,7 @@ PATTERNS = {
     "card": r"(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])",
     "national_id": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "address": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLED}\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}|(?:{'|'.join(BY_GENDER['male'] + BY_GENDER['female'])}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)(?!\p{{L}})",
 }
 # the card's group would number differently inside the whole; its separators are spelled out there
 _WHOLE = PATTERNS | {"card": r"(?<![\d.-])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\d-])"}
@@ -85,7 +100,7 @@ def _kind(entity: Column) -> Column:
 
 def _head(kind: Column, entity: Column) -> Column:
     """What stays in front of an entity: the secret's name, the person's title."""
-    secret, title = F.regexp_extract(entity, f"^{_ASSIGNED}", 0), F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
+    secret, title = F.regexp_extract(entity, f"^{_ASSIGNED}", 0), F.regexp_extract(entity, f"^{_TITLED}", 0)
     return F.when(kind == "secret", secret).when(kind == "name", title).otherwise("")
 
 
@@ -109,25 +124,48 @@ def _letters(seed: Column, text: Column, hexadecimal: Column | bool = False) ->
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _name(seed: Column, title: Column, canonical: Column) -> Column:
-    male = F.regexp_extract(title, r"^\p{L}+", 0).isin(MALE_TITLES)
-    cyrillic = canonical.rlike(r"^\p{IsCyrillic}")
-    pick = lambda words, part, i: F.element_at(F.array(*map(F.lit, words)), _draw(F.concat(seed, part), F.lit(i), len(words)) + 1)
+def _syllables(seed: Column, script: str, n: Column) -> Column:
+    """A capitalised word of n syllables."""
+    table = F.array(*map(F.lit, SYLLABLES[script]))
+    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(table, _draw(seed, i, len(SYLLABLES[script])) + 1))
+    return F.initcap(F.array_join(parts, ""))
+
+
+def _by_script(text: Column, make) -> Column:
+    return F.when(text.rlike(r"^\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
+
+
+def _family(seed: Column, canonical: Column, draw: Column) -> Column:
+    """A surname: four syllables, one more after each two draws; each part of a double name has its own."""
+    part = lambda x, s: _syllables(F.concat(seed, x), s, 4 + (draw / 2).cast("int"))
+    return F.array_join(F.transform(F.split(canonical, "-"), lambda x: _by_script(canonical, lambda s: part(x, s))), "-")
 
-    def by_script(make) -> Column:
-        return F.when(cyrillic, make("cyrillic")).otherwise(make("latin"))
 
-    parts = F.split(canonical, "[ -]")
-    last = F.element_at(parts, -1)
-    family = by_script(lambda s: F.initcap(F.concat(*(pick(SYLLABLES[s], last, i) for i in range(4)))))
-    given = by_script(lambda s: F.when(male, pick(GIVEN["male", s], parts[0], 9)).otherwise(pick(GIVEN["female", s], parts[0], 9)))
-    return F.when(F.size(parts) > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
+def _given(seed: Column, canonical: Column, gender: Column, draw: Column) -> Column:
+    """A given name of a gender: one of its names, then two of them, then one with a made one."""
 
+    def of(names: list[str], i: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, names)), _draw(seed, F.lit(i), len(names)) + 1)
 
-def _surrogate(key: str, kind: Column, title: Column, canonical: Column, draw: Column) -> Column:
-    """The surrogate of a canonical entity at the draw-th try; the key is hashed in, so it can't be guessed from texts."""
-    # a person's name parts are keyed apart, so that a surname keeps its surrogate with and without a given name
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, F.when(kind == "name", F.lit("")).otherwise(canonical), draw.cast("string")), 256)
+    def pick(s: str, i: int) -> Column:
+        male, female = GIVEN["male", s], GIVEN["female", s]
+        return F.when(gender == "male", of(male, i)).when(gender == "female", of(female, i)).otherwise(of(male + female, i))
+
+    def grown(s: str) -> Column:
+        second = F.when(draw < 3, pick(s, 10)).otherwise(_syllables(seed, s, 2 + (draw / 2).cast("int")))
+        return F.when(draw == 0, pick(s, 9)).otherwise(F.concat(pick(s, 9), F.lit("-"), second))
+
+    return _by_script(canonical, grown)
+
+
+def _surrogate(key: str, c: dict[str, Column]) -> Column:
+    """The surrogate of a canonical entity at the draw-th try; the key is hashed in, so it can't be guessed from texts.
+
+    c: kind, canonical, gender and family (the surname's surrogate) of full names, draw.
+    """
+    kind, canonical = c["kind"], c["canonical"]
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, c["draw"].cast("string")), 256)
+    given = F.sha2(F.concat_ws("|", F.lit(key), kind, c["gender"], F.substring_index(canonical, " ", 1), c["draw"].cast("string")), 256)
     shuffled = _letters(seed, canonical)
     hexadecimal = F.when(canonical.rlike("^[0-9a-f]+$"), _letters(seed, canonical, F.lit(True))).otherwise(shuffled)
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
@@ -139,7 +177,8 @@ def _surrogate(key: str, kind: Column, title: Column, canonical: Column, draw: C
     return (
         F.when(kind == "email", F.concat(_letters(seed, local), F.lit("@"), _letters(F.concat(seed, F.lit("d")), labels), top))
         .when(kind == "card", checked).when(kind == "address", octets).when(kind == "secret", hexadecimal)
-        .when(kind == "access_key", F.concat(canonical.substr(1, 4), _letters(seed, canonical.substr(5, 99)))).when(kind == "name", _name(seed, title, canonical))
+        .when(kind == "access_key", F.concat(canonical.substr(1, 4), _letters(seed, canonical.substr(5, 99))))
+        .when(kind == "family", _family(seed, canonical, c["draw"])).when(kind == "name", F.concat(_given(given, canonical, c["gender"], c["draw"]), F.lit(" "), c["family"]))
         .otherwise(shuffled)
     )
 
@@ -153,39 +192,76 @@ def _rendered(kind: Column, body: Column, surrogate: Column) -> Column:
 
 
 def distinct_surrogates(canonical: DataFrame, key: str) -> DataFrame:
-    """kind, canonical, surrogate from kind, canonical, title: no two alike, none a real entity.
+    """kind, canonical, gender, surrogate from kind, canonical, gender, family: no two of a kind alike, none a real entity.
 
     Of those that draw one surrogate the first keeps it; the others, and those
-    that draw a real entity, draw again. Each turn is written to the shared folder.
+    that draw a real entity, draw again. Each turn is written to the shared
+    folder. A format almost all of whose values are real entities has no room
+    for others and raises RuntimeError.
     """
+    columns = ["kind", "canonical", "gender", "family"]
 
     def drawn(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("title"), F.col("canonical"), F.col("draw")))
+        return rows.withColumn("surrogate", _surrogate(key, {c: F.col(c) for c in [*columns, "draw"]}))
 
-    rows = settle(drawn(canonical.withColumn("draw", F.lit(0))), "surrogates-0")
-    real = rows.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
+    rows = settle(drawn(canonical.select(*columns).withColumn("draw", F.lit(0))), "surrogates-0")
+    real = rows.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
+    mark = F.struct("canonical", "gender")
     for turn in range(1, MOST_DRAWS + 1):
-        taken = rows.groupBy("kind", "surrogate").agg(F.min("canonical").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+        taken = rows.groupBy("kind", "surrogate").agg(F.min(mark).alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
         checked = rows.join(taken, ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
-        again = F.coalesce(F.col("keeper") != F.col("canonical"), F.lit(False)) | F.col("real").isNotNull()
-        marked = settle(checked.select("kind", "canonical", "title", "surrogate", (F.col("draw") + again.cast("int")).alias("draw"), again.alias("again")), f"surrogates-{turn}")
+        again = F.coalesce(F.col("keeper") != mark, F.lit(False)) | F.col("real").isNotNull()
+        marked = settle(checked.select(*columns, "surrogate", (F.col("draw") + again.cast("int")).alias("draw"), again.alias("again")), f"surrogates-{turn}")
         if marked.where("again").isEmpty():
-            return rows.select("kind", "canonical", "surrogate")
+            return rows.select("kind", "canonical", "gender", "surrogate")
         rows = settle(marked.where("not again").drop("again").unionByName(drawn(marked.where("again").drop("again", "surrogate"))), f"drawn-{turn}")
     raise RuntimeError(f"surrogates are not distinct after {MOST_DRAWS} draws: a kind has almost no free values")
 
 
-def surrogates(docs: DataFrame, key: str = "lumenfold") -> DataFrame:
+def _people(forms: DataFrame) -> DataFrame:
+    """entity, canonical, family, gender of forms (entity, title, canonical) of the kind name; gender is "" for lone surnames."""
+    title = F.regexp_extract("title", r"^\p{L}+", 0)
+    told = F.when(title.isin(MALE_TITLES), "male").when(title.isin(FEMALE_TITLES), "female")
+    full = F.col("canonical").contains(" ")
+    rows = forms.select("entity", "canonical", F.element_at(F.split("canonical", " "), -1).alias("family"), full.alias("full"), told.alias("told"))
+    elsewhere = rows.where("full").groupBy("canonical").agg(F.min("told").alias("low"), F.max("told").alias("high"))
+    elsewhere = elsewhere.select("canonical", F.when(F.col("low") == F.col("high"), F.col("low")).alias("elsewhere"), F.col("low").isNotNull().alias("known"))
+    given = F.substring_index("canonical", " ", 1)
+    by_name = F.when(given.isin(BY_GENDER["male"]), "male").when(given.isin(BY_GENDER["female"]), "female")
+    gender = F.coalesce("told", "elsewhere", F.when(~F.col("known"), by_name), F.lit("either"))
+    return rows.join(elsewhere, "canonical", "left").select("entity", "canonical", "family", F.when(F.col("full"), gender).otherwise("").alias("gender"))
+
+
+def entity_surrogates(forms: DataFrame, key: str) -> DataFrame:
+    """entity, surrogate of forms (entity, kind, title, canonical): surnames first, then the names that hold them."""
+    none = F.lit("").alias("gender"), F.lit("").alias("family")
+    people = settle(_people(forms.where("kind = 'name'")), "people")
+    plain = forms.where("kind != 'name'").select("kind", "canonical", *none)
+    families = people.select(F.lit("family").alias("kind"), F.col("family").alias("canonical"), *none)
+    first = settle(distinct_surrogates(plain.unionByName(families).distinct(), key), "surrogates")
+    surnames = first.where("kind = 'family'").select(F.col("canonical").alias("family"), F.col("surrogate").alias("new_family"))
+    people = people.join(surnames, "family")
+    full = people.where("gender != ''").select(F.lit("name").alias("kind"), "canonical", "gender", F.col("new_family").alias("family")).distinct()
+    names = settle(distinct_surrogates(full, key).select("canonical", "gender", "surrogate"), "names")
+    named = people.join(names, ["canonical", "gender"], "left").select("entity", F.coalesce("surrogate", "new_family").alias("surrogate"))
+    others = forms.where("kind != 'name'").join(first.where("kind != 'family'"), ["kind", "canonical"]).select("entity", "surrogate")
+    return named.unionByName(others)
+
+
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (with surrogates), n_entities, kinds of each row of docs (doc_id, text, ...).
 
+    The key is a secret: whoever has it can find the surrogate of an entity.
     n_entities counts the replaced places, kinds names their kinds in order. Equal
     entities get equal surrogates in all documents, different ones different
     surrogates. Texts without entities are returned as they are, null as null
     with no entities; rows without doc_id are left out; rows that repeat a doc_id
     with its text each get their result. Numbers like cards with a wrong check
     digit are left alone. Other columns are not read; an empty table gives an
-    empty result.
+    empty result. An empty key is an error.
     """
+    if not key:
+        raise ValueError("surrogates need a secret key")
     docs = identified(docs)
     all_of = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     seen = docs.select("doc_id", F.explode(F.array_distinct(all_of)).alias("entity")).withColumn("kind", _kind(F.col("entity"))).where("kind is not null")
@@ -193,8 +269,7 @@ def surrogates(docs: DataFrame, key: str = "lumenfold") -> DataFrame:
     forms = seen.select("entity", "kind").distinct().withColumn("title", _head(F.col("kind"), F.col("entity")))
     forms = forms.withColumn("body", F.expr("substring(entity, length(title) + 1)")).withColumn("canonical", _canonical(F.col("kind"), F.col("body")))
     forms = settle(forms, "forms")
-    drawn = distinct_surrogates(forms.groupBy("kind", "canonical").agg(F.min("title").alias("title")), key)
-    rendered = forms.join(drawn, ["kind", "canonical"]).select("entity", "kind", F.concat("title", _rendered(F.col("kind"), F.col("body"), F.col("surrogate"))).alias("new"))
+    rendered = forms.join(entity_surrogates(forms, key), "entity").select("entity", "kind", F.concat("title", _rendered(F.col("kind"), F.col("body"), F.col("surrogate"))).alias("new"))
     per_doc = seen.select("doc_id", "entity").join(rendered, "entity").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("kind", "new")))).alias("map"))
     joined = docs.join(per_doc, "doc_id", "left")
     found = F.when(F.col("map").isNotNull(), all_of)

@@ -14,13 +14,18 @@ import xxhash
 from lumenfold.llm import decontamination as decontaminate
 from lumenfold.llm.language_id import language_id
 from lumenfold.llm.mixing import mix, source_targets
-from lumenfold.llm.surrogates import surrogates
+from lumenfold.llm import surrogates as surrogate
+
 
 from .data import SCHEMA, documents
 
 LETTERS = {"en": "the and ing tion ou wh".split(), "fr": "eau oi ç é ment que".split(), "de": "sch ung ä ü ß lich".split(), "ru": "ста про ени ого".split()}
 
 
+def surrogates(docs, key="a test's key"):
+    return surrogate.surrogates(docs, key)
+
+
 def spoken(seed=1, n=400):
     rng = random.Random(seed)
     rows = []
@@ -257,3 +262,43 @@ def test_surrogates_stay_distinct(spark):
     new = [w for r in got for w in r.text.split() if w not in ("host", "and")]
     assert len(set(new)) == 1600 and not set(new) & real
     assert surrogates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_people(spark):
+    """Gender goes with each title, families keep their name, untitled names are the ones known elsewhere."""
+    texts = [
+        "Mrs Robin Lee came", "Mr Robin Lee went", "Mrs Jean Stone and Jean Stone", "John Doe wrote to Jane Doe", "Dr. Jane Roe", "Prof. Robin Smith-Jones, Frau Dr. Eva Lee", "Mrs Lee and Mr Lee",
+        "Господин Иван Петров", "Johnny Doe, Bojohn Doe, JOHN DOE, john doe", "Jean Lee",
+    ]
+    rows = surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r.text for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    female, male = surrogate.GIVEN["female", "latin"], surrogate.GIVEN["male", "latin"]
+    split = lambda t, p: re.fullmatch(p, t).groups()
+    name = r"([\w-]+) ([\w-]+)"
+    (f1, lee1), (m1, lee2) = split(got[0], f"Mrs {name} came"), split(got[1], f"Mr {name} went")
+    assert f1.split("-")[0] in female and m1.split("-")[0] in male and lee1 == lee2 != "Lee"
+    a, stone, b, again = split(got[2], f"Mrs {name} and {name}")
+    assert (a, stone) == (b, again) and a.split("-")[0] in female and stone != lee1
+    j, doe, k, doe2 = split(got[3], f"{name} wrote to {name}")
+    assert doe == doe2 != "Doe" and j.split("-")[0] in male and k.split("-")[0] in female
+    assert split(got[4], rf"Dr\. {name}")[0].split("-")[0] in female
+    r, double, e, lee3 = split(got[5], rf"Prof\. {name}, Frau Dr\. {name}")
+    assert double.count("-") == 1 and e.split("-")[0] in female and lee3 == lee1
+    assert split(got[6], r"Mrs (\w+) and Mr (\w+)") == (lee1, lee1)
+    assert split(got[7], r"Господин ([А-Я][а-я-]+) ([А-Я][а-я]+)")[0].split("-")[0] in surrogate.GIVEN["male", "cyrillic"]
+    assert got[8] == texts[8] and split(got[9], name)[1] == lee1
+
+
+def test_more_names_than_short_ones(spark, monkeypatch):
+    """2,000 surnames where four syllables make 16, and 400 given names of one family: longer ones are made."""
+    monkeypatch.setattr(surrogate, "SYLLABLES", {k: v[:2] for k, v in surrogate.SYLLABLES.items()})
+    word = lambda i: "X" + "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f"Mr {word(i)}") for i in range(2000)] + [(5000 + i, f"Mrs {word(i)} Quill") for i in range(400)]
+    got = [r.text for r in surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(got)) == len(rows) and not {t for _, t in rows} & set(got)
+    assert len({t.split(" ")[-1] for t in got if t.startswith("Mrs")}) == 1
+
+
+def test_surrogates_need_a_key(spark):
+    with pytest.raises(ValueError):
+        surrogate.surrogates(spark.createDataFrame([], "doc_id long, text string"), "")
