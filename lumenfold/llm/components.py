@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     before = None
     while True:
-        edges = settle(_small_star(_large_star(edges)), "edges")
+        turned = settle(_small_star(_large_star(edges)), "edges")
+        if before is not None:
+            discard(edges)
+        edges = turned
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("a").alias("doc_id"), F.col("a").alias("root")).distinct()

@@ -1,6 +1,8 @@
 """The stages of the corpus pipeline.
 
 Each takes (spark, docs, sf_dir); all but the last return the columns of docs.
+An empty table stays empty. Rows without doc_id and rows that repeat one are
+rows of their own in every stage.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from .token_files import read_tokens, write_tokens
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter.
+    """Drops documents without a language (null texts, texts without a letter); names the language of those that have no lang.
 
     The prototypes come from the documents that are not held out. Where nothing
-    could be learned (no labelled text), nothing can be rejected.
+    could be learned (no labelled text), nothing can be rejected or named.
     """
     model = fit(docs.where(~held_out()))
     if not model[0]:
         return docs
     whole = docs.select(F.struct("*").alias("row"), "text")
-    return predict(whole, model, ["row"]).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    named = predict(whole, model, ["row"]).where(F.col("lang_pred") != UNKNOWN)
+    return named.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +50,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops documents in which a window of a benchmark item occurs; null texts have none and stay."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; its odds come from a hash of the row, also without doc_id."""
+    """Each row as often as the mix takes it; its odds come from a hash of the row, also without doc_id.
+
+    Equal rows have equal odds; null and empty texts have no words to take. A
+    null source is one of its own.
+    """
     rows = numbered(docs, "rows")
     mark = F.xxhash64(*docs.columns).alias("doc_id")
     copies = mix(rows.select(mark, "source", "text", "row"), carried=("row",)).where("copies > 0").select("row", "copies")
@@ -61,7 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32. Each copy is a document; a null text has the end id alone."""
     path = scratch(spark, "corpus")
     write_tokens(docs, path)
     return read_tokens(spark, path)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, settle
+from .common import discard, identified, settle
 
 # Titles by gender, given names by gender and script, syllables of surnames by script, further given names by which names without a title are known.
 MALE_TITLES = ["Mr", "Herr", "Señor", "Monsieur", "Господин"]
@@ -205,7 +205,7 @@ def distinct_surrogates(canonical: DataFrame, key: str) -> DataFrame:
         return rows.withColumn("surrogate", _surrogate(key, {c: F.col(c) for c in [*columns, "draw"]}))
 
     rows = settle(drawn(canonical.select(*columns).withColumn("draw", F.lit(0))), "surrogates-0")
-    real = rows.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
+    real = settle(rows.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct(), "real")
     mark = F.struct("canonical", "gender")
     for turn in range(1, MOST_DRAWS + 1):
         taken = rows.groupBy("kind", "surrogate").agg(F.min(mark).alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -213,8 +213,11 @@ def distinct_surrogates(canonical: DataFrame, key: str) -> DataFrame:
         again = F.coalesce(F.col("keeper") != mark, F.lit(False)) | F.col("real").isNotNull()
         marked = settle(checked.select(*columns, "surrogate", (F.col("draw") + again.cast("int")).alias("draw"), again.alias("again")), f"surrogates-{turn}")
         if marked.where("again").isEmpty():
+            discard(marked)
             return rows.select("kind", "canonical", "gender", "surrogate")
+        discard(rows)
         rows = settle(marked.where("not again").drop("again").unionByName(drawn(marked.where("again").drop("again", "surrogate"))), f"drawn-{turn}")
+        discard(marked)
     raise RuntimeError(f"surrogates are not distinct after {MOST_DRAWS} draws: a kind has almost no free values")
 
 

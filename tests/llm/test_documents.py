@@ -8,11 +8,12 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
 from lumenfold.llm import decontamination as decontaminate
-from lumenfold.llm.language_id import language_id
+from lumenfold.llm.language_id import language_id, letter_vector
 from lumenfold.llm.mixing import mix, source_targets
 from lumenfold.llm import surrogates as surrogate
 
@@ -47,6 +48,38 @@ def test_language_id(spark):
     assert held and sum(r.lang_pred == true[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def plain_languages(rows, size, seed=7):
+    """lang_pred and score by doc_id, each letter gram's vector by its definition."""
+    letter = lambda c: letter_vector(ord(c), size, seed).astype(float)
+
+    def vector(text):
+        text = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+        grams = Counter(text[i : i + 3] for i in range(len(text) - 2))
+        return sum(n * np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2]) for g, n in grams.items()), np.sqrt(sum(n * n for n in grams.values()))
+
+    known = {r[0]: vector(r[1]) for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+    sums = defaultdict(lambda: np.zeros(size))
+    for r in rows:
+        if r[0] in known and r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2:
+            sums[r[2]] += known[r[0]][0] / known[r[0]][1]
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    for r in rows:
+        if r[0] not in known:
+            yield r[0], "und", 0.0
+            continue
+        cosines = {k: float(v @ known[r[0]][0] / np.linalg.norm(known[r[0]][0])) for k, v in unit.items()}
+        best = max(cosines, key=cosines.get)
+        yield r[0], best, max(0.0, cosines[best])
+
+
+def test_language_id_by_definition(spark):
+    rows = [r for r in spoken(3, 120)[0] if r[0] is not None]
+    rows = list({r[0]: r for r in rows}.values())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id(spark.createDataFrame(rows, SCHEMA), size=256).collect()}
+    for doc_id, lang, score in plain_languages(rows, 256):
+        assert got[doc_id][0] == lang and got[doc_id][1] == pytest.approx(score, abs=1e-4)
+
+
 def test_language_id_without_labels(spark):
     rows = [(1, "abc", None, None, None, None), (2, None, None, None, None, None)]
     assert {(r.lang_pred, r.score) for r in language_id(spark.createDataFrame(rows, SCHEMA)).collect()} == {("und", 0.0)}

@@ -12,7 +12,7 @@ import corpus_pipeline
 from lumenfold.llm import pipeline
 from lumenfold.llm.common import settle, table
 
-from .test_documents import plain_hits, plain_targets
+from .test_documents import plain_hits, plain_targets, spoken
 from .test_near_duplicates import plain
 from .test_tokens import WORDS, ids
 
@@ -33,8 +33,26 @@ def kept(spark):
 
 
 def test_language_rejects_texts_without_letters(kept):
+    """The others stay; what has no lang gets the one that most of its words' neighbours in text have, others keep theirs."""
     want = [r for r in kept["documents"] if r[1] and any(c.isalpha() for c in r[1])]
-    assert Counter(kept["language"]) == Counter(want)
+    assert Counter((r[0], r[1], *r[3:]) for r in kept["language"]) == Counter((r[0], r[1], *r[3:]) for r in want)
+    told = {r[0]: r[2] for r in want}
+    assert all(r[2] == told[r[0]] if told[r[0]] else r[2] in {"de", "en", "es", "fr", *told.values()} for r in kept["language"])
+    assert None not in {r[2] for r in kept["language"]}
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_empty_table(spark, name, stage):
+    out = stage(spark, spark.createDataFrame([], COLUMNS), SF)
+    assert out.collect() == [] and (name == "tokens" or out.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def test_unnamed_languages_are_named(spark):
+    rows, _ = spoken(n=200)
+    docs = spark.createDataFrame([(r[0], r[1], None if i % 9 == 0 else r[2], r[3], r[4]) for i, r in enumerate(rows)], COLUMNS)
+    got = {r.doc_id: r.lang for r in pipeline.language(spark, docs, SF).collect()}
+    true = {r[0]: r[2] for i, r in enumerate(rows) if r[2] and i % 9 == 0 and r[1] and any(c.isalpha() for c in r[1])}
+    assert true and sum(got[k] == v for k, v in true.items()) >= 0.95 * len(true)
 
 
 def test_one_of_each_group_stays(kept):
