@@ -26,8 +26,8 @@ def validated(rate: float, low: float, high: float, size: int, overlap: float, b
         raise ValueError("frames need 256 samples, an overlap below 1 and a budget")
 
 
-def measure(samples: np.ndarray, rate: float, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1], budget: int = 48) -> dict:
-    """All measurements of one window of samples."""
+def levels(samples: np.ndarray, rate: float) -> dict:
+    """Duration, level, clipping and shape of some samples."""
     x = np.asarray(samples, np.float32).astype(np.float64)
     good = x[np.isfinite(x)]
     n = len(good)
@@ -35,7 +35,12 @@ def measure(samples: np.ndarray, rate: float, low: float = spectra.FIT_RANGE[0],
     share = lambda m: float(m.sum()) / n if n else None
     out = dict(duration=len(x) / rate if rate else None, rms=rms, dbfs=20 * float(np.log10(max(1e-12, rms))) if n else None, peak=float(a.max()) if n else None)
     out |= dict(clipping=share(a >= stats.CLIP), near_clipping=share(a >= stats.NEAR_CLIP), plateau=share((a[1:] >= stats.PLATEAU_LEVEL) & (np.abs(np.diff(good)) <= stats.PLATEAU_STEP)))
-    out |= dict(crest=out["peak"] / rms if rms else None, kurtosis=float((good**4).mean() / rms**4) if rms else None, edge_density=share(a >= 0.9 * a.max()) if n else None, non_finite=1 - n / len(x) if len(x) else 0.0)
+    return out | dict(crest=out["peak"] / rms if rms else None, kurtosis=float((good**4).mean() / rms**4) if rms else None, edge_density=share(a >= 0.9 * a.max()) if n else None, non_finite=1 - n / len(x) if len(x) else 0.0)
+
+
+def measure(samples: np.ndarray, rate: float, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1], budget: int = 48) -> dict:
+    """All measurements of one window of samples."""
+    x, out = np.asarray(samples, np.float32).astype(np.float64), levels(samples, rate)
     freq, power, segments = spectra.welch(np.where(np.isfinite(x), x, 0.0), rate or 0.0, budget=budget)
     high = min(high, 0.48 * (rate or 0.0))
     fit = spectra.power_law(freq, power, low, high)
@@ -48,6 +53,12 @@ def measure(samples: np.ndarray, rate: float, low: float = spectra.FIT_RANGE[0],
     return out | {"segments": segments}
 
 
+def clipped() -> Column:
+    """Whether the levels of a row tell of clipping or limiting."""
+    limited = stats.limiting(*(F.col(x) for x in ("plateau", "dbfs", "crest", "kurtosis", "edge_density")))
+    return (F.col("clipping") > 0.001) | (F.col("near_clipping") > 0.01) | (F.col("peak") >= 0.9999) | limited
+
+
 def gated(measured: DataFrame, temporal_sd: Column | None = None) -> DataFrame:
     """measured with state, confidence, reliable and reasons."""
     c = {name: F.col(name) for name in measured.columns}
@@ -86,10 +97,8 @@ def timeline(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0, s
     start = F.explode(F.sequence(F.lit(0), F.size("samples") - 1, size))
     frames = signals.where("size(samples) > 0").select(key, "rate", size.alias("size"), start.alias("start"), "samples")
     frames = frames.select(key, "rate", "start", F.slice("samples", F.col("start") + 1, F.col("size")).alias("samples"))
-    levels = spectral.each_signal(frames, lambda x, r: {k: measure(x, 0.0)[k] for k in ("rms", "dbfs", "peak", "clipping", "near_clipping", "plateau", "crest", "kurtosis", "edge_density", "non_finite")} | {"n": len(x), "rate_": r}, "rms double, dbfs double, peak double, clipping double, near_clipping double, plateau double, crest double, kurtosis double, edge_density double, non_finite double, n int, rate_ double", [key, "start"])
-    levels = levels.withColumn("begins", F.col("start") / F.col("rate_")).withColumn("ends", (F.col("start") + F.col("n")) / F.col("rate_")).withColumn("time", (F.col("begins") + F.col("ends")) / 2)
-    near = intervals.nearest(levels, observations(signals, key, seconds, step).select(key, "time", "state"), [key], "time", ["state"])
-    limited = stats.limiting(*(F.col(x) for x in ("plateau", "dbfs", "crest", "kurtosis", "edge_density")))
-    clipped = (F.col("clipping") > 0.001) | (F.col("near_clipping") > 0.01) | (F.col("peak") >= 0.9999) | limited
-    state = classify.activity_state(F.col("n"), F.col("non_finite"), F.col("dbfs"), clipped, F.col("nearest_state"))
+    leveled = spectral.each_signal(frames, lambda x, r: levels(x, 0.0) | {"n": len(x), "rate_": r}, "rms double, dbfs double, peak double, clipping double, near_clipping double, plateau double, crest double, kurtosis double, edge_density double, non_finite double, n int, rate_ double", [key, "start"])
+    leveled = leveled.withColumn("begins", F.col("start") / F.col("rate_")).withColumn("ends", (F.col("start") + F.col("n")) / F.col("rate_")).withColumn("time", (F.col("begins") + F.col("ends")) / 2)
+    near = intervals.nearest(leveled, observations(signals, key, seconds, step).select(key, "time", "state"), [key], "time", ["state"])
+    state = classify.activity_state(F.col("n"), F.col("non_finite"), F.col("dbfs"), clipped(), F.col("nearest_state"))
     return intervals.merged(near.withColumn("state", state), [key], "state", "begins", "ends")

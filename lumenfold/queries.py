@@ -13,7 +13,7 @@ from lumenfold.functions import scalars
 from lumenfold.operators import intervals, spectral, stats, tables
 from lumenfold.plans import replay
 from lumenfold.registry import query
-from lumenfold.streaming import color_state, live
+from lumenfold.streaming import color_state, live, sessions
 
 DAY = 86400.0
 PHASES = [("early", 0, 10 * DAY), ("middle", 10 * DAY, 20 * DAY), ("late", 20 * DAY, None)]
@@ -401,7 +401,12 @@ _P = f"{_N}, p as (select event_type as session_id, n // 64 as seq, (n // 64) *
 
 @query()
 def live_session(spark, sf_dir):
-    return live.replayed(_packets(spark, sf_dir), "instant")
+    return _round(sessions.with_states(live.replayed(_packets(spark, sf_dir), "instant")))
+
+
+@query()
+def live_summaries(spark, sf_dir):
+    return _round(sessions.summarized(sessions.with_states(live.replayed(_packets(spark, sf_dir), "instant"))))
 
 
 @query(

@@ -26,9 +26,9 @@ def decode_wav(data: bytes, most_seconds: float = MOST_SECONDS) -> tuple[float,
     form, body, at = None, None, 12
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"fmt " and size >= 16:
+        if name == b"fmt " and size >= 16 and at + 24 <= len(data):
             form = struct.unpack_from("<HHIIHH", data, at + 8)
-            if form[0] == 0xFFFE and size >= 26:
+            if form[0] == 0xFFFE and size >= 26 and at + 34 <= len(data):
                 form = (struct.unpack_from("<H", data, at + 32)[0], *form[1:])
         elif name == b"data":
             body = (at + 8, min(size, len(data) - at - 8))

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import spectra
+from lumenfold.plans import recording
 
 PACKET = "session_id string, seq long, start_sample long, rate double, samples array<float>, ts timestamp"
-OUTPUT = "session_id string, kind string, begins double, ends double, dbfs double, peak double, beta double, r2 double, rmse_db double, flatness double, samples long"
+OUTPUT = "session_id string, kind string, begins double, ends double, samples long, ts timestamp, " + recording.MEASURES
 FRAME_SECONDS, BUFFER_SECONDS = 0.5, 30.0
 
 # Seconds of the fast and the stable window, and of their cadences.
@@ -36,9 +37,10 @@ class Session:
     recent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     pending: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     next_due: dict = field(default_factory=dict)
+    seen: pd.Timestamp | None = None
 
     def add(self, seq: int, start: int, rate: float, samples: np.ndarray) -> Iterator[tuple]:
-        """Rows (kind, begins, ends, level, peak, fit, flatness, samples) that the packet completes; a repeated packet none."""
+        """Rows (kind, begins, ends, samples, measures) that the packet completes; a repeated packet none."""
         if seq <= self.seq or not rate or len(samples) == 0:
             return
         if self.rate and (rate != self.rate or start != self.position):
@@ -71,29 +73,23 @@ class Session:
             self.pending = self.pending[:0]
 
     def _row(self, kind: str, begins: float, ends: float, samples: np.ndarray, budget: int = 0) -> tuple:
-        x = samples.astype(np.float64)
-        x = x[np.isfinite(x)]
-        level = 20 * np.log10(max(1e-12, float(np.sqrt(np.square(x).mean())))) if len(x) else None
-        peak = float(np.abs(x).max()) if len(x) else None
-        if not budget:
-            return kind, begins, ends, level, peak, None, None, None, None, len(samples)
-        freq, power, _ = spectra.welch(samples, self.rate, budget=budget)
-        top = min(spectra.FIT_RANGE[1], 0.48 * self.rate)
-        fit = spectra.power_law(freq, power, spectra.FIT_RANGE[0], top)
-        flat = spectra.flatness(power[spectra.in_range(freq, power, spectra.FIT_RANGE[0], top)])
-        value = lambda v: float(v) if np.isfinite(v) else None
-        return kind, begins, ends, level, peak, value(fit.beta), fit.r2, value(fit.rmse_db), flat, len(samples)
+        measured = {} if kind == "gap" else recording.measure(samples, self.rate, budget=budget) if budget else recording.levels(samples, self.rate)
+        return kind, begins, ends, len(samples), measured
+
+
+_NAMES = [f.strip().split(" ")[0] for f in OUTPUT.split(",")]
 
 
 def _rows(session_id: str, found: Iterable[tuple]) -> pd.DataFrame:
-    names = [f.strip().split(" ")[0] for f in OUTPUT.split(",")]
-    return pd.DataFrame([(session_id, *r) for r in found], columns=names)
+    """found: (ts, (kind, begins, ends, samples, measures))."""
+    return pd.DataFrame([(session_id, *r[:4], ts, *(r[4].get(n) for n in _NAMES[6:])) for ts, r in found], columns=_NAMES)
 
 
 def _in_order(frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """ts and the arguments of Session.add."""
     rows = pd.concat(list(frames))
     for r in rows.sort_values(["seq", "start_sample"]).itertuples():
-        yield int(r.seq), int(r.start_sample), float(r.rate), np.asarray(r.samples, np.float32)
+        yield r.ts, (int(r.seq), int(r.start_sample), float(r.rate), np.asarray(r.samples, np.float32))
 
 
 def live(packets: DataFrame, mode: str = "balanced", late: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
@@ -109,9 +105,12 @@ def live(packets: DataFrame, mode: str = "balanced", late: str = "10 seconds", i
         session = pickle.loads(state.get[0]) if state.exists else Session(mode)
         if state.hasTimedOut:
             state.remove()
-            yield _rows(key[0], session.finish())
+            yield _rows(key[0], ((session.seen, r) for r in session.finish()))
             return
-        yield _rows(key[0], [row for p in _in_order(frames) for row in session.add(*p)])
+        out = []
+        for session.seen, packet in _in_order(frames):
+            out += [(session.seen, r) for r in session.add(*packet)]
+        yield _rows(key[0], out)
         state.update((pickle.dumps(session),))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
 
@@ -123,8 +122,10 @@ def replayed(packets: DataFrame, mode: str = "balanced") -> DataFrame:
     """The same results from packets that are all there, each session ended."""
 
     def each(key, frame: pd.DataFrame) -> pd.DataFrame:
-        session = Session(mode)
-        return _rows(key[0], [*(row for p in _in_order([frame]) for row in session.add(*p)), *session.finish()])
+        session, out = Session(mode), []
+        for session.seen, packet in _in_order([frame]):
+            out += [(session.seen, r) for r in session.add(*packet)]
+        return _rows(key[0], [*out, *((session.seen, r) for r in session.finish())])
 
     return packets.groupBy("session_id").applyInPandas(each, OUTPUT)
 
