@@ -8,17 +8,18 @@ texts. A text gets the language whose prototype has the largest cosine with it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import batch, map_arrow
 
 GRAM, BLANK, UNKNOWN = 3, 0x20, "und"
-_SLICE_CHARS, _SLICE_DOCS, _COLUMNS = 1 << 20, 512, 4096
+_SLICE_CHARS, _SLICE_DOCS, _COLUMNS = 1 << 20, 512, 1024
 
 _LETTERS: dict = {}
 
@@ -72,23 +73,30 @@ class Grams:
             kinds, self.kind = np.unique(key, return_inverse=True)
         self.n, self.letters, self.kinds = len(texts), letters, kinds
 
+    def counts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Of some kinds after others: the first one's number, and how often each text has each."""
+        group = self.kind // _COLUMNS
+        group = group.astype(np.uint16) if len(self.kinds) < _COLUMNS << 16 else group
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(-(-len(self.kinds) // _COLUMNS) + 1))
+        for at, low, high in zip(range(0, len(self.kinds), _COLUMNS), cuts, cuts[1:]):
+            here, width = order[low:high], min(_COLUMNS, len(self.kinds) - at)
+            cell = self.text_of[here].astype(np.int64) * width + self.kind[here] - at
+            yield at, np.bincount(cell, minlength=self.n * width).reshape(self.n, width).astype(np.float32)
+
     def parts(self, size: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Counts (text, kind) and vectors (kind, size) for some kinds after others."""
         own = np.stack([letter_vector(int(c), size, seed) for c in self.letters])
         turned = [np.roll(own, GRAM - 1 - j, 1) for j in range(GRAM)]
-        for at in range(0, len(self.kinds), _COLUMNS):
-            kinds = self.kinds[at : at + _COLUMNS]
-            vectors, rest = np.ones((len(kinds), size), np.float32), kinds
+        for at, counts in self.counts():
+            vectors, rest = np.ones((counts.shape[1], size), np.float32), self.kinds[at : at + counts.shape[1]]
             for j in reversed(range(GRAM)):
                 rest, letter = np.divmod(rest, len(self.letters))
                 vectors *= turned[j][letter]
-            here = (self.kind >= at) & (self.kind < at + len(kinds))
-            cell = self.text_of[here].astype(np.int64) * len(kinds) + self.kind[here] - at
-            counts = np.bincount(cell, minlength=self.n * len(kinds)).reshape(self.n, len(kinds))
-            yield counts.astype(np.float32), vectors
+            yield counts, vectors
 
 
-def _some(rows: list) -> Iterator[list]:
+def _some(rows: Iterable[tuple]) -> Iterator[list]:
     """Runs of rows (text first) of bounded length."""
     run, chars = [], 0
     for row in rows:
@@ -111,16 +119,14 @@ def fit(train: DataFrame, size: int = 2048, seed: int = 7) -> tuple[list[str], n
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for run in _some(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))):
+            for run in _some((t.as_py(), x.as_py()) for t, x in zip(b.column(0), b.column(1))):
                 grams, langs = Grams([t for t, _ in run]), np.array([x for _, x in run], object)
                 which = {x: langs == x for x in set(langs)}
                 squares = np.zeros(grams.n)
-                pieces = []
-                for counts, vectors in grams.parts(size, seed):
+                for _, counts in grams.counts():
                     squares += np.einsum("ij,ij->i", counts, counts, dtype=np.float64)
-                    pieces.append((counts, vectors))
                 weight = (grams.has_letter / np.sqrt(np.maximum(squares, 1))).astype(np.float32)
-                for counts, vectors in pieces:
+                for counts, vectors in grams.parts(size, seed):
                     for lang, rows in which.items():
                         got = (weight[rows] @ counts[rows]) @ vectors
                         sums[lang] = sums.get(lang, 0) + got.astype(np.float64)
@@ -139,16 +145,20 @@ def fit(train: DataFrame, size: int = 2048, seed: int = 7) -> tuple[list[str], n
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], extra: list[str] | None = None, seed: int = 7) -> DataFrame:
     """extra columns of docs, then lang_pred and score (the cosine, 0 if below 0).
 
+    If the first of extra is a struct with a text, that is the text, else it is the column text.
     Null texts, texts without a letter, and all texts if nothing was learned,
     are "und" with score 0.
     """
     langs, prototypes = model
     size, extra = prototypes.shape[1], extra or ["doc_id"]
+    first = docs.schema[extra[0]].dataType
+    inside = isinstance(first, StructType) and "text" in first.names
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = [], []
-            for run in _some([(t or "",) for t in b.column(len(extra)).to_pylist()]):
+            texts = b.column(0).field(first.names.index("text")) if inside else b.column(len(extra))
+            for run in _some((t.as_py() or "",) for t in texts):
                 grams = Grams([t for (t,) in run])
                 vectors = np.zeros((grams.n, size), np.float32)
                 for counts, of_kind in grams.parts(size, seed):
@@ -163,9 +173,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], extra: list[st
             kept = {c: b.column(i) for i, c in enumerate(extra)}
             yield batch(**kept, lang_pred=pa.array(names, pa.string()), score=pa.array(scores, pa.float64()))
 
-    chosen = docs.select(*extra, F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-    return map_arrow(chosen, classify, f"{fields}, lang_pred string, score double")
+    chosen = docs.select(*extra) if inside else docs.select(*extra, F.col("text").cast("string").alias("text"))
+    fields = StructType([*docs.select(*extra).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return chosen.mapInArrow(classify, fields)
 
 
 def held_out() -> F.Column:

@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs.where(~held_out()))
     if not model[0]:
         return docs
-    whole = docs.select(F.struct("*").alias("row"), "text")
+    whole = docs.select(F.struct("*").alias("row"))
     named = predict(whole, model, ["row"]).where(F.col("lang_pred") != UNKNOWN)
     return named.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
