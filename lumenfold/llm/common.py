@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,14 +45,42 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.settled_in = path
+    if _WITHIN:
+        _WITHIN[-1].append(path)
     return written
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what settle() wrote, once nothing that is still to run reads it: the turns of a loop before the last."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_in)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.settled_in)
+
+
+_WITHIN: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Deletes at its end what settle() writes inside, but for what is kept().
+
+    For work whose result is written before the end.
+    """
+    _WITHIN.append([])
+    try:
+        yield
+    finally:
+        for path in _WITHIN.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, which settle() wrote, not to be deleted by the passing() around it."""
+    _WITHIN[-1].remove(df.settled_in)
+    return df
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

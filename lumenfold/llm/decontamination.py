@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, numbered, settle
+from .common import batch, map_arrow, settle
 from .grams import Words, gram_hashes, mix64, slices, sliding, split_words
 from .repeats import signed
 
@@ -76,7 +76,7 @@ def _may_be(field: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def _scanned(docs: DataFrame, known: DataFrame, window: int, gram: int) -> DataFrame:
-    """row, doc_id, n_words and, if a fingerprint may be the benchmark's, prints and text, of docs (row, doc_id, text); written."""
+    """row, doc_id (of any type), n_words and, if a fingerprint may be the benchmark's, prints and text, of docs (row, doc_id, text); written."""
     lengths = sorted(r.k for r in known.select("k").distinct().collect())  # 1 to window, at most
     shared = docs.sparkSession.sparkContext.broadcast(_bit_field(known))
 
@@ -109,7 +109,7 @@ def _scanned(docs: DataFrame, known: DataFrame, window: int, gram: int) -> DataF
                     text=pa.array([text[i].as_py() if s else None for i, s in enumerate(some.tolist())], pa.string()),
                 )
 
-    return settle(map_arrow(docs.select("row", "doc_id", "text"), each, f"row long, doc_id long, n_words long, prints {_PRINTS}, text string"), "scanned")
+    return settle(map_arrow(docs.select("row", "doc_id", "text"), each, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, prints {_PRINTS}, text string"), "scanned")
 
 
 def _met(scanned: DataFrame, known: DataFrame, window: int, gram: int) -> DataFrame:
@@ -162,12 +162,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
-    """The rows of docs (text, ...), all columns, in which no window of the benchmark occurs."""
+    """The rows of docs (text, ...), all columns, in which no window of the benchmark occurs.
+
+    A text's md5 stands for it, as equal texts are dropped together: what is hit
+    is a small table of them, and docs is neither numbered nor written again.
+    """
     known = benchmark_windows(benchmark, window, gram)
-    rows = numbered(docs, "rows")
-    texts = rows.select("row", F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hit = _met(_scanned(texts, known, window, gram), known, window, gram).select("row").distinct()
-    return rows.join(hit, "row", "left_anti").select(*docs.columns)
+    mark = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), mark.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scanned = _scanned(texts, known, window, gram)
+    met = _met(scanned, known, window, gram).select("row").distinct()
+    hit = settle(scanned.select("row", F.col("doc_id").alias("mark")).join(met, "row").select("mark").distinct(), "hit")
+    return docs.select(F.struct("*").alias("row"), mark.alias("mark")).join(hit, "mark", "left_anti").select("row.*")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:

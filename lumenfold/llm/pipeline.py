@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, scratch, settle, table
+from .common import kept, numbered, passing, scratch, settle, table
 from .decontamination import clean
 from .language_id import UNKNOWN, fit, held_out, predict
 from .mixing import mix
@@ -39,13 +39,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal doc_ids a hash of the row decides, so that reruns agree.
     """
     rows = numbered(docs, "rows")
-    found = settle(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "found")
+    with passing(spark):
+        found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+        found = kept(settle(found, "found"))
     members = found.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1").select("component_id")
     members = found.join(members, "component_id")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("mark"), "row")
     ranked = settle(rows.join(members, "row").select("component_id", "row", first.alias("rank")), "ranked")
-    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
-    dropped = ranked.select("row").join(kept, "row", "left_anti")
+    first_rows = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+    dropped = ranked.select("row").join(first_rows, "row", "left_anti")
     return rows.join(dropped, "row", "left_anti").select(*docs.columns)
 
 
