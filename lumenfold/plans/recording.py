@@ -81,8 +81,8 @@ def recordings(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0,
     timeline; of states that last as long the one named first in STATES counts.
     """
     whole = spectral.each_signal(signals, measure, MEASURES, [key])
-    seen = observations(signals, key, seconds, step)
-    durations = intervals.state_durations(timeline(signals, key, seconds, step), [key])
+    seen = observations(signals, key, seconds, step).persist()  # read twice; a small row for each window
+    durations = intervals.state_durations(timeline(signals, key, seconds, step, seen), [key])
     rank = F.array_position(F.array(*map(F.lit, intervals.STATES)), F.col("state"))
     rejected = ~F.col("state").isin(intervals.COLORS)
     worst = durations.groupBy(key).agg(F.max_by(F.when(rejected, F.col("state")), F.when(rejected, F.struct("seconds", -rank))).alias("top_rejected"))
@@ -91,14 +91,15 @@ def recordings(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0,
     return joined.withColumn("final_state", classify.recording_state(F.col("state"), F.col("reliable"), F.col("temporal_sd"), F.col("rejected_percent"), F.col("top_rejected")))
 
 
-def timeline(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0, step: float = 2.0) -> DataFrame:
-    """Segments of half-second frames by their own level, else by the nearest window's state."""
+def timeline(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0, step: float = 2.0, seen: DataFrame | None = None) -> DataFrame:
+    """Segments of half-second frames by their own level, else by the nearest window's state; seen are the windows, if they are known."""
+    seen = observations(signals, key, seconds, step) if seen is None else seen
     size = F.greatest(F.lit(1), F.floor(F.col("rate") * 0.5 + 0.5)).cast("int")
     start = F.explode(F.sequence(F.lit(0), F.size("samples") - 1, size))
     frames = signals.where("size(samples) > 0").select(key, "rate", size.alias("size"), start.alias("start"), "samples")
     frames = frames.select(key, "rate", "start", F.slice("samples", F.col("start") + 1, F.col("size")).alias("samples"))
     leveled = spectral.each_signal(frames, lambda x, r: levels(x, 0.0) | {"n": len(x), "rate_": r}, "rms double, dbfs double, peak double, clipping double, near_clipping double, plateau double, crest double, kurtosis double, edge_density double, non_finite double, n int, rate_ double", [key, "start"])
     leveled = leveled.withColumn("begins", F.col("start") / F.col("rate_")).withColumn("ends", (F.col("start") + F.col("n")) / F.col("rate_")).withColumn("time", (F.col("begins") + F.col("ends")) / 2)
-    near = intervals.nearest(leveled, observations(signals, key, seconds, step).select(key, "time", "state"), [key], "time", ["state"])
+    near = intervals.nearest(leveled, seen.select(key, "time", "state"), [key], "time", ["state"])
     state = classify.activity_state(F.col("n"), F.col("non_finite"), F.col("dbfs"), clipped(), F.col("nearest_state"))
     return intervals.merged(near.withColumn("state", state), [key], "state", "begins", "ends")
