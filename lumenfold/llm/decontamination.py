@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, settle
+from .common import batch, kept, map_arrow, passing, settle
 from .grams import Words, gram_hashes, mix64, slices, sliding, split_words
 from .repeats import signed
 
@@ -167,12 +167,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5
     A text's md5 stands for it, as equal texts are dropped together: what is hit
     is a small table of them, and docs is neither numbered nor written again.
     """
-    known = benchmark_windows(benchmark, window, gram)
     mark = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), mark.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = _scanned(texts, known, window, gram)
-    met = _met(scanned, known, window, gram).select("row").distinct()
-    hit = settle(scanned.select("row", F.col("doc_id").alias("mark")).join(met, "row").select("mark").distinct(), "hit")
+    with passing(docs.sparkSession):
+        known = benchmark_windows(benchmark, window, gram)
+        scanned = _scanned(texts, known, window, gram)
+        met = _met(scanned, known, window, gram).select("row").distinct()
+        hit = kept(settle(scanned.select("row", F.col("doc_id").alias("mark")).join(met, "row").select("mark").distinct(), "hit"))
     return docs.select(F.struct("*").alias("row"), mark.alias("mark")).join(hit, "mark", "left_anti").select("row.*")
 
 
