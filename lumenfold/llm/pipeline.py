@@ -45,6 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal doc_ids a hash of the row decides, so that reruns agree. Equal rows
     are told from others by their marks, so that docs itself is read again at
     the end; of equal rows of which one stays, that one is set apart before.
+    What goes grows with docs, so it is joined by sorting at every size.
     """
     with passing(spark):
         rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), *marks(docs), F.struct("*").alias("d")), "rows")
@@ -61,7 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         gone = kinds.select("m1", "m2").join(first, ["m1", "m2"], "left_anti").unionByName(repeated.select("m1", "m2"))
         gone, once = kept(settle(gone, "gone")), kept(once)
     marked = docs.select(*marks(docs), F.struct("*").alias("d"))
-    return marked.join(gone, ["m1", "m2"], "left_anti").select("d.*").unionByName(once)
+    return marked.join(gone.hint("merge"), ["m1", "m2"], "left_anti").select("d.*").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with passing(spark):
         copies = mix(rows.select(marks(docs)[0].alias("doc_id"), "source", "text", "row"), carried=("row",)).where("copies > 0").select("row", "copies")
         copies = kept(settle(copies, "copies"))
-    taken = rows.join(copies, "row").select(F.struct(*docs.columns).alias("d"), "copies")
+    taken = rows.join(copies.hint("merge"), "row").select(F.struct(*docs.columns).alias("d"), "copies")
     return taken.select(F.explode(F.array_repeat("d", F.col("copies"))).alias("row")).select("row.*")
 
 
