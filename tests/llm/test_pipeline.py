@@ -101,6 +101,15 @@ def test_rows_without_own_id_are_deduplicated(spark):
     assert got == Counter([r for r in rows if r != rows[3]] + [copies[3], copies[4], copies[5]])
 
 
+def test_marks_tell_rows_apart(spark):
+    """Equal rows share marks, also with nulls; a null is neither empty nor a value moved to another column."""
+    rows = [(1, "a", None, "s", 1), (1, None, "a", "s", 1), (1, "a", "", "s", 1), (1, "", "a", "s", 1), (None, "a", None, "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows * 2, COLUMNS)
+    got = Counter(map(tuple, docs.select(*pipeline.marks(docs)).collect()))
+    assert len(got) == len(rows) and set(got.values()) == {2}
+    assert len({m1 for m1, _ in got}) == len({m2 for _, m2 in got}) == len(rows)
+
+
 def test_each_row_has_its_own_copies(spark):
     rows = mixed_ids()
     got, again = (Counter(map(tuple, pipeline.mixture(spark, spark.createDataFrame(rows, COLUMNS).repartition(n), SF).collect())) for n in (1, 5))
