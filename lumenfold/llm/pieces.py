@@ -113,6 +113,47 @@ def _word_pattern(name: str) -> tuple[str, list[str]] | None:
     return split["pattern"]["Regex"], [a["content"] for a in spec["added_tokens"]]
 
 
+def keeps_blanks(name: str) -> list[str] | None:
+    """The added tokens of a byte-level tokenizer that splits texts by its usual pattern and changes nothing before; None for any other.
+
+    Such a tokenizer never joins a blank that something else follows to what
+    stands before it, so texts can be cut there.
+    """
+    with open(tokenizer_path(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    before = spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before["add_prefix_space"]:
+        return None
+    if spec["model"]["type"] != "BPE" or spec["model"]["dropout"]:
+        return None
+    return [a["content"] for a in spec["added_tokens"]]
+
+
+# What a byte-level tokenizer's usual pattern takes as one pre-token (fixed).
+_PRE_TOKENS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Characters that any version of Unicode puts into the same of its classes.
+_SETTLED = regex.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
+
+
+def run_encoder(name: str) -> Callable[[str], bytes]:
+    """encoder() for texts of tokenizers that keep blanks: pre-tokens of common characters go straight to the BPE model, each once while it is in use."""
+    tok = tokenizer(name)
+    tokens = tok.model.tokenize
+    def of_pre_token(piece: str) -> bytes:
+        ids = [t.id for t in tokens(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    known = Cache(of_pre_token)
+
+    def encode(run: str) -> bytes:
+        if _SETTLED.fullmatch(run):
+            return b"".join([known[p] for p in _PRE_TOKENS.findall(run)])
+        ids = tok.encode(run, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return encode
+
+
 def encoder(name: str) -> Callable[[str], bytes]:
     """A function from a piece to its ids, as little-endian unsigned 32-bit integers.
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 import secrets
 
 from . import oracle
+from .clustering import clustering
 from .common import table
 from .decontamination import decontamination
 from .language_id import language_id
 from .mixing import mix
 from .near_duplicates import near_duplicates
 from .neighbours import nearest
+from .packing import packed
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .surrogates import surrogates
 from .token_counts import token_counts
 from .token_files import token_files
+from .whitening import whitening
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -60,7 +63,19 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op4_nearest_neighbours, op5_language_id, op6_decontamination, op7_suffix_dedup, op8_surrogates, op9_mixing, op10_near_duplicates)}
+def op11_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op13_clustering(spark, sf_dir):
+    return clustering(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_token_files, op4_nearest_neighbours, op5_language_id, op6_decontamination, op7_suffix_dedup, op8_surrogates, op9_mixing, op10_near_duplicates, op11_packing, op12_whitening, op13_clustering)}
 
 ORACLE_SQL = {
     "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
