@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .intervals import known_state
 from .spectral import CANONICAL, nearest_canonical
 
 
@@ -64,10 +65,10 @@ def quality_gate(c: dict[str, Column]) -> Column:
 
 
 def activity_state(samples: Column, non_finite: Column, dbfs: Column, clipped: Column, fallback: Column) -> Column:
-    """The state of a short frame: what its level says, else the nearest observation's."""
+    """The state of a short frame: what its level says, else the nearest observation's, "insufficient" for one that isn't known."""
     return (
         F.when((samples == 0) | (non_finite > 0), "invalid").when(dbfs < -58, "silence").when(_true(clipped), "clipping")
-        .when(fallback.isNull(), "insufficient").when(fallback == "silence", "mixed").otherwise(fallback)
+        .when(fallback.isNull(), "insufficient").when(fallback == "silence", "mixed").otherwise(known_state(fallback))
     )
 
 

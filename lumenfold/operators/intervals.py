@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.scalars import finite
 
+from . import buckets
+
 # States in the order in which ties go.
 COLORS = ["violet", "blue", "white", "pink", "brown"]
 STATES = [*COLORS, "mixed", "tonal", "silence", "unstable", "clipping", "insufficient", "invalid"]
@@ -18,25 +20,29 @@ def known_state(state: Column) -> Column:
     return F.when(state.isin(STATES), state).otherwise("insufficient")
 
 
-def merged(rows: DataFrame, keys: Sequence[str], state: str, begins: str, ends: str) -> DataFrame:
-    """Neighbouring rows of one state as one segment."""
-    w = Window.partitionBy(*keys).orderBy(begins, ends)
-    change = (~F.lag(state).over(w).eqNullSafe(F.col(state))).cast("int")
-    numbered = rows.withColumn("_new", change).withColumn("_run", F.sum("_new").over(w))
-    return numbered.groupBy(*keys, "_run", state).agg(F.min(begins).alias("begins"), F.max(ends).alias("ends"), F.count("*").alias("rows")).drop("_run")
+def merged(rows: DataFrame, keys: Sequence[str], state: str, begins: str, ends: str, width: float | None = None) -> DataFrame:
+    """Neighbouring rows of one state as one segment. Rows spread by buckets of width seconds, measured if not given."""
+    rows, order = rows.select(*keys, state, begins, ends), [begins, ends, state]
+    near = buckets.beside(rows, keys, begins, buckets.width(rows, begins) if width is None else width, order)
+    new = F.col("_before").isNull() | ~F.col(f"_before.{state}").eqNullSafe(F.col(state))
+    return buckets.runs(near, keys, order, state, new, begins, ends)
 
 
-def color_timeline(observations: DataFrame, keys: Sequence[str], time: str, state: str, duration: float) -> DataFrame:
-    """Segments from 0 to duration; states change midway between observations of different time.
+def color_timeline(observations: DataFrame, keys: Sequence[str], time: str, state: str, duration: float, width: float | None = None) -> DataFrame:
+    """Segments from 0 to duration; states change midway between observations of different time, or at the end of the span if that lies outside.
 
-    Observations without a finite time are left out. A key without any has no
-    segment here; see empty_timeline.
+    Observations without a finite time are left out, one without a state is
+    mixed. A key without any has no segment here; see empty_timeline. A key's
+    observations spread by buckets of width seconds, measured if not given.
     """
-    w = Window.partitionBy(*keys).orderBy("_t", state)
-    timed = observations.withColumn("_t", finite(F.col(time))).where("_t is not null")
-    begins = F.coalesce((F.lag("_t").over(w) + F.col("_t")) / 2, F.lit(0.0))
-    ends = F.coalesce((F.lead("_t").over(w) + F.col("_t")) / 2, F.lit(float(duration)))
-    return merged(timed.select(*keys, state, begins.alias("_begins"), ends.alias("_ends")), keys, state, "_begins", "_ends")
+    duration = max(0.0, float(duration))
+    timed = observations.select(*keys, finite(F.col(time)).alias("_t"), F.coalesce(F.nullif(F.col(state), F.lit("")), F.lit("mixed")).alias(state)).where("_t is not null")
+    near = buckets.beside(timed, keys, "_t", buckets.width(timed, "_t") if width is None else width, ["_t", state])
+    midway = lambda other: F.least(F.lit(duration), F.greatest(F.lit(0.0), (F.col("_t") + other) / 2))
+    begins = F.when(F.col("_before").isNull(), 0.0).otherwise(midway(F.col("_before._t")))
+    ends = F.when(F.col("_after").isNull(), duration).otherwise(midway(F.col("_after._t")))
+    new = F.col("_before").isNull() | (F.col(f"_before.{state}") != F.col(state))
+    return buckets.runs(near.withColumns({"_begins": begins, "_ends": ends}), keys, ["_t", state], state, new, "_begins", "_ends")
 
 
 def empty_timeline(duration: float) -> Column:
@@ -107,21 +113,32 @@ def compress_timeline(segments: DataFrame, keys: Sequence[str], most: int = 2048
     return rest.unionByName(folded.select(*keys, F.lit("session-compressed").alias("state"), "begins", "ends", F.lit(True).alias("compressed"), "state_seconds"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, payload: Sequence[str], ties: str = "later") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, payload: Sequence[str], ties: str = "later", width: float | None = None) -> DataFrame:
     """left with the payload of the nearest right row of its key; of two as near the later, or the earlier.
 
-    One sort of both sides by key and time, and the last and next right row
-    carried along, in place of a join of all pairs.
+    Of right rows of one time the last in order of payload counts. Left rows
+    without a finite time get none. Both sides fall into buckets of width
+    seconds (measured on right, if not given); each bucket is sorted by time and
+    carries the last and next right row along, and gets those of the buckets
+    around it from a scan over buckets: no join of pairs, and no task for a key.
     """
-    r = right.where(finite(F.col(time)).isNotNull()).select(*keys, F.col(time).alias("_t"), F.struct(F.col(time).alias("_at"), *payload).alias("_r"), F.lit(0).alias("_left"))
-    marks = left.select(*keys, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(1).alias("_left"))
-    both = r.unionByName(marks, allowMissingColumns=True)
+    keys = list(keys)
+    width = buckets.width(right.select(finite(F.col(time)).alias("_t")), "_t") if width is None else width
+    place = buckets.bucket(F.col("_t"), width).alias("_b")
+    r = right.select(*keys, finite(F.col(time)).alias("_t"), F.struct(finite(F.col(time)).alias("_at"), *payload).alias("_r")).where("_t is not null").select("*", place)
+    marks = left.select(*keys, finite(F.col(time)).alias("_t"), F.struct(*left.columns).alias("_l"))
+    untimed, marks = marks.where("_t is null").select("_l"), marks.where("_t is not null").select("*", place)
+    edges = r.select(*keys, "_b", "_r").unionByName(marks.select(*keys, "_b"), allowMissingColumns=True).groupBy(*keys, "_b").agg(F.max_by("_r", F.struct(-F.col("_r._at"), "_r")).alias("_first"), F.max("_r").alias("_last"))
     # both look back, the second in falling order: frames that grow are carried along, frames that shrink are read anew for each row
-    w, back = Window.partitionBy(*keys).orderBy("_t", "_left"), Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_left"))
+    along, against = (Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) for b in (F.col("_b"), F.desc("_b")))
+    around = F.array_compact(F.array(F.last("_last", ignorenulls=True).over(along), F.last("_first", ignorenulls=True).over(against)))
+    halos = edges.select(*keys, "_b", around.alias("_h")).select(*keys, "_b", F.explode("_h").alias("_r")).withColumn("_t", F.col("_r._at"))
+    both = r.unionByName(halos).unionByName(marks, allowMissingColumns=True).withColumn("_left", F.col("_l").isNotNull())
+    w, back = Window.partitionBy(*keys, "_b").orderBy("_t", "_left", "_r"), Window.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_left"), "_r")
     past = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.last("_r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    near = both.withColumn("_p", past).withColumn("_f", after).where("_left = 1")
+    near = both.withColumn("_p", past).withColumn("_f", after).where("_left")
     ahead, behind = F.col("_f._at") - F.col("_t"), F.col("_t") - F.col("_p._at")
     take = F.col("_p").isNull() | (F.col("_f").isNotNull() & ((ahead <= behind) if ties == "later" else (ahead < behind)))
-    chosen = near.withColumn("_c", F.when(take, F.col("_f")).otherwise(F.col("_p")))
+    chosen = near.select("_l", F.when(take, F.col("_f")).otherwise(F.col("_p")).alias("_c")).unionByName(untimed, allowMissingColumns=True)
     return chosen.select("_l.*", F.col("_c._at").alias("nearest_at"), *[F.col(f"_c.{p}").alias(f"nearest_{p}") for p in payload])
