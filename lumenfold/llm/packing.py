@@ -13,7 +13,6 @@ other tasks' rests, and packed once more.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, scratch
-from .pieces import Cache, keeps_blanks, run_encoder, tokenizer
+from .pieces import text_encoder
 
 CAPACITY = 2048
 #: Tokens that are packed together, at least.
@@ -35,7 +34,7 @@ CARRIED = 0.25
 #: Tokens that an underfull bin of a task's last block may lack and still be written.
 SLACK = 8
 
-_CACHES: dict = {}
+_ENCODERS: dict = {}
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -175,31 +174,11 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(best_fit(sizes, capacity), sizes, capacity)
 
 
-# Blanks that end one pre-token and begin the next, whatever stands around them.
-_CUTS = re.compile(r" (?=[^\s᠎])")
-_AWKWARD = re.compile(r" [\s᠎]")
-
-
-def _ids(vocabulary: str):
-    """A function from a text to its ids as bytes, through a cache of its runs between blanks if the tokenizer allows it."""
-    tok = tokenizer(vocabulary)
-    whole = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    added = keeps_blanks(vocabulary)
-    if added is None:
-        return whole
-    if vocabulary not in _CACHES:
-        encode = run_encoder(vocabulary)
-        _CACHES[vocabulary] = Cache(lambda run: encode(" " + run), 1 << 18)
-    after_blank = _CACHES[vocabulary].__getitem__
-
-    def ids(text: str) -> bytes:
-        for token in added:
-            if token in text:
-                return whole(text)
-        runs = _CUTS.split(text) if _AWKWARD.search(text) or text[-1:] == " " else text.split(" ")
-        return whole(runs[0]) + b"".join(map(after_blank, runs[1:]))
-
-    return ids
+def _encoder(vocabulary: str):
+    """text_encoder(), made once in each process."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = text_encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 _PACKED = "sequence_id long, doc_id array<long>, row array<long>, piece array<int>, start array<long>, length array<int>, ids binary"
@@ -283,13 +262,13 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _ids(vocabulary)
+        ids_of = _encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 32
         packer, whole = _Packer(capacity, block_tokens, row), 4 * capacity
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = ids_of(text.as_py() or "") + end
+                ids = ids_of(text.as_py() or "").tobytes() + end
                 at = 0
                 for piece, to in enumerate(range(len(ids) % whole or whole, len(ids) + 1, whole)):
                     yield from packer.put((doc_id, row, piece, at // 4, ids[at:to]))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from collections.abc import Callable
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -113,43 +115,44 @@ def _word_pattern(name: str) -> tuple[str, list[str]] | None:
     return split["pattern"]["Regex"], [a["content"] for a in spec["added_tokens"]]
 
 
-def keeps_blanks(name: str) -> list[str] | None:
-    """The added tokens of a byte-level tokenizer that splits texts by its usual pattern and changes nothing before; None for any other.
+# Characters that any version of Unicode puts into the same of the classes that byte-level tokenizers split by.
+_SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f\u2013-\u2022\u20ac\u3041-\u3093\u30a1-\u30f6\u4e00-\u9fa5\uac00-\ud7a3]*")
+# What a byte-level tokenizer takes as one pre-token unless it says otherwise (fixed).
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    Such a tokenizer never joins a blank that something else follows to what
-    stands before it, so texts can be cut there.
+
+def _ranked(name: str):
+    """A byte-level tokenizer's vocabulary as one of ranks, and its added tokens; None for a tokenizer of another kind.
+
+    Ranks do if ids rise in the order of the merges, as then the merge that
+    comes first is the one that makes the least id.
     """
     with open(tokenizer_path(name), encoding="utf-8") as f:
         spec = json.load(f)
-    before = spec["pre_tokenizer"] or {}
+    before, model = spec["pre_tokenizer"] or {}, spec["model"]
     if spec["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before["add_prefix_space"]:
         return None
-    if spec["model"]["type"] != "BPE" or spec["model"]["dropout"]:
+    if model["type"] != "BPE" or model["dropout"] or model["continuing_subword_prefix"] or model["end_of_word_suffix"] or model.get("ignore_merges"):
         return None
-    return [a["content"] for a in spec["added_tokens"]]
+    added = [a["content"] for a in spec["added_tokens"]]
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(set(made)):
+        return None
+    import tiktoken
 
+    byte_of = {letter: b for b, letter in _BYTE_LETTERS.items()}
+    ranks = {bytes(byte_of.get(ord(c), ord(c)) for c in token): i for token, i in model["vocab"].items() if token not in added}
+    return tiktoken.Encoding(os.path.basename(name), pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}), added
 
-# What a byte-level tokenizer's usual pattern takes as one pre-token (fixed).
-_PRE_TOKENS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# Characters that any version of Unicode puts into the same of its classes.
-_SETTLED = regex.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
 
+def text_encoder(name: str) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids, by ranks where that gives what the tokenizer would: some five times faster for byte-level ones."""
+    tok, found = tokenizer(name), _ranked(name)
 
-def run_encoder(name: str) -> Callable[[str], bytes]:
-    """encoder() for texts of tokenizers that keep blanks: pre-tokens of common characters go straight to the BPE model, each once while it is in use."""
-    tok = tokenizer(name)
-    tokens = tok.model.tokenize
-    def of_pre_token(piece: str) -> bytes:
-        ids = [t.id for t in tokens(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    known = Cache(of_pre_token)
-
-    def encode(run: str) -> bytes:
-        if _SETTLED.fullmatch(run):
-            return b"".join([known[p] for p in _PRE_TOKENS.findall(run)])
-        ids = tok.encode(run, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def encode(text: str) -> np.ndarray:
+        if found and _SETTLED.fullmatch(text) and not any(token in text for token in found[1]):
+            return np.array(found[0].encode_ordinary(text), "<u4")
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
 
