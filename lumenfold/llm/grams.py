@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,16 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes up to which a word is hashed from prefix sums. Texts of two letters in the order of Thue and Morse meet from 1,024 on, whatever the base.
+PLAIN_BYTES = 256
+
+
 class Rolling:
-    """Hashes of arbitrary sub-sequences from prefix sums modulo 2**64."""
+    """Hashes of arbitrary sub-sequences of up to some 700 symbols from prefix sums modulo 2**64.
+
+    Longer ones may meet by their structure alone. What is hashed here is
+    shorter: words up to PLAIN_BYTES, grams and runs of a few windows.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -81,7 +90,11 @@ class Words:
 
     def hashes(self, second: bool = False) -> np.ndarray:
         r = _B if second else _A
-        return r.spans(r.prefix(r.table[self.data]), self.start, self.end)
+        out = r.spans(r.prefix(r.table[self.data]), self.start, self.end)
+        for i in np.flatnonzero(self.end - self.start > PLAIN_BYTES).tolist():
+            digest = blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8:] if second else digest[:8], "little")
+        return out
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
