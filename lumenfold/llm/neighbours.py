@@ -30,7 +30,14 @@ def _distances(vectors: np.ndarray, squares: np.ndarray, queries: np.ndarray, id
     return squares[ids] - 2 * np.einsum("qnd,qd->qn", vectors[ids], queries)
 
 
+def scale_of(vectors: np.ndarray) -> float:
+    """A power of two that brings the largest component below 1, so that squares of any finite vector fit a float; exact but for what is far smaller than the largest."""
+    return 2.0 ** -max(-1000, min(1000, int(np.frexp(np.abs(vectors).max(initial=0.0))[1])))
+
+
 class Graph:
+    """A graph of vectors whose components are below 1 (see scale_of), as queries' must be."""
+
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA):
         self.vectors = np.ascontiguousarray(vectors, np.float32)
         self.squares = np.einsum("nd,nd->n", self.vectors, self.vectors)
@@ -173,12 +180,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = DEG
     asking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), size.alias("size"), F.lit(True).alias("asks"), F.col("vec_id").alias("id"), none.alias("ids"), "embedding")
     dealt = stored.unionByName(asking).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "size", "asks", "ids")
 
-    def answers(graph: Graph, exact: np.ndarray, ids: list, query_ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
+    def answers(graph: Graph, exact: np.ndarray, scale: float, ids: list, query_ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
         out: tuple[list, list, list] = ([], [], [])
         for low in range(0, len(queries), 128):
-            q = queries[low : low + 128]
-            best, _, _ = graph.search(q.astype(np.float32), max(query_beam, 2 * k))
-            d = np.sqrt(np.square(exact[np.maximum(best, 0)] - q[:, None, :]).sum(2))
+            q = queries[low : low + 128] * scale
+            # a query far larger than all vectors of the shard is as near to each of them in a float, and stays finite
+            best, _, _ = graph.search(np.clip(q, -1e15, 1e15).astype(np.float32), max(query_beam, 2 * k))
+            d = np.sqrt(np.square(exact[np.maximum(best, 0)] - q[:, None, :]).sum(2)) / scale
             for i, query in enumerate(query_ids[low : low + 128].tolist()):
                 found = [(x, v) for x, b in zip(d[i].tolist(), best[i].tolist()) if b >= 0 for v in ids[b] if v != query]
                 for x, v in sorted(found)[:k]:
@@ -188,7 +196,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = DEG
         return batch(query_id=pa.array(out[0], pa.int64()), vec_id=pa.array(out[1], pa.int64()), score=pa.array(out[2], pa.float64()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, ids, graph, exact = None, [], [], None, None
+        key, parts, ids, graph, exact, scale = None, [], [], None, None, 1.0
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
             at = 0
@@ -206,8 +214,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = DEG
                 elif parts:
                     if graph is None:
                         exact = np.concatenate(parts)
+                        scale = scale_of(exact)
+                        exact *= scale
                         graph = Graph(exact, degree, beam, alpha)
-                    yield answers(graph, exact, ids, rows.column(3).to_numpy(), values)
+                    yield answers(graph, exact, scale, ids, rows.column(3).to_numpy(), values)
                 at = to
 
     found = map_arrow(dealt, each, "query_id long, vec_id long, score double")

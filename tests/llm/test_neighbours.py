@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pytest
 
 from lumenfold.llm.neighbours import nearest
 
@@ -8,7 +9,7 @@ from lumenfold.llm.neighbours import nearest
 def brute(rows, every, k):
     keep = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     for q in sorted(i for i in keep if i % every == 0):
-        near = sorted((float(np.sqrt(np.square(keep[q] - v).sum())), i) for i, v in keep.items() if i != q and len(v) == len(keep[q]))
+        near = sorted((float(np.hypot.reduce(keep[q] - v)), i) for i, v in keep.items() if i != q and len(v) == len(keep[q]))
         yield from ((q, r, i, d) for r, (d, i) in enumerate(near[:k], 1))
 
 
@@ -47,5 +48,26 @@ def test_awkward_vectors(spark):
     compare(spark, rows[:3], 1, 10, 1.0)
 
 
+@pytest.mark.parametrize("size", [1e20, 1e-30, 1e37, 1e-44])
+def test_vectors_of_any_size(spark, size):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=16) * size).tolist()) for i in range(1700)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest(frame, 100, 10, shards=2).collect()}
+    want = {(q, r): (i, d) for q, r, i, d in brute(rows, 100, 10)}
+    assert got.keys() == want.keys()
+    assert sum(got[k][0] == want[k][0] for k in want) >= 0.95 * len(want)
+    assert all(abs(got[k][1] / want[k][1] - 1) < 1e-9 for k in want if got[k][0] == want[k][0])
+
+
+def test_small_vectors_beside_huge_ones(spark):
+    """Every query gets its rows, however far apart the sizes of vectors lie."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-200, 200)).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(frame, 10, 10, shards=2).collect()
+    assert len(got) == 300 and all(np.isfinite(r.score) for r in got)
+
+
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
