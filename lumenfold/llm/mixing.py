@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words: its weight's share of all words, at
-most three times what it has, the excess shared again. A source takes as many
-whole copies of each document as its target allows; for what is left, documents
-are ranked by their random odds over their inclusion odds and the first are
-taken, up to the fixed number of words.
+most three times what it has, the excess shared again. Within a source longer
+documents are wanted more: a document's expected copies rise with the root of
+its size over the source's mean, in steps of a factor of two, up to three. A
+document is taken as often as its expected copies' whole part says; for what is
+left, documents are ranked by their random odds over their inclusion odds and
+the first are taken, up to the fixed number of words.
 
 A source is never sorted whole: ranks fall into about sqrt(n) bins of it, sums
 of bins find the bin in which the target is reached, and only that bin's
@@ -49,6 +51,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     return leveled.select("source", "n", "source_size", F.least(cap, water * F.col("weight")).alias("target"))
 
 
+#: A document's class: powers of two of its size over its source's mean, kept between these.
+LEAST_CLASS, MOST_CLASS = -4, 4
+
+
+def size_class(size: Column, n: Column, source_size: Column) -> Column:
+    """The power of two at or below size over the mean, by whole numbers; LEAST_CLASS for an empty document."""
+    scaled = size * n * (1 << -LEAST_CLASS)
+    over = [F.when(scaled >= source_size * (1 << (k - LEAST_CLASS)), 1).otherwise(0) for k in range(LEAST_CLASS + 1, MOST_CLASS + 1)]
+    return F.when(size > 0, sum(over, F.lit(LEAST_CLASS))).otherwise(LEAST_CLASS)
+
+
+def expected_copies(classes: DataFrame) -> DataFrame:
+    """source, class, copies, share from each source's classes (source, class, words, target).
+
+    Copies are the level times the root of the class's factor, at most
+    MOST_COPIES, at the level that makes the words the target: classes reach
+    the cap from the top, and the first class that doesn't sets the level.
+    """
+    wanted = F.pow(F.lit(2.0), F.col("class") / 2.0)
+    order = Window.partitionBy("source").orderBy(F.desc("class"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rest = order.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("target") - MOST_COPIES * F.coalesce(F.sum("words").over(before), F.lit(0))
+    level = left / F.nullif(F.sum(wanted * F.col("words")).over(rest), F.lit(0.0))
+    leveled = classes.withColumn("level", level).withColumn("place", F.row_number().over(order))
+    fits = F.when(F.col("level") * wanted <= MOST_COPIES, F.struct("place", "level"))
+    found = F.coalesce(F.min(fits).over(Window.partitionBy("source")).getField("level"), F.lit(float("inf")))
+    times = F.when(F.col("target") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_COPIES)), found * wanted))).otherwise(0.0)
+    copies = F.floor(times)
+    share = F.when(copies < MOST_COPIES, times - copies).otherwise(0.0)
+    return leveled.withColumn("times", times).select("source", "class", "words", copies.alias("copies"), share.alias("share"))
+
+
 def _first(ranked: DataFrame, goal: str, carried: tuple[str, ...]) -> DataFrame:
     """ranked (source, bin, rank, doc_id, size, goal, carried columns) with taken_once.
 
@@ -76,35 +111,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20, c
     random odds come from doc_id and seed alone, so reruns agree; rows that
     repeat a doc_id share its odds, and null doc_ids count as one. A source's
     taken words miss its target by half of a short document at most, or by half
-    of a long one where its short ones don't suffice. Columns named in carried
-    come last, as they are in their row. Empty in, empty out.
+    of a long one where its short ones don't suffice. Expected copies depend on
+    the document's size class and source alone, and a document's inclusion beyond
+    its whole copies has that share as its probability, as near as Pareto's order
+    gives it. Columns named in carried come last, as they are in their row. Empty in, empty out.
     """
     sizes = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), *carried), "sizes")
     targets = settle(source_targets(sizes, weights), "targets")
     small = targets.count() <= BROADCAST_SOURCES
     t = (F.broadcast(targets) if small else targets).alias("t")
     joined = sizes.alias("d").join(t, F.col("d.source").eqNullSafe(F.col("t.source")), "left").select("d.*", "t.n", "t.source_size", "t.target")
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = joined.withColumn("times", times).withColumn("copies", F.least(F.floor("times"), F.lit(MOST_COPIES)))
-    joined = joined.withColumn("share", F.when(F.col("copies") < MOST_COPIES, F.col("times") - F.col("copies")).otherwise(0.0))
+    classed = joined.withColumn("class", size_class(F.col("size"), F.col("n"), F.col("source_size")))
+    # a row for each class of a source
+    classes = classed.groupBy("source", "class").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
+    expected = settle(expected_copies(classes), "expected")
+    e = (F.broadcast(expected) if small else expected).alias("e")
+    joined = classed.alias("d").join(e, F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.class") == F.col("e.class"))).select("d.*", "e.copies", "e.share")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     odds = (u / (1 - u)) / (F.col("share") / (1 - F.col("share")))
     rank = F.when(F.col("share") > 0, odds / (1 + odds)).otherwise(1.0)
-    long_ = F.col("size") * F.col("n") > F.col("source_size")
+    long_ = F.col("class") >= 0
     n_bins = F.ceil(F.sqrt("n"))
     ranked = joined.withColumn("rank", rank).withColumn("long", long_).withColumn("bin", F.least(F.floor(F.col("rank") * n_bins), n_bins - 1))
     ranked = settle(ranked, "ranked")
-    longs = ranked.where("long")
-    of_source = longs.groupBy("source").agg(F.sum("size").alias("words"))
-    of_source = (F.broadcast(of_source) if small else of_source).alias("s")
-    with_goal = longs.alias("r").join(of_source, F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", (F.col("share") * F.col("s.words")).alias("goal"))
-    longs = settle(_first(with_goal, "goal", carried).drop("goal"), "longs")
-    so_far = longs.groupBy("source").agg(F.sum(F.col("size") * F.col("taken_once")).alias("words"))
-    so_far = (F.broadcast(so_far) if small else so_far).alias("s")
-    shorts = ranked.where("not long").alias("r").join(so_far, F.col("r.source").eqNullSafe(F.col("s.source")), "left")
-    goal = F.col("r.share") * F.col("source_size") - F.coalesce("s.words", F.lit(0))
-    shorts = _first(shorts.select("r.*", goal.alias("goal")), "goal", carried).drop("goal")
-    copies = F.col("copies") + F.col("taken_once")
+    # what the ranks should bring: sums over a source's classes in their order, so that reruns agree to the last bit
+    parts = F.array_sort(F.collect_list(F.struct("class", (F.col("share") * F.col("words")).alias("w"))))
+    wanted = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x["w"])
+    goals = expected.groupBy("source").agg(parts.alias("p")).select("source", wanted(F.filter("p", lambda x: x["class"] >= 0)).alias("long_goal"), wanted(F.col("p")).alias("goal"))
+    goals = (F.broadcast(goals) if small else goals).alias("s")
+    longs = ranked.where("long").alias("r").join(goals, F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", F.col("s.long_goal").alias("goal"))
+    longs = settle(_first(longs, "goal", carried).drop("goal"), "longs")
+    so_far = longs.where("share > 0").groupBy("source").agg(F.sum(F.col("size") * F.col("taken_once")).alias("words"))
+    left = goals.join(so_far.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left").select("s.source", (F.col("s.goal") - F.coalesce("t.words", F.lit(0))).alias("goal"))
+    left = (F.broadcast(left) if small else left).alias("s")
+    shorts = ranked.where("not long").alias("r").join(left, F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.goal")
+    shorts = _first(shorts, "goal", carried).drop("goal")
+    # a class that has its whole copies takes no more, whatever its source lacks
+    copies = F.col("copies") + F.when(F.col("share") > 0, F.col("taken_once")).otherwise(0)
     return longs.unionByName(shorts).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"), *carried,
     )

@@ -1,6 +1,7 @@
 """Language ID, decontamination, surrogates and mixing against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -178,33 +179,47 @@ def test_mixing(spark):
         assert abs(taken[s] - want[s]) <= max(30, 0.02 * want[s])
 
 
+def plain_shares(own, target):
+    """Expected copies of each document: the level times the root of its class's factor, at most 3; found by halving."""
+    mean = sum(own) / len(own)
+    kinds = [-4 if not x else max(-4, min(4, math.floor(math.log2(x / mean)))) for x in own]
+    words = lambda level: sum(min(3.0, level * 2 ** (k / 2)) * x for k, x in zip(kinds, own))
+    low, high = 0.0, 3.0 * 2**2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if words(middle) < target else (low, middle)
+    return kinds, [min(3.0, high * 2 ** (k / 2)) for k in kinds]
+
+
 def plain_mix(rows, targets, seed=20):
-    """taken by (doc_id, text): each source's copies, then its long and its short documents in the order of their Pareto ranks."""
+    """taken by (doc_id, text): whole copies, then the long and the short documents of a source in the order of their Pareto ranks."""
     out = {}
     for source in targets:
         own = [(r[0], r[1], len((r[1] or "").split())) for r in rows if r[3] == source]
-        words = sum(x[2] for x in own)
-        times = targets[source] / words if words else 0.0
-        copies = min(int(times), 3)
-        share = times - copies if copies < 3 else 0.0
+        if not targets[source]:
+            out |= {x[:2]: 0 for x in own}
+            continue
+        kinds, times = plain_shares([x[2] for x in own], targets[source])
+        copies = [int(t + 1e-9) for t in times]
+        shares = [max(0.0, t - c) if t - c > 1e-9 else 0.0 for t, c in zip(times, copies)]
 
-        def rank(doc_id):
+        def rank(doc_id, share):
             h = xxhash.xxh64(struct.pack("<i", seed), seed=xxhash.xxh64(struct.pack("<q", doc_id), seed=42).intdigest()).intdigest()
             u = ((h >> 11) + 0.5) / 2**53
             odds = u / (1 - u) / (share / (1 - share)) if share else 0
             return odds / (1 + odds) if share else 1.0
 
-        rest, done = {}, 0
+        rest, done, whole = {}, 0, sum(s * x[2] for s, x in zip(shares, own))
         for long_ in (True, False):
-            part = sorted((x for x in own if (x[2] * len(own) > words) == long_), key=lambda x: (rank(x[0]), x[0], x[2]))
-            goal = share * sum(x[2] for x in part) if long_ else share * words - done
+            part = sorted(((x, s) for x, s, k in zip(own, shares, kinds) if (k >= 0) == long_), key=lambda p: (rank(p[0][0], p[1]), p[0][0], p[0][2]))
+            goal = sum(s * x[2] for x, s in part) if long_ else whole - done
             at = 0
-            for x in part:
-                taken = at + x[2] / 2 <= goal
+            for x, share in part:
+                taken = share > 0 and at + x[2] / 2 <= goal
                 rest[x[:2]] = x[2] * taken
                 at += x[2]
                 done += x[2] * taken
-        out |= {x[:2]: x[2] * copies + rest[x[:2]] for x in own}
+        out |= {x[:2]: x[2] * c + rest[x[:2]] for x, c in zip(own, copies)}
     return out
 
 
@@ -219,6 +234,27 @@ def test_mixing_takes_the_first_by_pareto_rank(spark):
     assert got == want
 
 
+def test_inclusion_rates(spark):
+    """Documents of one source are included at the rates of their size classes, not at one rate."""
+    rng = random.Random(13)
+    sizes = [rng.choice([2, 5, 11, 23, 47, 95, 190]) for _ in range(12_000)]
+    rows = [(i, "w " * n, None, "ab"[i % 2], None, None) for i, n in enumerate(sizes)]
+    got = mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for source, target in {r.source: r.target for r in got}.items():
+        own = [r for r in got if r.source == source]
+        _, times = plain_shares([r.size for r in own], target)
+        expected, taken, count = Counter(), Counter(), Counter()
+        for r, t in zip(own, times):
+            expected[r.size] += t
+            taken[r.size] += r.copies
+            count[r.size] += 1
+        rates = {n: expected[n] / count[n] for n in count}
+        assert len({round(r, 3) for r in rates.values()}) >= 5
+        for n in count:
+            assert abs(taken[n] / count[n] - rates[n]) < 0.06, (source, n)
+        assert abs(sum(r.taken for r in own) - target) <= 95
+
+
 def test_many_sources(spark):
     """30,000 sources are settled in seconds: no source looks at all others."""
     began = time.time()
