@@ -170,7 +170,7 @@ def recent_range(spark, sf_dir):
     return stats.recent_range(_events(spark, sf_dir), ["user_id"], "t", "value", 86400).select("event_id", "recent_min", "recent_max", "recent_n")
 
 
-@query(f"with {_E} select event_id, count(value) over w as run_n, round(avg(value) over w, 6) as run_mean, round(stddev_pop(value) over w, 6) as run_sd from e window w as (partition by user_id order by t, event_id rows unbounded preceding)")
+@query(f"with {_E} select event_id, run_n, round(m, 6) as run_mean, round(sqrt(greatest(0.0, q - m * m)), 6) as run_sd from (select event_id, count(value) over w as run_n, (sum(value::decimal(19,9)) over w)::double / count(value) over w as m, (sum((value::decimal(19,9) * value::decimal(19,9))::decimal(38,18)) over w)::double / count(value) over w as q from e window w as (partition by user_id order by t, event_id rows unbounded preceding))")
 def running_moments(spark, sf_dir):
     return _round(stats.running_moments(_events(spark, sf_dir), ["user_id"], ["t", "event_id"], "value").select("event_id", "run_n", "run_mean", "run_sd"))
 
@@ -192,12 +192,12 @@ def signal_split(spark, sf_dir):
 
 @query(
     f"with {_SEG}, c as (select *, list_position(['violet', 'blue', 'white', 'pink', 'brown'], state) as rank from dur), s as (select user_id, sum(seconds) as seconds, sum(case when rank > 0 then seconds else 0 end) as good, first(state order by seconds desc, rank) filter (rank > 0 and seconds > 0) as dominant from c group by 1), "
-    "g as (select user_id, value, event_id, value / 100 - 1 as beta from e where event_type in ('click', 'view', 'signup')), m as (select user_id, count(*) as observations, avg(beta) as beta_mean, stddev_pop(beta) as beta_sd, median(beta) as beta_median, avg(value / 50) as rmse_db_mean, avg(value / 500) as r2_mean, avg(event_id % 10 / 10.0) as flatness_mean from g group by 1) "
-    "select s.user_id, round(seconds, 4) as seconds, dominant, round(100 * good / seconds, 4) as reliable_percent, round(100 - 100 * good / seconds, 4) as rejected_percent, coalesce(observations, 0) as observations, round(beta_mean, 4) as beta_mean, round(beta_sd, 4) as beta_sd, round(beta_median, 4) as beta_median, round(rmse_db_mean, 4) as rmse_db_mean, round(r2_mean, 4) as r2_mean, round(flatness_mean, 4) as flatness_mean from s left join m using (user_id)"
+    "g as (select user_id, value, event_id, value / 100 - 1 as beta from e where event_type in ('click', 'view', 'signup')), m as (select user_id, count(*) as observations, sum(beta::decimal(19,9))::double / count(*) as beta_mean, sum((beta::decimal(19,9) * beta::decimal(19,9))::decimal(38,18))::double / count(*) as beta_square, median(beta) as beta_median, sum((value / 50)::decimal(19,9))::double / count(*) as rmse_db_mean, sum((value / 500)::decimal(19,9))::double / count(*) as r2_mean, sum((event_id % 10 / 10.0)::double::decimal(19,9))::double / count(*) as flatness_mean from g group by 1) "
+    "select s.user_id, round(seconds, 7) as seconds, dominant, round(100 * good / seconds, 7) as reliable_percent, round(100 - 100 * good / seconds, 7) as rejected_percent, coalesce(observations, 0) as observations, round(beta_mean, 7) as beta_mean, round(sqrt(greatest(0.0, beta_square - beta_mean * beta_mean)), 7) as beta_sd, round(beta_median, 7) as beta_median, round(rmse_db_mean, 7) as rmse_db_mean, round(r2_mean, 7) as r2_mean, round(flatness_mean, 7) as flatness_mean from s left join m using (user_id)"
 )
 def session_summary(spark, sf_dir):
     durations = intervals.state_durations(_segments(spark, sf_dir), ["user_id"])
-    return _round(intervals.session_summary(_measured(spark, sf_dir), durations, ["user_id"]), 4)
+    return _round(intervals.session_summary(_measured(spark, sf_dir), durations, ["user_id"]), 7)
 
 
 @query(

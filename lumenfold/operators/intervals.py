@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.scalars import finite
 
-from . import buckets
+from . import buckets, stats, tables
 
 # States in the order in which ties go.
 COLORS = ["violet", "blue", "white", "pink", "brown"]
@@ -69,17 +69,20 @@ def duration_summary(durations: DataFrame, keys: Sequence[str]) -> DataFrame:
 def session_summary(observations: DataFrame, durations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """duration_summary with statistics of the reliable observations (reliable, beta, rmse_db, r2, flatness); keys with durations only.
 
-    Mean, deviation and sums merge over parts of a session, so a running
-    session's figures are these over what has come; the median needs it whole.
+    Means and deviations come from exact sums, which merge over any parts of a
+    session to the same figures; the median from exact quantiles, which sort no
+    session whole.
     """
-    good = F.when(F.coalesce(F.col("reliable"), F.lit(False)) & finite(F.col("beta")).isNotNull(), F.struct("beta", "rmse_db", "r2", "flatness"))
-    value = lambda name: finite(good.getField(name))
-    spread = observations.groupBy(*keys).agg(
-        F.count(value("beta")).alias("observations"), F.avg(value("beta")).alias("beta_mean"), F.stddev_pop(value("beta")).alias("beta_sd"), F.median(value("beta")).alias("beta_median"),
-        *[F.avg(value(n)).alias(f"{n}_mean") for n in ("rmse_db", "r2", "flatness")],
-    )
+    keys = list(keys)
+    good = observations.where(F.coalesce(F.col("reliable"), F.lit(False)) & finite(F.col("beta")).isNotNull())
+    n, mean, sd = stats.exact_moments(F.col("beta"))
+    spread = good.groupBy(*keys).agg(n.alias("observations"), mean.alias("beta_mean"), sd.alias("beta_sd"), *[stats.exact_moments(F.col(c))[1].alias(f"{c}_mean") for c in ("rmse_db", "r2", "flatness")])
+    middle = tables.exact_quantiles(good, keys, "beta", {"beta_median": 0.5}).drop("n")
+    same = lambda x, y: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in keys]
+    spread = spread.alias("s").join(middle.alias("m"), same("s", "m"), "left").select("s.*", "m.beta_median")
     shares = duration_summary(durations, keys)
-    return shares.join(spread, list(keys), "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
+    joined = shares.alias("a").join(spread.alias("b"), same("a", "b"), "left").select("a.*", *[f"b.{c}" for c in spread.columns if c not in keys])
+    return joined.withColumn("observations", F.coalesce("observations", F.lit(0)))
 
 
 def signal_percentages(durations: DataFrame, keys: Sequence[str]) -> DataFrame:

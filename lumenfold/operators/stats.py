@@ -13,6 +13,31 @@ from lumenfold.functions.scalars import finite
 CLIP, NEAR_CLIP, PLATEAU_LEVEL, PLATEAU_STEP, SILENT_RMS = 0.99, 0.98, 0.75, 1e-4, 1e-12
 
 
+#: Digits after the point to which exact sums hold their terms, and the size from which on terms are left out.
+EXACT_DIGITS, EXACT_MOST = 9, 1e9
+
+
+def exact(value: Column) -> Column:
+    """A finite value as a decimal of EXACT_DIGITS; null for any other and beyond EXACT_MOST.
+
+    Sums of decimals are the same in whatever order and parts they are added, so
+    what is made of them agrees between runs, partitionings and a running state.
+    """
+    x = finite(value)
+    return F.when(F.abs(x) < EXACT_MOST, x).cast(f"decimal(19,{EXACT_DIGITS})")
+
+
+def exact_moments(value: Column, over=None) -> tuple[Column, Column, Column]:
+    """Count, mean and population deviation from exact sums; as aggregates, or over a window."""
+    x = exact(value)
+    add = lambda c: F.sum(c) if over is None else F.sum(c).over(over)
+    n = F.count(x) if over is None else F.count(x).over(over)
+    whole = F.nullif(n, F.lit(0)).cast("double")
+    mean = add(x).cast("double") / whole
+    square = add((x * x).cast(f"decimal(38,{2 * EXACT_DIGITS})")).cast("double") / whole
+    return n, mean, F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+
+
 def summarize(value: Column) -> list[Column]:
     """Count, mean, population deviation and median of the finite values."""
     x = finite(value)
@@ -98,7 +123,6 @@ def recent_since(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def running_moments(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """rows with count, mean and population deviation of the finite values so far, each from the ones before it alone."""
+    """rows with count, mean and population deviation of the finite values so far, from exact running sums."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = finite(F.col(value))
-    return rows.withColumns({"run_n": F.count(x).over(w), "run_mean": F.avg(x).over(w), "run_sd": F.stddev_pop(x).over(w)})
+    return rows.withColumns(dict(zip(("run_n", "run_mean", "run_sd"), exact_moments(F.col(value), w))))

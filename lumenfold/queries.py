@@ -23,7 +23,7 @@ _E = "e as (select event_id, user_id, event_type, value, props, ts, date_diff('m
 _B = "b as (select vec_id, i as bin, i * 125.0 as freq, embedding[i + 1]::double * embedding[i + 1]::double as power from (select vec_id, embedding, unnest(range(len(embedding))) as i from embeddings))"
 _STATE = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in STATES.items()) + " end"
 _SEG = f"""{_E}, o as (select user_id, t, {_STATE} as state from e),
-x as (select user_id, state, coalesce((lag(t) over w + t) / 2, 0) as b, coalesce((lead(t) over w + t) / 2, {30 * DAY}) as z from o window w as (partition by user_id order by t, state)),
+x as (select user_id, coalesce(state, 'mixed') as state, case when lag(t) over w is null then 0 else least({30 * DAY}, greatest(0, (lag(t) over w + t) / 2)) end as b, case when lead(t) over w is null then {30 * DAY} else least({30 * DAY}, greatest(0, (lead(t) over w + t) / 2)) end as z from o window w as (partition by user_id order by t, state)),
 y as (select *, case when lag(state) over w is not distinct from state then 0 else 1 end as new from x window w as (partition by user_id order by b, z)),
 r as (select *, sum(new) over (partition by user_id order by b, z rows unbounded preceding) as run from y),
 seg as (select user_id, state, min(b) as begins, max(z) as ends, count(*) as rows from r group by user_id, run, state),
