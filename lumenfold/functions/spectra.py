@@ -307,16 +307,22 @@ def tonality(freq: np.ndarray, power: np.ndarray, fit: Fit, low: float = FIT_RAN
     )
 
 
-def spectrogram(samples: np.ndarray, rate: float, most: int = 120, rows: int = 56) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times, frequencies and levels in dB: strided Hann frames of up to 2048 samples, at log-spaced frequencies."""
+def log_spaced_levels(frame: np.ndarray, rate: float, rows: int = 56) -> tuple[np.ndarray, np.ndarray]:
+    """Log-spaced frequencies and the levels in dB of the nearest bins, but for the first, of one Hann frame of a power of two samples."""
+    size = len(frame)
+    power = np.abs(np.fft.rfft(frame * np.hanning(size))) ** 2
+    freq = np.geomspace(80, min(12000, 0.48 * rate), rows)
+    bins = np.clip(half_up(freq * size / rate), 1, size // 2)
+    return freq, 10 * np.log10(np.maximum(power[bins], TINY))
+
+
+def spectrogram(samples: np.ndarray, rate: float, most: int = 80, rows: int = 56) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times, frequencies and levels in dB of strided half-overlapping frames of up to 2048 samples."""
     x = np.asarray(samples, np.float64)
     size = 1 << max(0, min(len(x), 2048).bit_length() - 1)
     starts = frame_starts(len(x), size) if len(x) >= 256 else np.zeros(0, int)
     if not len(starts):
         return np.zeros(0), np.zeros(0), np.zeros((0, rows))
     starts = starts[:: -(-len(starts) // most)]
-    window = np.hanning(size)
-    power = np.abs(np.fft.rfft(x[starts[:, None] + np.arange(size)] * window, axis=1)) ** 2
-    freq = np.geomspace(80, min(12000, 0.48 * rate), rows)
-    bins = np.clip(half_up(freq * size / rate), 0, size // 2)
-    return (starts + size / 2) / rate, freq, 10 * np.log10(np.maximum(power[:, bins], 1e-20))
+    found = [log_spaced_levels(x[s : s + size], rate, rows) for s in starts]
+    return (starts + size / 2) / rate, found[0][0], np.array([level for _, level in found])

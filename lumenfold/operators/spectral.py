@@ -39,7 +39,7 @@ def each_signal(rows: DataFrame, function: Callable[[np.ndarray, float], dict],
             made = [pa.array([o[f.name] for o in out], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *made], [*keys, *arrow.names])
 
-    return rows.select(*keys, samples, F.col(rate).cast("double").alias("_rate")).mapInArrow(run, schema)
+    return rows.select(*keys, F.col(samples).alias("_samples"), F.col(rate).cast("double").alias("_each_rate")).mapInArrow(run, schema)
 
 
 SPECTRUM = "freq array<double>, power array<double>, segments int"
@@ -69,11 +69,7 @@ def framed_density(samples: DataFrame, keys: Sequence[str], requested: int = 409
     even = F.transform(F.sequence(F.lit(0), F.col("segments") - 1), lambda i: half_up(i * (F.col("_all") - 1) / (F.col("segments") - 1)).cast("int"))
     chosen = F.when(F.col("segments") == 1, F.array(F.floor((F.col("_all") - 1) / 2).cast("int"))).otherwise(even)
     framed = framed.withColumn("_starts", F.transform(chosen, lambda i: i * F.col("_hop")))
-    placed = samples.join(framed, keys)
-    inside = F.filter("_starts", lambda s: (F.col("n") >= s) & (F.col("n") < s + F.col("_size")))
-    placed = placed.select(*keys, "_rate", "segments", F.explode(inside).alias("_start"), "n", F.col("x").cast("double").alias("x"))
-    pairs = F.array_sort(F.collect_list(F.struct("n", "x")))
-    frames = placed.groupBy(*keys, "_start").agg(F.first("segments").alias("segments"), F.first("_rate").alias("_rate"), F.transform(pairs, lambda p: p["x"]).alias("samples"))
+    frames = gathered(samples, keys, framed, ["segments", "_rate"])
 
     def one(x: np.ndarray, rate: float) -> dict:
         freq, power, _ = spectra.welch(x, rate, len(x), overlap, 1)
@@ -84,18 +80,70 @@ def framed_density(samples: DataFrame, keys: Sequence[str], requested: int = 409
     return exploded.groupBy(*keys, "bin").agg(F.first("b.freq").alias("freq"), F.greatest(F.avg("b.power"), F.lit(TINY)).alias("power"), F.first("segments").alias("segments"))
 
 
-def windows(rows: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0) -> DataFrame:
-    """Whole sliding windows of each signal as rows of their own, so that they spread over tasks.
+def gathered(samples: DataFrame, keys: Sequence[str], framed: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """keys, _start, samples and carried columns of each frame of samples as rows (keys, n, x): framed has keys, _size, _starts and carried."""
+    placed = samples.select(*keys, "n", "x").join(framed.select(*keys, "_size", "_starts", *carried), list(keys))
+    inside = F.filter("_starts", lambda s: (F.col("n") >= s) & (F.col("n") < s + F.col("_size")))
+    placed = placed.select(*keys, *carried, F.explode(inside).alias("_start"), "n", F.col("x").cast("double").alias("x"))
+    pairs = F.array_sort(F.collect_list(F.struct("n", "x")))
+    return placed.groupBy(*keys, "_start").agg(*[F.first(c).alias(c) for c in carried], F.transform(pairs, lambda p: p["x"]).alias("samples"))
+
+
+#: Steps of windows that begin in one chunk of a signal.
+CHUNK_HOPS = 8
+
+
+def chunks(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0) -> DataFrame:
+    """keys, chunk, span, rate, samples: a signal as rows (keys, n from 0 without gaps, x, rate) in stretches of span samples.
+
+    Each has as many samples of what follows as windows need that begin in it,
+    so a signal of any length spreads over tasks and no row is longer than a
+    chunk and a window.
+    """
+    hop, halo = F.greatest(F.lit(1), half_up(F.col("rate") * step)), F.greatest(F.lit(1), half_up(F.col("rate") * seconds))
+    placed = samples.select(*keys, "n", F.col("x").cast("double").alias("x"), "rate", (hop * max(CHUNK_HOPS, -int(-seconds // step))).alias("span"), halo.alias("_halo"))
+    own = F.floor(F.col("n") / F.col("span"))
+    inside = F.col("n") - own * F.col("span")
+    back = F.when(inside < F.col("_halo"), F.floor((F.col("_halo") - 1 - inside) / F.col("span")) + 1).otherwise(0)
+    dealt = placed.withColumn("chunk", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), own - back), own)))
+    pairs = F.array_sort(F.collect_list(F.struct("n", "x")))
+    rows = dealt.groupBy(*keys, "chunk").agg(F.max("span").alias("span"), F.max("rate").alias("rate"), F.transform(pairs, lambda p: p["x"]).alias("samples"))
+    return rows
+
+
+def windows(cut: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0) -> DataFrame:
+    """Whole sliding windows of chunks() as rows (keys, start, begins, ends, rate, samples).
 
-    A shorter signal of at least 1.5 seconds is one window.
+    A signal shorter than a window is one window.
     """
-    n, hop = F.size("samples"), F.greatest(F.lit(1), half_up(F.col("rate") * step).cast("int"))
-    size = F.greatest(F.lit(1), F.least(half_up(F.col("rate") * seconds).cast("int"), n))
-    enough = (n > 0) & (n >= F.least(size, half_up(F.col("rate") * 1.5).cast("int")))
-    start = F.explode(F.when(enough, F.sequence(F.lit(0), n - size, hop)).otherwise(F.array().cast("array<int>")))
-    cut = rows.select("*", start.alias("start"))
+    n, hop = F.size("samples"), F.greatest(F.lit(1), half_up(F.col("rate") * step)).cast("int")
+    whole = F.greatest(F.lit(1), half_up(F.col("rate") * seconds)).cast("int")
+    size = F.when(F.col("chunk") == 0, F.least(whole, n)).otherwise(whole)
+    enough = (n >= size) & (n > 0)
+    last = F.least(F.col("span").cast("int") - hop, n - size)
+    offset = F.explode(F.when(enough, F.sequence(F.lit(0), last, hop)).otherwise(F.array().cast("array<int>")))
+    rows = cut.select("*", size.alias("_size"), offset.alias("_offset")).withColumn("start", F.col("chunk") * F.col("span") + F.col("_offset"))
     begins = F.col("start") / F.col("rate")
-    return cut.select(*keys, "start", "rate", begins.alias("begins"), (begins + size / F.col("rate")).alias("ends"), F.slice("samples", F.col("start") + 1, size).alias("samples"))
+    return rows.select(*keys, "start", "rate", begins.alias("begins"), (begins + F.col("_size") / F.col("rate")).alias("ends"), F.slice("samples", F.col("_offset") + 1, F.col("_size")).alias("samples"))
+
+
+def spectrogram(samples: DataFrame, keys: Sequence[str], most: int = 80, rows: int = 56) -> DataFrame:
+    """keys, time, freq, db of strided frames of samples as rows (keys, n, x, rate), at log-spaced frequencies; none under 256 samples."""
+    keys = list(keys)
+    lengths = samples.groupBy(*keys).agg((F.max("n") + 1).alias("_length"), F.max("rate").alias("_rate")).where("_length >= 256 and _rate > 0")
+    framed = lengths.withColumn("_size", F.least(F.lit(2048), F.pow(F.lit(2.0), F.floor(F.log2("_length"))).cast("int")))
+    hop = F.floor(F.col("_size") / 2)
+    stride = F.ceil((F.floor((F.col("_length") - F.col("_size")) / hop) + 1) / most)
+    framed = framed.withColumn("_starts", F.sequence(F.lit(0).cast("long"), F.col("_length") - F.col("_size"), hop * stride))
+
+    def one(x: np.ndarray, rate: float) -> dict:
+        freq, level = spectra.log_spaced_levels(x, rate, rows)
+        return {"freq": freq.tolist(), "db": level.tolist(), "size": len(x)}
+
+    frames = gathered(samples, keys, framed, ["_rate"])
+    found = each_signal(frames, one, "freq array<double>, db array<double>, size int", [*keys, "_start", "_rate"], rate="_rate")
+    time = (F.col("_start") + F.col("size") / 2) / F.col("_rate")
+    return found.select(*keys, time.alias("time"), F.explode(F.arrays_zip("freq", "db")).alias("c")).select(*keys, "time", "c.freq", "c.db")
 
 
 def bins(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.scalars import finite
 
+from . import buckets
+
 # Fixed thresholds of level and limiting checks.
 CLIP, NEAR_CLIP, PLATEAU_LEVEL, PLATEAU_STEP, SILENT_RMS = 0.99, 0.98, 0.75, 1e-4, 1e-12
 
@@ -63,17 +65,25 @@ def trace(packets: DataFrame, stage: str, order: str, metrics: Sequence[str], co
     return packets.groupBy(stage).agg(newest, F.count("*").alias("blocks"), F.sum(count).alias("samples")).select(stage, "latest.*", "blocks", "samples")
 
 
-def input_metrics(samples: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+def input_metrics(samples: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], length: float | None = None) -> DataFrame:
     """Level, clipping, plateaus, crest, raw kurtosis and edge density of each key's samples.
 
     The peak is needed before the edges can be counted: two aggregations of
     constant-size partial sums. A plateau sample is loud and no different from
-    the finite one before it in order.
+    the finite one before it in order. That one is found in a window for each
+    key, or, for keys of any size, in buckets of the given length of order's
+    first column.
     """
-    x = finite(F.col(value))
-    marked = samples.withColumn("_x", x).withColumn("_before", F.last("_x", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
-    peaks = samples.groupBy(*keys).agg(F.max(F.abs(x)).alias("_peak"))
-    joined = marked.join(peaks, list(keys))
+    keys = list(keys)
+    marked = samples.select(*keys, *order, finite(F.col(value)).alias("_x"))
+    if length is None:
+        before = F.last("_x", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        marked = marked.withColumn("_before", before)
+    else:
+        near = buckets.beside(marked.where("_x is not null"), keys, order[0], length, [*order, "_x"])
+        marked = near.select(*keys, "_x", F.col("_before._x").alias("_before")).unionByName(marked.where("_x is null").select(*keys, "_x"), allowMissingColumns=True)
+    peaks = samples.groupBy(*keys).agg(F.max(F.abs(finite(F.col(value)))).alias("_peak")).alias("p")
+    joined = marked.alias("m").join(peaks, [F.col(f"m.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]).select("m.*", "p._peak")
     a, square = F.abs(F.col("_x")), F.col("_x") * F.col("_x")
     share = lambda condition: F.count_if(condition) / F.nullif(F.count("_x"), F.lit(0))
     out = joined.groupBy(*keys).agg(

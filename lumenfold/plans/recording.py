@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import spectra
+from lumenfold.functions.scalars import half_up
 from lumenfold.operators import classify, intervals, spectral, stats
 
+from .shared import settled
+
 MEASURES = (
     "duration double, rms double, dbfs double, peak double, clipping double, near_clipping double, plateau double, crest double, kurtosis double, edge_density double, non_finite double, "
     "beta double, r2 double, rmse_db double, mae_db double, points int, flatness double, prominence_db double, tonal_ratio double, peaks int, persistent int, harmonic_peaks int, normalized_flatness double, "
@@ -40,17 +45,21 @@ def levels(samples: np.ndarray, rate: float) -> dict:
 
 def measure(samples: np.ndarray, rate: float, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1], budget: int = 48) -> dict:
     """All measurements of one window of samples."""
-    x, out = np.asarray(samples, np.float32).astype(np.float64), levels(samples, rate)
+    x = np.asarray(samples, np.float32).astype(np.float64)
     freq, power, segments = spectra.welch(np.where(np.isfinite(x), x, 0.0), rate or 0.0, budget=budget)
+    return levels(samples, rate) | diagnosed(freq, power, rate, low, high) | {"segments": segments}
+
+
+def diagnosed(freq: np.ndarray, power: np.ndarray, rate: float, low: float, high: float) -> dict:
+    """The measurements of a spectrum."""
     high = min(high, 0.48 * (rate or 0.0))
     fit = spectra.power_law(freq, power, low, high)
     tone = spectra.tonality(freq, power, fit, low, high)
     model = spectra.adequacy(freq, power, low, max(high, low + 1))
     value = lambda v: float(v) if v is not None and np.isfinite(v) else None
-    out |= dict(beta=value(fit.beta), r2=fit.r2, rmse_db=value(fit.rmse_db), mae_db=value(fit.mae_db), points=fit.points, flatness=spectra.flatness(power[spectra.in_range(freq, power, low, high)]) if len(freq) else 0.0)
+    out = dict(beta=value(fit.beta), r2=fit.r2, rmse_db=value(fit.rmse_db), mae_db=value(fit.mae_db), points=fit.points, flatness=spectra.flatness(power[spectra.in_range(freq, power, low, high)]) if len(freq) else 0.0)
     out |= {k: tone[k] for k in ("prominence_db", "tonal_ratio", "persistent", "harmonic_peaks", "normalized_flatness", "occupancy", "harmonic_evidence")} | {"peaks": len(tone["peaks"])}
-    out |= {k: float(model[k]) for k in ("smooth_db", "smooth_rmse_db", "smooth_mad_db", "delta", "support", "improvement", "relative", "evidence", "abrupt_delta", "abrupt_improvement", "abrupt_relative", "abrupt_evidence")}
-    return out | {"segments": segments}
+    return out | {k: float(model[k]) for k in ("smooth_db", "smooth_rmse_db", "smooth_mad_db", "delta", "support", "improvement", "relative", "evidence", "abrupt_delta", "abrupt_improvement", "abrupt_relative", "abrupt_evidence")}
 
 
 def clipped() -> Column:
@@ -67,39 +76,72 @@ def gated(measured: DataFrame, temporal_sd: Column | None = None) -> DataFrame:
     return measured.withColumn("_gate", classify.quality_gate(c)).select(*measured.columns, "_gate.*")
 
 
-def observations(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0, step: float = 2.0) -> DataFrame:
-    """One gated row for each window; windows are cut before they are measured, so they spread over tasks."""
-    cut = spectral.windows(signals.select(key, "rate", "samples"), [key], seconds, step).repartition(key, "start")
-    measured = spectral.each_signal(cut, lambda x, r: measure(x, r, budget=24), MEASURES, [key, "start", "begins", "ends"])
+#: Seconds of frames that are put in order together, and samples.
+TIMELINE_BUCKET, SAMPLE_BUCKET = 512.0, 65_536.0
+_LEVELS = ["rms", "dbfs", "peak", "clipping", "near_clipping", "plateau", "crest", "kurtosis", "edge_density", "non_finite"]
+
+
+def _single(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Samples as rows (keys, n from 0 without gaps, x, rate), to single precision as they were captured."""
+    return samples.select(*keys, "n", F.col("x").cast("float").cast("double").alias("x"), F.col("rate").cast("double").alias("rate"))
+
+
+def observations(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
+    """One gated row for each window of signals as rows (keys, n from 0 without gaps, x, rate), measured chunk by chunk."""
+    keys = list(keys)
+    cut = spectral.windows(spectral.chunks(_single(samples, keys), keys, seconds, step), keys, seconds, step)
+    measured = spectral.each_signal(cut, lambda x, r: measure(x, r, low, high, 24), MEASURES, [*keys, "start", "begins", "ends"])
     return gated(measured).withColumn("time", (F.col("begins") + F.col("ends")) / 2)
 
 
-def recordings(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0, step: float = 2.0) -> DataFrame:
-    """One row for each signal: its measurements, gate, stability over windows, and the session's summary.
+def frame_levels(samples: DataFrame, keys: Sequence[str], seconds: float = 0.5) -> DataFrame:
+    """keys, frame, begins, ends, time, samples and levels of frames of seconds, the last one as it is; the samples meet by frame."""
+    keys = list(keys)
+    size = F.greatest(F.lit(1), half_up(F.col("rate") * seconds))
+    framed = _single(samples, keys).select(*keys, F.floor(F.col("n") / size).alias("frame"), size.alias("_size"), "rate", "n", "x")
+    found = stats.input_metrics(framed, [*keys, "frame", "_size", "rate"], "x", ["n"])
+    begins, ends = F.col("frame") * F.col("_size") / F.col("rate"), (F.col("frame") * F.col("_size") + F.col("samples")) / F.col("rate")
+    return found.select(*keys, "frame", begins.alias("begins"), ends.alias("ends"), ((begins + ends) / 2).alias("time"), "samples", *_LEVELS, "limiting")
+
+
+def timeline(samples: DataFrame, keys: Sequence[str], seen: DataFrame) -> DataFrame:
+    """Segments of half-second frames by their own level, else by the state of the nearest of seen (keys, time, state)."""
+    keys = list(keys)
+    near = intervals.nearest(frame_levels(samples, keys), seen.select(*keys, "time", "state"), keys, "time", ["state"], width=TIMELINE_BUCKET)
+    state = classify.activity_state(F.col("samples"), F.col("non_finite"), F.col("dbfs"), clipped(), F.col("nearest_state"))
+    return intervals.merged(near.withColumn("state", state), keys, "state", "begins", "ends", TIMELINE_BUCKET)
+
+
+def whole(samples: DataFrame, keys: Sequence[str], low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
+    """keys and MEASURES of whole signals: levels from partial sums, the spectrum from the frames it uses, one row of at most 2049 bins for each signal."""
+    keys, single = list(keys), _single(samples, keys)
+    found = stats.input_metrics(single, [*keys, "rate"], "x", ["n"], SAMPLE_BUCKET).withColumn("duration", F.col("samples") / F.col("rate"))
+    finite_ = single.withColumn("x", F.when(F.isnan("x") | (F.abs("x") == float("inf")), 0.0).otherwise(F.coalesce("x", F.lit(0.0))))
+    bins = spectral.framed_density(finite_, keys)
+    ordered = F.array_sort(F.collect_list(F.struct("bin", "freq", "power")))
+    spectrum = bins.groupBy(*keys).agg(ordered.alias("_b"), F.max("segments").alias("segments"))
+    packed = F.concat(F.transform("_b", lambda b: b["freq"]), F.transform("_b", lambda b: b["power"]))
+    joined = found.join(spectrum.select(*keys, packed.alias("spectrum"), "segments"), keys, "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
+    names = [f.split(" ") for f in MEASURES.split(", ")]
+    own = [n for n, _ in names if n not in ("duration", "segments", *_LEVELS)]
+    carried = [*keys, "duration", *_LEVELS, "segments"]
+    measured = spectral.each_signal(joined, lambda x, r: diagnosed(x[: len(x) // 2], x[len(x) // 2 :], r, low, high), ", ".join(f"{n} {k}" for n, k in names if n in own), carried, "spectrum")
+    return measured.select(*keys, *[n for n, _ in names])
+
+
+def recordings(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1], seen: DataFrame | None = None) -> DataFrame:
+    """One row for each signal: its measurements, gate, stability over windows (seen, if they are known), and the session's summary.
 
     rejected_percent and top_rejected come from the seconds of the activity
     timeline; of states that last as long the one named first in STATES counts.
     """
-    whole = spectral.each_signal(signals, measure, MEASURES, [key])
-    seen = observations(signals, key, seconds, step).persist()  # read twice; a small row for each window
-    durations = intervals.state_durations(timeline(signals, key, seconds, step, seen), [key])
+    keys = list(keys)
+    if seen is None:  # measured once, read by the timeline and the summary
+        seen = settled(observations(samples, keys, seconds, step, low, high).select(*keys, "time", "state", "reliable", "beta", "rmse_db", "r2", "flatness"))
+    durations = settled(intervals.state_durations(timeline(samples, keys, seen), keys))
     rank = F.array_position(F.array(*map(F.lit, intervals.STATES)), F.col("state"))
     rejected = ~F.col("state").isin(intervals.COLORS)
-    worst = durations.groupBy(key).agg(F.max_by(F.when(rejected, F.col("state")), F.when(rejected, F.struct("seconds", -rank))).alias("top_rejected"))
-    summary = intervals.session_summary(seen, durations, [key]).select(key, "dominant", "reliable_percent", "rejected_percent", "beta_mean", F.col("beta_sd").alias("temporal_sd"), "beta_median", "observations")
-    joined = gated(whole.join(summary, key, "left"), F.col("temporal_sd")).join(worst, key, "left")
+    worst = durations.groupBy(*keys).agg(F.max_by(F.when(rejected, F.col("state")), F.when(rejected, F.struct("seconds", -rank))).alias("top_rejected"))
+    summary = intervals.session_summary(seen, durations, keys).select(*keys, "dominant", "reliable_percent", "rejected_percent", "beta_mean", F.col("beta_sd").alias("temporal_sd"), "beta_median", "observations")
+    joined = gated(whole(samples, keys, low, high).join(summary, keys, "left"), F.col("temporal_sd")).join(worst, keys, "left")
     return joined.withColumn("final_state", classify.recording_state(F.col("state"), F.col("reliable"), F.col("temporal_sd"), F.col("rejected_percent"), F.col("top_rejected")))
-
-
-def timeline(signals: DataFrame, key: str = "signal_id", seconds: float = 6.0, step: float = 2.0, seen: DataFrame | None = None) -> DataFrame:
-    """Segments of half-second frames by their own level, else by the nearest window's state; seen are the windows, if they are known."""
-    seen = observations(signals, key, seconds, step) if seen is None else seen
-    size = F.greatest(F.lit(1), F.floor(F.col("rate") * 0.5 + 0.5)).cast("int")
-    start = F.explode(F.sequence(F.lit(0), F.size("samples") - 1, size))
-    frames = signals.where("size(samples) > 0").select(key, "rate", size.alias("size"), start.alias("start"), "samples")
-    frames = frames.select(key, "rate", "start", F.slice("samples", F.col("start") + 1, F.col("size")).alias("samples"))
-    leveled = spectral.each_signal(frames, lambda x, r: levels(x, 0.0) | {"n": len(x), "rate_": r}, "rms double, dbfs double, peak double, clipping double, near_clipping double, plateau double, crest double, kurtosis double, edge_density double, non_finite double, n int, rate_ double", [key, "start"])
-    leveled = leveled.withColumn("begins", F.col("start") / F.col("rate_")).withColumn("ends", (F.col("start") + F.col("n")) / F.col("rate_")).withColumn("time", (F.col("begins") + F.col("ends")) / 2)
-    near = intervals.nearest(leveled, seen.select(key, "time", "state"), [key], "time", ["state"])
-    state = classify.activity_state(F.col("n"), F.col("non_finite"), F.col("dbfs"), clipped(), F.col("nearest_state"))
-    return intervals.merged(near.withColumn("state", state), [key], "state", "begins", "ends")

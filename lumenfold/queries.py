@@ -6,11 +6,11 @@ spectra. Results of floating-point sums are rounded, as their order is not fixed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars
-from lumenfold.operators import intervals, spectral, stats, tables
+from lumenfold.operators import buckets, intervals, spectral, stats, tables
 from lumenfold.plans import replay
 from lumenfold.registry import query
 from lumenfold.streaming import color_state, live, sessions
@@ -368,8 +368,9 @@ def hysteresis_fold(spark, sf_dir):
 
 def _numbered(spark, sf_dir) -> DataFrame:
     """Samples of a signal for each event type, in order of time."""
-    w = Window.partitionBy("event_type").orderBy("t", "event_id")
-    return _events(spark, sf_dir).select("event_type", (F.row_number().over(w) - 1).alias("n"), (F.col("value") / 500).alias("x"), F.lit(1000.0).alias("rate"))
+    rows = _events(spark, sf_dir).select("event_type", "t", "event_id", (F.col("value") / 500).alias("x"))
+    placed = buckets.placed(rows, ["event_type"], "t", buckets.width(rows, "t"), ["t", "event_id"])
+    return placed.select("event_type", "n", "x", F.lit(1000.0).alias("rate"))
 
 
 _N = "e as (select event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as n, value / 500 as x from events)"

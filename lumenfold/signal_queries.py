@@ -1,26 +1,23 @@
-"""The spectral path as queries: a synthesised recording for each row of `nation`.
+"""The spectral path as queries: columns of the tables, in order, as samples of signals.
 
-What a recording holds follows from its key: the five colors, and what each
-quality gate is there for.
+Values of `events` make a signal for each event type, at 64 Hz; prices of
+`lineitem` make noise at 4 kHz, of which further signals are derived.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions import spectra
-from lumenfold.operators import spectral
+from lumenfold.operators import buckets, intervals, spectral
 from lumenfold.plans import recording
+from lumenfold.queries import _N, _numbered
 from lumenfold.registry import query
 
 RATE, SECONDS = 16_000, 10
-#: What the recordings with the first keys hold; the others hold the color of key % 5 again.
-KINDS = ["violet", "blue", "white", "pink", "brown", "silence", "clipped", "tone", "chord", "short", "broken samples", "pink, then blue", "two slopes", "pauses"]
-#: The state each should get.
-EXPECTED = ["violet", "blue", "white", "pink", "brown", "silence", "clipping", "tonal", "tonal", "insufficient", "invalid", "unstable", "mixed", "silence"]
+#: Fit range of the signals of events and of those of prices, in Hz.
+SLOW, FAST = (2.0, 30.0), (40.0, 480.0)
 
 
 def colored(beta: float, seed: int, n: int = RATE * SECONDS, rms: float = 0.18, gain=None) -> np.ndarray:
@@ -31,67 +28,106 @@ def colored(beta: float, seed: int, n: int = RATE * SECONDS, rms: float = 0.18,
     return x * rms / np.sqrt(np.mean(x**2))
 
 
-def synthesised(key: int) -> np.ndarray:
-    kind = KINDS[key] if key < len(KINDS) else KINDS[key % 5]
-    t = np.arange(RATE * SECONDS) / RATE
-    if kind in KINDS[:5]:
-        return colored(KINDS.index(kind) - 2.0, key)
-    return {
-        "silence": lambda: colored(1, key, rms=1e-4), "clipped": lambda: np.clip(colored(1, key, rms=0.9), -1, 1), "tone": lambda: 0.3 * np.sin(2 * np.pi * 1000 * t) + colored(0, key, rms=0.001),
-        "chord": lambda: sum(0.1 * np.sin(2 * np.pi * 440 * k * t) for k in (1, 2, 3, 4)) + colored(0, key, rms=0.01), "short": lambda: colored(1, key, n=RATE),
-        "broken samples": lambda: np.where(np.arange(len(t)) % 50_000 == 7, np.nan, colored(1, key)), "pink, then blue": lambda: np.append(colored(1, key), colored(-1, key)),
-        "two slopes": lambda: colored(0, key, gain=lambda f: np.where(f < 1000, 0, -20 * np.log10(f / 1000) * 1.5)), "pauses": lambda: colored(1, key) * np.where(t % 2 < 1.0, 1, 1e-5),
-    }[kind]()
-
-
-def _signals(spark, sf_dir: str) -> DataFrame:
-    def make(batches):
-        for b in batches:
-            for key in b.column(0).to_pylist():  # a recording at a time
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([synthesised(key)], pa.list_(pa.float64()))], ["n_nationkey", "samples"])
-
-    keys = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").repartition(8, "n_nationkey")
-    return keys.mapInArrow(make, "n_nationkey int, samples array<double>").withColumn("rate", F.lit(float(RATE)))
-
-
 def _six(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(n, 6).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes])
 
 
-@query("select n_nationkey, (" + repr(EXPECTED) + ")[case when n_nationkey < 14 then n_nationkey else n_nationkey % 5 end + 1] as state from nation")
-def recording_states(spark, sf_dir):
-    return recording.recordings(_signals(spark, sf_dir), "n_nationkey").select("n_nationkey", F.col("final_state").alias("state"))
-
-
-@query("select n_nationkey, ((case when n_nationkey < 14 then n_nationkey else n_nationkey % 5 end) - 2)::double as beta from nation where n_nationkey < 5 or n_nationkey > 13")
-def recovered_exponents(spark, sf_dir):
-    """The exponents of the colored recordings, to the nearest tenth."""
-    fit = spectral.each_signal(_signals(spark, sf_dir), lambda x, r: {"beta": spectra.power_law(*spectra.welch(x, r)[:2], 100, 7000).beta}, "beta double", ["n_nationkey"])
-    return fit.where("n_nationkey < 5 or n_nationkey > 13").select("n_nationkey", (F.round("beta", 1) + 0.0).alias("beta"))
+def _samples(spark, sf_dir: str) -> DataFrame:
+    return _numbered(spark, sf_dir).withColumn("rate", F.lit(64.0))
+
+
+def _noise(spark, sf_dir: str) -> DataFrame:
+    """signal, n, x, rate: noise of the prices' last digits, and what becomes of it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("double").alias("at"), (F.pmod(F.col("l_extendedprice").cast("double") * 100, F.lit(9973)) / 9973 - 0.5).alias("u"))
+    placed = buckets.placed(rows, [], "at", buckets.width(rows, "at"), ["at", "u"])
+    near = buckets.beside(placed, [], "n", 4096.0, ["n", "u"])
+    u, before = F.col("u"), F.coalesce(F.col("_before.u"), F.lit(0.0))
+    kinds = {
+        "white": 0.4 * u, "violet": 0.3 * (u - before), "silence": u * 1e-4, "clipped": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 5 * u)), "broken": F.when(F.col("n") % 1000 != 7, u), "short": F.when(F.col("n") < 4000, 0.4 * u),
+        "pauses": 0.4 * u * F.when(F.floor(F.col("n") / 4000) % 3 == 1, 1e-5).otherwise(1.0),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), x.cast("double").alias("x")) for k, x in kinds.items()]))
+    signals = near.select("n", each.alias("s")).select("s.signal", "n", "s.x", F.lit(4000.0).alias("rate"))
+    return signals.where("signal != 'short' or n < 4000")
+
+
+#: SQL of the numbered samples, to single precision.
+_X = f"{_N}, x as (select event_type, n, x::float::double as x from e)"
+_LEVELS = (
+    "f as (select *, n // 32 as frame from x), a as (select *, abs(x - lag(x) over (partition by event_type, frame order by n)) as step, max(abs(x)) over (partition by event_type, frame) as top from f), "
+    "l as (select event_type, frame, frame * 32 / 64.0 as begins, (frame * 32 + count(*)) / 64.0 as ends, count(*) as samples, sqrt(avg(x * x)) as rms, 20 * log10(greatest(1e-12, sqrt(avg(x * x)))) as dbfs, max(top) as peak, avg((abs(x) >= 0.99)::int) as clipping, avg((abs(x) >= 0.98)::int) as near_clipping, "
+    "avg((abs(x) >= 0.75 and coalesce(step <= 1e-4, false))::int) as plateau, avg(x * x * x * x) / pow(avg(x * x), 2) as kurtosis, avg((abs(x) >= 0.9 * top)::int) as edge_density from a group by event_type, frame), "
+    "m as (select *, peak / rms as crest, plateau > 0.002 or (dbfs > -4 and peak / rms < 1.35) or (dbfs > -8 and peak / rms < 1.55 and (kurtosis < 1.9 or edge_density > 0.08)) as limiting from l)"
+)
+
+
+@query(
+    f"with {_X}, {_LEVELS} select event_type, frame, begins, ends, samples, round(rms, 6) as rms, round(dbfs, 6) as dbfs, round(peak, 6) as peak, round(clipping, 6) as clipping, round(near_clipping, 6) as near_clipping, round(plateau, 6) as plateau, "
+    "round(crest, 6) as crest, round(kurtosis, 6) as kurtosis, round(edge_density, 6) as edge_density, 0.0::double as non_finite, limiting from m"
+)
+def frame_levels(spark, sf_dir):
+    return _six(recording.frame_levels(_samples(spark, sf_dir), ["event_type"]).drop("time"))
+
+
+# windows of 384 samples every 128; a shorter signal is one
+_WINDOWS = (
+    "c as (select event_type, count(*) as len from x group by 1), w as (select event_type, unnest(range(0, greatest(1, (len - least(384, len)) // 128 + 1))) * 128 as start, least(384, len) as size from c), "
+    "o as (select w.event_type, start, any_value(size) as size, start / 64.0 as begins, (start + any_value(size)) / 64.0 as ends, avg(x) as mean from w join x on x.event_type = w.event_type and n between start and start + size - 1 group by w.event_type, start)"
+)
+
+
+@query(f"with {_X}, {_WINDOWS} select event_type, start, begins, ends, size, round(mean, 6) as mean from o")
+def sliding_windows(spark, sf_dir):
+    """The windows that are measured, cut chunk by chunk: their bounds, samples and mean."""
+    cut = spectral.windows(spectral.chunks(recording._single(_samples(spark, sf_dir), ["event_type"]), ["event_type"]), ["event_type"])
+    mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / F.size("samples")
+    return _six(cut.select("event_type", "start", "begins", "ends", F.size("samples").cast("long").alias("size"), mean.alias("mean")))
+
+
+@query(
+    f"with {_X}, {_LEVELS}, {_WINDOWS}, s as (select event_type, (begins + ends) / 2 as seen_at, case when mean * 500 < 50 then 'pink' when mean * 500 < 52 then 'silence' else 'nothing known' end as state from o), "
+    "j as (select m.*, s.state as seen from m left join s on s.event_type = m.event_type qualify row_number() over (partition by m.event_type, frame order by abs(seen_at - (m.begins + m.ends) / 2), seen_at desc) = 1), "
+    "t as (select event_type, frame, begins, ends, case when dbfs < -58 then 'silence' when clipping > 0.001 or near_clipping > 0.01 or peak >= 0.9999 or limiting then 'clipping' when seen is null then 'insufficient' when seen = 'silence' then 'mixed' when seen = 'nothing known' then 'insufficient' else seen end as state from j), "
+    "g as (select *, frame - row_number() over (partition by event_type, state order by frame) as run from t) select event_type, state, min(begins) as begins, max(ends) as ends, count(*) as rows from g group by event_type, state, run"
+)
+def frame_timeline(spark, sf_dir):
+    """The activity timeline with windows whose state follows from their mean, so that SQL can tell it too."""
+    rows = _samples(spark, sf_dir)
+    cut = spectral.windows(spectral.chunks(recording._single(rows, ["event_type"]), ["event_type"]), ["event_type"])
+    mean = 500 * F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / F.size("samples")
+    seen = cut.select("event_type", ((F.col("begins") + F.col("ends")) / 2).alias("time"), F.when(mean < 50, "pink").when(mean < 52, "silence").otherwise("nothing known").alias("state"))
+    return recording.timeline(rows, ["event_type"], seen)
 
 
 @query()
-def recordings(spark, sf_dir):
-    return _six(recording.recordings(_signals(spark, sf_dir), "n_nationkey").drop("reasons"))
+def observations(spark, sf_dir):
+    return _six(recording.observations(_samples(spark, sf_dir), ["event_type"], low=SLOW[0], high=SLOW[1]).drop("reasons"))
 
 
 @query()
-def observations(spark, sf_dir):
-    return _six(recording.observations(_signals(spark, sf_dir), "n_nationkey").drop("reasons"))
+def activity_timeline(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    return _six(recording.timeline(rows, ["event_type"], recording.observations(rows, ["event_type"], low=SLOW[0], high=SLOW[1])))
 
 
 @query()
-def activity_timeline(spark, sf_dir):
-    return _six(recording.timeline(_signals(spark, sf_dir), "n_nationkey"))
+def recordings(spark, sf_dir):
+    return _six(recording.recordings(_samples(spark, sf_dir), ["event_type"], low=SLOW[0], high=SLOW[1]).drop("reasons"))
 
 
 @query()
 def spectrograms(spark, sf_dir):
-    def one(x: np.ndarray, rate: float) -> dict:
-        times, freq, level = spectra.spectrogram(x, rate)
-        return {"times": times.tolist(), "freq": freq.tolist(), "db": level.tolist()}
-
-    rows = spectral.each_signal(_signals(spark, sf_dir).where("n_nationkey != 10"), one, "times array<double>, freq array<double>, db array<array<double>>", ["n_nationkey"])
-    frames = rows.select("n_nationkey", "freq", F.posexplode(F.arrays_zip("times", "db")).alias("frame", "f"))
-    cells = frames.select("n_nationkey", F.col("f.times").alias("time"), F.explode(F.arrays_zip("freq", F.col("f.db").alias("db"))).alias("c"))
-    return _six(cells.select("n_nationkey", "time", "c.freq", "c.db"))
+    return _six(spectral.spectrogram(_samples(spark, sf_dir).withColumn("rate", F.lit(1000.0)), ["event_type"]))
+
+
+@query("select unnest(['broken', 'clipped', 'pauses', 'short', 'silence', 'violet', 'white']) as signal, unnest(['invalid', 'clipping', 'silence', 'insufficient', 'silence', 'violet', 'white']) as state")
+def recording_states(spark, sf_dir):
+    """The states of signals that were made to have them, of noise from the prices."""
+    return recording.recordings(_noise(spark, sf_dir), ["signal"], low=FAST[0], high=FAST[1]).select("signal", F.col("final_state").alias("state"))
+
+
+@query("select unnest(['violet', 'white']) as signal, unnest([-2.0::double, 0.0]) as beta")
+def recovered_exponents(spark, sf_dir):
+    """The exponents of noise and of its differences, to the nearest fifth."""
+    found = recording.whole(_noise(spark, sf_dir).where("signal in ('violet', 'white')"), ["signal"], *FAST)
+    return found.select("signal", (F.round(F.col("beta") * 5, 0) / 5 + 0.0).alias("beta"))

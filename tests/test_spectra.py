@@ -152,13 +152,13 @@ def test_framed_density_is_welch(spark):
     assert {r.k for r in got} == {"s"} and {r.segments for r in got} == {n} and np.allclose([r.power for r in got], power) and np.allclose([r.freq for r in got], freq)
 
 
-def test_timeline_and_spectrogram(spark):
-    """Half-second frames by their own level, else the nearest window; one tone is the brightest row."""
-    x = np.concatenate([colored(1, 1, RATE * 8), np.zeros(RATE * 2)])
-    rows = recording.timeline(spark.createDataFrame([("a", x.tolist(), float(RATE))], "signal_id string, samples array<double>, rate double")).orderBy("begins").collect()
-    assert [(r.state, r.begins, r.ends) for r in rows][-1] == ("silence", 8.0, 10.0) and rows[0].state == "pink" and rows[0].begins == 0
+def test_spectrogram():
+    """One tone is the brightest row; the first bin is never looked at, silence lies at the least double."""
     times, freq, level = spectra.spectrogram(np.sin(2 * np.pi * 1000 * np.arange(RATE) / RATE), RATE)
     assert level.shape == (len(times), 56) and freq[0] == 80 and freq[-1] == pytest.approx(7680) and abs(freq[level.mean(0).argmax()] - 1000) < 90
+    assert len(spectra.spectrogram(np.ones(RATE * 60), RATE)[0]) <= 80
+    assert spectra.spectrogram(np.zeros(4096), RATE)[2].max() < -3200
+    assert len(spectra.spectrogram(np.ones(255), RATE)[0]) == 0
 
 
 def test_replay(spark):
