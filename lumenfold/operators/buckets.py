@@ -75,3 +75,16 @@ def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], state: str,
     carried = edges.withColumn("_start", F.last("_last", ignorenulls=True).over(back)).where("_open is not null").select(*keys, "_start", "_open.*")
     whole = own.where("_start is not null").drop("_b").unionByName(carried)
     return whole.groupBy(*keys, "_start", "_s").agg(F.min("begins").alias("begins"), F.max("ends").alias("ends"), F.sum("rows").alias("rows")).select(*keys, F.col("_s").alias(state), "begins", "ends", "rows")
+
+
+def latest(rows: DataFrame, keys: Sequence[str], time: str, length: float, order: Sequence[str], marks: Column) -> DataFrame:
+    """rows with _since, the order's columns of the last row up to this one, in order of its key, for which marks holds; null before the first."""
+    keys, item = list(keys), F.struct(*order)
+    placed = rows.select("*", bucket(F.col(time), length).alias("_b"), marks.alias("_mark"))
+    ends = placed.groupBy(*keys, "_b").agg(F.max(F.when(F.col("_mark"), item)).alias("_item"))
+    back = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    halos = ends.select(*keys, "_b", F.last("_item", ignorenulls=True).over(back).alias("_item")).where("_item is not null").withColumn("_mark", F.lit(True))
+    own = placed.select(*keys, "_b", item.alias("_item"), "_mark", F.struct(*[c for c in rows.columns if c not in keys]).alias("_row"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_item").rowsBetween(Window.unboundedPreceding, 0)
+    found = own.unionByName(halos, allowMissingColumns=True).withColumn("_since", F.last(F.when(F.col("_mark"), F.col("_item")), ignorenulls=True).over(inner))
+    return found.where("_row is not null").select(*keys, "_row.*", "_since")

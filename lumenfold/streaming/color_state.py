@@ -2,65 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from lumenfold.operators.spectral import CANONICAL, nearest_canonical
+from lumenfold.functions.scalars import finite
+from lumenfold.operators import buckets
+from lumenfold.operators.intervals import COLORS
+from lumenfold.operators.spectral import CANONICAL
 
-STATE = "struct<state: string, smoothed: double, shown_beta: double, pending: string, pending_count: int, confidence: string>"
+SHOWN = "shown_state string, smoothed double, shown_beta double, pending string, pending_count int, confidence string"
 
 
-def _exponent(state: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for name, beta in CANONICAL:
-        out = F.when(state == name, beta).otherwise(out)
-    return out
+@dataclass
+class Display:
+    """The displayed color: a smoothed exponent, hysteresis, and `required` observations in a row to change it."""
 
+    state: str = "listening"
+    smoothed: float | None = None
+    beta: float | None = None
+    pending: str | None = None
+    count: int = 0
+    confidence: str = "None"
 
-def step(before: Column, now: Column, alpha: float, hysteresis: float, required: int) -> Column:
-    """The state after one observation (beta, state, reliable, confidence).
+    def block(self, state: str | None) -> None:
+        self.__init__("mixed" if state is None or state in COLORS else state)
+
+    def observe(self, state: str, beta: float | None, reliable: bool, confidence: str | None, alpha: float = 0.28, hysteresis: float = 0.12, required: int = 2) -> None:
+        colors = dict(CANONICAL)
+        if not reliable or beta is None or not np.isfinite(beta) or state not in colors:
+            return self.block(state)
+        self.smoothed = beta if self.smoothed is None else alpha * beta + (1 - alpha) * self.smoothed
+        away = {c: abs(self.smoothed - b) for c, b in colors.items()}
+        proposed = min(away, key=away.get)
+        if self.state in colors and away[proposed] + hysteresis >= away[self.state]:
+            proposed = self.state
+        waiting = False
+        if proposed != self.state:
+            self.count = self.count + 1 if self.pending == proposed else 1
+            waiting = self.count < required
+            self.state = self.state if waiting else proposed
+        self.pending, self.count = (proposed, self.count) if waiting else (None, 0)
+        self.beta = self.beta if waiting else self.smoothed
+        known = self.state in colors and self.beta is not None
+        self.confidence = "None" if not known else "Provisional" if waiting or state != self.state else confidence or "None"
+
+
+def color_states(observations: DataFrame, keys: Sequence[str], order: Sequence[str], alpha: float = 0.28, hysteresis: float = 0.12, required: int = 2, width: float | None = None) -> DataFrame:
+    """Per key the displayed state after each of its observations (beta, state, reliable, confidence) in order.
 
     Unreliable observations show their own state and forget the rest. A color
     gives way only if another one is nearer to the smoothed exponent by more
     than hysteresis, in `required` observations in a row.
-    """
-    usable = F.coalesce(now["reliable"], F.lit(False)) & now["beta"].isNotNull() & ~F.isnan(now["beta"]) & now["state"].isin([n for n, _ in CANONICAL])
-    smoothed = F.when(before["smoothed"].isNull(), now["beta"]).otherwise(alpha * now["beta"] + (1 - alpha) * before["smoothed"])
-    nearest = nearest_canonical(smoothed)
-    kept = F.coalesce(F.abs(smoothed - _exponent(nearest)) + hysteresis >= F.abs(smoothed - _exponent(before["state"])), F.lit(False))
-    proposed = F.when(kept, before["state"]).otherwise(nearest)
-    same = F.coalesce(proposed == before["state"], F.lit(False))
-    count = F.when(before["pending"].eqNullSafe(proposed), before["pending_count"] + 1).otherwise(1)
-    switched = ~same & (count >= required)
-    waiting = ~same & ~switched
-    state = F.when(switched, proposed).otherwise(before["state"])
-    shown = F.when(waiting, before["shown_beta"]).otherwise(smoothed)
-    known = state.isin([n for n, _ in CANONICAL]) & shown.isNotNull()
-    confidence = F.when(~F.coalesce(known, F.lit(False)), "None").when(waiting | (now["state"] != state), "Provisional").otherwise(F.coalesce(now["confidence"], F.lit("None")))
-    color = F.struct(
-        state.alias("state"), smoothed.alias("smoothed"), shown.alias("shown_beta"), F.when(waiting, proposed).alias("pending"),
-        F.when(waiting, count).otherwise(0).cast("int").alias("pending_count"), confidence.alias("confidence"),
-    )
-    none = F.lit(None).cast("double")
-    named = F.when(now["state"].isin([n for n, _ in CANONICAL]), "mixed").otherwise(F.coalesce(now["state"], F.lit("mixed")))
-    blocked = F.struct(
-        named.alias("state"), none.alias("smoothed"), none.alias("shown_beta"), F.lit(None).cast("string").alias("pending"), F.lit(0).alias("pending_count"), F.lit("None").alias("confidence"),
-    )
-    return F.when(usable, color.cast(STATE)).otherwise(blocked.cast(STATE))
-
-
-def color_states(observations: DataFrame, keys: Sequence[str], order: Sequence[str], alpha: float = 0.28, hysteresis: float = 0.12, required: int = 2) -> DataFrame:
-    """Per key the displayed state after each of its observations (beta, state, reliable, confidence) in order.
 
-    The fold has no partial form, so a key's observations are one array; keys
-    are sessions, whose length is bounded.
+    As an unreliable observation forgets what was before it, the fold starts
+    anew there: a key falls into stretches from one such observation to the
+    next, found by a scan over buckets of width seconds of order's first column
+    (measured, if not given), and stretches spread over tasks. Within a task
+    they are sorted and folded one row after the other; the state that passes
+    from batch to batch is one small object. A null or infinite time is left out.
     """
-    item = F.struct(*order, "beta", "state", "reliable", "confidence")
-    start = F.expr(f"cast(named_struct('state', 'listening', 'smoothed', null, 'shown_beta', null, 'pending', null, 'pending_count', 0, 'confidence', 'None') as {STATE})")
-    sessions = observations.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_o"))
-    add = lambda states, o: F.concat(states, F.array(step(F.element_at(states, -1), o, alpha, hysteresis, required)))
-    folded = sessions.select(*keys, "_o", F.aggregate("_o", F.array(start), add).alias("_s"))
-    rows = folded.select(*keys, F.explode(F.arrays_zip(F.col("_o").alias("o"), F.slice("_s", 2, 1 << 30).alias("s"))).alias("r"))
-    return rows.select(*keys, *[F.col(f"r.o.{c}").alias(c) for c in order], F.col("r.o.beta").alias("beta"), *[F.col(f"r.s.{c}").alias(f"shown_{c}" if c == "state" else c) for c in ("state", "smoothed", "shown_beta", "pending", "pending_count", "confidence")])
+    keys, order = list(keys), list(order)
+    rows = observations.select(*keys, *order, "beta", "state", "reliable", "confidence").where(finite(F.col(order[0])).isNotNull())
+    usable = F.coalesce(F.col("reliable"), F.lit(False)) & finite(F.col("beta")).isNotNull() & F.coalesce(F.col("state").isin(COLORS), F.lit(False))
+    marked = buckets.latest(rows, keys, order[0], buckets.width(rows, order[0]) if width is None else width, order, ~usable)
+    dealt = marked.repartition(*keys, "_since").sortWithinPartitions(*keys, "_since", *order)
+    out = StructType([*rows.select(*keys, *order, "beta").schema, *_parse_datatype_string(SHOWN)])
+    arrow, kept = to_arrow_schema(out), len(keys) + len(order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, shown = None, Display()
+        for b in batches:
+            cells = [b.column(i).to_pylist() for i in (*range(len(keys)), *range(kept, b.num_columns))]
+            found: list[tuple] = []
+            for *key, beta, state, reliable, confidence, since in zip(*cells):
+                if (key, since) != stretch:
+                    stretch, shown = (key, since), Display()
+                shown.observe(state, beta, bool(reliable), confidence, alpha, hysteresis, required)
+                found.append((shown.state, shown.smoothed, shown.beta, shown.pending, shown.count, shown.confidence))
+            columns = zip(*found) if found else [()] * 6
+            made = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[kept + 1 :])]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept + 1)), *made], arrow.names)
+
+    return dealt.select(*keys, *order, "beta", "state", "reliable", "confidence", "_since").mapInArrow(fold, out)

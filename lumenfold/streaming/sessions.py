@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import classify
 from lumenfold.operators.intervals import COLORS, STATES
-from lumenfold.operators.spectral import CANONICAL
 from lumenfold.plans import recording
 
+from .color_state import Display
+
 SEGMENTS = 2048
 ORDER = {"gap": 0, "frame": 1, "fast": 2, "stable": 3}
 SUMMARY = (
@@ -40,40 +41,6 @@ def with_states(rows: DataFrame) -> DataFrame:
     return kept.withColumns({"confidence": F.when(window, F.col("confidence")), "reliable": window & F.col("reliable")}).drop("reasons")
 
 
-@dataclass
-class Display:
-    """The displayed color: a smoothed exponent, hysteresis, and `required` observations in a row to change it."""
-
-    state: str = "listening"
-    smoothed: float | None = None
-    beta: float | None = None
-    pending: str | None = None
-    count: int = 0
-    confidence: str = "None"
-
-    def block(self, state: str | None) -> None:
-        self.__init__("mixed" if state is None or state in COLORS else state)
-
-    def observe(self, state: str, beta: float | None, reliable: bool, confidence: str | None, alpha: float = 0.28, hysteresis: float = 0.12, required: int = 2) -> None:
-        colors = dict(CANONICAL)
-        if not reliable or beta is None or not np.isfinite(beta) or state not in colors:
-            return self.block(state)
-        self.smoothed = beta if self.smoothed is None else alpha * beta + (1 - alpha) * self.smoothed
-        away = {c: abs(self.smoothed - b) for c, b in colors.items()}
-        proposed = min(away, key=away.get)
-        if self.state in colors and away[proposed] + hysteresis >= away[self.state]:
-            proposed = self.state
-        waiting = False
-        if proposed != self.state:
-            self.count = self.count + 1 if self.pending == proposed else 1
-            waiting = self.count < required
-            self.state = self.state if waiting else proposed
-        self.pending, self.count = (proposed, self.count) if waiting else (None, 0)
-        self.beta = self.beta if waiting else self.smoothed
-        known = self.state in colors and self.beta is not None
-        self.confidence = "None" if not known else "Provisional" if waiting or state != self.state else confidence or "None"
-
-
 @dataclass
 class Running:
     """What is kept of a session."""

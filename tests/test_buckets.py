@@ -120,3 +120,46 @@ def F_partition():
     from pyspark.sql import functions as F
 
     return F.spark_partition_id()
+
+
+def shown(rows, alpha=0.28, hysteresis=0.12, required=2):
+    """The displayed states, one observation after the other, by the rules."""
+    colors = {"violet": -2.0, "blue": -1.0, "white": 0.0, "pink": 1.0, "brown": 2.0}
+    state, smooth, beta, pending, count, out = "listening", None, None, None, 0, []
+    for t, i, b, s, good, confidence in sorted(rows):
+        if not good or b is None or not math.isfinite(b) or s not in colors:
+            state, smooth, beta, pending, count = ("mixed" if s is None or s in colors else s), None, None, None, 0
+            out.append((t, i, state, smooth, beta, pending, count, "None"))
+            continue
+        smooth = b if smooth is None else alpha * b + (1 - alpha) * smooth
+        near = min(colors, key=lambda c: abs(smooth - colors[c]))
+        if state in colors and abs(smooth - colors[near]) + hysteresis >= abs(smooth - colors[state]):
+            near = state
+        if near == state:
+            pending, count, beta = None, 0, smooth
+        else:
+            count = count + 1 if pending == near else 1
+            pending = near
+            if count >= required:
+                state, pending, count, beta = near, None, 0, smooth
+        told = "None" if state not in colors or beta is None else "Provisional" if pending or s != state else confidence or "None"
+        out.append((t, i, state, smooth, beta, pending, count, told))
+    return out
+
+
+@pytest.mark.parametrize("width", [3.0, 1e6, None])
+def test_color_states(spark, width):
+    """One key with nearly all rows: stretches between unreliable observations are folded apart, to the same states."""
+    from lumenfold.streaming.color_state import color_states
+
+    rng = random.Random(6)
+    names = ["violet", "blue", "white", "pink", "brown", "silence", None]
+    data = [("big" if i % 9 else None, i // 3 / 2, i, rng.choice([rng.gauss(0, 1.5), 0.9, None, NAN]) if i % 50 > 20 else 0.4 + i % 50 / 20, rng.choice(names[:5]) if i % 40 else rng.choice(names), bool(i % 37), rng.choice(["High", None])) for i in range(900)]
+    frame = spark.createDataFrame(data, "key string, t double, id int, beta double, state string, reliable boolean, confidence string")
+    got = color_states(frame, ["key"], ["t", "id"], width=width).collect()
+    assert len(got) == 900
+    for key in ("big", None):
+        own = sorted((r.t, r.id, r.shown_state, r.smoothed, r.shown_beta, r.pending, r.pending_count, r.confidence) for r in got if r.key == key)
+        want = shown([r[1:] for r in data if r[0] == key])
+        assert own == sorted(want)
+    assert color_states(frame.limit(0), ["key"], ["t", "id"]).collect() == []
