@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, FloatType, NumericType, StringType, StructField, StructType
@@ -16,32 +17,28 @@ from lumenfold.functions.scalars import finite, fnv1a32, numeric
 FORBIDDEN = {"deviceid", "groupid", "routeid", "inputrouteid", "calibrationroutekey", "samples", "rawsamples", "pcmsamples", "audio", "audiobuffer", "recordingblob"}
 
 
-def records(text: str) -> Iterator[list[str]]:
-    """Comma-separated records: quotes may open anywhere in a field and are dropped, doubled ones inside stand for one."""
-    row, field, quoted, i = [], [], False, 0
-    while i < len(text):
-        c = text[i]
-        if quoted and c == '"' and text[i + 1 : i + 2] == '"':
-            field.append('"')
-            i += 1
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c == ",":
-            row.append("".join(field))
-            field = []
-        elif not quoted and c in "\r\n":
-            if c == "\r" and text[i + 1 : i + 2] == "\n":
-                i += 1
-            row.append("".join(field))
-            if any(row):
-                yield row
-            row, field = [], []
+def _absent(text: str) -> Iterator[str]:
+    """Characters that text doesn't hold."""
+    return (c for c in map(chr, range(0xE000, 0x110000)) if c not in text)
+
+
+def records(text: str) -> list[list[str]]:
+    """Comma-separated records: quotes may open anywhere in a field and are dropped, doubled ones inside stand for one; records of empty fields are none.
+
+    Cut at its quotes, a text is outside and inside of them by turns. Separators
+    count outside alone, where characters that the text doesn't hold take their
+    place; nothing between two insides is a doubled quote.
+    """
+    free = _absent(text)
+    cell, row = next(free), next(free)
+    parts = text.split('"')
+    for i in range(0, len(parts), 2):
+        if not parts[i] and 0 < i < len(parts) - 1:
+            parts[i] = '"'
         else:
-            field.append(c)
-        i += 1
-    row.append("".join(field))
-    if any(row):
-        yield row
+            parts[i] = re.sub("\r\n?|\n", row, parts[i].replace(",", cell))
+    found = (r.split(cell) for r in "".join(parts).split(row))
+    return [r for r in found if any(r)]
 
 
 def csv_rows(texts: DataFrame, column: str, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -53,8 +50,7 @@ def csv_rows(texts: DataFrame, column: str, columns: Sequence[str], keep: Sequen
         for b in batches:
             of, cells = [], []
             for i, text in enumerate(b.column(len(keep)).to_pylist()):
-                rows = records(text or "")
-                header = next(rows, [])
+                header, *rows = records(text or "") or [[]]
                 place = [header.index(c) if c in header else None for c in columns]
                 for r in rows:
                     of.append(i)
@@ -66,14 +62,57 @@ def csv_rows(texts: DataFrame, column: str, columns: Sequence[str], keep: Sequen
     return texts.select(*keep, column).mapInArrow(parse, fields)
 
 
+#: Lines of a file that are put in order together.
+LINES = 1 << 14
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, place, cells of each record of files of comma-separated text, however long: place orders a file's records.
+
+    A line begins inside quotes if an odd number of quotes comes before it. So
+    the lines of a file are dealt to many tasks, a scan over parts of some lines
+    gives each part the parity before it, and the lines of a record (quoted
+    fields may hold line ends) meet by the line that the record begins with. No
+    task holds more than a part, or a record.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = lines.withColumn("part", F.floor(F.col("id") / LINES)).withColumn("odd", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
+    by, along = ["file", "block", "part"], Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parity = lines.groupBy(*by).agg(F.sum("odd").alias("odd")).select(*by, F.coalesce(F.sum("odd").over(along), F.lit(0)).alias("odd"), F.lit(-1).cast("long").alias("id"))
+    inner = Window.partitionBy(*by).orderBy("id")
+    quotes = F.sum("odd").over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    started = lines.unionByName(parity, allowMissingColumns=True).withColumn("_first", quotes % 2 == 0).where("id >= 0")
+    own = F.last(F.when(F.col("_first"), F.struct("block", "id")), ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    started = started.withColumn("place", own)
+    last = started.groupBy(*by).agg(F.max("place").alias("last")).select(*by, F.last("last", ignorenulls=True).over(along).alias("carried"))
+    open_ = started.where("place is null").alias("s").join(last.alias("l"), by).select("s.file", "s.block", "s.id", "s.value", F.col("l.carried").alias("place"))
+    joined = started.where("place is not null").select("file", "block", "id", "value", "place").unionByName(open_)
+    whole = joined.groupBy("file", "place").agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("l"))
+    texts = whole.select("file", "place", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("text"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, n, r) for i, text in enumerate(b.column(2).to_pylist()) for n, r in enumerate(records(text.removesuffix("\r")))]
+            at = pa.array([i for i, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([n for _, n, _ in found], pa.int32()), pa.array([r for _, _, r in found], pa.list_(pa.string()))], ["file", "place", "n", "cells"])
+
+    # a line end of the old kind, a carriage return alone, parts records of one line
+    cells = texts.mapInArrow(parse, "file string, place struct<block: long, id: long>, n int, cells array<string>")
+    return cells.select("file", F.struct("place.block", "place.id", "n").alias("place"), "cells")
+
+
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All-text columns of files with a header; missing cells are empty, surplus ones dropped.
+    """All-text columns of files with a header, of any length; missing cells are empty, surplus ones dropped.
 
     Quotes may open in the middle of a field, which Spark's reader takes
-    literally, so each file is one record here and parsed whole: for small
-    tables. Large ones without such fields belong in spark.read.csv.
+    literally; see csv_records(). Each file has its own header, a row for each
+    file. Rows come in the order of the files, sorted by ranges.
     """
-    return csv_rows(spark.read.text(path, wholetext=True), "value", columns)
+    found = csv_records(spark, path)
+    heads = found.groupBy("file").agg(F.min(F.struct("place", "cells")).alias("h")).select("file", F.col("h.place").alias("first"), F.col("h.cells").alias("header"))
+    rows = found.join(heads, "file").where(F.col("place") != F.col("first"))
+    cell = lambda c: F.coalesce(F.get("cells", F.nullif(F.array_position("header", c), F.lit(0)).cast("int") - 1), F.lit(""))
+    return rows.orderBy("file", "place").select(*[cell(F.lit(c)).alias(c) for c in columns])
 
 
 def load_tables(spark: SparkSession, tables: dict[str, tuple[str, Sequence[str]]]) -> dict[str, DataFrame]:
@@ -81,7 +120,7 @@ def load_tables(spark: SparkSession, tables: dict[str, tuple[str, Sequence[str]]
     found = {}
     for name, (path, columns) in tables.items():
         first = spark.read.text(path).limit(1).collect()  # one line
-        header = next(records(first[0].value), []) if first else []
+        header = (records(first[0].value) or [[]])[0] if first else []
         if missing := [c for c in columns if c not in header]:
             raise ValueError(f"table {name} lacks {', '.join(missing)}")
         found[name] = read_csv(spark, path, columns)
@@ -192,8 +231,15 @@ def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+# Names by which a user agent's products tell its family, the more special ones first.
+PRODUCTS = {"Edg": "Edge", "EdgA": "Edge", "EdgiOS": "Edge", "Firefox": "Firefox", "FxiOS": "Firefox", "Chrome": "Chrome", "CriOS": "Chrome", "Version": "Safari"}
+
+
 def browser_family(agent: Column) -> Column:
-    """struct(family, version) that a user agent names, the more special families first; the agent itself is not kept."""
-    rules = [("Edge", r"Edg(?:A|iOS)?/(\d+(?:\.\d+)*)"), ("Firefox", r"(?:Firefox|FxiOS)/(\d+(?:\.\d+)*)"), ("Chrome", r"(?:Chrome|CriOS)/(\d+(?:\.\d+)*)"), ("Safari", r"Version/(\d+(?:\.\d+)*)")]
-    found = [F.when(agent.rlike(p), F.struct(F.lit(n).alias("family"), F.regexp_extract(agent, p, 1).alias("version"))) for n, p in rules]
+    """struct(family, version) of the first of PRODUCTS that a user agent names with a number; the agent itself is not kept."""
+    named = F.transform(F.split(agent, r"[\s();,]+"), lambda word: F.split(word, "/"))
+    number = lambda p: F.regexp_extract(F.get(p, F.lit(1)), r"^[0-9]+(\.[0-9]+)*", 0)
+    known = F.filter(named, lambda p: (F.size(p) == 2) & (number(p) != ""))
+    own = lambda name: F.get(F.filter(known, lambda p: p[0] == name), F.lit(0))
+    found = [F.when(own(n).isNotNull(), F.struct(F.lit(f).alias("family"), number(own(n)).alias("version"))) for n, f in PRODUCTS.items()]
     return F.coalesce(*found, F.struct(F.lit("unknown").alias("family"), F.lit(None).cast("string").alias("version")))
