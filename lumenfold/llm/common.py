@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -45,8 +47,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.settled_in = path
-    if _WITHIN:
-        _WITHIN[-1].append(path)
+    if _WITHIN.folders:
+        _WITHIN.folders[-1].append(path)
     return written
 
 
@@ -60,7 +62,14 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df.settled_in)
 
 
-_WITHIN: list[list[str]] = []
+class _Within(threading.local):
+    """What settle() writes inside passing(), for each thread on its own."""
+
+    def __init__(self):
+        self.folders: list[list[str]] = []
+
+
+_WITHIN = _Within()
 
 
 @contextmanager
@@ -69,17 +78,17 @@ def passing(spark: SparkSession):
 
     For work whose result is written before the end.
     """
-    _WITHIN.append([])
+    _WITHIN.folders.append([])
     try:
         yield
     finally:
-        for path in _WITHIN.pop():
+        for path in _WITHIN.folders.pop():
             _delete(spark, path)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df, which settle() wrote, not to be deleted by the passing() around it."""
-    _WITHIN[-1].remove(df.settled_in)
+    _WITHIN.folders[-1].remove(df.settled_in)
     return df
 
 
@@ -89,7 +98,16 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(each, schema)
+    """df through each, in tasks that give back the memory they have freed: their processes stay for the tasks of other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:
