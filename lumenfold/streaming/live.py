@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lumenfold.functions import spectra
 from lumenfold.plans import recording
@@ -24,53 +24,76 @@ MODES = {"instant": (1.5, 3.0, 0.25, 0.5), "balanced": (2.0, 8.0, 0.5, 1.0), "st
 
 @dataclass
 class Session:
-    """What is kept of a session: the last samples, the unfinished frame, and positions in samples.
+    """What is kept of a session: the last samples in the chunks they came in, and positions in samples.
 
     A missing stretch (start_sample beyond what came) is a gap, not silence:
     windows never reach across it and the unfinished frame before it ends early.
+    pending counts the last samples, which no frame has yet.
     """
 
     mode: str = "balanced"
     rate: float = 0.0
     position: int = 0
     seq: int = -1
-    recent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    pending: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    next_due: dict = field(default_factory=dict)
+    pending: int = 0
+    due: dict = field(default_factory=lambda: {"fast": 0.0, "stable": 0.0})
+    chunks: dict[int, np.ndarray] = field(default_factory=dict)  # by their first sample, in order
     seen: pd.Timestamp | None = None
 
     def add(self, seq: int, start: int, rate: float, samples: np.ndarray) -> Iterator[tuple]:
-        """Rows (kind, begins, ends, samples, measures) that the packet completes; a repeated packet none."""
+        """Rows (kind, begins, ends, samples, measures) that the packet completes; a repeated packet none.
+
+        At most one window comes with a packet: the stable one if it is due and
+        enough is there, else the fast one, which needs 1.5 seconds and takes
+        what there is up to its length. What is passed over stays due.
+        """
         if seq <= self.seq or not rate or len(samples) == 0:
             return
         if self.rate and (rate != self.rate or start != self.position):
             yield from self.finish()
             yield self._row("gap", self.position / self.rate, max(start / rate, self.position / self.rate), np.zeros(0))
-            self.recent, self.next_due = self.recent[:0], {}
+            self.chunks, self.due = {}, {"fast": 0.0, "stable": 0.0}
         if self.seq < 0 or start != self.position or rate != self.rate:
             self.position = start
-        self.seq, self.rate = seq, rate
-        self.position += len(samples)
-        self.recent = np.concatenate([self.recent, samples])[-int(BUFFER_SECONDS * rate) :]
+        self.chunks[self.position] = samples
+        self.seq, self.rate, self.position, self.pending = seq, rate, self.position + len(samples), self.pending + len(samples)
         frame = max(1, int(spectra.half_up(FRAME_SECONDS * rate)))
-        self.pending = np.concatenate([self.pending, samples])
-        while len(self.pending) >= frame:
-            done, self.pending = self.pending[:frame], self.pending[frame:]
-            end = self.position - len(self.pending)
-            yield self._row("frame", (end - frame) / rate, end / rate, done)
+        while self.pending >= frame:
+            begin = self.position - self.pending
+            yield self._row("frame", begin / rate, (begin + frame) / rate, self.latest(self.pending)[:frame])
+            self.pending -= frame
+        self._forget(max(frame, int(BUFFER_SECONDS * rate)))
         fast, stable, fast_every, stable_every = MODES[self.mode]
-        now = self.position / rate
-        for kind, seconds, every in (("stable", stable, stable_every), ("fast", fast, fast_every)):
-            need = int(seconds * rate)
-            if len(self.recent) >= need and now >= self.next_due.get(kind, 0.0):
-                self.next_due[kind] = now + every
-                yield self._row(kind, now - need / rate, now, self.recent[-need:], 48 if kind == "stable" else 24)
+        now, there = self.position / rate, (self.position - next(iter(self.chunks))) / rate
+        for kind, least, seconds, every in (("stable", stable, stable, stable_every), ("fast", min(1.5, fast), fast, fast_every)):
+            if there >= least and now >= self.due[kind]:
+                self.due[kind] = now + every
+                x = self.latest(int(min(there, seconds) * rate))
+                yield self._row(kind, now - len(x) / rate, now, x, 48 if kind == "stable" else 24)
+                break
+
+    def latest(self, n: int) -> np.ndarray:
+        """The last n samples, or all there are."""
+        parts, there = [], 0
+        for chunk in reversed(self.chunks.values()):
+            if there >= n:
+                break
+            parts.append(chunk)
+            there += len(chunk)
+        return np.concatenate(parts[::-1])[-n:] if n and parts else np.zeros(0, np.float32)
+
+    def _forget(self, most: int) -> None:
+        """Drops whole chunks that lie before the last `most` samples."""
+        for start in list(self.chunks):
+            if start + len(self.chunks[start]) > self.position - most:
+                break
+            del self.chunks[start]
 
     def finish(self) -> Iterator[tuple]:
         """The unfinished frame, as it is."""
-        if len(self.pending):
-            yield self._row("frame", (self.position - len(self.pending)) / self.rate, self.position / self.rate, self.pending)
-            self.pending = self.pending[:0]
+        if self.pending:
+            yield self._row("frame", (self.position - self.pending) / self.rate, self.position / self.rate, self.latest(self.pending))
+            self.pending = 0
 
     def _row(self, kind: str, begins: float, ends: float, samples: np.ndarray, budget: int = 0) -> tuple:
         measured = {} if kind == "gap" else recording.measure(samples, self.rate, budget=budget) if budget else recording.levels(samples, self.rate)
@@ -92,6 +115,64 @@ def _in_order(frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
         yield r.ts, (int(r.seq), int(r.start_sample), float(r.rate), np.asarray(r.samples, np.float32))
 
 
+class LiveSession(StatefulProcessor):
+    """A session's state: its positions as one small value, its samples as a map from a chunk's first sample to the chunk.
+
+    A packet writes its own chunk and the positions, and removes the chunks that
+    have left the buffer; the others stay as they are, whatever the buffer holds.
+    A timer at the last packet's time and idle_ms ends the session.
+    """
+
+    HEAD = "rate double, position long, seq long, pending long, fast double, stable double, seen timestamp"
+
+    def __init__(self, mode: str, idle_ms: int):
+        self.mode, self.idle_ms = mode, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", self.HEAD)
+        self.chunks = handle.getMapState("chunks", "start long", "samples binary")
+
+    def _session(self) -> Session:
+        if not self.head.exists():
+            return Session(self.mode)
+        rate, position, seq, pending, fast, stable, seen = self.head.get()
+        held = sorted((k[0], v[0]) for k, v in self.chunks.iterator())
+        return Session(self.mode, rate, position, seq, pending, {"fast": fast, "stable": stable}, {k: np.frombuffer(v, np.float32) for k, v in held}, seen)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        session, out = self._session(), []
+        before = set(session.chunks)
+        for session.seen, packet in _in_order(rows):
+            out += [(session.seen, r) for r in session.add(*packet)]
+        for start in before - set(session.chunks):
+            self.chunks.removeKey((start,))
+        for start in set(session.chunks) - before:
+            self.chunks.updateValue((start,), (session.chunks[start].tobytes(),))
+        seen = pd.Timestamp(session.seen).to_pydatetime()
+        self.head.update((session.rate, session.position, session.seq, session.pending, session.due["fast"], session.due["stable"], seen))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(pd.Timestamp(seen).timestamp() * 1000) + self.idle_ms)
+        yield _rows(key[0], out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        session = self._session()
+        yield _rows(key[0], ((session.seen, r) for r in session.finish()))
+        self.head.clear()
+        self.chunks.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def with_stored_state(spark: SparkSession) -> None:
+    """Has the session keep streaming state in a store that holds single entries, as transformWithState needs; a choice of the session's own stays."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(name, None) or ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def live(packets: DataFrame, mode: str = "balanced", late: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
     """A stream of packets (see PACKET) as a stream of frames, gaps and window results.
 
@@ -100,22 +181,9 @@ def live(packets: DataFrame, mode: str = "balanced", late: str = "10 seconds", i
     event time ends: its unfinished frame comes out and its state goes. A packet
     beyond the watermark is late and dropped by Spark.
     """
-
-    def each(key, frames, state):
-        session = pickle.loads(state.get[0]) if state.exists else Session(mode)
-        if state.hasTimedOut:
-            state.remove()
-            yield _rows(key[0], ((session.seen, r) for r in session.finish()))
-            return
-        out = []
-        for session.seen, packet in _in_order(frames):
-            out += [(session.seen, r) for r in session.add(*packet)]
-        yield _rows(key[0], out)
-        state.update((pickle.dumps(session),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
-
+    with_stored_state(packets.sparkSession)
     marked = packets.withWatermark("ts", late)
-    return marked.groupBy("session_id").applyInPandasWithState(each, OUTPUT, "session binary", "append", "EventTimeTimeout")
+    return marked.groupBy("session_id").transformWithStateInPandas(LiveSession(mode, idle_ms), OUTPUT, "Append", "EventTime")
 
 
 def replayed(packets: DataFrame, mode: str = "balanced") -> DataFrame:

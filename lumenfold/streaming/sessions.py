@@ -9,20 +9,21 @@ grows beyond SEGMENTS.
 from __future__ import annotations
 
 import json
-import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lumenfold.operators import classify
 from lumenfold.operators.intervals import COLORS, STATES
 from lumenfold.plans import recording
 
 from .color_state import Display
+from .live import with_stored_state
 
 SEGMENTS = 2048
 ORDER = {"gap": 0, "frame": 1, "fast": 2, "stable": 3}
@@ -51,6 +52,32 @@ class Running:
     sums: dict = field(default_factory=lambda: dict.fromkeys(("n", "mean", "m2", "rmse_db", "r2", "flatness"), 0.0))
     latest: str | None = None
     display: Display = field(default_factory=Display)
+    # of a stored session: closed segments that timeline doesn't hold, the place of the next one, how to read them, and whether they were read
+    closed: int = 0
+    place: int = 0
+    read: Callable[[], list] | None = None
+    loaded: bool = False
+
+    @classmethod
+    def of(cls, head: tuple, durations: dict, read: Callable[[], list]) -> Running:
+        """A session from head(), its durations, and a function that reads its closed segments in order."""
+        seconds, latest, sums, display, open_, closed, place = head
+        names = ("n", "mean", "m2", "rmse_db", "r2", "flatness")
+        return cls(seconds, durations, json.loads(open_), dict(zip(names, sums)), latest, Display(*display), closed, place, read)
+
+    def head(self) -> tuple:
+        """All of fixed size: what a batch rewrites."""
+        d = self.display
+        open_ = json.dumps(self.timeline[-1:])
+        return self.seconds, self.latest, tuple(map(float, self.sums.values())), (d.state, d.smoothed, d.beta, d.pending, d.count, d.confidence), open_, self.closed + len(self.timeline[:-1]), self.place + len(self.timeline[:-1])
+
+    def closing(self) -> dict[int, list]:
+        """The segments that closed since the session was loaded, by their places."""
+        return {self.place + i: segment for i, segment in enumerate(self.timeline[:-1])}
+
+    def _load(self) -> None:
+        if self.closed and self.read:
+            self.timeline, self.closed, self.loaded = self.read() + self.timeline, 0, True
 
     def add(self, r) -> Iterator[dict]:
         if r.kind == "gap":  # what was heard before tells nothing of what comes
@@ -84,12 +111,14 @@ class Running:
             self.timeline[-1][2] = self.seconds
         else:
             self.timeline.append([state, begins, self.seconds, None])
-        if len(self.timeline) > SEGMENTS:
+        if self.closed + len(self.timeline) > SEGMENTS:
+            self._load()
             old, self.timeline = self.timeline[: SEGMENTS // 2], self.timeline[SEGMENTS // 2 :]
             self.timeline.insert(0, ["session-compressed", old[0][1], old[-1][2], _seconds(old)])
 
     def summary(self) -> dict:
         """Reliable only with a dominant color and less than a fifth rejected."""
+        self._load()
         colors = {c: self.durations.get(c, 0.0) for c in COLORS}
         good, whole = sum(colors.values()), max(self.seconds, np.finfo(float).eps)
         dominant = max(colors, key=colors.get) if good > 0 else None
@@ -100,7 +129,7 @@ class Running:
         return dict(
             kind="summary", at=self.seconds, state=dominant if dominant and rejected < 20 else "mixed", seconds=self.seconds, dominant=dominant, reliable=dominant is not None and rejected < 20,
             reliable_percent=100 * good / whole, rejected_percent=rejected, observations=int(s["n"]), beta_mean=s["mean"] if s["n"] else None, beta_sd=float(np.sqrt(s["m2"] / s["n"])) if s["n"] else None,
-            rmse_db_mean=mean("rmse_db"), r2_mean=mean("r2"), flatness_mean=mean("flatness"), durations=json.dumps(self.durations), timeline=json.dumps(self.timeline),
+            rmse_db_mean=mean("rmse_db"), r2_mean=mean("r2"), flatness_mean=mean("flatness"), durations=json.dumps(self.durations, sort_keys=True), timeline=json.dumps(self.timeline),
             timeline_covers=abs((self.timeline[-1][2] if self.timeline else 0.0) - self.seconds) < 1e-6, timeline_matches=all(abs(told.get(k, 0.0) - v) < 1e-6 for k, v in self.durations.items()),
         )
 
@@ -130,23 +159,72 @@ def _added(running: Running, frames: Iterable[pd.DataFrame]) -> Iterator[dict]:
 _READ = ["session_id", "kind", "begins", "ends", "state", "reliable", "confidence", "beta", "rmse_db", "r2", "flatness"]
 
 
+class RunningSession(StatefulProcessor):
+    """A session's state: sums, display and the open segment as one small value, seconds by state and closed segments by place as maps.
+
+    A batch rewrites the small value, the seconds of the states it met, and adds
+    the segments it closed; all segments are read only where the older half is
+    folded, once in as many segments, and at the end.
+    """
+
+    HEAD = (
+        "seconds double, latest string, sums struct<n: double, mean: double, m2: double, rmse_db: double, r2: double, flatness: double>, "
+        "display struct<state: string, smoothed: double, beta: double, pending: string, count: int, confidence: string>, open string, closed int, place long"
+    )
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", self.HEAD)
+        self.durations = handle.getMapState("durations", "state string", "seconds double")
+        self.segments = handle.getMapState("segments", "place long", "segment string")
+
+    def _running(self) -> Running:
+        if not self.head.exists():
+            return Running()
+        segments = lambda: [json.loads(s) for _, s in sorted((k[0], v[0]) for k, v in self.segments.iterator())]
+        return Running.of(self.head.get(), {k[0]: v[0] for k, v in self.durations.iterator()}, segments)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        running = self._running()
+        before = dict(running.durations)
+        rows = list(rows)
+        out = list(_added(running, rows))
+        for state, seconds in running.durations.items():
+            if before.get(state) != seconds:
+                self.durations.updateValue((state,), (seconds,))
+        if running.loaded:
+            self.segments.clear()
+        for place, segment in running.closing().items():
+            self.segments.updateValue((place,), (json.dumps(segment),))
+        self.head.update(running.head())
+        last = max(int(pd.Timestamp(r["ts"].max()).timestamp() * 1000) for r in rows)
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max([last + self.idle_ms, *timers]))
+        yield _frame(key[0], out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield _frame(key[0], [self._running().summary()])
+        self.head.clear()
+        self.durations.clear()
+        self.segments.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def sessions(rows: DataFrame, late: str = "10 seconds", idle_ms: int = 120_000) -> DataFrame:
     """A stream of with_states() rows as a stream of displays, one for each stable window, and of summaries.
 
     A session without rows for idle_ms of event time ends: its summary comes out and its state goes.
     """
-
-    def each(key, frames, state):
-        running = pickle.loads(state.get[0]) if state.exists else Running()
-        if state.hasTimedOut:
-            state.remove()
-            yield _frame(key[0], [running.summary()])
-            return
-        yield _frame(key[0], list(_added(running, frames)))
-        state.update((pickle.dumps(running),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
-
-    return rows.select(*_READ, "ts").withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(each, SUMMARY, "session binary", "append", "EventTimeTimeout")
+    with_stored_state(rows.sparkSession)
+    marked = rows.select(*_READ, "ts").withWatermark("ts", late)
+    return marked.groupBy("session_id").transformWithStateInPandas(RunningSession(idle_ms), SUMMARY, "Append", "EventTime")
 
 
 def summarized(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ def packets():
                 continue
             x = signal[seq * SIZE : (seq + 1) * SIZE].astype(np.float32)
             yield name, seq, seq * SIZE, float(RATE), x.tolist(), START + timedelta(seconds=seq * SIZE / RATE)
-    yield "end", 0, 0, float(RATE), [0.0] * SIZE, START + timedelta(hours=1)
+    # long enough for a frame, which tells the second stream of the later time
+    yield "end", 0, 0, float(RATE), [0.0] * SIZE * 2, START + timedelta(hours=1)
 
 
 def rounded(rows, skip=("ts",)):
@@ -89,6 +91,29 @@ def test_summary(batch):
         assert (one[r.session_id].beta_mean, one[r.session_id].beta_sd, one[r.session_id].rmse_db_mean) == pytest.approx((r.m, r.s, r.e))
 
 
+def test_segments_in_state():
+    """A session whose closed segments are stored and whose state is loaded anew for each batch ends as one that runs through."""
+    rng = np.random.default_rng(3)
+    rows = [("silence" if rng.random() < 0.5 else "clipping", 0.5) for _ in range(9000)]
+    whole = sessions.Running()
+    for r in rows:
+        whole._frame(*r)
+    stored: dict = {}
+    head, kept, loads = sessions.Running().head(), {}, 0
+    for i in range(0, len(rows), 7):
+        running = sessions.Running.of(head, kept, lambda: [stored[k] for k in sorted(stored)])
+        for r in rows[i : i + 7]:
+            running._frame(*r)
+        loads += running.loaded
+        if running.loaded:
+            stored.clear()
+        stored |= running.closing()
+        head, kept = running.head(), dict(running.durations)
+    assert 0 < loads < 12
+    last = sessions.Running.of(head, kept, lambda: [stored[k] for k in sorted(stored)])
+    assert last.summary() == whole.summary() and len(json.loads(whole.summary()["timeline"])) > 100
+
+
 def test_gap_is_not_silence(batch):
     gap = batch[0].where("kind = 'gap'").first()
     assert gap.ends - gap.begins == pytest.approx(6 * SIZE / RATE) and gap.session_id == "b"
@@ -121,15 +146,99 @@ def test_long_timelines_are_folded():
 
 
 def test_schedule():
-    """Stable windows come when they are due and enough is there, fast ones between."""
+    """One window with a packet: stable ones come when they are due and enough is there, fast ones between; what is passed over stays due."""
     session, kinds = live.Session("instant"), []
     for seq in range(40):
-        kinds += [(r[0], r[2]) for r in session.add(seq, seq * 500, 2000.0, np.zeros(500, np.float32)) if r[0] != "frame"]
-    fast, stable = ([t for k, t in kinds if k == name] for name in ("fast", "stable"))
-    assert fast[0] == 1.5 and set(np.diff(fast)) == {0.25} and stable[0] == 3.0 and set(np.diff(stable)) == {0.5}
+        kinds += [(r[0], r[2], r[3]) for r in session.add(seq, seq * 500, 2000.0, np.zeros(500, np.float32)) if r[0] != "frame"]
+    fast, stable = ([t for k, t, _ in kinds if k == name] for name in ("fast", "stable"))
+    assert len({t for _, t, _ in kinds}) == len(kinds)
+    assert stable[0] == 3.0 and set(np.diff(stable)) == {0.5}
+    assert fast == [t / 4 for t in range(6, 41) if t / 4 not in stable]
     assert list(session.add(39, 39 * 500, 2000.0, np.zeros(500, np.float32))) == []
 
 
+@pytest.mark.parametrize("mode,first,length", [("instant", 1.5, 1.5), ("balanced", 1.5, 1.5), ("stable", 1.5, 1.5)])
+def test_first_fast_window(mode, first, length):
+    """A fast window takes what there is from 1.5 seconds on, and no more than its length."""
+    session, found = live.Session(mode), []
+    for seq in range(60):
+        found += [(r[2], r[3] / 2000) for r in session.add(seq, seq * 500, 2000.0, np.zeros(500, np.float32)) if r[0] == "fast"]
+    assert found[0] == (first, length)
+    assert max(n for _, n in found) == live.MODES[mode][0]
+
+
+def test_what_is_kept_is_bounded():
+    """Chunks leave the buffer, and windows and frames are those of the samples as one array."""
+    rng = np.random.default_rng(2)
+    session, x, at, rows = live.Session("balanced"), rng.normal(size=100_000).astype(np.float32), 0, []
+    for seq in range(400):
+        n = int(rng.integers(1, 500))
+        rows += list(session.add(seq, at, 1000.0, x[at : at + n]))
+        at += n
+        assert sum(map(len, session.chunks.values())) < 30_000 + 500 and session.pending < 500
+    for kind, begins, ends, n, measured in rows:
+        part = x[round(ends * 1000) - n : round(ends * 1000)]
+        assert len(part) == n and measured["peak"] == pytest.approx(float(np.abs(part).max()))
+        assert n == 500 or kind != "frame"
+
+
+def test_a_packet_writes_its_own_chunk():
+    """Of a full buffer, a batch rewrites nothing: it puts the new chunk and removes the old one."""
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Map(dict):
+        put: list = []
+
+        def updateValue(self, key, value):
+            self.put.append(len(value[0]))
+            self[key] = value
+
+        removeKey = lambda self, key: self.pop(key)
+        iterator = lambda self: iter(self.items())
+
+    class Handle:
+        value, map = Value(), Map()
+        getValueState = lambda self, *a: self.value
+        getMapState = lambda self, *a: self.map
+        listTimers = lambda self: iter([])
+        registerTimer = lambda self, at: None
+
+    processor = live.LiveSession("balanced", 1000)
+    processor.init(Handle())
+    for seq in range(50):
+        Map.put.clear()
+        frame = pd.DataFrame([("s", seq, seq * 1000, 1000.0, np.zeros(1000, np.float32).tolist(), pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=seq))], columns=["session_id", "seq", "start_sample", "rate", "samples", "ts"])
+        list(processor.handleInputRows(("s",), iter([frame]), None))
+        assert Map.put == [4000]
+    assert len(Handle.map) <= 31
+
+
+def test_restart_from_a_checkpoint(spark, tmp_path):
+    """A stream that is stopped between files and started again gives the rows of one that ran through."""
+    rows = sorted((p for p in packets() if p[0] != "b"), key=lambda p: p[5])
+
+    def run(folder, upto):
+        source = spark.readStream.schema(live.PACKET).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+        query = live.live(source).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        assert query.exception() is None
+
+    for i in range(2):
+        spark.createDataFrame(rows[i * len(rows) // 2 : (i + 1) * len(rows) // 2], live.PACKET).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run(tmp_path, i)  # a query of its own each time, from what the last one left
+    got = rounded(spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == rounded(live.replayed(spark.createDataFrame(rows, live.PACKET)).collect())
+
+
 def test_many_rows_of_one_key(spark):
     """100,000 rows of one key find their nearest in seconds."""
     left = spark.range(100_000).selectExpr("1 as k", "id * 1.0D as t")
