@@ -13,7 +13,7 @@ from lumenfold.functions import scalars
 from lumenfold.operators import buckets, intervals, spectral, stats, tables
 from lumenfold.plans import replay
 from lumenfold.registry import query
-from lumenfold.streaming import color_state, live, sessions
+from lumenfold.streaming import capture, color_state, live, sessions
 
 DAY = 86400.0
 PHASES = [("early", 0, 10 * DAY), ("middle", 10 * DAY, 20 * DAY), ("late", 20 * DAY, None)]
@@ -419,6 +419,14 @@ def live_frames(spark, sf_dir):
     return rows.select("session_id", "kind", "begins", "ends", F.round("dbfs", 4).alias("dbfs"), F.round("peak", 6).alias("peak"), "samples")
 
 
+@query(
+    f"with {_P}, m as (select event_type as session_id, n // 64 as seq, max(abs(x::float::double)) as peak, 20 * log10(greatest(1e-12, sqrt(avg(pow(x::float::double, 2))))) as dbfs from e where (n // 64) % 7 <> 3 group by 1, 2), "
+    "t as (select session_id, max(seq) as seq, count(*) as blocks, sum(len)::bigint as samples from p group by 1) select session_id, seq, round(peak, 6) as peak, round(dbfs, 6) as dbfs, blocks, samples from t join m using (session_id, seq)"
+)
+def capture_trace(spark, sf_dir):
+    return _round(capture.traced(_packets(spark, sf_dir)))
+
+
 @query(f"with {_P} select session_id, stop as sample_offset, start as resume_sample_offset, (start - stop) / 64.0 as gap_seconds from g where stop < start")
 def capture_gaps(spark, sf_dir):
     return live.gaps(_packets(spark, sf_dir))
