@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars
 from lumenfold.operators import intervals, stats, tables
+from lumenfold.plans import shared
 from lumenfold.queries import _E, _SEG, _STATE, _events, _observed, _round, _segments
 from lumenfold.registry import query
-from lumenfold.sources import audio, store, text
+from lumenfold.sources import audio, committed, store, text
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -139,6 +141,22 @@ def upserted_results(spark, sf_dir):
     return store.upserted(stored, orders.where("id % 2 = 0").select("id", F.expr("timestamp + interval 1 day").alias("timestamp"), F.lit("new").alias("state")))
 
 
+@query(
+    "with b as (select o_orderkey as id, o_orderdate as timestamp, 'old' as state, 0 as fresh from orders where o_orderkey % 3 <> 0 union all select o_orderkey, o_orderdate + interval 1 day, 'new', 1 from orders where o_orderkey % 2 = 0), "
+    "k as (select * from b qualify row_number() over (partition by id order by fresh desc, timestamp desc) = 1) select id, timestamp, state from k where id not in (select l_orderkey from lineitem where l_returnflag = 'R') order by timestamp desc, id desc limit 1000"
+)
+def committed_results(spark, sf_dir):
+    """A table on disk after four commits: rows put in, rows in place of others, rows deleted, the latest thousand kept."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("timestamp"))
+    stored = orders.where("id % 3 != 0").withColumn("state", F.lit("old"))
+    kept = committed.CommittedTable(spark, f"{shared.folder(spark)}/results/{uuid.uuid4().hex}", stored.schema, "id", 16)
+    kept.upsert(stored, "timestamp")
+    kept.upsert(orders.where("id % 2 = 0").select("id", F.expr("timestamp + interval 1 day").alias("timestamp"), F.lit("new").alias("state")), "timestamp")
+    kept.delete(_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")))
+    kept.retain(1000, "timestamp")
+    return kept.read()
+
+
 @query("select o_orderkey, o_orderstatus from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def deleted_results(spark, sf_dir):
     gone = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))

@@ -187,6 +187,38 @@ def log_bin_median(rows: DataFrame, keys: Sequence[str], low: float, high: float
     return band(rows, low, high).groupBy(*keys, bucket.alias("bucket")).agg(F.median(F.log10("power")).alias("level"), F.count("*").alias("bins")).withColumn("x", a + (F.col("bucket") + 0.5) * (b - a) / buckets)
 
 
+def hinge_scan(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "level", least: int = 7) -> DataFrame:
+    """Per key the change of slope between two neighbouring points with the most evidence: at, delta, improvement, relative, evidence, support.
+
+    Every place between points is tried from the least-th one on, with a point
+    left after it, as a hinge beside a straight line. What a hinge adds follows
+    from sums over the points beyond it, which are totals less running sums, so
+    all places of a key come from one window over its points (a few dozen). Sums
+    are of x from its mean. Keys with too few points or no gain don't come out.
+    """
+    keys = list(keys)
+    everything = Window.partitionBy(*keys)
+    before = everything.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    centred = points.select(*keys, (F.col(x) - F.avg(x).over(everything)).alias("_x"), (F.col(y) - F.avg(y).over(everything)).alias("_y"), F.col(x).alias("_at"))
+    placed = centred.withColumns({"_n": F.count("*").over(everything), "_i": F.row_number().over(everything.orderBy("_x")) - 1, "_b": (F.col("_x") + F.lag("_x").over(everything.orderBy("_x"))) / 2, "_mid": (F.col("_at") + F.lag("_at").over(everything.orderBy("_x"))) / 2})
+    terms = {"1": F.lit(1.0), "x": F.col("_x"), "y": F.col("_y"), "xx": F.col("_x") * F.col("_x"), "xy": F.col("_x") * F.col("_y"), "yy": F.col("_y") * F.col("_y")}
+    sums = placed.withColumns({f"_all_{k}": F.sum(t).over(everything) for k, t in terms.items()} | {f"_to_{k}": F.sum(t).over(before) for k, t in terms.items() if k != "yy"})
+    sums = sums.where((F.col("_i") >= least) & (F.col("_i") < F.col("_n") - 1))
+    beyond = {k: F.col(f"_all_{k}") - F.col(f"_to_{k}") for k in terms if k != "yy"}
+    b, n, xx, xy, yy = (F.col(c) for c in ("_b", "_n", "_all_xx", "_all_xy", "_all_yy"))
+    h = beyond["x"] - b * beyond["1"]
+    hh = beyond["xx"] - 2 * b * beyond["x"] + b * b * beyond["1"] - h * h / n
+    xh, yh = beyond["xx"] - b * beyond["x"], beyond["xy"] - b * beyond["y"]
+    energy = hh - xh * xh / F.nullif(xx, F.lit(0.0))
+    gained = sums.withColumns({"_energy": energy, "_line": yy - xy * xy / F.nullif(xx, F.lit(0.0)), "_pull": yh - xy * xh / F.nullif(xx, F.lit(0.0))}).where(F.col("_energy") > 2.0**-52)
+    gained = gained.withColumn("delta", F.abs(F.col("_pull") / F.col("_energy"))).withColumn("_rest", F.greatest(F.lit(0.0), F.col("_line") - F.col("_pull") * F.col("_pull") / F.col("_energy")))
+    relative = F.when(F.col("_line") > 0, F.greatest(F.lit(0.0), 1 - F.col("_rest") / F.nullif(F.col("_line"), F.lit(0.0)))).otherwise(0.0)
+    gained = gained.withColumns({"relative": relative, "support": F.least(F.col("_i"), n - F.col("_i"))})
+    gained = gained.withColumns({"evidence": F.col("delta") * F.col("relative") * F.sqrt("support"), "improvement": 10 * (F.sqrt(F.col("_line") / n) - F.sqrt(F.col("_rest") / n))})
+    best = F.max_by(F.struct(F.col("_mid").alias("at"), "delta", "improvement", "relative", "evidence", "support"), F.struct("evidence", -F.col("_i")))
+    return gained.where("evidence > 0").groupBy(*keys).agg(best.alias("_h")).select(*keys, "_h.*")
+
+
 def local_maxima(rows: DataFrame, keys: Sequence[str], order: str, value: str, reach: int = 2) -> DataFrame:
     """Rows strictly above all neighbours within reach."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -1,22 +1,26 @@
-"""Tables that a plan cuts its lineage with."""
+"""Tables that a plan cuts its lineage with, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that driver and executors share (spark.checkpoint.dir).
+def folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Where a session names none, a local one gets a temporary folder; any other is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
-    A lost executor costs nothing of it. Where a session names no folder, a
-    local one gets a temporary one, any other an error.
-    """
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in folder(): a lost executor costs nothing of it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenfold-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

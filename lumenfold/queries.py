@@ -276,6 +276,19 @@ def log_bin_median(spark, sf_dir):
     return _round(spectral.log_bin_median(_bins(spark, sf_dir), ["vec_id"], 100.0, 8000.0))
 
 
+@query(
+    f"with {_B}, l as (select vec_id, least(47, floor((log10(freq) - 2) / (log10(8000) - 2) * 48))::int as bucket, log10(power) as y from b where bin > 0 and freq between 100 and 8000 and power > 0), "
+    "p as (select vec_id, 2 + (bucket + 0.5) * (log10(8000) - 2) / 48 as x, median(y) as y from l group by vec_id, bucket), o as (select *, row_number() over w - 1 as i, count(*) over (partition by vec_id) as n, (x + lag(x) over w) / 2 as mid from p window w as (partition by vec_id order by x)), "
+    "t as (select c.vec_id, c.i, c.n, c.mid, o.x, o.y, greatest(0, o.x - c.mid) as h from o c join o on o.vec_id = c.vec_id where c.i >= 7 and c.i < c.n - 1), "
+    "g as (select vec_id, i, any_value(n) as n, any_value(mid) as mid, regr_sxx(y, x) as xx, regr_sxy(y, x) as xy, regr_syy(y, x) as yy, regr_sxy(h, x) as xh, regr_syy(h, x) as hh, regr_sxy(y, h) as yh from t group by vec_id, i), "
+    "e as (select *, hh - xh * xh / xx as energy, yy - xy * xy / xx as line, yh - xy * xh / xx as pull from g), d as (select *, abs(pull / energy) as delta, greatest(0.0, line - pull * pull / energy) as rest, least(i, n - i) as support from e where energy > 2.3e-16), "
+    "f as (select *, greatest(0.0, 1 - rest / line) as relative, delta * greatest(0.0, 1 - rest / line) * sqrt(support) as evidence, 10 * (sqrt(line / n) - sqrt(rest / n)) as improvement from d) "
+    "select vec_id, round(mid, 6) as at, round(delta, 6) as delta, round(improvement, 6) as improvement, round(relative, 6) as relative, round(evidence, 6) as evidence, support from f qualify row_number() over (partition by vec_id order by evidence desc, i) = 1"
+)
+def slope_changes(spark, sf_dir):
+    return _round(spectral.hinge_scan(spectral.log_bin_median(_bins(spark, sf_dir), ["vec_id"], 100.0, 8000.0), ["vec_id"]))
+
+
 _MAXIMA = f"{_B}, m as (select *, max(power) over (partition by vec_id order by bin rows between 2 preceding and 1 preceding) as p, max(power) over (partition by vec_id order by bin rows between 1 following and 2 following) as f from b), top as (select vec_id, bin, freq, power from m where power > coalesce(p, -1) and power > coalesce(f, -1))"
 
 

@@ -8,8 +8,8 @@ import pytest
 from lumenfold import file_queries, queries, registry, signal_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-#: No signal of the smallest tables is long enough for a spectrum or a lost packet.
-LONGER = {"power_density": "/root/testdata/sf0.01", "capture_gaps": "/root/testdata/sf0.01"}
+#: No signal of the smallest tables is long enough for a spectrum or a lost packet; figures of sessions are looked at where there are many.
+LONGER = dict.fromkeys(["power_density", "capture_gaps", "spectrograms", "recording_states", "recovered_exponents", "session_summary", "running_moments"], "/root/testdata/sf0.01")
 
 
 def plain(rows):

@@ -85,6 +85,20 @@ def test_slope_changes(change, at, base):
     assert found["abrupt_delta"] >= 0.6 * change and found["abrupt_evidence"] >= 0.8 and found["abrupt_relative"] >= 0.35 and found["abrupt_improvement"] >= 0.04
 
 
+def test_hinges_of_many_spectra_at_once(spark):
+    """The scan over rows against the one over arrays, whatever the spectrum."""
+    made = {f"{b} {c} {at}": spectrum(b, b + c, at) for b in (-1.0, 0.5) for c in (0.0, 0.7, -1.5) for at in (400, 2000)}
+    rows = [(k, i, float(f), float(p)) for k, (freq, power) in made.items() for i, (f, p) in enumerate(zip(freq, power))]
+    levels = spectral.log_bin_median(spark.createDataFrame(rows, "k string, bin int, freq double, power double"), ["k"], 100.0, 8000.0)
+    found = {r.k: r for r in spectral.hinge_scan(levels, ["k"]).collect()}
+    for k, (freq, power) in made.items():
+        want = spectra.adequacy(freq, power)
+        if want["evidence"] > 1e-6:
+            got = found[k]
+            assert (got.evidence, got.delta, got.improvement, got.relative, got.support, 10**got.at) == pytest.approx([want[n] for n in ("evidence", "delta", "improvement", "relative", "support", "break_hz")], rel=1e-8)
+    assert spectral.hinge_scan(levels.limit(0), ["k"]).collect() == []
+
+
 def test_one_slope_has_no_change():
     found = spectra.adequacy(*spectrum(1.2, 1.2, 1000))
     assert found["delta"] < 0.1 and found["evidence"] < 0.2 and found["smooth_db"] < 1 and found["abrupt_evidence"] < 0.2
