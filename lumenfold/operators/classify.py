@@ -1,4 +1,7 @@
-"""Ordered quality gates: the first condition that holds names the state."""
+"""Ordered quality gates: the first condition that holds names the state.
+
+The thresholds in the conditions are fixed values, as they tell the states.
+"""
 
 from __future__ import annotations
 

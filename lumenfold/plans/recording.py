@@ -88,6 +88,7 @@ def _single(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def observations(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
     """One gated row for each window of signals as rows (keys, n from 0 without gaps, x, rate), measured chunk by chunk."""
+    validated(1.0, low, high, 256, 0.5, 24)
     keys = list(keys)
     cut = spectral.windows(spectral.chunks(_single(samples, keys), keys, seconds, step), keys, seconds, step)
     measured = spectral.each_signal(cut, lambda x, r: measure(x, r, low, high, 24), MEASURES, [*keys, "start", "begins", "ends"])
@@ -114,6 +115,7 @@ def timeline(samples: DataFrame, keys: Sequence[str], seen: DataFrame) -> DataFr
 
 def whole(samples: DataFrame, keys: Sequence[str], low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
     """keys and MEASURES of whole signals: levels from partial sums, the spectrum from the frames it uses, one row of at most 2049 bins for each signal."""
+    validated(1.0, low, high, 256, 0.5, 48)
     keys, single = list(keys), _single(samples, keys)
     found = stats.input_metrics(single, [*keys, "rate"], "x", ["n"], SAMPLE_BUCKET).withColumn("duration", F.col("samples") / F.col("rate"))
     finite_ = single.withColumn("x", F.when(F.isnan("x") | (F.abs("x") == float("inf")), 0.0).otherwise(F.coalesce("x", F.lit(0.0))))

@@ -17,13 +17,14 @@ AGAIN = ["again_beta", "r2", "flatness", "prominence_db", "tonal_ratio", "normal
 
 def exportable(df: DataFrame) -> Column:
     """Whether a measurement has all that a document needs and was not compacted."""
-    return F.col("frequencies").isNotNull() & F.col("power").isNotNull() & (F.size("power") > 0) & ~F.coalesce(F.col("compacted"), F.lit(False))
+    compacted = F.coalesce(F.col("compacted"), F.lit(False)) if "compacted" in df.columns else F.lit(False)
+    return F.col("frequencies").isNotNull() & F.col("power").isNotNull() & (F.size("power") > 0) & ~compacted
 
 
 def documents(df: DataFrame, maker: str = "lumenfold") -> DataFrame:
-    """Rows as closed-schema JSON documents."""
+    """The exportable rows as closed-schema JSON documents."""
     names = [f.split(" ")[0] for f in SCHEMA.split(", ")][1:]
-    return df.select(F.to_json(F.struct(F.lit(maker + SCHEMA_END).alias("schema"), *names), {"ignoreNullFields": "false"}).alias("document"))
+    return df.where(exportable(df)).select(F.to_json(F.struct(F.lit(maker + SCHEMA_END).alias("schema"), *names), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def replayed(texts: DataFrame, column: str = "document") -> DataFrame:

@@ -182,6 +182,8 @@ def test_replay(spark):
     data = [row("same", "a", 16000.0, power), row("same", "b", 16000.0, power), row("rate", "a", 16000.0, power), row("rate", "b", 8000.0, power), row("bad", "a", 16000.0, -power), row("bad", "b", 16000.0, power)]
     frame = spark.createDataFrame(data, replay.SCHEMA.split(", ", 1)[1])
     reports = replay.replayed(replay.documents(frame)).persist()
+    slim = frame.withColumn("compacted", F.col("pair_id") != "same")
+    assert replay.documents(slim).count() == 2 and replay.documents(frame.withColumn("power", F.lit(None).cast("array<double>"))).count() == 0
     one = reports.where("pair_id = 'same' and role = 'a'").first()
     assert one.passed and one.valid and one.normalized_flatness == pytest.approx(spectra.tonality(freq, power, fit, 100, 7680)["normalized_flatness"]) and one.smooth_db == pytest.approx(spectra.adequacy(freq, power, 100, 7680)["smooth_db"])
     assert {r.pair_id: r.passed for r in replay.compared(reports).collect()} == {"same": True, "rate": False, "bad": None}
