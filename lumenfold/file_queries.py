@@ -97,6 +97,17 @@ def calibration_profiles(spark, sf_dir):
     return text.calibrations(read).select("s_suppkey", "route_id", text.snapshot(F.col("points")).alias("correction"))
 
 
+@query("select s_nationkey, 'r' || s_suppkey as route_id, (s_suppkey % 7 - 3)::double as db from supplier where s_nationkey % 5 <> 0 and s_suppkey % 4 <> 0")
+def calibration_lists(spark, sf_dir):
+    """Lists of profiles, one for each nation; some are cut short, and some profiles have no name."""
+    key = F.col("s_suppkey")
+    points = F.array(F.struct((100.0 + key).alias("frequency"), (key % 7 - 3.0).alias("correctionDb")), F.struct(F.lit(5e6).alias("frequency"), F.lit(0.0).alias("correctionDb")))
+    profile = F.struct(F.when(key % 4 != 0, F.col("s_name")).otherwise("").alias("name"), F.concat(F.lit("r"), key.cast("string")).alias("routeId"), points.alias("points"))
+    lists = _table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(profile)).alias("list"))
+    cut = lists.withColumn("list", F.when(F.col("s_nationkey") % 5 == 0, F.substring("list", 1, 40)).otherwise(F.col("list")))
+    return text.calibration_list(cut, "list", ["s_nationkey"]).select("s_nationkey", "route_id", F.get("points", F.lit(0))["db"].alias("db"))
+
+
 @query("select event_id, '{\"event_id\":' || event_id || ',\"info\":{\"type\":\"' || event_type || '\",\"x\":null},\"items\":[{\"k\":1},{\"k\":' || user_id || '}]}' as document from events")
 def sanitized_documents(spark, sf_dir):
     nested = F.struct(F.col("event_type").alias("type"), F.lit("secret").alias("GroupId"), F.lit(float("nan")).alias("x"))

@@ -405,9 +405,8 @@ def power_density(spark, sf_dir):
 
 def _packets(spark, sf_dir) -> DataFrame:
     """Packets of 64 samples at 64 Hz for each event type; every seventh is lost."""
-    grouped = _numbered(spark, sf_dir).groupBy("event_type", F.floor(F.col("n") / 64).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda p: p["x"].cast("float")).alias("samples"))
-    start = F.timestamp_seconds(F.lit(1704067200) + F.col("seq"))
-    return grouped.where("seq % 7 != 3").select(F.col("event_type").alias("session_id"), "seq", (F.col("seq") * 64).alias("start_sample"), F.lit(64.0).alias("rate"), "samples", start.alias("ts"))
+    rows = _numbered(spark, sf_dir).withColumn("rate", F.lit(64.0))
+    return live.packets(rows, "event_type", 64, 1704067200).where("seq % 7 != 3")
 
 
 _P = f"{_N}, p as (select event_type as session_id, n // 64 as seq, (n // 64) * 64 as start, count(*) as len from e where (n // 64) % 7 <> 3 group by 1, 2, 3), g as (select *, lag(start + len) over (partition by session_id order by seq) as stop from p)"

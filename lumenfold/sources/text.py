@@ -138,6 +138,17 @@ def calibrations(rows: DataFrame) -> DataFrame:
     return checked.withColumn("points", F.array_sort("points"))
 
 
+#: A list of profiles as it is stored.
+CALIBRATION_LIST = "array<struct<name: string, routeId: string, points: array<struct<frequency: double, correctionDb: double>>>>"
+
+
+def calibration_list(texts: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """keep, name, route_id, points of the usable profiles in lists of them as JSON text; a text that is no such list has none."""
+    profiles = texts.select(*keep, F.explode(F.from_json(column, CALIBRATION_LIST)).alias("p"))
+    points = F.transform("p.points", lambda q: F.struct(q["frequency"].alias("frequency"), q["correctionDb"].alias("db")))
+    return calibrations(profiles.select(*keep, F.col("p.name").alias("name"), F.col("p.routeId").alias("route_id"), points.alias("points")))
+
+
 def json_number(x: Column) -> Column:
     """A finite number as JSON writers of browsers print it: shortest digits, no ".0", no exponent from 1e-6 up to 1e20."""
     plain = F.regexp_replace(F.when(F.abs(x) < 1, x.cast("decimal(38,24)").cast("string")).otherwise(x.cast("decimal(38,17)").cast("string")), r"\.?0+$", "")

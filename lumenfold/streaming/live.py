@@ -198,6 +198,14 @@ def replayed(packets: DataFrame, mode: str = "balanced") -> DataFrame:
     return packets.groupBy("session_id").applyInPandas(each, OUTPUT)
 
 
+def packets(samples: DataFrame, key: str, size: int, began: float = 0.0) -> DataFrame:
+    """Samples as rows (key, n from 0, x, rate) as packets of size samples (see PACKET), the first at began in seconds of Unix time."""
+    x = F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda p: p["x"].cast("float"))
+    grouped = samples.groupBy(F.col(key).cast("string").alias("session_id"), F.floor(F.col("n") / size).alias("seq")).agg(F.max("rate").cast("double").alias("rate"), x.alias("samples"))
+    start = F.col("seq") * size
+    return grouped.select("session_id", "seq", start.alias("start_sample"), "rate", "samples", F.timestamp_seconds(F.lit(float(began)) + start / F.col("rate")).alias("ts"))
+
+
 def gaps(packets: DataFrame) -> DataFrame:
     """session_id, sample_offset, resume_sample_offset, gap_seconds of breaks in the sample count."""
     from pyspark.sql import Window
