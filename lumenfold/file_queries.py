@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from lumenfold.operators import intervals, stats, tables
 from lumenfold.plans import shared
 from lumenfold.queries import _E, _SEG, _STATE, _events, _observed, _round, _segments
 from lumenfold.registry import query
-from lumenfold.sources import audio, committed, store, text
+from lumenfold.sources import audio, committed, store, text, wav_files
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +31,17 @@ def csv_cells(spark, sf_dir):
     return text.csv_rows(texts, "text", ["name", "note"], ["region"])
 
 
+def _wav_bytes(values: list[float] | None) -> bytes:
+    data = np.array(values or [], "<f4").tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, 8000, 32000, 4, 32) + b"data" + struct.pack("<I", len(data)) + data
+
+
 def _wav(rows: DataFrame) -> DataFrame:
     """embeddings as WAV files of 32-bit floats."""
 
     def write(batches):
         for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                data = np.array(v or [], "<f4").tobytes()
-                out.append(b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, 8000, 32000, 4, 32) + b"data" + struct.pack("<I", len(data)) + data)
+            out = [_wav_bytes(v) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], ["path", "length", "content"])
 
     return rows.select("vec_id", "embedding").mapInArrow(write, "path string, length long, content binary")
@@ -50,6 +53,57 @@ def wav_samples(spark, sf_dir):
     return files.select("path", "kind", "rate", F.posexplode("samples").alias("place", "x"))
 
 
+def _wav_folder(spark, sf_dir: str, vectors: int) -> str:
+    """A new shared folder with embeddings as WAV files, a file for each so many vec_ids, its vectors end to end; tasks write them."""
+    target = f"{shared.folder(spark)}/wav/{uuid.uuid4().hex}"
+    row = F.struct("vec_id", "embedding")
+    packed = _table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / vectors).cast("long").alias("file")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["embedding"])).alias("x"))
+
+    def write(rows):
+        system, root = fs.FileSystem.from_uri(target)
+        system.create_dir(root, recursive=True)
+        for r in rows:
+            # whole files appear at once, so that a task that runs twice leaves one
+            hidden = f"{root}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(hidden) as out:
+                out.write(_wav_bytes(r.x))
+            system.move(hidden, f"{root}/{r.file}.wav")
+
+    packed.foreachPartition(write)
+    return target
+
+
+@query(
+    "with r as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding)::float as x from embeddings), p as (select (vec_id // 256) || '.wav' as file, row_number() over (partition by vec_id // 256 order by vec_id, i) - 1 as place, count(*) over (partition by vec_id // 256) as n, x from r) "
+    "select file, 8000.0::double as rate, 1 as channels, place - greatest(0, n - 12000) as place, x from p where place >= n - 12000"
+)
+def wav_frames(spark, sf_dir):
+    """The last one and a half seconds of WAV files, read by ranges of bytes."""
+    wav_files.register(spark)
+    rows = spark.read.format(wav_files.FORMAT).options(mostSeconds=1.5, splitBytes=40_000).load(_wav_folder(spark, sf_dir, 256))
+    return rows.select(F.substring_index("path", "/", -1).alias("file"), "rate", "channels", "place", "x")
+
+
+@query(
+    "with r as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding)::float as x from embeddings), s as (select vec_id // 256 as file, x, (row_number() over (partition by vec_id // 256 order by vec_id, i) - 1) // 4000 as half from r) "
+    "select file || '.wav' as file, half, round(20 * log10(greatest(1e-12, sqrt(avg(pow(x::double, 2))))), 6) as dbfs, round(max(abs(x::double)), 6) as peak, count(*) as frames from s group by all"
+)
+def wav_stream_levels(spark, sf_dir):
+    """The level of each half second of WAV files that a stream finds, written with its state batch by batch."""
+    wav_files.register(spark)
+    source, folder = _wav_folder(spark, sf_dir, 256), f"{shared.folder(spark)}/streams/{uuid.uuid4().hex}"
+    frames = spark.readStream.format(wav_files.FORMAT).option("lag", 0).load(source)
+
+    def levels(batch: DataFrame, number: int) -> None:
+        halves = batch.groupBy(F.substring_index("path", "/", -1).alias("file"), F.floor(F.col("place") / (F.col("rate") / 2)).cast("long").alias("half"))
+        x = F.col("x").cast("double")
+        found = halves.agg(stats.dbfs(F.sqrt(F.avg(x * x))).alias("dbfs"), F.max(F.abs(x)).alias("peak"), F.count("*").alias("frames"))
+        found.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    frames.writeStream.foreachBatch(levels).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _round(spark.read.parquet(f"{folder}/rows").drop("batch"))
+
+
 @query(
     "with f as (select l_orderkey, l_linenumber, (l_extendedprice * 200)::bigint as length, 7000 + (l_partkey % 40) * 5000 as rate, (l_quantity % 10)::int as channels, l_quantity * 2.5 as seconds from lineitem), "
     "p as (select *, ceil(seconds * rate) as frames from f), q as (select *, length + frames * channels * 4 + frames * 4 + greatest(8388608, ceil(frames * channels * 2)) as peak from p) "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +16,50 @@ MIB = 1 << 20
 MOST_BYTES, MOST_COMPRESSED, MOST_SECONDS, MOST_PEAK = 40 * MIB, 12 * MIB, 120.0, 128 * MIB
 
 
-def decode_wav(data: bytes, most_seconds: float = MOST_SECONDS) -> tuple[float, int, np.ndarray] | None:
-    """Rate, channels and mono float32 samples of the end of a PCM or float WAV; None if it is no WAV.
+@dataclass(frozen=True)
+class WavForm:
+    """Where a WAV's frames lie and how they are written."""
+
+    rate: int
+    channels: int
+    align: int
+    kind: str | None
+    scale: float
+    begin: int
+    frames: int
+
+    def kept(self, most_seconds: float) -> int:
+        """How many frames at the end are of the last most_seconds."""
+        return min(self.frames, int(self.rate * most_seconds))
+
+    def mono(self, raw: bytes) -> np.ndarray:
+        """Whole frames as float32: channels are averaged in double precision and rounded once."""
+        if self.kind is None:
+            parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+            values = ((parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16) ^ 0x800000) - 0x800000
+        else:
+            values = np.frombuffer(raw, self.kind)
+        values = values.astype(np.float64) - (128.0 if self.kind == "u1" else 0.0)
+        return ((values / self.scale).reshape(-1, self.channels).sum(1) / self.channels).astype(np.float32)
+
+
+def wav_form(read: Callable[[int, int], bytes], length: int) -> WavForm | None:
+    """The form of a PCM or float WAV of length bytes, by read(place, bytes) of its chunks' heads alone; None if it is no WAV.
 
-    Raises ValueError for a WAV that can't be read. Only the last most_seconds
-    are decoded; channels are averaged in double precision and rounded once.
+    Raises ValueError for a WAV that can't be read.
     """
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    head = read(0, 12)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return None
     form, body, at = None, None, 12
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"fmt " and size >= 16 and at + 24 <= len(data):
-            form = struct.unpack_from("<HHIIHH", data, at + 8)
-            if form[0] == 0xFFFE and size >= 26 and at + 34 <= len(data):
-                form = (struct.unpack_from("<H", data, at + 32)[0], *form[1:])
+    while at + 8 <= length:
+        name, size = struct.unpack("<4sI", read(at, 8))
+        if name == b"fmt " and size >= 16 and at + 24 <= length:
+            form = struct.unpack("<HHIIHH", read(at + 8, 16))
+            if form[0] == 0xFFFE and size >= 26 and at + 34 <= length:
+                form = (*struct.unpack("<H", read(at + 32, 2)), *form[1:])
         elif name == b"data":
-            body = (at + 8, min(size, len(data) - at - 8))
+            body = (at + 8, min(size, length - at - 8))
         at += 8 + size + (size & 1)
     if form is None or body is None:
         raise ValueError("a WAV without format or data")
@@ -41,18 +69,19 @@ def decode_wav(data: bytes, most_seconds: float = MOST_SECONDS) -> tuple[float,
         raise ValueError("an encoding that is not supported")
     if align != channels * bits // 8 or body[1] < align:
         raise ValueError("frames that don't fit the format")
-    frames = body[1] // align
-    kept = min(frames, int(rate * most_seconds))
-    raw = data[body[0] + (frames - kept) * align : body[0] + frames * align]
-    kind, scale = kinds[code, bits]
-    if kind is None:
-        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        values = ((parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16) ^ 0x800000) - 0x800000
-    else:
-        values = np.frombuffer(raw, kind)
-    values = values.astype(np.float64) - (128.0 if kind == "u1" else 0.0)
-    mono = (values / scale).reshape(-1, channels).sum(1) / channels
-    return float(rate), channels, mono.astype(np.float32)
+    return WavForm(rate, channels, align, *kinds[code, bits], body[0], body[1] // align)
+
+
+def decode_wav(data: bytes, most_seconds: float = MOST_SECONDS) -> tuple[float, int, np.ndarray] | None:
+    """Rate, channels and mono float32 samples of the last most_seconds of a WAV; None if it is no WAV.
+
+    Raises ValueError for a WAV that can't be read.
+    """
+    form = wav_form(lambda at, n: data[at : at + n], len(data))
+    if form is None:
+        return None
+    end = form.begin + form.frames * form.align
+    return float(form.rate), form.channels, form.mono(data[end - form.kept(most_seconds) * form.align : end])
 
 
 Frame = tuple[int, int, int, float]
