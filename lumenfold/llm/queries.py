@@ -6,7 +6,7 @@ import secrets
 
 from . import oracle
 from .clustering import clustering
-from .common import table
+from .common import shared_dir, table
 from .decontamination import decontamination
 from .language_id import language_id
 from .mixing import mix
@@ -49,10 +49,25 @@ def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def _surrogate_key(spark) -> str:
+    """What the session names; else a random key that is made once for the shared folder and kept there, so that reruns agree."""
+    if named := spark.conf.get("spark.lumenfold.surrogates.key", None):
+        return named
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenfold/surrogates.key")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        made = files.create(path, False)
+        made.writeBytes(secrets.token_hex(32))
+        made.close()
+    stream = files.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def op8_surrogates(spark, sf_dir):
-    # without a key in the session one is made for this run, which nobody can rebuild the mapping with
-    key = spark.conf.get("spark.lumenfold.surrogates.key", None) or secrets.token_hex(32)
-    return surrogates(table(spark, sf_dir, "documents"), key)
+    return surrogates(table(spark, sf_dir, "documents"), _surrogate_key(spark))
 
 
 def op9_mixing(spark, sf_dir):
