@@ -179,7 +179,7 @@ def _draw(seed: Column, i: Column, n: Column | int) -> Column:
 _RANGES = {"[a-z]": (0x61, 26), "[A-Z]": (0x41, 26), r"[\p{IsCyrillic}&&\p{Ll}]": (0x430, 32), r"[\p{IsCyrillic}&&\p{Lu}]": (0x410, 32), r"[\p{IsGreek}&&\p{Ll}]": (0x3B1, 17), r"[\p{IsGreek}&&\p{Lu}]": (0x391, 17), r"\p{IsHan}": (0x4E00, 20000), r"\p{IsArabic}": (0x641, 8), r"\p{Lu}": (0xC0, 23), r"\p{L}": (0xE0, 23)}
 
 
-def _letters(seed: Column, text: Column, hexadecimal: Column | bool = False) -> Column:
+def _letters(seed: Column, text: Column, hexadecimal: Column) -> Column:
     """Each digit and letter of text by another one of its class and script (a-f stay a-f in hexadecimal); the rest as it is."""
 
     def drawn(i: Column, first: int, n: int) -> Column:
@@ -188,8 +188,7 @@ def _letters(seed: Column, text: Column, hexadecimal: Column | bool = False) ->
 
     def one(c: Column, i: Column) -> Column:
         letters = F.when(c.rlike("[0-9]"), drawn(i, 0x30, 10))
-        kept = F.lit(hexadecimal) if isinstance(hexadecimal, bool) else hexadecimal
-        letters = letters.when(kept & c.rlike("[a-f]"), drawn(i, 0x61, 6)).when(kept & c.rlike("[A-F]"), drawn(i, 0x41, 6))
+        letters = letters.when(hexadecimal & c.rlike("[a-f]"), drawn(i, 0x61, 6)).when(hexadecimal & c.rlike("[A-F]"), drawn(i, 0x41, 6))
         ascii_, others = list(_RANGES.items())[:2], list(_RANGES.items())[2:]
         for pattern, (first, n) in ascii_:
             letters = letters.when(c.rlike(pattern), drawn(i, first, n))
@@ -201,67 +200,71 @@ def _letters(seed: Column, text: Column, hexadecimal: Column | bool = False) ->
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _syllables(seed: Column, script: str, n: Column) -> Column:
-    """A word of n syllables, half as many in han."""
-    table = F.array(*map(F.lit, SYLLABLES[script]))
-    count = F.ceil(n / 2).cast("int") if script == "han" else n
-    parts = F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(table, _draw(seed, i, len(SYLLABLES[script])) + 1))
-    return F.array_join(parts, "")
-
-
-def _by_script(text: Column, make) -> Column:
-    out = make("latin")
+def _script(text: Column) -> Column:
+    out = F.lit("latin")
     for script in ("cyrillic", "greek", "arabic", "han"):
-        out = F.when(text.rlike(rf"^\p{{Is{script.capitalize()}}}"), make(script)).otherwise(out)
+        out = F.when(text.rlike(rf"^\p{{Is{script.capitalize()}}}"), script).otherwise(out)
     return out
 
 
+def _of(tables: dict[str, list[str]], key: Column) -> Column:
+    """The list of tables under key."""
+    return F.element_at(F.create_map(*(x for k, v in tables.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), key)
+
+
+def _pick(seed: Column, i: Column, values: Column) -> Column:
+    return F.element_at(values, _draw(seed, i, F.size(values)) + 1)
+
+
+def _syllables(seed: Column, script: Column, n: Column) -> Column:
+    """A word of n syllables, half as many in han."""
+    count = F.when(script == "han", F.ceil(n / 2)).otherwise(n).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(seed, i, _of(SYLLABLES, script))), "")
+
+
 def _family(seed: Column, canonical: Column, draw: Column) -> Column:
     """A surname: four syllables, one more after each two draws; each part of a double name has its own."""
-    part = lambda x, s: _syllables(F.concat(seed, x), s, 4 + (draw / 2).cast("int"))
-    return F.array_join(F.transform(F.split(canonical, "-"), lambda x: _by_script(canonical, lambda s: part(x, s))), "-")
+    return F.array_join(F.transform(F.split(canonical, "-"), lambda x: _syllables(F.concat(seed, x), _script(canonical), F.lit(4) + (draw / 2).cast("int"))), "-")
 
 
 def _given(seed: Column, canonical: Column, gender: Column, draw: Column) -> Column:
     """A given name of a gender: one of its names, then two of them, then one with a made one."""
+    tables = {f"{g} {s}": [n.lower() for n in names] for (g, s), names in GIVEN.items()}
+    tables |= {f"either {s}": tables[f"male {s}"] + tables[f"female {s}"] for s in SYLLABLES}
+    script = _script(canonical)
+    names = _of(tables, F.concat_ws(" ", F.when(gender.isin("male", "female"), gender).otherwise("either"), script))
+    second = F.when(draw < 3, _pick(seed, F.lit(10), names)).otherwise(_syllables(seed, script, F.lit(2) + (draw / 2).cast("int")))
+    return F.concat_ws("-", _pick(seed, F.lit(9), names), F.when(draw > 0, second))
 
-    def of(names: list[str], i: int) -> Column:
-        return F.element_at(F.array(*(F.lit(n.lower()) for n in names)), _draw(seed, F.lit(i), len(names)) + 1)
 
-    def pick(s: str, i: int) -> Column:
-        male, female = GIVEN["male", s], GIVEN["female", s]
-        return F.when(gender == "male", of(male, i)).when(gender == "female", of(female, i)).otherwise(of(male + female, i))
+def _seed(key: str, c: dict[str, Column]) -> Column:
+    """The key is hashed in, so a surrogate can't be guessed from texts."""
+    return F.sha2(F.concat_ws("|", F.lit(key), c["kind"], c["canonical"], c["draw"].cast("string")), 256)
 
-    def grown(s: str) -> Column:
-        second = F.when(draw < 3, pick(s, 10)).otherwise(_syllables(seed, s, 2 + (draw / 2).cast("int")))
-        return F.when(draw == 0, pick(s, 9)).otherwise(F.concat(pick(s, 9), F.lit("-"), second))
 
-    return _by_script(canonical, grown)
+def _shuffled(key: str, c: dict[str, Column]) -> Column:
+    """The part of a canonical entity whose letters and digits are drawn anew, so drawn."""
+    kind, canonical = c["kind"], c["canonical"]
+    front = {"email": F.length(canonical) - F.length(F.substring_index(canonical, ".", -1)), "card": F.length(canonical) - 1}
+    part = F.when(kind == "email", canonical.substr(F.lit(1), front["email"])).when(kind == "card", canonical.substr(F.lit(1), front["card"]))
+    part = part.when(kind.isin("account", "access_key"), canonical.substr(F.lit(5), F.length(canonical))).when(~kind.isin("name", "family"), canonical)
+    return _letters(_seed(key, c), part, (kind == "address6") | (kind == "secret") & canonical.rlike("^[0-9a-f]+$"))
 
 
 def _surrogate(key: str, c: dict[str, Column]) -> Column:
-    """The surrogate of a canonical entity at the draw-th try; the key is hashed in, so it can't be guessed from texts.
+    """The surrogate of a canonical entity at the draw-th try.
 
-    c: kind, canonical, gender and family (the surname's surrogate) of full names, draw.
+    c: kind, canonical, gender and family (the surname's surrogate) of full names, draw, shuffled.
     """
-    kind, canonical = c["kind"], c["canonical"]
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, c["draw"].cast("string")), 256)
+    kind, canonical, shuffled, seed = c["kind"], c["canonical"], c["shuffled"], _seed(key, c)
     given = F.sha2(F.concat_ws("|", F.lit(key), kind, c["gender"], F.substring_index(canonical, " ", 1), c["draw"].cast("string")), 256)
-    shuffled = _letters(seed, canonical)
-    hexadecimal = F.when(canonical.rlike("^[0-9a-f]+$"), _letters(seed, canonical, F.lit(True))).otherwise(shuffled)
-    local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
-    top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    labels = domain.substr(F.lit(1), F.length(domain) - F.length(top))
-    body = _letters(seed, canonical.substr(F.lit(1), F.length(canonical) - 1))
-    checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda x: _luhn(x))[0]
-    country, inner = canonical.substr(1, 2), _letters(seed, canonical.substr(F.lit(5), F.length(canonical)))
-    account = F.concat(country, F.lpad((98 - _mod97(F.concat(inner, country, F.lit("00")))).cast("string"), 2, "0"), inner)
+    checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(shuffled, d.cast("string"))), lambda x: _luhn(x))[0]
+    country = canonical.substr(1, 2)
+    account = F.concat(country, F.lpad((98 - _mod97(F.concat(shuffled, country, F.lit("00")))).cast("string"), 2, "0"), shuffled)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
     return (
-        F.when(kind == "email", F.concat(_letters(seed, local), F.lit("@"), _letters(F.concat(seed, F.lit("d")), labels), top))
-        .when(kind == "card", checked).when(kind == "address", octets).when(kind == "secret", hexadecimal)
-        .when(kind == "account", account).when(kind == "address6", _letters(seed, canonical, F.lit(True)))
-        .when(kind == "access_key", F.concat(canonical.substr(1, 4), _letters(seed, canonical.substr(5, 99))))
+        F.when(kind == "email", F.concat(shuffled, F.substring_index(canonical, ".", -1))).when(kind == "card", checked).when(kind == "address", octets).when(kind == "account", account)
+        .when(kind == "access_key", F.concat(canonical.substr(1, 4), shuffled))
         .when(kind == "family", _family(seed, canonical, c["draw"])).when(kind == "name", F.concat(_given(given, canonical, c["gender"], c["draw"]), F.lit(" "), c["family"]))
         .otherwise(shuffled)
     )
@@ -296,7 +299,8 @@ def distinct_surrogates(canonical: DataFrame, key: str) -> DataFrame:
     columns = ["kind", "canonical", "gender", "family"]
 
     def drawn(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("surrogate", _surrogate(key, {c: F.col(c) for c in [*columns, "draw"]}))
+        parts = {c: F.col(c) for c in [*columns, "draw", "shuffled"]}
+        return rows.withColumn("shuffled", _shuffled(key, parts)).withColumn("surrogate", _surrogate(key, parts)).drop("shuffled")
 
     rows = settle(drawn(canonical.select(*columns).withColumn("draw", F.lit(0))), "surrogates-0")
     real = settle(rows.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct(), "real")
