@@ -38,6 +38,31 @@ def test_frames():
     assert spectra.frame_size(3000) == 2048 and spectra.frame_size(100) == 256
 
 
+def test_fits_at_once_are_those_one_by_one():
+    """All hinges of a spectrum are fitted together; one by one took over a tenth of a second a window."""
+    rng = np.random.default_rng(5)
+    x = np.linspace(2, 4, 48)
+    y = rng.normal(size=48) * np.where(rng.random(48) < 0.1, 5, 0.2) + x
+    powers = np.stack([(x - x.mean()) ** k for k in range(6)], 1)
+    bases = np.stack([np.column_stack([powers, np.maximum(0.0, x - at)]) for at in [*x[7:47], 0.0]])
+    found = spectra.robust_each(bases, y)
+    for i, basis in enumerate(bases):
+        one = spectra.robust(basis, y)
+        assert found.good[i] == (one is not None)
+        if one:
+            assert found.last[i] == pytest.approx(one.coefficients[-1]) and np.allclose(found.rest[i], one.rest) and np.allclose(found.weights[i], one.weights) and found.novelty[i] == pytest.approx(one.novelty)
+    assert not found.good[-1] and not spectra.robust_each(bases[:, :8], y[:8]).good.any()
+    exact = spectra.robust_each(bases[:3], bases[0] @ np.arange(7.0))
+    assert exact.good.all() and exact.last[0] == pytest.approx(6)
+
+
+def test_a_spectrum_takes_few_solves(monkeypatch):
+    calls = []
+    monkeypatch.setattr(spectra, "_solve", lambda *a, own=spectra._solve: calls.append(1) or own(*a))
+    spectra.adequacy(np.arange(513) * 15.625, np.exp(np.random.default_rng(2).normal(size=513)))
+    assert len(calls) <= 5
+
+
 def test_robust_fits_do_not_follow_outliers():
     x = np.linspace(-1, 1, 40)
     basis = np.stack([np.ones(40), x], 1)
