@@ -3,8 +3,10 @@
 import math
 import random
 
+import duckdb
 import pytest
 
+from lumenfold import registry, signal_queries  # noqa: F401
 from lumenfold.operators import buckets, intervals
 
 INF, NAN = float("inf"), float("nan")
@@ -163,3 +165,21 @@ def test_color_states(spark, width):
         want = shown([r[1:] for r in data if r[0] == key])
         assert own == sorted(want)
     assert color_states(frame.limit(0), ["key"], ["t", "id"]).collect() == []
+
+
+def test_places_within_spans(spark):
+    """Places are those over all rows, though only some buckets are sorted."""
+    rows = spark.range(5000).selectExpr("double((id * 7919) % 5003) as t", "id as v").repartition(6)
+    whole = {r.n: r.v for r in buckets.placed(rows, [], "t", 50.0, ["t", "v"]).collect()}
+    spans = [(0, 30), (1200, 1333), (1320, 1400), (4990, 6000)]
+    found = {r.n: r.v for r in buckets.placed_within(rows, "t", 50.0, ["t", "v"], spans).collect()}
+    assert found == {n: v for n, v in whole.items() if any(a <= n < b for a, b in spans)}
+
+
+def test_all_colors_are_recovered():
+    """Every nation of the recordings, and all five exponents."""
+    sql = registry.ORACLE_SQL["recovered_exponents"]
+    con = duckdb.connect()
+    con.execute("create table nation as select unnest(range(25)) as n_nationkey")
+    found = con.sql(sql).fetchall()
+    assert len(found) == 16 and {beta for _, beta in found} == {-2.0, -1.0, 0.0, 1.0, 2.0}

@@ -38,6 +38,15 @@ def test_frames():
     assert spectra.frame_size(3000) == 2048 and spectra.frame_size(100) == 256
 
 
+@pytest.mark.parametrize("beta", [-2, -1, 0, 1, 2])
+def test_noise_is_shaped_to_each_color(beta):
+    noise = np.random.default_rng(beta + 3).random(120_000) - 0.5
+    x = spectra.shaped(noise, beta)
+    assert len(x) == len(noise) - 4096
+    assert spectra.power_law(*spectra.welch(x, 16_000.0)[:2], 100, 7000).beta == pytest.approx(beta, abs=0.03)
+    assert np.allclose(spectra.shaped(noise[1000:30_000], beta), x[1000 : 1000 + 29_000 - 4096], atol=1e-9)
+
+
 def test_fits_at_once_are_those_one_by_one():
     """All hinges of a spectrum are fitted together; one by one took over a tenth of a second a window."""
     rng = np.random.default_rng(5)
