@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import spectra
@@ -76,8 +76,8 @@ def gated(measured: DataFrame, temporal_sd: Column | None = None) -> DataFrame:
     return measured.withColumn("_gate", classify.quality_gate(c)).select(*measured.columns, "_gate.*")
 
 
-#: Seconds of frames that are put in order together, and samples.
-TIMELINE_BUCKET, SAMPLE_BUCKET = 512.0, 65_536.0
+#: Seconds of frames that are put in order together, and of a frame.
+TIMELINE_BUCKET, FRAME_SECONDS = 512.0, 0.5
 _LEVELS = ["rms", "dbfs", "peak", "clipping", "near_clipping", "plateau", "crest", "kurtosis", "edge_density", "non_finite"]
 
 
@@ -88,14 +88,23 @@ def _single(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def observations(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
     """One gated row for each window of signals as rows (keys, n from 0 without gaps, x, rate), measured chunk by chunk."""
+    return observed(chunked(samples, keys, seconds, step), keys, seconds, step, low, high)
+
+
+def chunked(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0) -> DataFrame:
+    """Samples as spectral.chunks() from which observed(), framed() and measured_whole() take their own: rows are shuffled once."""
+    return spectral.chunks(_single(samples, keys), keys, max(seconds, FRAME_SECONDS), step)
+
+
+def observed(cut: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
+    """observations() of chunked() samples."""
     validated(1.0, low, high, 256, 0.5, 24)
     keys = list(keys)
-    cut = spectral.windows(spectral.chunks(_single(samples, keys), keys, seconds, step), keys, seconds, step)
-    measured = spectral.each_signal(cut, lambda x, r: measure(x, r, low, high, 24), MEASURES, [*keys, "start", "begins", "ends"])
+    measured = spectral.each_signal(spectral.windows(cut, keys, seconds, step), lambda x, r: measure(x, r, low, high, 24), MEASURES, [*keys, "start", "begins", "ends"])
     return gated(measured).withColumn("time", (F.col("begins") + F.col("ends")) / 2)
 
 
-def frame_levels(samples: DataFrame, keys: Sequence[str], seconds: float = 0.5) -> DataFrame:
+def frame_levels(samples: DataFrame, keys: Sequence[str], seconds: float = FRAME_SECONDS) -> DataFrame:
     """keys, frame, begins, ends, time, samples and levels of frames of seconds, the last one as it is; the samples meet by frame."""
     keys = list(keys)
     size = F.greatest(F.lit(1), half_up(F.col("rate") * seconds))
@@ -105,21 +114,81 @@ def frame_levels(samples: DataFrame, keys: Sequence[str], seconds: float = 0.5)
     return found.select(*keys, "frame", begins.alias("begins"), ends.alias("ends"), ((begins + ends) / 2).alias("time"), "samples", *_LEVELS, "limiting")
 
 
+def framed(cut: DataFrame, keys: Sequence[str], seconds: float = FRAME_SECONDS) -> DataFrame:
+    """frame_levels() of chunked() samples, without limiting: a chunk measures the frames that begin in it."""
+    keys = list(keys)
+    fields = ["frame long", "begins double", "ends double", "time double", "samples long", *[f"{n} double" for n in _LEVELS]]
+
+    def one(x: np.ndarray, rate: float, chunk: float, span: float) -> dict:
+        size, base, found = max(1, int(spectra.half_up((rate or 0.0) * seconds))), int(chunk) * int(span), []
+        for f in range(-(-base // size), -(-(base + min(int(span), len(x))) // size)):
+            part = x[f * size - base : (f + 1) * size - base]
+            begins, ends = (f * size / rate, (f * size + len(part)) / rate) if rate else (None, None)
+            level = levels(part, rate)
+            found.append(dict(frame=f, begins=begins, ends=ends, time=(begins + ends) / 2 if rate else None, samples=len(part)) | {n: level[n] for n in _LEVELS})
+        return {"frames": found}
+
+    kind = ", ".join(f.replace(" ", ": ") for f in fields)
+    return spectral.each_signal(cut, one, f"frames array<struct<{kind}>>", keys, more=["chunk", "span"]).select(*keys, F.inline("frames"))
+
+
 def timeline(samples: DataFrame, keys: Sequence[str], seen: DataFrame) -> DataFrame:
     """Segments of half-second frames by their own level, else by the state of the nearest of seen (keys, time, state)."""
+    return framed_timeline(frame_levels(samples, keys), keys, seen)
+
+
+def framed_timeline(frames: DataFrame, keys: Sequence[str], seen: DataFrame) -> DataFrame:
+    """timeline() of frames with their levels."""
     keys = list(keys)
-    near = intervals.nearest(frame_levels(samples, keys), seen.select(*keys, "time", "state"), keys, "time", ["state"], width=TIMELINE_BUCKET)
+    near = intervals.nearest(frames, seen.select(*keys, "time", "state"), keys, "time", ["state"], width=TIMELINE_BUCKET)
     state = classify.activity_state(F.col("samples"), F.col("non_finite"), F.col("dbfs"), clipped(), F.col("nearest_state"))
     return intervals.merged(near.withColumn("state", state), keys, "state", "begins", "ends", TIMELINE_BUCKET)
 
 
+PARTS = "n long, good long, squares double, fourths double, peak double, clipping long, near_clipping long, plateau long, first double, last double"
+
+
+def _part(x: np.ndarray, rate: float, span: float) -> dict:
+    """Sums over a chunk's own samples, from which those of its signal follow."""
+    own = x[: int(span)].astype(np.float32).astype(np.float64)
+    good = own[np.isfinite(own)]
+    if not len(good):
+        return dict.fromkeys(f.split(" ")[0] for f in PARTS.split(", ")) | dict(n=len(own), good=0)
+    a, square = np.abs(good), np.square(good)
+    plateau = (a[1:] >= stats.PLATEAU_LEVEL) & (np.abs(np.diff(good)) <= stats.PLATEAU_STEP)
+    return dict(
+        n=len(own), good=len(good), squares=float(square.sum()), fourths=float(np.square(square).sum()), peak=float(a.max()), clipping=int((a >= stats.CLIP).sum()), near_clipping=int((a >= stats.NEAR_CLIP).sum()),
+        plateau=int(plateau.sum()), first=float(good[0]), last=float(good[-1]),
+    )
+
+
 def whole(samples: DataFrame, keys: Sequence[str], low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
     """keys and MEASURES of whole signals: levels from partial sums, the spectrum from the frames it uses, one row of at most 2049 bins for each signal."""
+    return measured_whole(settled(chunked(samples, keys)), keys, low, high)
+
+
+def measured_whole(cut: DataFrame, keys: Sequence[str], low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
+    """whole() of chunked() samples. Rows of one for each signal are sent to the chunks, which stay where they are."""
     validated(1.0, low, high, 256, 0.5, 48)
-    keys, single = list(keys), _single(samples, keys)
-    found = stats.input_metrics(single, [*keys, "rate"], "x", ["n"], SAMPLE_BUCKET).withColumn("duration", F.col("samples") / F.col("rate"))
-    finite_ = single.withColumn("x", F.when(F.isnan("x") | (F.abs("x") == float("inf")), 0.0).otherwise(F.coalesce("x", F.lit(0.0))))
-    bins = spectral.framed_density(finite_, keys)
+    keys = list(keys)
+    parts = settled(spectral.each_signal(cut, _part, PARTS, [*keys, "chunk", "rate"], more=["span"]))
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    flat = (F.abs("first") >= stats.PLATEAU_LEVEL) & (F.abs(F.col("first") - F.col("_before")) <= stats.PLATEAU_STEP)
+    sums = ["n", "good", "squares", "fourths", "clipping", "near_clipping", "plateau"]
+    joint = parts.withColumn("_before", before).withColumn("plateau", F.col("plateau") + F.coalesce(flat.cast("int"), F.lit(0)))
+    total = settled(joint.groupBy(*keys).agg(F.max("rate").alias("rate"), F.max("peak").alias("peak"), *[F.sum(c).alias(c) for c in sums]))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    edged = cut.alias("c").join(F.broadcast(total.where("peak is not null").select(*keys, F.col("peak").alias("_peak"))).alias("p"), same).select("c.*", "p._peak")
+    count = lambda x, r, span, peak: {"edges": int((np.abs(x[: int(span)].astype(np.float32).astype(np.float64)[np.isfinite(x[: int(span)])]) >= 0.9 * peak).sum())}
+    edges = spectral.each_signal(edged, count, "edges long", keys, more=["span", "_peak"]).groupBy(*keys).agg(F.sum("edges").alias("edges"))
+    found = total.alias("c").join(edges.alias("p"), same, "left").select("c.*", "p.edges")
+    good = F.nullif(F.col("good"), F.lit(0))
+    rms = F.sqrt(F.col("squares") / good)
+    found = found.select(
+        *keys, "rate", (F.col("n") / F.col("rate")).alias("duration"), rms.alias("rms"), stats.dbfs(rms).alias("dbfs"), "peak", (F.col("clipping") / good).alias("clipping"), (F.col("near_clipping") / good).alias("near_clipping"), (F.col("plateau") / good).alias("plateau"),
+        (F.col("peak") / F.nullif(rms, F.lit(0.0))).alias("crest"), (F.col("fourths") / good / F.nullif(F.pow(rms, F.lit(4.0)), F.lit(0.0))).alias("kurtosis"), (F.col("edges") / good).alias("edge_density"), (1 - F.col("good") / F.col("n")).alias("non_finite"),
+    )
+    bins = spectral.chunked_density(cut, total.select(*keys, F.col("n").alias("_length"), F.col("rate").alias("_rate")), keys)
     ordered = F.array_sort(F.collect_list(F.struct("bin", "freq", "power")))
     spectrum = bins.groupBy(*keys).agg(ordered.alias("_b"), F.max("segments").alias("segments"))
     packed = F.concat(F.transform("_b", lambda b: b["freq"]), F.transform("_b", lambda b: b["power"]))
@@ -137,13 +206,18 @@ def recordings(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, st
     rejected_percent and top_rejected come from the seconds of the activity
     timeline; of states that last as long the one named first in STATES counts.
     """
+    return summarized(settled(chunked(samples, keys, seconds, step)), keys, seconds, step, low, high, seen)
+
+
+def summarized(cut: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1], seen: DataFrame | None = None) -> DataFrame:
+    """recordings() of chunked() samples, which are read some times."""
     keys = list(keys)
     if seen is None:  # measured once, read by the timeline and the summary
-        seen = settled(observations(samples, keys, seconds, step, low, high).select(*keys, "time", "state", "reliable", "beta", "rmse_db", "r2", "flatness"))
-    durations = settled(intervals.state_durations(timeline(samples, keys, seen), keys))
+        seen = settled(observed(cut, keys, seconds, step, low, high).select(*keys, "time", "state", "reliable", "beta", "rmse_db", "r2", "flatness"))
+    durations = settled(intervals.state_durations(framed_timeline(framed(cut, keys), keys, seen), keys))
     rank = F.array_position(F.array(*map(F.lit, intervals.STATES)), F.col("state"))
     rejected = ~F.col("state").isin(intervals.COLORS)
     worst = durations.groupBy(*keys).agg(F.max_by(F.when(rejected, F.col("state")), F.when(rejected, F.struct("seconds", -rank))).alias("top_rejected"))
     summary = intervals.session_summary(seen, durations, keys).select(*keys, "dominant", "reliable_percent", "rejected_percent", "beta_mean", F.col("beta_sd").alias("temporal_sd"), "beta_median", "observations")
-    joined = gated(whole(samples, keys, low, high).join(summary, keys, "left"), F.col("temporal_sd")).join(worst, keys, "left")
+    joined = gated(measured_whole(cut, keys, low, high).join(summary, keys, "left"), F.col("temporal_sd")).join(worst, keys, "left")
     return joined.withColumn("final_state", classify.recording_state(F.col("state"), F.col("reliable"), F.col("temporal_sd"), F.col("rejected_percent"), F.col("top_rejected")))

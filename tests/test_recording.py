@@ -122,3 +122,26 @@ def test_no_signals(spark):
     assert recording.observations(none, ["signal"]).collect() == []
     assert recording.recordings(none, ["signal"]).collect() == []
     assert intervals.COLORS
+
+
+def test_chunks_give_frames_and_whole_signals(samples):
+    """What is measured chunk by chunk is what rows give, and samples are put into chunks once for all of it."""
+    cut = recording.chunked(samples, ["signal"]).persist()
+    columns = ["signal", "frame", "begins", "ends", "time", "samples"]
+    found = {tuple(r[c] for c in columns): r for r in recording.framed(cut, ["signal"]).collect()}
+    want = {tuple(r[c] for c in columns): r for r in recording.frame_levels(samples, ["signal"]).collect()}
+    assert found.keys() == want.keys()
+    for k, row in want.items():
+        same(found[k], row.asDict())
+    plan = recording.framed(cut, ["signal"])._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and not plan.partition("InMemoryRelation")[0].count("Exchange")
+
+
+def test_plateaus_pass_from_chunk_to_chunk(spark):
+    """A flat top over a chunk's end counts each of its samples but the first, as in the signal whole."""
+    n = 16 * RATE
+    x = np.zeros(2 * n + 100)
+    x[n - 5 : n + 5], x[n - 2], x[2 * n] = 0.9, np.nan, 0.8
+    rows = spark.createDataFrame([("s", i, float(v), float(RATE)) for i, v in enumerate(x)], "signal string, n long, x double, rate double")
+    found = recording.whole(rows, ["signal"], *BAND).first()
+    assert found.plateau == recording.levels(x, RATE)["plateau"] == 8 / (len(x) - 1)
