@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import batch, map_arrow
 
 GRAM, BLANK, UNKNOWN = 3, 0x20, "und"
-_SLICE_CHARS, _SLICE_DOCS, _COLUMNS = 1 << 20, 512, 1024
+_SLICE_CHARS, _SLICE_DOCS, _COLUMNS = 1 << 19, 512, 1024
 
 _LETTERS: dict = {}
 
@@ -66,7 +66,7 @@ class Grams:
             there = np.zeros(a**GRAM, bool)
             there[key] = True
             kinds = np.flatnonzero(there)
-            number = np.zeros(a**GRAM, np.int64)
+            number = np.zeros(a**GRAM, np.int32)
             number[kinds] = np.arange(len(kinds))
             self.kind = number[key]
         else:
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], extra: list[st
 
     chosen = docs.select(*extra) if inside else docs.select(*extra, F.col("text").cast("string").alias("text"))
     fields = StructType([*docs.select(*extra).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return chosen.mapInArrow(classify, fields)
+    return map_arrow(chosen, classify, fields)
 
 
 def held_out() -> F.Column:

@@ -138,3 +138,14 @@ def test_tokens_are_the_librarys(kept):
 
 def test_run_is_its_stages(spark, kept):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(kept["tokens"])
+
+
+def test_language_tasks_give_memory_back(spark, monkeypatch):
+    """Predictions go through map_arrow, as processes stay for later stages with what they have not given back."""
+    from lumenfold.llm import common, language_id
+
+    seen = []
+    monkeypatch.setattr(language_id, "map_arrow", lambda df, each, schema: seen.append(schema) or common.map_arrow(df, each, schema))
+    docs = spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string")
+    found = language_id.predict(docs, language_id.fit(docs.selectExpr("text", "'xx' as lang")))
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "xx", 2: "und"} and len(seen) == 2
