@@ -91,9 +91,9 @@ def observations(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0,
     return observed(chunked(samples, keys, seconds, step), keys, seconds, step, low, high)
 
 
-def chunked(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0) -> DataFrame:
-    """Samples as spectral.chunks() from which observed(), framed() and measured_whole() take their own: rows are shuffled once."""
-    return spectral.chunks(_single(samples, keys), keys, max(seconds, FRAME_SECONDS), step)
+def chunked(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, least: int = 1) -> DataFrame:
+    """Samples as spectral.chunks() from which observed(), framed() and, if least is spectral.FRAME, measured_whole() take their own: rows are shuffled once."""
+    return spectral.chunks(_single(samples, keys), keys, max(seconds, FRAME_SECONDS), step, least)
 
 
 def observed(cut: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
@@ -163,13 +163,13 @@ def _part(x: np.ndarray, rate: float, span: float) -> dict:
 
 
 def whole(samples: DataFrame, keys: Sequence[str], low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
-    """keys and MEASURES of whole signals: levels from partial sums, the spectrum from the frames it uses, one row of at most 2049 bins for each signal."""
-    return measured_whole(settled(chunked(samples, keys)), keys, low, high)
+    """keys and MEASURES of whole signals: levels from partial sums, the spectrum from all frames, one row of at most 2049 bins for each signal."""
+    return measured_whole(settled(chunked(samples, keys, least=spectral.FRAME)), keys, low, high)
 
 
 def measured_whole(cut: DataFrame, keys: Sequence[str], low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1]) -> DataFrame:
     """whole() of chunked() samples. Rows of one for each signal are sent to the chunks, which stay where they are."""
-    validated(1.0, low, high, 256, 0.5, 48)
+    validated(1.0, low, high, spectral.FRAME, 0.5, 1)
     keys = list(keys)
     parts = settled(spectral.each_signal(cut, _part, PARTS, [*keys, "chunk", "rate"], more=["span"]))
     before = F.last("last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
@@ -206,7 +206,7 @@ def recordings(samples: DataFrame, keys: Sequence[str], seconds: float = 6.0, st
     rejected_percent and top_rejected come from the seconds of the activity
     timeline; of states that last as long the one named first in STATES counts.
     """
-    return summarized(settled(chunked(samples, keys, seconds, step)), keys, seconds, step, low, high, seen)
+    return summarized(settled(chunked(samples, keys, seconds, step, spectral.FRAME)), keys, seconds, step, low, high, seen)
 
 
 def summarized(cut: DataFrame, keys: Sequence[str], seconds: float = 6.0, step: float = 2.0, low: float = spectra.FIT_RANGE[0], high: float = spectra.FIT_RANGE[1], seen: DataFrame | None = None) -> DataFrame:

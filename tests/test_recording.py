@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.functions import spectra
 from lumenfold.operators import intervals, spectral
@@ -145,3 +146,21 @@ def test_plateaus_pass_from_chunk_to_chunk(spark):
     rows = spark.createDataFrame([("s", i, float(v), float(RATE)) for i, v in enumerate(x)], "signal string, n long, x double, rate double")
     found = recording.whole(rows, ["signal"], *BAND).first()
     assert found.plateau == recording.levels(x, RATE)["plateau"] == 8 / (len(x) - 1)
+
+
+@pytest.mark.parametrize("rate", [1000.0, 64.0])
+def test_whole_signals_use_every_frame(spark, rate):
+    """Also if signals have over 48 frames, and if a frame is longer than a window or a chunk of windows."""
+    x = noise(8, 150_000) * np.where(np.arange(150_000) // 4096 % 3 == 1, 0.1, 1)
+    rows = spark.createDataFrame([("s", i, float(v), rate) for i, v in enumerate(x)], "signal string, n long, x double, rate double").repartition(5)
+    band = (rate / 100, rate * 0.4)
+    found, plain = recording.whole(rows, ["signal"], *band).first(), recording.measure(x, rate, *band, budget=None)
+    assert found.segments == plain["segments"] == (150_000 - 4096) // 2048 + 1
+    for name in ("beta", "r2", "rmse_db", "flatness", "smooth_db", "evidence", "prominence_db", "occupancy"):
+        assert found[name] == pytest.approx(plain[name], rel=1e-6), name
+
+
+def test_chunks_too_short_for_a_frame_are_refused(spark):
+    rows = spark.range(20_000).select(F.lit("s").alias("signal"), F.col("id").alias("n"), F.sin("id").alias("x"), F.lit(64.0).alias("rate"))
+    with pytest.raises(Exception, match="chunks must hold a frame"):
+        recording.measured_whole(recording.chunked(rows, ["signal"]), ["signal"], 2.0, 30.0).collect()
