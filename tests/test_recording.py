@@ -164,3 +164,14 @@ def test_chunks_too_short_for_a_frame_are_refused(spark):
     rows = spark.range(20_000).select(F.lit("s").alias("signal"), F.col("id").alias("n"), F.sin("id").alias("x"), F.lit(64.0).alias("rate"))
     with pytest.raises(Exception, match="chunks must hold a frame"):
         recording.measured_whole(recording.chunked(rows, ["signal"]), ["signal"], 2.0, 30.0).collect()
+
+
+def test_recordings_use_every_frame_of_slow_signals(spark):
+    """At 64 Hz a frame is longer than eight steps of windows; the recording's chunks hold it all the same."""
+    x = noise(9, 130_000) * np.where(np.arange(130_000) // 4096 % 3 == 1, 0.1, 1)
+    rows = spark.createDataFrame([("s", i, float(v), 64.0) for i, v in enumerate(x)], "signal string, n long, x double, rate double").repartition(5)
+    seen = spark.createDataFrame([("s", 3.0, "pink", True, 1.0, 1.0, 0.9, 0.5)], "signal string, time double, state string, reliable boolean, beta double, rmse_db double, r2 double, flatness double")
+    found, plain = recording.recordings(rows, ["signal"], low=2.0, high=30.0, seen=seen).first(), recording.measure(x, 64.0, 2.0, 30.0, budget=None)
+    assert found.segments == plain["segments"] == (130_000 - 4096) // 2048 + 1
+    same(found, plain)
+    assert found.beta == pytest.approx(plain["beta"], rel=1e-6) and found.flatness == pytest.approx(plain["flatness"], rel=1e-6)
